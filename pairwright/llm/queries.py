@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import decontam, quality, warc
 
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,8 +16,20 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("doc_id", *[f"quality.{n}" for n in names])
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{folder}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    found = decontam.contamination(read("documents"), read("benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op8_quality_rules": op8_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -48,6 +61,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM m
+"""
+
+_OP10 = r"""
+WITH words AS (SELECT rowid AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS phrase
+            FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS phrase
+          FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM words, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, i, s.n, item_id FROM spots s JOIN windows USING (n, phrase)),
+covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hits), (SELECT unnest(range(10)) AS k) WHERE k < n GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_warc": _OP2,
+    "op10_decontamination": _OP10,
     "op8_quality_rules": _OP8,
 }
