@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, warc
+from . import decontam, mixing, quality, urltree, warc
+
+
+URL_RULES = tuple(urltree.UrlRule.of(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urltree.judge(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", *[f"url_filter.{n}" for n in ("host", "path", "rule", "verdict")])
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "mix.n_tokens", "mix.epoch", "mix.block", F.round("mix.source_weight", 6).alias("source_weight"), F.round("mix.position", 9).alias("position"))
 
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +41,8 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op4_url_filter": op4_url_filter,
+    "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
