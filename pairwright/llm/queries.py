@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, urltree, warc
+from . import decontam, langid, mixing, quality, urltree, warc
 
 
 URL_RULES = tuple(urltree.UrlRule.of(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
@@ -29,6 +29,14 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("doc_id", *[f"quality.{n}" for n in names])
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.fit(docs.where(part.isin(0, 1)), docs.where(part == 3))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{folder}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -40,6 +48,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op4_url_filter": op4_url_filter,
     "op6_mixing": op6_mixing,
