@@ -14,7 +14,7 @@ from .store import stored
 from .text import WordHashes, columns, words_of
 
 #: Words in a shard of the index; a longer document has a shard to itself.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 100_000
 #: Words of test items that go to the tasks at once; a larger benchmark is taken in blocks of about this size.
 QUERY_WORDS = 1_000_000
 
@@ -62,8 +62,8 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_w
     return stored(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(build, _INDEX), "postings")
 
 
-def _windows(items: list[tuple[str, str]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """All windows of the items: word hashes, length, and number in the list of item names; equal ones stay, for each item has its own."""
+def _windows(items: list[tuple[str, str]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The items' terms, sorted; all windows as numbers of terms; lengths; numbers of item names; and these. Equal windows stay, for each item has its own."""
     known, rows, lengths, owners = WordHashes(), [], [], []
     names = sorted({name for name, _ in items})
     number = {name: k for k, name in enumerate(names)}
@@ -77,19 +77,32 @@ def _windows(items: list[tuple[str, str]], width: int) -> tuple[np.ndarray, np.n
         lengths.append(np.full(len(view), w, np.int32))
         owners.append(np.full(len(view), number[name], np.int32))
     if not rows:
-        return np.zeros((0, width), np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), names
-    return np.concatenate(rows), np.concatenate(lengths), np.concatenate(owners), names
+        return np.zeros(0, np.uint64), np.zeros((0, width), np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), names
+    words = np.concatenate(rows)
+    terms, numbers = np.unique(words, return_inverse=True)
+    return terms, numbers.reshape(words.shape).astype(np.int32), np.concatenate(lengths), np.concatenate(owners), names
 
 
-def _occurrences(terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, starts: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every (window, first position) where a window's words stand in order inside one document of the shard."""
+def _place(asked: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """For each asked term its number in the shard's, or -1."""
+    if not len(asked) or not len(terms):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(asked, terms), len(asked) - 1)
+    same = asked[at] == terms
+    out = np.full(len(asked), -1)
+    out[at[same]] = np.flatnonzero(same)
+    return out
+
+
+def _occurrences(place: np.ndarray, ends: np.ndarray, positions: np.ndarray, starts: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every (window, first position) where a window's words stand in order inside one document of the shard. ``place``: where the asked terms' lists are."""
     none = np.zeros(0, np.int64)
-    if not len(terms) or not len(windows):
+    if not len(ends) or not len(windows):
         return none, none
     width = windows.shape[1]
     used = np.arange(width) < lengths[:, None]
-    at = np.minimum(np.searchsorted(terms, windows), len(terms) - 1)
-    whole = np.flatnonzero(((terms[at] == windows) | ~used).all(axis=1))
+    at = place[windows]
+    whole = np.flatnonzero(((at >= 0) | ~used).all(axis=1))
     if not len(whole):
         return none, none
     at, used = at[whole], used[whole]
@@ -106,7 +119,7 @@ def _occurrences(terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, sta
     fits = (begin >= 0) & (stop <= starts[-1])
     window, begin = window[fits], begin[fits]
     term_at = np.empty(len(positions), np.int64)
-    term_at[positions] = np.repeat(np.arange(len(terms)), ends - firsts)
+    term_at[positions] = np.repeat(np.arange(len(ends)), ends - firsts)
     for k in range(1, width):  # the other lists, moved by the word's offset, from the next rarest on
         word = order[window, k]
         here = used[window, word]
@@ -117,14 +130,13 @@ def _occurrences(terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, sta
     return whole[window[keep]], begin[keep]
 
 
-def _near(terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, starts: np.ndarray, windows: np.ndarray, lengths: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(place: np.ndarray, ends: np.ndarray, positions: np.ndarray, starts: np.ndarray, windows: np.ndarray, lengths: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every (window, first, stop) where all distinct words of a window stand, in any order, within its length plus ``slop`` words around its rarest one."""
     firsts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     out: list[tuple[int, int, int]] = []
     for q in range(len(windows)):
-        words = np.unique(windows[q, : lengths[q]])
-        at = np.searchsorted(terms, words)
-        if not len(terms) or (at >= len(terms)).any() or (terms[at] != words).any():
+        at = place[np.unique(windows[q, : lengths[q]])]
+        if (at < 0).any():
             continue
         lists = sorted((positions[firsts[t] : ends[t]].astype(np.int64) for t in at), key=len)
         lo = hi = lists[0]
@@ -172,16 +184,18 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
         sent = spark.sparkContext.broadcast(_windows([tuple(r) for r in rows], width))
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            windows, lengths, owners, names = sent.value
+            asked, windows, lengths, owners, names = sent.value
             for batch in batches:
-                for row in batch.to_pylist():
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
                     terms, ends, positions, starts = (np.frombuffer(row[k], d) for k, d in (("terms", np.uint64), ("ends", np.int32), ("positions", np.int32), ("starts", np.int32)))
                     ends, starts = ends.astype(np.int64), starts.astype(np.int64)
+                    place = _place(asked, terms)
                     if slop is None:
-                        found, begin = _occurrences(terms, ends, positions, starts, windows, lengths)
+                        found, begin = _occurrences(place, ends, positions, starts, windows, lengths)
                         stop = begin + lengths[found]
                     else:
-                        found, begin, stop = _near(terms, ends, positions, starts, windows, lengths, slop)
+                        found, begin, stop = _near(place, ends, positions, starts, windows, lengths, slop)
                     marks = np.zeros(starts[-1] + 1, np.int32)
                     np.add.at(marks, begin, 1)
                     np.add.at(marks, stop, -1)
