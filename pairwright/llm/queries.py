@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, urltree, warc
+from . import decontam, langid, linededup, mixing, quality, urltree, warc
 
 
 URL_RULES = tuple(urltree.UrlRule.of(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
@@ -23,6 +23,11 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.n_tokens", "mix.epoch", "mix.block", F.round("mix.source_weight", 6).alias("source_weight"), F.round("mix.position", 9).alias("position"))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = linededup.dedup(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    return done.select("doc_id", "lines.n_lines", "lines.n_removed", F.array_join(F.col("lines.removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     q = quality.judge(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_url_filter": op4_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
@@ -95,6 +101,22 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
+_OP7 = """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+c AS (SELECT doc_id, line, trim(translate(t, chr(9) || chr(13), '  '), ' ') AS t FROM l),
+u AS (SELECT t, length(t) AS n FROM c WHERE length(t) >= 30 GROUP BY t),
+e AS (SELECT a.t AS x, b.t AS y FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.n >= 60 AND b.n >= 60 AND a.t <> b.t
+      AND (left(a.t, a.n // 3 - 2) = left(b.t, a.n // 3 - 2) OR right(a.t, a.n // 3 - 2) = right(b.t, a.n // 3 - 2) OR contains(b.t, substr(a.t, a.n // 3 + 3, a.n // 3 - 4)))
+      AND levenshtein(a.t, b.t) <= 2),
+reach AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+class AS (SELECT x AS t, min(y) AS class FROM reach GROUP BY x),
+o AS (SELECT doc_id, line, coalesce(class, t) AS class FROM c LEFT JOIN class USING (t) WHERE length(t) >= 30),
+k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY class ORDER BY doc_id, line) AS r FROM o),
+g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM k WHERE r > 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
 _OP10 = r"""
 WITH words AS (SELECT rowid AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -113,6 +135,7 @@ FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 ORACLE: dict[str, str] = {
     "op2_warc": _OP2,
+    "op7_line_dedup": _OP7,
     "op10_decontamination": _OP10,
     "op8_quality_rules": _OP8,
 }
