@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, mixing, quality, urltree, warc
+from . import bagminhash, decontam, langid, linededup, mixing, quality, urltree, warc
 
 
 URL_RULES = tuple(urltree.UrlRule.of(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
@@ -18,6 +18,11 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", *[f"url_filter.{n}" for n in ("host", "path", "rule", "verdict")])
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = bagminhash.classes(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "mix.n_tokens", "mix.epoch", "mix.block", F.round("mix.source_weight", 6).alias("source_weight"), F.round("mix.position", 9).alias("position"))
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op4_url_filter": op4_url_filter,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,3 +68,28 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def colliding_links(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Column | None = None) -> DataFrame:
+    """Links ``(a, b)`` that connect all verified pairs of ids sharing a key in ``entries(key, id, size)``.
+
+    In each key all ids are first paired with the least one, so a key shared by very many ids makes as many pairs
+    as it has ids. Keys whose ids are not in one component once these pairs are verified are paired in full across
+    components, so no link between components is lost. ``verify`` takes ``(a, b)`` and returns those that hold;
+    ``fits`` is a cheap condition on ``sa`` and ``sb``, the sizes, that all such pairs meet.
+    """
+    fits = F.lit(True) if fits is None else fits
+    order = W.partitionBy("key").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    starred = entries.withColumn("head", F.first(F.struct("id", "size")).over(order)).where("id <> head.id")
+    starred = stored(starred.select("key", F.col("head.id").alias("a"), F.col("head.size").alias("sa"), F.col("id").alias("b"), F.col("size").alias("sb")), "collisions")
+    pairs = stored(starred.where(fits).select("a", "b").distinct(), "pairs")
+    links = stored(verify(pairs), "links")
+    roots = components(links)
+    members = starred.select("key", F.col("b").alias("id"), F.col("sb").alias("size")).unionByName(starred.select("key", F.col("a").alias("id"), F.col("sa").alias("size"))).distinct()
+    members = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
+    rest = stored(members.join(apart, "key", "left_semi"), "apart")
+    one = lambda x: rest.select("key", F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}"))
+    across = one("a").join(one("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
+    more = stored(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(stored(verify(more), "links"))
