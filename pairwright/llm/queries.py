@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bagminhash, decontam, langid, linededup, mixing, quality, urltree, warc
+from . import bagminhash, decontam, langid, licences, linededup, mixing, quality, urltree, warc
 
 
 URL_RULES = tuple(urltree.UrlRule.of(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
@@ -53,6 +53,11 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{folder}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.licences(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"), F.col("n_notices").cast("bigint").alias("n_notices"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     found = decontam.contamination(read("documents"), read("benchmark"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_licence_scan": op9_licence_scan,
     "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
