@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bagminhash, decontam, langid, licences, linededup, mixing, quality, urltree, warc
+from . import bagminhash, decontam, langid, licences, linededup, mixing, paragraphs, quality, urltree, warc
+
+
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = paragraphs.repeats(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    n = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return found.select(F.col("id").alias("doc_id"), n.alias("n_repeated"), (F.size("spans") > 0).alias("repeats"), spans.alias("spans"))
 
 
 URL_RULES = tuple(urltree.UrlRule.of(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
@@ -67,6 +74,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_mixing": op6_mixing,
