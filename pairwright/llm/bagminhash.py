@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import colliding_links, components, stored
-from .text import WordHashes, columns, mixed, shingles, words_of
+from .store import colliding_links, components, stored, wanted_ids
+from .text import WordHashes, columns, list_column, mixed, shingles, sketch, words_of
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -21,7 +21,7 @@ BANDS, ROWS = 24, 6
 UNITS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SIGNED = "id bigint, size bigint, one bigint, two bigint, bands array<bigint>"
+_SIGNED = "id bigint, size bigint, one bigint, two bigint, bands array<bigint>, sketch array<bigint>"
 
 
 def bag(words: list[bytes], known: WordHashes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -78,21 +78,22 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS
 
 
 def signed(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row with a word and an id: ``id``, ``size`` (shingles with repeats), a 128-bit hash of the bag (``one``, ``two``) and ``bands``, a hash of each band's registers."""
+    """Per row with a word and an id: ``id``, ``size`` (shingles with repeats), a 128-bit hash of the bag (``one``, ``two``), ``bands``, a hash of each band's registers, and ``sketch``, some bits of each register."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
 
         def finish(ids: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            cut = signatures(bags, bands * rows).view(np.uint64).reshape(len(bags), bands, rows)
+            whole_rows = signatures(bags, bands * rows).view(np.uint64)
+            cut = whole_rows.reshape(len(bags), bands, rows)
             keys = np.tile(np.arange(bands, dtype=np.uint64), (len(bags), 1))
             for k in range(rows):
                 keys = mixed(keys * _ODD + cut[:, :, k])
             ones = [int((mixed(v) * c.astype(np.uint64)).sum(dtype=np.uint64)) for v, c in bags]
             twos = [int((mixed(v ^ _ODD) * c.astype(np.uint64)).sum(dtype=np.uint64)) for v, c in bags]
             whole = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), whole(ones), whole(twos), lists], names=["id", "size", "one", "two", "bands"])
+            sizes = pa.array([int(c.sum()) for _, c in bags], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sizes, whole(ones), whole(twos), list_column(keys), list_column(sketch(whole_rows))], names=["id", "size", "one", "two", "bands", "sketch"])
 
         ids, bags, units = [], [], 0
         for some, texts in columns(batches, "id", "text"):
@@ -145,12 +146,14 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     entries = marks.join(firsts.select(F.col("first").alias("id"), "one", "two", "size"), ["id", "one", "two", "size"], "left_semi").select("id", "size", F.explode("bands").alias("key")).distinct()
     source = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return _verified(pairs, source.join(wanted, "id", "left_semi"), similarity, width).distinct()
+    texts: list[DataFrame] = []
 
-    fits = F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb")
-    links = colliding_links(entries, verify, fits)
+    def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+        if not texts:
+            texts.append(stored(source.join(wanted_ids(ids), "id", "left_semi"), "texts"))
+        return _verified(pairs, texts[0], similarity, width).distinct()
+
+    links = colliding_links(entries, marks.select("id", "sketch"), BANDS * ROWS, similarity, verify)
     roots = components(links.unionByName(copies.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
     return source.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontam import _merge
-from .store import colliding_links, components, stored
-from .text import WordHashes, columns, mixed, shingles, words_of
+from .store import colliding_links, components, stored, wanted_ids
+from .text import WordHashes, columns, list_column, mixed, shingles, sketch, words_of
 
 WIDTH, SIMILARITY, ROWS = 5, 0.8, 4
 #: Paragraphs (lines) of fewer words are left alone.
@@ -21,7 +21,7 @@ MIN_WORDS = 20
 GRAM, REACH = 20, 31
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_UNITS = "doc bigint, line int, start int, stop int, size bigint, one bigint, two bigint, bands array<bigint>"
+_UNITS = "doc bigint, line int, start int, stop int, size bigint, one bigint, two bigint, bands array<bigint>, sketch array<bigint>"
 _ANCHORS = "doc bigint, pos int, gram bigint, step int, block bigint"
 
 
@@ -43,7 +43,8 @@ def _signed(docs: DataFrame, id: str, text: str, min_words: int, bands: int) ->
         known = WordHashes()
 
         def finish(places: list[tuple], sets: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
-            least = minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), salts).reshape(len(sets), bands, ROWS)
+            rows = minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), salts)
+            least = rows.reshape(len(sets), bands, ROWS)
             keys = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
             for k in range(ROWS):
                 keys = mixed(keys * _ODD + least[:, :, k])
@@ -51,11 +52,10 @@ def _signed(docs: DataFrame, id: str, text: str, min_words: int, bands: int) ->
             order = np.arange(len(flat), dtype=np.uint64) - np.repeat(starts, list(map(len, words))).astype(np.uint64)
             ones, twos = (np.add.reduceat(mixed(mixed(flat ^ c) + order * _ODD), starts) for c in (np.uint64(0), _ODD))
             columns = list(zip(*places, strict=True))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), lists],
-                names=["doc", "line", "start", "stop", "size", "one", "two", "bands"],
+                [*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), list_column(keys), list_column(sketch(rows))],
+                names=["doc", "line", "start", "stop", "size", "one", "two", "bands", "sketch"],
             )
 
         places, sets, words, held = [], [], [], 0
@@ -80,12 +80,16 @@ def _signed(docs: DataFrame, id: str, text: str, min_words: int, bands: int) ->
     return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(sign, _UNITS)
 
 
-def _jaccard(pairs: DataFrame, docs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+def _texts(docs: DataFrame, units: DataFrame, ids: DataFrame) -> DataFrame:
+    """(``unit``, ``t``): the paragraph of each unit in ``ids``, from its first occurrence."""
+    places = units.join(ids.withColumnRenamed("id", "unit"), "unit", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("line", "unit")).alias("u"))
+    known = wanted_ids(places.select("doc"))
+    lines = docs.join(known, "doc", "left_semi").join(places, "doc").select("text", F.explode("u").alias("u"))
+    return lines.select("u.unit", F.get(F.split("text", "\n"), "u.line").alias("t")).groupBy("unit").agg(F.min("t").alias("t"))
+
+
+def _jaccard(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` of unit ids whose paragraphs' shingle sets have a Jaccard similarity of at least ``similarity``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    places = units.join(wanted, "unit", "left_semi").select("unit", "doc", "line")
-    lines = docs.join(places.groupBy("doc").agg(F.collect_set(F.struct("line", "unit")).alias("u")), "doc").select("text", F.explode("u").alias("u"))
-    lines = lines.select("u.unit", F.get(F.split("text", "\n"), "u.line").alias("t")).groupBy("unit").agg(F.min("t").alias("t"))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -112,8 +116,15 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     firsts = stored(firsts.select("one", "two", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), F.col("one").alias("unit")), "paragraph-firsts")
     alone = marks.join(firsts.select("one", "two", "doc", "line"), ["one", "two", "doc", "line"], "left_semi")
     entries = alone.select(F.col("one").alias("id"), "size", F.explode("bands").alias("key")).distinct()
-    fits = F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb")
-    links = colliding_links(entries, lambda pairs: _jaccard(pairs, source, firsts, similarity).distinct(), fits)
+    texts: list[DataFrame] = []
+
+    def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+        if not texts:
+            texts.append(stored(_texts(source, firsts, ids), "paragraph-texts"))
+        return _jaccard(pairs, texts[0], similarity).distinct()
+
+    sketches = alone.select(F.col("one").alias("id"), "sketch")
+    links = colliding_links(entries, sketches, tuned_bands(similarity) * ROWS, similarity, verify)
     roots = components(links)
     classes = firsts.join(roots.withColumnRenamed("id", "unit"), "unit", "left").where("n > 1 or root is not null").withColumn("class", F.coalesce("root", "unit"))
     keep = classes.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("keep"))

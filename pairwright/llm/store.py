@@ -70,26 +70,69 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def colliding_links(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Column | None = None) -> DataFrame:
-    """Links ``(a, b)`` that connect all verified pairs of ids sharing a key in ``entries(key, id, size)``.
-
-    In each key all ids are first paired with the least one, so a key shared by very many ids makes as many pairs
-    as it has ids. Keys whose ids are not in one component once these pairs are verified are paired in full across
-    components, so no link between components is lost. ``verify`` takes ``(a, b)`` and returns those that hold;
-    ``fits`` is a cheap condition on ``sa`` and ``sb``, the sizes, that all such pairs meet.
+#: Up to so many ids are sent to all tasks to fetch what belongs to them (16 MB); beyond, they are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+#: Bits kept of each register of a signature, one plane of words for each.
+PLANES = 4
+#: Rounds in which each id meets one neighbour per key, before what is still apart is compared in full.
+ROUNDS = 3
+
+
+def wanted_ids(ids: DataFrame, name: str = "wanted") -> DataFrame:
+    """``ids`` written down, and marked for broadcast if counted to be few enough."""
+    ids = stored(ids.distinct(), name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def most_different(registers: int, similarity: float, deviations: float = 3.3) -> int:
+    """In how many of ``registers`` two signatures of ``similarity`` differ at most, up to ``deviations`` standard deviations."""
+    same = similarity + (1 - similarity) / 2**PLANES
+    return int(registers * (1 - same) + deviations * (registers * same * (1 - same)) ** 0.5)
+
+
+def _differing(a: Column, b: Column, words: int) -> Column:
+    """In how many registers two sketches differ: ``PLANES`` times ``words`` words, a bit for each register in each plane."""
+    total = F.lit(0)
+    for w in range(words):
+        bits = F.lit(0).cast("bigint")
+        for p in range(PLANES):
+            bits = bits.bitwiseOR(F.get(a, F.lit(p * words + w)).bitwiseXOR(F.get(b, F.lit(p * words + w))))
+        total = total + F.bit_count(bits)
+    return total
+
+
+def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, similarity: float, verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` that connect all pairs of ids that share a key in ``entries(key, id, size)`` and verify.
+
+    A key shared by very many ids must not make all their pairs. So in each key every id first meets the least
+    one, then in each further round its neighbour in an order by hash, which makes as many pairs as the key has
+    ids; ids already in one component are not paired again. What is then still apart within a key is compared in
+    full across components, so no link between components is lost. Before a pair is verified, sizes must be within
+    ``similarity`` of each other, and the sketches must not differ in more registers than ``most_different`` says.
+    ``verify`` takes pairs ``(a, b)`` and all ids that share a key with another, and returns the pairs that hold.
     """
-    fits = F.lit(True) if fits is None else fits
+    words = -(-registers // 64)
     order = W.partitionBy("key").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     starred = entries.withColumn("head", F.first(F.struct("id", "size")).over(order)).where("id <> head.id")
-    starred = stored(starred.select("key", F.col("head.id").alias("a"), F.col("head.size").alias("sa"), F.col("id").alias("b"), F.col("size").alias("sb")), "collisions")
-    pairs = stored(starred.where(fits).select("a", "b").distinct(), "pairs")
-    links = stored(verify(pairs), "links")
-    roots = components(links)
-    members = starred.select("key", F.col("b").alias("id"), F.col("sb").alias("size")).unionByName(starred.select("key", F.col("a").alias("id"), F.col("sa").alias("size"))).distinct()
-    members = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-    rest = stored(members.join(apart, "key", "left_semi"), "apart")
-    one = lambda x: rest.select("key", F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}"))
-    across = one("a").join(one("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
-    more = stored(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(stored(verify(more), "links"))
+    starred = stored(starred.select("key", F.col("head.id").alias("head"), F.col("head.size").alias("head_size"), "id", "size"), "collisions")
+    members = starred.select("key", "id", "size").unionByName(starred.select("key", F.col("head").alias("id"), F.col("head_size").alias("size"))).distinct()
+    ids = stored(members.select("id").distinct(), "colliding")
+    members = stored(members.join(sketches.groupBy("id").agg(F.first("sketch").alias("sketch")), "id"), "members")
+    near = (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb")) & (_differing(F.col("ka"), F.col("kb"), words) <= most_different(registers, similarity))
+    one = lambda x: [F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}"), F.col("sketch").alias(f"k{x}")]
+    pair = lambda df: df.where("ra <> rb").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links, now = None, members.withColumn("root", F.col("id"))
+    for k in range(ROUNDS + 1):
+        if k < ROUNDS:
+            order = W.partitionBy("key").orderBy(F.xxhash64(F.lit(k), "id"), "id") if k else W.partitionBy("key").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
+            other = F.lag(F.struct("id", "size", "root", "sketch")).over(order) if k else F.first(F.struct("id", "size", "root", "sketch")).over(order)
+            pairs = now.withColumn("o", other).where("o is not null").select(*one("a"), *[F.col(f"o.{c}").alias(n) for c, n in (("id", "b"), ("size", "sb"), ("root", "rb"), ("sketch", "kb"))])
+        else:
+            pairs = now.select("key", *one("a")).join(now.select("key", *one("b")), "key").where("a < b")
+        more = stored(verify(stored(pair(pairs), "pairs"), ids), "links")
+        links = more if links is None else links.unionByName(more)
+        if k < ROUNDS:
+            rooted = members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            now = stored(rooted.join(apart, "key", "left_semi"), "apart")
+    return links

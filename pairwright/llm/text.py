@@ -59,3 +59,23 @@ def columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[lis
     """The named columns of each Arrow batch as Python lists."""
     for batch in batches:
         yield [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
+
+
+def sketch(registers: np.ndarray, planes: int = 4) -> np.ndarray:
+    """Of each row of 64-bit registers: ``planes`` planes of words, with a bit of a hash of each register in each plane."""
+    n, m = registers.shape
+    words = -(-m // 64)
+    hashed = mixed(registers ^ _ODD)
+    out = np.zeros((n, planes, words), np.uint64)
+    for p in range(planes):
+        bits = (hashed >> np.uint64(p)) & np.uint64(1)
+        for w in range(words):
+            part = bits[:, 64 * w : 64 * w + 64]
+            out[:, p, w] = (part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return out.reshape(n, planes * words)
+
+
+def list_column(rows: np.ndarray) -> pa.Array:
+    """Rows of 64-bit values as a column of lists of bigint."""
+    n, m = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, m), pa.int32()), pa.array(rows.reshape(-1).view(np.int64)))
