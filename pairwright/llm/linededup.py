@@ -14,51 +14,56 @@ MIN_CHARS = 30
 MIN_EDIT_CHARS = 60
 #: Edits within which two lines are the same.
 EDITS = 2
-#: Rounds in which a key's lines are compared with one of them only, before what is still apart is compared in full.
-STAR_ROUNDS = 1
+#: Up to so many ids of lines to be compared are sent to all tasks (16 MB); beyond, they are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+#: Frequent letters, counted to tell lines apart before they are compared.
+LETTERS = ("aA", "eE", "iI", "oO", "uU", "nN", "tT", "sS", "rR", "hH", "dD", "lL", "cC", " ")
 
 
-def _probes(text: Column, length: Column, edits: int) -> list[Column]:
-    """The keys of a line: hashes of (length, segment number, substring) for every indexed length from its own
-    down to ``edits`` less, at the starts that can still leave room for the other segments' edits.
+def _probes(edits: int) -> list[Column]:
+    """The keys of a line ``t`` of ``size`` characters: hashes of (length, segment number, substring) for every
+    indexed length from its own down to ``edits`` less, at the starts that can still leave room for the other
+    segments' edits.
 
-    A line of length L is cut into edits + 1 segments; within ``edits`` edits at least one survives. The keys of
-    length L at the segments' own places are the line's index; the rest only probe.
+    A line of length L is cut into edits + 1 segments, the last of which takes what does not divide; within
+    ``edits`` edits at least one survives. The keys of length L at the segments' own places are the line's index;
+    the rest only probe. ``t`` is in UTF-32, where a substring needs no walk through the characters before it.
     """
     parts, out = edits + 1, []
     for less in range(edits + 1):
-        size = length - less
-        whole, over = F.floor(size / parts).cast("int"), F.pmod(size, F.lit(parts))
+        length, whole = f"(size - {less})", f"cast((size - {less}) div {parts} as int)"
         for i in range(1, parts + 1):
-            long = F.when(F.lit(i) > parts - over, 1).otherwise(0)
-            begin = (i - 1) * whole + F.greatest(F.lit(0), F.lit(i - 1 - parts) + over)
-            for move in range(max(1 - i, less - (parts - i)), min(i - 1, less + (parts - i)) + 1):
-                start, width = begin + move, whole + long
-                fits = (start >= 0) & (start + width <= length)
-                out.append(F.when(fits, F.xxhash64(F.lit(i), size, F.substring(text, start + 1, width))))
+            width = whole if i < parts else f"({length} - {parts - 1} * {whole})"
+            for move in _moves(i, less, edits):
+                out.append(F.expr(f"xxhash64({i}, {length}, substring(t, 4 * ({i - 1} * {whole} + {move}) + 1, 4 * {width}))"))
     return out
 
 
-def _own(edits: int) -> list[int]:
+def _moves(i: int, less: int, edits: int) -> range:
+    """How far segment ``i`` of a line that is ``less`` characters shorter may have moved."""
+    rest = edits + 1 - i
+    return range(max(1 - i, less - rest), min(i - 1, less + rest) + 1)
+
+
+def _own(edits: int) -> set[int]:
     """Which of ``_probes`` are the line's index."""
-    parts, out, n = edits + 1, [], 0
-    for less in range(edits + 1):
-        for i in range(1, parts + 1):
-            for move in range(max(1 - i, less - (parts - i)), min(i - 1, less + (parts - i)) + 1):
-                if less == 0 and move == 0:
-                    out.append(n)
-                n += 1
-    return out
+    places = [(less, move) for less in range(edits + 1) for i in range(1, edits + 2) for move in _moves(i, less, edits)]
+    return {n for n, place in enumerate(places) if place == (0, 0)}
 
 
 def _lines(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
     """(``doc``, ``line``, ``t``, ``size``, ``id``, ``check``) of each line that may be removed, without the blanks around it."""
     rows = docs.select(F.col(id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
-    rows = rows.select("doc", "line", F.trim(F.translate("t", "\t\r", "  ")).alias("t"))
+    rows = rows.select("doc", "line", F.trim(F.col("t"), F.lit(" \t\r")).alias("t"))
     rows = rows.withColumn("size", F.length("t")).where(F.col("size") >= min_chars)
     return rows.select("*", F.xxhash64("t").alias("id"), F.xxhash64(F.lit(1), "t").alias("check"))
 
 
+def _letter_counts(text: Column) -> Column:
+    """How often each of ``LETTERS`` stands in the text; an edit changes the counts by two in all at most."""
+    return F.struct(*[(F.length(text) - F.length(F.translate(text, c, ""))).cast("int").alias(f"l{k}") for k, c in enumerate(LETTERS)])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts are within ``edits`` edits, by Spark's banded distance."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
@@ -74,7 +79,7 @@ def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     are compared in full across components, so no link between different texts is lost.
     """
     names = [c for c in distinct.columns if c[0] == "k"]
-    own = set(_own(edits))
+    own = _own(edits)
     entries = distinct.select("id", "size", F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(int(c[1:]) not in own).alias("probe")) for c in names])).alias("e")).select("e.key", "e.probe", "id", "size").where("key is not null")
     order = W.partitionBy("key").orderBy("probe", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
     first = F.first(F.struct("probe", "id", "size")).over(order)
@@ -82,8 +87,11 @@ def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     starred = stored(starred, "line-keys")
     near = F.abs(F.col("size") - F.col("head_size")) <= edits
     pairs = stored(starred.where(near).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), "line-pairs")
-    wanted = starred.select("id").union(starred.select("head")).distinct()
-    texts = stored(lines.select("id", "t").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")), "line-texts")
+    wanted = stored(starred.select("id").union(starred.select("head")).distinct(), "line-wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = lines.select("id", "t").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    texts = stored(texts.select("id", "t", _letter_counts(F.col("t")).alias("letters")), "line-texts")
     links = stored(_verified(pairs, texts, edits), "line-links")
     roots = components(links)
     # What is left: keys that still hold more than one component; in them all that has the key in its index meets all that probes it.
@@ -91,9 +99,11 @@ def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     members = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
     rest = stored(members.join(mixed, "key", "left_semi"), "line-rest")
-    index = rest.where("not probe").select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-    probe = rest.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
-    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & (F.abs(F.col("sa") - F.col("sb")) <= edits))
+    rest = rest.join(texts.select("id", "letters"), "id")
+    index = rest.where("not probe").select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"), F.col("letters").alias("la"))
+    probe = rest.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), F.col("letters").alias("lb"))
+    apart = sum((F.abs(F.col(f"la.l{k}") - F.col(f"lb.l{k}")) for k in range(len(LETTERS))), F.lit(0))
+    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & (F.abs(F.col("sa") - F.col("sb")) <= edits) & (apart <= 2 * edits))
     more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return links.unionByName(_verified(more, texts, edits))
 
@@ -106,9 +116,12 @@ def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
     id and line number stays, every later one is removed. Lines under ``min_chars`` characters stay. Rows that
     share an id are one document; a null id comes first. Null and empty texts lose nothing.
     """
+    if min_edit_chars < (edits + 1) ** 2:
+        raise ValueError("lines must be longer than their segments can move")
     lines = _lines(docs, id, text, min_chars)
-    keys = [F.when(F.col("size") >= min_edit_chars, k).alias(f"k{n}") for n, k in enumerate(_probes(F.col("t"), F.col("size"), edits))]
-    keyed = lines.select("doc", "line", "id", "check", "size", *keys)
+    wide = lines.withColumn("t", F.when(F.col("size") >= min_edit_chars, F.encode("t", "UTF-32")))
+    keys = [F.when(F.col("size") >= min_edit_chars, k).alias(f"k{n}") for n, k in enumerate(_probes(edits))]
+    keyed = wide.select("doc", "line", "id", "check", "size", *keys)
     names = [f"k{n}" for n in range(len(keys))]
     distinct = keyed.groupBy("id", "check").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"), *[F.max(k).alias(k) for k in names])
     distinct = stored(distinct, "lines")

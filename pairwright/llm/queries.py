@@ -126,7 +126,7 @@ FROM m
 
 _OP7 = """
 WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
-c AS (SELECT doc_id, line, trim(translate(t, chr(9) || chr(13), '  '), ' ') AS t FROM l),
+c AS (SELECT doc_id, line, trim(t, ' ' || chr(9) || chr(13)) AS t FROM l),
 u AS (SELECT t, length(t) AS n FROM c WHERE length(t) >= 30 GROUP BY t),
 e AS (SELECT a.t AS x, b.t AS y FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.n >= 60 AND b.n >= 60 AND a.t <> b.t
       AND (left(a.t, a.n // 3 - 2) = left(b.t, a.n // 3 - 2) OR right(a.t, a.n // 3 - 2) = right(b.t, a.n // 3 - 2) OR contains(b.t, substr(a.t, a.n // 3 + 3, a.n // 3 - 4)))
