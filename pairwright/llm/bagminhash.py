@@ -131,6 +131,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return both.select("a", "b", "ta", "tb").mapInArrow(hold, "a bigint, b bigint")
 
 
+def _items(texts: DataFrame, width: int) -> DataFrame:
+    """(``id``, ``item``, ``n``): the shingles of each text and how often it has them."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for ids, values in columns(batches, "id", "text"):
+            for key, value in zip(ids, values, strict=True):
+                items, counts = bag(words_of(value), known, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), key, np.int64)), pa.array(items.view(np.int64)), pa.array(counts.astype(np.int64))], names=["id", "item", "n"])
+
+    return texts.select("id", "text").mapInArrow(spread, "id bigint, item bigint, n bigint").groupBy("id", "item").agg(F.max("n").alias("n"))
+
+
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(``id``, ``class_id``) for each row of ``docs``: the least id of the component of texts whose bags of word
     shingles overlap by at least ``similarity`` (weighted Jaccard), directly or over others.
@@ -153,7 +166,10 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
             texts.append(stored(source.join(wanted_ids(ids), "id", "left_semi"), "texts"))
         return _verified(pairs, texts[0], similarity, width).distinct()
 
-    links = colliding_links(entries, marks.select("id", "sketch"), BANDS * ROWS, similarity, verify)
+    def items(some: DataFrame, ids: DataFrame) -> DataFrame:
+        return _items(texts[0].join(wanted_ids(some), "id", "left_semi"), width)
+
+    links = colliding_links(entries, marks.select("id", "sketch"), BANDS * ROWS, similarity, verify, items)
     roots = components(links.unionByName(copies.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
     return source.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bagminhash import _items
 from .decontam import _merge
 from .store import colliding_links, components, stored, wanted_ids
 from .text import WordHashes, columns, list_column, mixed, shingles, sketch, words_of
@@ -54,7 +55,7 @@ def _signed(docs: DataFrame, id: str, text: str, min_words: int, bands: int) ->
             columns = list(zip(*places, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), list_column(keys), list_column(sketch(rows))],
+                [*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([len(np.unique(s)) for s in sets], pa.int64()), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), list_column(keys), list_column(sketch(rows))],
                 names=["doc", "line", "start", "stop", "size", "one", "two", "bands", "sketch"],
             )
 
@@ -124,7 +125,12 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
         return _jaccard(pairs, texts[0], similarity).distinct()
 
     sketches = alone.select(F.col("one").alias("id"), "sketch")
-    links = colliding_links(entries, sketches, tuned_bands(similarity) * ROWS, similarity, verify)
+
+    def items(some: DataFrame, ids: DataFrame) -> DataFrame:
+        found = texts[0].join(some.withColumnRenamed("id", "unit"), "unit", "left_semi")
+        return _items(found.select(F.col("unit").alias("id"), F.col("t").alias("text")), WIDTH).withColumn("n", F.lit(1).cast("bigint"))
+
+    links = colliding_links(entries, sketches, tuned_bands(similarity) * ROWS, similarity, verify, items)
     roots = components(links)
     classes = firsts.join(roots.withColumnRenamed("id", "unit"), "unit", "left").where("n > 1 or root is not null").withColumn("class", F.coalesce("root", "unit"))
     keep = classes.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("keep"))

@@ -1,74 +1,17 @@
-"""Cut points between Spark jobs, and connected components over links."""
+"""Links between ids that collide in keys, without making all pairs of a key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.graph import components
+from ..sources.checkpoints import shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, a temporary one for this session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.pairwright.localFolder", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pairwright-")
-        spark.conf.set("spark.pairwright.localFolder", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    The result has no lineage to recompute, so a lost executor costs at most the files' reread.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``links(a, b)`` (bigint): one row (``id``, ``root``) per id that has a link,
-    ``root`` being the smallest id of its component.
-
-    Alternating large-star and small-star rounds: each id points at the smallest id known in its
-    neighbourhood, so the depth halves and O(log n) rounds are enough. Every round aggregates on a key before
-    any row is emitted per neighbour, so no group is gathered. Self-links and nulls are ignored; an empty
-    table gives an empty one. Raises if ``max_rounds`` do not suffice, rather than return a partial result.
-    """
-    spark = links.sparkSession
-    edges = stored(
-        links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges"
-    )  # u > v always
-    if edges.isEmpty():
-        return spark.createDataFrame([], "id bigint, root bigint")
-
-    def signature(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = None
-    for _ in range(max_rounds):
-        # Large star: each larger neighbour of u is tied to the smallest id around u.
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: each smaller neighbour of u, and u, is tied to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stored(small.where("u <> v").distinct(), "edges")
-        now = signature(edges)
-        if now == before:
-            roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
+__all__ = ["colliding_links", "components", "most_different", "shared_folder", "stored", "wanted_ids"]
 
 #: Up to so many ids are sent to all tasks to fetch what belongs to them (16 MB); beyond, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -101,15 +44,27 @@ def _differing(a: Column, b: Column, words: int) -> Column:
     return total
 
 
-def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, similarity: float, verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def _shared(rows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """``rows`` with ``shared``, how much of an id's size others among them have too, less the ids of which that is too little for any pair.
+
+    What no other id has cannot be in an intersection, so this bounds the similarity of every pair exactly.
+    """
+    own = items.groupBy("item").agg(F.count("*").alias("d"), F.min("id").alias("id"), F.min("n").alias("n")).where("d = 1").groupBy("id").agg(F.sum("n").alias("own"))
+    out = rows.join(own, "id", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    return out.where(F.col("shared") >= F.lit(similarity) * F.col("size"))
+
+
+def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, similarity: float, verify: Callable[[DataFrame, DataFrame], DataFrame], items: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Links ``(a, b)`` that connect all pairs of ids that share a key in ``entries(key, id, size)`` and verify.
 
     A key shared by very many ids must not make all their pairs. So in each key every id first meets the least
     one, then in each further round its neighbour in an order by hash, which makes as many pairs as the key has
     ids; ids already in one component are not paired again. What is then still apart within a key is compared in
-    full across components, so no link between components is lost. Before a pair is verified, sizes must be within
-    ``similarity`` of each other, and the sketches must not differ in more registers than ``most_different`` says.
-    ``verify`` takes pairs ``(a, b)`` and all ids that share a key with another, and returns the pairs that hold.
+    full across components, so no link between components is lost; ids too much of which no other id has are left
+    out there, for they have no link. Before a pair is verified, sizes must be within ``similarity`` of each
+    other, and the sketches must not differ in more registers than ``most_different`` says. ``verify`` takes pairs
+    ``(a, b)`` and all ids that share a key with another, and returns the pairs that hold; ``items`` takes some ids
+    and all those, and returns ``(id, item, n)``: what an id's size counts.
     """
     words = -(-registers // 64)
     order = W.partitionBy("key").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -128,7 +83,10 @@ def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, sim
             other = F.lag(F.struct("id", "size", "root", "sketch")).over(order) if k else F.first(F.struct("id", "size", "root", "sketch")).over(order)
             pairs = now.withColumn("o", other).where("o is not null").select(*one("a"), *[F.col(f"o.{c}").alias(n) for c, n in (("id", "b"), ("size", "sb"), ("root", "rb"), ("sketch", "kb"))])
         else:
-            pairs = now.select("key", *one("a")).join(now.select("key", *one("b")), "key").where("a < b")
+            rest = stored(_shared(now, items(now.select("id").distinct(), ids), similarity), "shared")
+            whole = lambda x: rest.select("key", *one(x), F.col("shared").alias(f"i{x}"))
+            bound = F.least("ia", "ib") * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("sa") + F.col("sb"))
+            pairs = whole("a").join(whole("b"), "key").where("a < b").where(bound)
         more = stored(verify(stored(pair(pairs), "pairs"), ids), "links")
         links = more if links is None else links.unionByName(more)
         if k < ROUNDS:
