@@ -183,7 +183,9 @@ def scan(docs: DataFrame, model: LicenceModel, id: str = "doc_id", text: str = "
     own = [(f, k, g, 1.0 / len(set(sum(_grams(t), [])))) for f, ts in templates.items() for k, t in enumerate(ts) for g in set(sum(_grams(t), []))]
     parts = spark.createDataFrame(own, "family string, template int, gram string, part double")
     shares = grams.join(F.broadcast(parts), "gram").groupBy("id", "line", "family", "template").agg(F.sum("part").alias("c")).groupBy("id", "line", F.col("family").alias("best")).agg(F.round(F.max("c"), 6).alias("covered"))
-    found = sums.join(shares, ["id", "line", "best"], "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    shares = shares.select(F.col("id").alias("_id"), F.col("line").alias("_line"), F.col("best").alias("_best"), "covered")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line")) & (F.col("best") == F.col("_best"))
+    found = sums.join(shares, same, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     family = F.when(F.col("best") == NONE, F.lit(NONE)).when((F.col("probability") < model.least) | (F.col("covered") < coverage), F.lit(UNKNOWN)).otherwise(F.col("best"))
     return found.select("id", "line", family.alias("family"), "probability", "covered", "best")
 
