@@ -149,8 +149,8 @@ def sentences(text: Column) -> Column:
 
 
 def prose_sentences(text: Column, least: int = 21) -> Column:
-    """Split at a full stop, space and capital, but not after an abbreviation; at least ``least`` characters."""
-    parts = F.split(text, r"(?U)(?<=[a-z0-9)\]])(?<!\be\.g)(?<!\bi\.e)(?<!\bvs)(?<!\bNo)\.\s+(?=[A-Z])")
+    """Split at a full stop before a capital or bracket, but not after an initial or abbreviation; at least ``least`` characters."""
+    parts = F.split(squeezed(text), r"(?<!\b[A-Z])(?<!\bDr)(?<!\be\.g)(?<!\bi\.e)(?<!\bvs)\.\s+(?=[A-Z(])")
     return F.filter(F.transform(parts, strip), lambda s: F.length(s) >= least)
 
 
