@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import colliding_links, components, stored, wanted_ids
+from .store import FINE, colliding_links, components, stored, wanted_ids
 from .text import WordHashes, columns, list_column, mixed, shingles, sketch, words_of
 
 WIDTH = 5
@@ -144,6 +144,20 @@ def _items(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(spread, "id bigint, item bigint, n bigint").groupBy("id", "item").agg(F.max("n").alias("n"))
 
 
+def _fine_sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(``id``, ``sketch``) of ``FINE`` registers; of rows that share an id the first."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for ids, values in columns(batches, "id", "text"):
+            pairs = [(i, bag(w, known, width)) for i, v in zip(ids, values, strict=True) if (w := words_of(v))]
+            if pairs:
+                rows = signatures([b for _, b in pairs], FINE).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), list_column(sketch(rows))], names=["id", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(sign, "id bigint, sketch array<bigint>").groupBy("id").agg(F.first("sketch").alias("sketch"))
+
+
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(``id``, ``class_id``) for each row of ``docs``: the least id of the component of texts whose bags of word
     shingles overlap by at least ``similarity`` (weighted Jaccard), directly or over others.
@@ -169,7 +183,10 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     def items(some: DataFrame, ids: DataFrame) -> DataFrame:
         return _items(texts[0].join(wanted_ids(some), "id", "left_semi"), width)
 
-    links = colliding_links(entries, marks.select("id", "sketch"), BANDS * ROWS, similarity, verify, items)
+    def finer(some: DataFrame, ids: DataFrame) -> DataFrame:
+        return _fine_sketches(texts[0].join(wanted_ids(some), "id", "left_semi"), width)
+
+    links = colliding_links(entries, marks.select("id", "sketch"), BANDS * ROWS, similarity, verify, items, finer)
     roots = components(links.unionByName(copies.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
     return source.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
 

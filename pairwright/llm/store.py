@@ -11,12 +11,14 @@ from pyspark.sql.window import Window as W
 from ..operators.graph import components
 from ..sources.checkpoints import shared_folder, stored
 
-__all__ = ["colliding_links", "components", "most_different", "shared_folder", "stored", "wanted_ids"]
+__all__ = ["FINE", "colliding_links", "components", "most_different", "shared_folder", "stored", "wanted_ids"]
 
 #: Up to so many ids are sent to all tasks to fetch what belongs to them (16 MB); beyond, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: Bits kept of each register of a signature, one plane of words for each.
 PLANES = 4
+#: Registers of the sketches of the last comparison.
+FINE = 512
 #: Rounds in which each id meets one neighbour per key, before what is still apart is compared in full.
 ROUNDS = 3
 
@@ -54,7 +56,7 @@ def _shared(rows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     return out.where(F.col("shared") >= F.lit(similarity) * F.col("size"))
 
 
-def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, similarity: float, verify: Callable[[DataFrame, DataFrame], DataFrame], items: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, similarity: float, verify: Callable[[DataFrame, DataFrame], DataFrame], items: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect all pairs of ids that share a key in ``entries(key, id, size)`` and verify.
 
     A key shared by very many ids must not make all their pairs. So in each key every id first meets the least
@@ -64,18 +66,19 @@ def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, sim
     out there, for they have no link. Before a pair is verified, sizes must be within ``similarity`` of each
     other, and the sketches must not differ in more registers than ``most_different`` says. ``verify`` takes pairs
     ``(a, b)`` and all ids that share a key with another, and returns the pairs that hold; ``items`` takes some ids
-    and all those, and returns ``(id, item, n)``: what an id's size counts.
+    and all those, and returns ``(id, item, n)``: what an id's size counts. ``finer``, if given, takes the same and
+    returns ``(id, sketch)`` of ``FINE`` registers for the last comparison, which only few ids reach.
     """
-    words = -(-registers // 64)
     order = W.partitionBy("key").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     starred = entries.withColumn("head", F.first(F.struct("id", "size")).over(order)).where("id <> head.id")
     starred = stored(starred.select("key", F.col("head.id").alias("head"), F.col("head.size").alias("head_size"), "id", "size"), "collisions")
     members = starred.select("key", "id", "size").unionByName(starred.select("key", F.col("head").alias("id"), F.col("head_size").alias("size"))).distinct()
     ids = stored(members.select("id").distinct(), "colliding")
     members = stored(members.join(sketches.groupBy("id").agg(F.first("sketch").alias("sketch")), "id"), "members")
-    near = (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb")) & (_differing(F.col("ka"), F.col("kb"), words) <= most_different(registers, similarity))
+    alike = lambda m: (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb")) & (_differing(F.col("ka"), F.col("kb"), -(-m // 64)) <= most_different(m, similarity))
+    near = alike(registers)
     one = lambda x: [F.col("id").alias(x), F.col("size").alias(f"s{x}"), F.col("root").alias(f"r{x}"), F.col("sketch").alias(f"k{x}")]
-    pair = lambda df: df.where("ra <> rb").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pair = lambda df, near: df.where("ra <> rb").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links, now = None, members.withColumn("root", F.col("id"))
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
@@ -84,10 +87,14 @@ def colliding_links(entries: DataFrame, sketches: DataFrame, registers: int, sim
             pairs = now.withColumn("o", other).where("o is not null").select(*one("a"), *[F.col(f"o.{c}").alias(n) for c, n in (("id", "b"), ("size", "sb"), ("root", "rb"), ("sketch", "kb"))])
         else:
             rest = stored(_shared(now, items(now.select("id").distinct(), ids), similarity), "shared")
-            whole = lambda x: rest.select("key", *one(x), F.col("shared").alias(f"i{x}"))
+            if finer is not None:
+                near, rest = alike(FINE), rest.drop("sketch").join(finer(rest.select("id").distinct(), ids), "id")
+            rest = stored(rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), "shared")
+            whole = lambda x: rest.select("key", *one(x), F.col("shared").alias(f"i{x}"), F.col("keys").alias(f"keys{x}"))
             bound = F.least("ia", "ib") * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("sa") + F.col("sb"))
-            pairs = whole("a").join(whole("b"), "key").where("a < b").where(bound)
-        more = stored(verify(stored(pair(pairs), "pairs"), ids), "links")
+            once = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("key")  # a pair is made in one of its keys only
+            pairs = whole("a").join(whole("b"), "key").where((F.col("a") < F.col("b")) & bound & (F.col("ra") != F.col("rb")) & near & once)
+        more = stored(verify(stored(pair(pairs, near), "pairs"), ids), "links")
         links = more if links is None else links.unionByName(more)
         if k < ROUNDS:
             rooted = members.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))

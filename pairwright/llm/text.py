@@ -20,7 +20,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """A word's 64-bit hash, computed once; emptied at ``most`` entries so that a task's memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -55,10 +55,31 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return out
 
 
-def columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
-    """The named columns of each Arrow batch as Python lists."""
+def columns(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 512) -> Iterator[list[list]]:
+    """The named columns as Python lists, of some rows at a time, so that a batch is never held twice."""
     for batch in batches:
-        yield [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
+        for begin in range(0, batch.num_rows, rows):
+            part = batch.slice(begin, rows)
+            yield [part.column(part.schema.get_field_index(name)).to_pylist() for name in names]
+
+
+def runs_of_shingles(hashes: np.ndarray, starts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many texts at once, given as runs of word hashes from their starts on, each of ``width`` words at least; and where each text's begin."""
+    grams = shingles(hashes, width)
+    inside = np.ones(len(grams), bool)
+    for k in range(1, width):
+        inside[starts[1:] - k] = False
+    sizes = np.diff(np.append(starts, len(hashes))) - width + 1
+    return grams[inside], np.cumsum(sizes) - sizes
+
+
+def distinct_sizes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many different values each run has."""
+    owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(values))))
+    key = mixed(values ^ mixed(owner + _ODD))
+    order = np.argsort(key)
+    first = np.append(True, key[order][1:] != key[order][:-1])
+    return np.bincount(owner[order][first].astype(np.int64), minlength=len(starts))
 
 
 def sketch(registers: np.ndarray, planes: int = 4) -> np.ndarray:
