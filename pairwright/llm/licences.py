@@ -154,10 +154,15 @@ def _words(text: Column) -> Column:
 
 
 def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> list[str]:
-    """At most ``most`` paragraphs of ``docs``, those of least hash, without any that hold a template's words for a licence."""
-    lines = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).where(~F.lower("t").rlike(r"licen[sc]|copyright|rights reserved|permission"))
-    rows = lines.where(F.length("t") > 0).select(F.xxhash64(F.lit(3), "id", "line").alias("h"), "t").orderBy("h", "t").limit(most).collect()
-    return [r["t"] for r in rows]
+    """At most ``most`` paragraphs, one of each of as many documents chosen by hash, without any that hold a licence's words.
+
+    The share of documents follows from their number, so each task sends its part of the sample only, however many tasks there are.
+    """
+    share = min(1.0, most / max(1, docs.count()))
+    chosen = docs.select(F.xxhash64(F.lit(3), F.col(id)).alias("h"), F.col(text).alias("t")).where(F.pmod("h", F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    lines = F.filter(F.split("t", "\n"), lambda x: (F.length(x) > 0) & ~F.lower(x).rlike(r"licen[sc]|copyright|rights reserved|permission"))
+    rows = chosen.select("h", lines.alias("l")).where(F.size("l") > 0).select("h", F.get("l", F.pmod("h", F.size("l")).cast("int")).alias("t"))
+    return [r["t"] for r in rows.orderBy("h", "t").limit(most).collect()]
 
 
 def scan(docs: DataFrame, model: LicenceModel, id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, coverage: float = 0.6) -> DataFrame:
