@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .bagminhash import _items
 from .decontam import _merge
-from .store import colliding_links, components, stored, wanted_ids
-from .text import WordHashes, columns, list_column, mixed, shingles, sketch, words_of
+from .store import FINE, colliding_links, components, stored, wanted_ids
+from .text import WordHashes, columns, distinct_sizes, list_column, mixed, runs_of_shingles, shingles, sketch, words_of
 
 WIDTH, SIMILARITY, ROWS = 5, 0.8, 4
 #: Paragraphs (lines) of fewer words are left alone.
@@ -43,23 +43,24 @@ def _signed(docs: DataFrame, id: str, text: str, min_words: int, bands: int) ->
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
 
-        def finish(places: list[tuple], sets: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
-            rows = minhash(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]), salts)
-            least = rows.reshape(len(sets), bands, ROWS)
-            keys = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
+        def finish(places: list[tuple], words: list[np.ndarray]) -> pa.RecordBatch:
+            flat, sizes = np.concatenate(words), np.array([len(w) for w in words])
+            starts = np.cumsum(sizes) - sizes
+            grams, begins = runs_of_shingles(flat, starts, WIDTH)
+            rows = minhash(grams, begins, salts)
+            least = rows.reshape(len(words), bands, ROWS)
+            keys = np.tile(np.arange(bands, dtype=np.uint64), (len(words), 1))
             for k in range(ROWS):
                 keys = mixed(keys * _ODD + least[:, :, k])
-            flat, starts = np.concatenate(words), np.cumsum([0, *map(len, words[:-1])])
-            order = np.arange(len(flat), dtype=np.uint64) - np.repeat(starts, list(map(len, words))).astype(np.uint64)
+            order = np.arange(len(flat), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
             ones, twos = (np.add.reduceat(mixed(mixed(flat ^ c) + order * _ODD), starts) for c in (np.uint64(0), _ODD))
-            columns = list(zip(*places, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([len(np.unique(s)) for s in sets], pa.int64()), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), list_column(keys), list_column(sketch(rows))],
+                [*(pa.array(c, t) for c, t in zip(zip(*places, strict=True), kinds, strict=True)), pa.array(distinct_sizes(grams, begins)), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), list_column(keys), list_column(sketch(rows))],
                 names=["doc", "line", "start", "stop", "size", "one", "two", "bands", "sketch"],
             )
 
-        places, sets, words, held = [], [], [], 0
+        places, words, held = [], [], 0
         for some, texts in columns(batches, "id", "text"):
             for key, value in zip(some, texts, strict=True):
                 at = 0
@@ -70,14 +71,15 @@ def _signed(docs: DataFrame, id: str, text: str, min_words: int, bands: int) ->
                         continue
                     places.append((key, n, at - len(w), at))
                     words.append(known.of(w))
-                    sets.append(shingles(words[-1], WIDTH))
                     held += len(w)
-                    if held >= 200_000:
-                        yield finish(places, sets, words)
-                        places, sets, words, held = [], [], [], 0
+                    if held >= 100_000:
+                        yield finish(places, words)
+                        places, words, held = [], [], 0
         if places:
-            yield finish(places, sets, words)
+            yield finish(places, words)
 
+    if min_words < WIDTH:
+        raise ValueError("paragraphs must hold a shingle")
     return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(sign, _UNITS)
 
 
@@ -107,6 +109,21 @@ def _jaccard(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "ta", "tb").mapInArrow(hold, "a bigint, b bigint")
 
 
+def _fine_sketches(lines: DataFrame) -> DataFrame:
+    """(``id``, ``sketch``) of ``FINE`` registers for ``lines(unit, t)``."""
+    salts = mixed(np.arange(1, FINE + 1, dtype=np.uint64) * _ODD)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for units, texts in columns(batches, "unit", "t"):
+            grams = [shingles(known.of(words_of(t)), WIDTH) for t in texts]
+            sizes = np.array([len(g) for g in grams])
+            rows = minhash(np.concatenate(grams), np.cumsum(sizes) - sizes, salts)
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), list_column(sketch(rows))], names=["id", "sketch"])
+
+    return lines.select("unit", "t").mapInArrow(sign, "id bigint, sketch array<bigint>")
+
+
 def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(``doc``, ``start``, ``stop``, ``class``) of every paragraph that is a later member of its class: equal
     paragraphs, and those linked by exact Jaccard of word shingles, as components. The first by document and line stays."""
@@ -130,7 +147,10 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
         found = texts[0].join(some.withColumnRenamed("id", "unit"), "unit", "left_semi")
         return _items(found.select(F.col("unit").alias("id"), F.col("t").alias("text")), WIDTH).withColumn("n", F.lit(1).cast("bigint"))
 
-    links = colliding_links(entries, sketches, tuned_bands(similarity) * ROWS, similarity, verify, items)
+    def finer(some: DataFrame, ids: DataFrame) -> DataFrame:
+        return _fine_sketches(texts[0].join(some.withColumnRenamed("id", "unit"), "unit", "left_semi"))
+
+    links = colliding_links(entries, sketches, tuned_bands(similarity) * ROWS, similarity, verify, items, finer)
     roots = components(links)
     classes = firsts.join(roots.withColumnRenamed("id", "unit"), "unit", "left").where("n > 1 or root is not null").withColumn("class", F.coalesce("root", "unit"))
     keep = classes.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("keep"))
@@ -138,26 +158,32 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return marks.select("doc", "line", "start", "stop", "one", "two").join(ruled, ["one", "two"]).where(F.struct("doc", "line") != F.col("keep")).select("doc", "start", "stop", "class")
 
 
-def anchors_of(hashes: np.ndarray, gram: int = GRAM, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows of ``gram`` words that are least among some ``reach`` in a row (the last of equal ones)."""
-    if len(hashes) < gram:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = shingles(hashes, gram)
+class RunHashes:
+    """Hashes of any runs of a sequence of word hashes, by order and content but not by place: a polynomial in an odd base, from prefix sums, divided by the base's power at the start. The powers are kept from text to text."""
+
+    base, back = int(_ODD), pow(int(_ODD), -1, 1 << 64)
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        n = len(hashes) + 1
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(2 * n, b, np.uint64))) for b in (self.base, self.back))
+        return np.append(np.uint64(0), np.cumsum(mixed(hashes) * self.up[: n - 1]))
+
+    def runs(self, sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mixed((sums[stops] - sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))
+
+
+def anchors_of(grams: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Positions of the windows, given by their hashes, that are least among some ``reach`` in a row (the last of equal ones)."""
     found, span = [], 100_000
     for begin in range(0, max(1, len(grams) - reach + 1), span):
         part = grams[begin : begin + span + reach - 1]
         view = np.lib.stride_tricks.sliding_window_view(part, min(reach, len(part)))[:, ::-1]
         found.append(begin + np.arange(len(view)) + view.shape[1] - 1 - view.argmin(axis=1))
-    at = np.unique(np.concatenate(found))
-    return at, grams[at]
-
-
-def run_hashes(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A hash of each run of ``hashes`` that depends on order and content, but not on place: a polynomial in an odd base, divided by the base's power at the start."""
-    base, back = int(_ODD), pow(int(_ODD), -1, 1 << 64)
-    power = lambda b: np.cumprod(np.append(np.uint64(1), np.full(len(hashes), b, np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(mixed(hashes) * power(base)[:-1]))
-    return mixed((sums[stops] - sums[starts]) * power(back)[starts] + (stops - starts).astype(np.uint64))
+    return np.unique(np.concatenate(found))
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, reach: int = REACH) -> DataFrame:
@@ -169,18 +195,21 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", g
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, hasher = WordHashes(), RunHashes()
         for some, texts in columns(batches, "id", "text"):
             rows: list[tuple[np.ndarray, ...]] = []
             for key, value in zip(some, texts, strict=True):
                 if key is None:
                     continue
                 hashes = known.of(words_of(value))
-                at, grams = anchors_of(hashes, gram, reach)
-                if not len(at):
+                if len(hashes) < gram:
                     continue
+                sums = hasher.sums(hashes)
+                places = np.arange(len(hashes) - gram + 1)
+                every = hasher.runs(sums, places, places + gram)
+                at = anchors_of(every, reach)
                 step = np.diff(np.append(at, at[-1]))
-                block = run_hashes(hashes, at, at + step)
+                grams, block = every[at], hasher.runs(sums, at, at + step)
                 rows.append((np.full(len(at), key, np.int64), at.astype(np.int32), grams.view(np.int64), step.astype(np.int32), block.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["doc", "pos", "gram", "step", "block"])

@@ -38,12 +38,16 @@ def test_repeats(docs, rows):
 def test_anchors_do_not_depend_on_place():
     rng = np.random.default_rng(1)
     a, passage, b = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (333, 50, 270))
-    at, grams = paragraphs.anchors_of(np.concatenate([a, passage, b]))
-    alone, same = paragraphs.anchors_of(passage)
-    assert len(alone) >= 1 and set(same) & set(grams)
-    h = paragraphs.run_hashes(np.concatenate([a, passage]), np.array([333]), np.array([383]))
-    assert h[0] == paragraphs.run_hashes(passage, np.array([0]), np.array([50]))[0]
-    assert h[0] != paragraphs.run_hashes(passage[::-1].copy(), np.array([0]), np.array([50]))[0]
+    hasher = paragraphs.RunHashes()
+
+    def anchors(words):
+        at = np.arange(len(words) - paragraphs.GRAM + 1)
+        every = hasher.runs(hasher.sums(words), at, at + paragraphs.GRAM)
+        return set(every[paragraphs.anchors_of(every)].tolist())
+
+    assert anchors(passage) and anchors(passage) & anchors(np.concatenate([a, passage, b]))
+    run = lambda words, i, j: hasher.runs(hasher.sums(words), np.array([i]), np.array([j]))[0]
+    assert run(np.concatenate([a, passage]), 333, 383) == run(passage, 0, 50) != run(passage[::-1].copy(), 0, 50)
     assert paragraphs.tuned_bands() == 12
 
 
