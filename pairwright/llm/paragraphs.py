@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bagminhash import _items
 from .decontam import _merge
-from .store import FINE, colliding_links, components, stored, wanted_ids
+from .store import FINE, colliding_links, components, stored, wanted_ids, with_hot_keys
 from .text import WordHashes, columns, distinct_sizes, list_column, mixed, runs_of_shingles, shingles, sketch, words_of
 
 WIDTH, SIMILARITY, ROWS = 5, 0.8, 4
@@ -22,8 +22,8 @@ MIN_WORDS = 20
 GRAM, REACH = 20, 31
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_UNITS = "doc bigint, line int, start int, stop int, size bigint, one bigint, two bigint, bands array<bigint>, sketch array<bigint>"
-_ANCHORS = "doc bigint, pos int, gram bigint, step int, block bigint"
+_UNITS = ("doc bigint", "line int", "start int", "stop int", "size bigint", "one bigint", "two bigint", "bands array<bigint>", "sketch array<bigint>")
+_ANCHORS = ("doc bigint", "pos int", "gram bigint", "step int", "block bigint")
 
 
 def tuned_bands(similarity: float = SIMILARITY, rows: int = ROWS, recall: float = 0.998) -> int:
@@ -32,55 +32,108 @@ def tuned_bands(similarity: float = SIMILARITY, rows: int = ROWS, recall: float
 
 
 def minhash(values: np.ndarray, starts: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """For each set, a run of ``values`` from its start on, the least salted hash by salt."""
-    return np.stack([np.minimum.reduceat(mixed(values ^ s), starts) for s in salts], axis=1)
+    """For each set, a run of well mixed ``values`` from its start on, the least salted hash by salt."""
+    out, salted = np.empty((len(salts), len(starts)), np.uint64), np.empty_like(values)
+    for k, s in enumerate(salts):
+        np.multiply(np.bitwise_xor(values, s, out=salted), s | np.uint64(1), out=salted)
+        np.minimum.reduceat(salted, starts, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
-def _signed(docs: DataFrame, id: str, text: str, min_words: int, bands: int) -> DataFrame:
-    """A row per paragraph of at least ``min_words`` words: place, words, a 128-bit hash of its words, and its bands."""
-    salts = mixed(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * _ODD)
+class RunHashes:
+    """Hashes of any runs of a sequence of word hashes, by order and content but not by place: a polynomial in an odd base, from prefix sums, divided by the base's power at the start. The powers are kept from text to text."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+    base, back = int(_ODD), pow(int(_ODD), -1, 1 << 64)
 
-        def finish(places: list[tuple], words: list[np.ndarray]) -> pa.RecordBatch:
-            flat, sizes = np.concatenate(words), np.array([len(w) for w in words])
-            starts = np.cumsum(sizes) - sizes
-            grams, begins = runs_of_shingles(flat, starts, WIDTH)
-            rows = minhash(grams, begins, salts)
-            least = rows.reshape(len(words), bands, ROWS)
-            keys = np.tile(np.arange(bands, dtype=np.uint64), (len(words), 1))
-            for k in range(ROWS):
-                keys = mixed(keys * _ODD + least[:, :, k])
-            order = np.arange(len(flat), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
-            ones, twos = (np.add.reduceat(mixed(mixed(flat ^ c) + order * _ODD), starts) for c in (np.uint64(0), _ODD))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(zip(*places, strict=True), kinds, strict=True)), pa.array(distinct_sizes(grams, begins)), pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64)), list_column(keys), list_column(sketch(rows))],
-                names=["doc", "line", "start", "stop", "size", "one", "two", "bands", "sketch"],
-            )
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        n = len(hashes) + 1
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(2 * n, b, np.uint64))) for b in (self.base, self.back))
+        return np.append(np.uint64(0), np.cumsum(mixed(hashes) * self.up[: n - 1]))
+
+    def runs(self, sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mixed((sums[stops] - sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))
+
+
+def anchors_of(grams: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Positions of the windows, given by their hashes, that are least among some ``reach`` in a row (the last of equal ones)."""
+    at, least, width, reach = np.arange(len(grams)), grams, 1, min(reach, len(grams))
+    while width < reach:  # from the least of each ``width`` in a row to that of up to twice as many
+        step = min(width, reach - width)
+        at = np.where(least[step:] <= least[:-step], at[step:], at[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        width += step
+    return at[np.append(True, at[1:] != at[:-1])]
+
+
+def _anchored(key: int, hashes: np.ndarray, hasher: RunHashes, gram: int, reach: int) -> tuple[np.ndarray, ...]:
+    """A document's anchors: its id, where they stand, their windows' hashes, how far the next one is, and a hash of the words up to it."""
+    sums, places = hasher.sums(hashes), np.arange(len(hashes) - gram + 1)
+    every = hasher.runs(sums, places, places + gram)
+    at = anchors_of(every, reach)
+    step = np.diff(np.append(at, at[-1]))
+    return np.full(len(at), key, np.int64), at.astype(np.int32), every[at].view(np.int64), step.astype(np.int32), hasher.runs(sums, at, at + step).view(np.int64)
+
+
+def _marked(docs: DataFrame, id: str, text: str, min_words: int, bands: int, gram: int, reach: int) -> DataFrame:
+    """From one reading of all texts: a row per paragraph of at least ``min_words`` words (place, words, a 128-bit
+    hash of its words, and its bands), and a row per anchor of a document. The other's columns are null."""
+    if min_words < WIDTH:
+        raise ValueError("paragraphs must hold a shingle")
+    salts = mixed(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * _ODD)
+    fields = dict(f.split(" ") for f in (*_UNITS, *_ANCHORS))
+    types = {"int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
+
+    def rows(values: dict) -> pa.RecordBatch:
+        n = len(values["doc"])
+        return pa.RecordBatch.from_arrays([pa.array(values[f], types[t]) if f in values else pa.nulls(n, types[t]) for f, t in fields.items()], names=list(fields))
+
+    def paragraphs(places: list[tuple], words: list[np.ndarray]) -> pa.RecordBatch:
+        flat, sizes = np.concatenate(words), np.array([len(w) for w in words])
+        starts = np.cumsum(sizes) - sizes
+        grams, begins = runs_of_shingles(flat, starts, WIDTH)
+        registers = minhash(grams, begins, salts)
+        least = registers.reshape(len(words), bands, ROWS)
+        keys = np.tile(np.arange(bands, dtype=np.uint64), (len(words), 1))
+        for k in range(ROWS):
+            keys = mixed(keys * _ODD + least[:, :, k])
+        order = np.arange(len(flat), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
+        ones, twos = (np.add.reduceat(mixed(mixed(flat ^ c) + order * _ODD), starts).view(np.int64) for c in (np.uint64(0), _ODD))
+        doc, line, start, stop = zip(*places, strict=True)
+        return rows({"doc": doc, "line": line, "start": start, "stop": stop, "size": distinct_sizes(grams, begins), "one": ones, "two": twos, "bands": list_column(keys), "sketch": list_column(sketch(registers))})
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hasher = WordHashes(), RunHashes()
         places, words, held = [], [], 0
         for some, texts in columns(batches, "id", "text"):
+            anchors: list[tuple[np.ndarray, ...]] = []
             for key, value in zip(some, texts, strict=True):
-                at = 0
-                for n, line in enumerate((value or "").split("\n")):
-                    w = words_of(line)
+                if key is None or not value:
+                    continue
+                at, lines = 0, []
+                for n, line in enumerate(value.split("\n")):
+                    w = known.of(words_of(line))
+                    lines.append(w)
                     at += len(w)
-                    if key is None or len(w) < min_words:
-                        continue
-                    places.append((key, n, at - len(w), at))
-                    words.append(known.of(w))
-                    held += len(w)
-                    if held >= 100_000:
-                        yield finish(places, words)
-                        places, words, held = [], [], 0
+                    if len(w) >= min_words:
+                        places.append((key, n, at - len(w), at))
+                        words.append(w)
+                        held += len(w)
+                        if held >= 100_000:
+                            yield paragraphs(places, words)
+                            places, words, held = [], [], 0
+                if at >= gram:
+                    anchors.append(_anchored(key, np.concatenate(lines), hasher, gram, reach))
+            if anchors:
+                yield rows(dict(zip(("doc", "pos", "gram", "step", "block"), map(np.concatenate, zip(*anchors, strict=True)), strict=True)))
         if places:
-            yield finish(places, words)
+            yield paragraphs(places, words)
 
-    if min_words < WIDTH:
-        raise ValueError("paragraphs must hold a shingle")
-    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(sign, _UNITS)
+    source = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return stored(source.mapInArrow(mark, ", ".join(f"{f} {t}" for f, t in fields.items())), "paragraphs")
 
 
 def _texts(docs: DataFrame, units: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,11 +177,11 @@ def _fine_sketches(lines: DataFrame) -> DataFrame:
     return lines.select("unit", "t").mapInArrow(sign, "id bigint, sketch array<bigint>")
 
 
-def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _paragraphs(docs: DataFrame, marks: DataFrame, id: str, text: str, similarity: float) -> DataFrame:
     """(``doc``, ``start``, ``stop``, ``class``) of every paragraph that is a later member of its class: equal
     paragraphs, and those linked by exact Jaccard of word shingles, as components. The first by document and line stays."""
     source = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    marks = stored(_signed(docs, id, text, min_words, tuned_bands(similarity)), "paragraphs")
+    marks = marks.where("one is not null")
     # The unit's id is a hash of its words; the first occurrence of each stands for all equal ones.
     firsts = marks.groupBy("one", "two").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     firsts = stored(firsts.select("one", "two", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), F.col("one").alias("unit")), "paragraph-firsts")
@@ -153,83 +206,34 @@ def repeated_paragraphs(docs: DataFrame, id: str = "doc_id", text: str = "text",
     links = colliding_links(entries, sketches, tuned_bands(similarity) * ROWS, similarity, verify, items, finer)
     roots = components(links)
     classes = firsts.join(roots.withColumnRenamed("id", "unit"), "unit", "left").where("n > 1 or root is not null").withColumn("class", F.coalesce("root", "unit"))
-    keep = classes.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("keep"))
-    ruled = stored(classes.select("one", "two", "class").join(keep, "class"), "paragraph-classes")
-    return marks.select("doc", "line", "start", "stop", "one", "two").join(ruled, ["one", "two"]).where(F.struct("doc", "line") != F.col("keep")).select("doc", "start", "stop", "class")
+    keep = stored(classes.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("keep"), F.count("*").alias("members")), "paragraph-keeps")
+    ruled = stored(with_hot_keys(classes.select("one", "two", "class", "n"), keep, ["class"], "members").drop("members"), "paragraph-classes")
+    return with_hot_keys(marks.select("doc", "line", "start", "stop", "one", "two"), ruled, ["one", "two"], "n").where(F.struct("doc", "line") != F.col("keep")).select("doc", "start", "stop", "class")
 
 
-class RunHashes:
-    """Hashes of any runs of a sequence of word hashes, by order and content but not by place: a polynomial in an odd base, from prefix sums, divided by the base's power at the start. The powers are kept from text to text."""
-
-    base, back = int(_ODD), pow(int(_ODD), -1, 1 << 64)
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def sums(self, hashes: np.ndarray) -> np.ndarray:
-        n = len(hashes) + 1
-        if len(self.up) < n:
-            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(2 * n, b, np.uint64))) for b in (self.base, self.back))
-        return np.append(np.uint64(0), np.cumsum(mixed(hashes) * self.up[: n - 1]))
-
-    def runs(self, sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        return mixed((sums[stops] - sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))
-
-
-def anchors_of(grams: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Positions of the windows, given by their hashes, that are least among some ``reach`` in a row (the last of equal ones)."""
-    found, span = [], 100_000
-    for begin in range(0, max(1, len(grams) - reach + 1), span):
-        part = grams[begin : begin + span + reach - 1]
-        view = np.lib.stride_tricks.sliding_window_view(part, min(reach, len(part)))[:, ::-1]
-        found.append(begin + np.arange(len(view)) + view.shape[1] - 1 - view.argmin(axis=1))
-    return np.unique(np.concatenate(found))
-
-
-def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, reach: int = REACH) -> DataFrame:
+def _passages(marks: DataFrame, gram: int) -> DataFrame:
     """(``doc``, ``start``, ``stop``) of word spans that occur before, in a document of lesser id or earlier in the same.
 
     Anchors are chosen by content, so a passage has the same ones wherever it stands. Those that occur again are
     joined with their first occurrence only, so a passage in very many documents makes as many rows as it has
     occurrences. A span reaches from one anchor to the next where the words between are the same as there.
     """
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hasher = WordHashes(), RunHashes()
-        for some, texts in columns(batches, "id", "text"):
-            rows: list[tuple[np.ndarray, ...]] = []
-            for key, value in zip(some, texts, strict=True):
-                if key is None:
-                    continue
-                hashes = known.of(words_of(value))
-                if len(hashes) < gram:
-                    continue
-                sums = hasher.sums(hashes)
-                places = np.arange(len(hashes) - gram + 1)
-                every = hasher.runs(sums, places, places + gram)
-                at = anchors_of(every, reach)
-                step = np.diff(np.append(at, at[-1]))
-                grams, block = every[at], hasher.runs(sums, at, at + step)
-                rows.append((np.full(len(at), key, np.int64), at.astype(np.int32), grams.view(np.int64), step.astype(np.int32), block.view(np.int64)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["doc", "pos", "gram", "step", "block"])
-
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    anchors = stored(rows.mapInArrow(mark, _ANCHORS), "anchors")
-    firsts = anchors.groupBy("gram").agg(F.min(F.struct("doc", "pos", "step", "block")).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
-    again = anchors.join(firsts, "gram").where((F.col("doc") != F.col("f.doc")) | (F.col("pos") != F.col("f.pos")))
+    anchors = marks.where("gram is not null").select(*[f.split(" ")[0] for f in _ANCHORS])
+    firsts = anchors.groupBy("gram").agg(F.min(F.struct("doc", "pos", "step", "block")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    again = with_hot_keys(anchors, stored(firsts, "anchor-firsts"), ["gram"], "n").where((F.col("doc") != F.col("f.doc")) | (F.col("pos") != F.col("f.pos")))
     same = (F.col("step") == F.col("f.step")) & (F.col("block") == F.col("f.block"))
     return again.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.when(same, F.greatest(F.lit(gram), F.col("step"))).otherwise(F.lit(gram))).alias("stop"))
 
 
-def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """Per row of ``docs``: ``id`` and ``spans``, the merged word spans (words: lower-case runs of letters and
     digits) that repeat what stands in an earlier place, as paragraphs or as passages inside them.
 
     Null, wordless and short texts have no span. Rows that share an id are one document, of which equal rows
     count once; rows with a null id have no span. An empty table gives an empty one.
     """
-    spans = repeated_paragraphs(docs, id, text, min_words, similarity).select("doc", "start", "stop").unionByName(repeated_passages(docs, id, text))
+    marks = _marked(docs, id, text, min_words, tuned_bands(similarity), gram, reach)
+    spans = _paragraphs(docs, marks, id, text, similarity).select("doc", "start", "stop").unionByName(_passages(marks, gram))
     merged = spans.groupBy("doc").agg(_merge(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     rows = docs.select(F.col(id).alias("id")).join(merged, F.col("id").cast("bigint") == F.col("doc"), "left")
     return rows.select("id", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"))

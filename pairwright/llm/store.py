@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from ..operators.graph import components
 from ..sources.checkpoints import shared_folder, stored
 
-__all__ = ["FINE", "colliding_links", "components", "most_different", "shared_folder", "stored", "wanted_ids"]
+__all__ = ["FINE", "colliding_links", "components", "most_different", "shared_folder", "stored", "wanted_ids", "with_hot_keys"]
 
 #: Up to so many ids are sent to all tasks to fetch what belongs to them (16 MB); beyond, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -23,6 +23,22 @@ FINE = 512
 ROUNDS = 3
 
 
+#: A key with more than this part of all rows is joined by broadcast, so there are fewer than HOT_KEYS such keys.
+HOT_KEYS = 10_000
+
+
+def with_hot_keys(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined by ``keys`` with ``table``, which has each key once and in ``n`` how many rows have it.
+
+    Keys with more than 1 / ``HOT_KEYS`` of the rows counted there are sent to all tasks; there can be no more than
+    ``HOT_KEYS``, however many rows there are. Only the others are shuffled, so no task gets a hot key's rows.
+    """
+    least = (table.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
+    hot = F.broadcast(table.where(F.col(n) > F.lit(least)))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) <= F.lit(least)), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def wanted_ids(ids: DataFrame, name: str = "wanted") -> DataFrame:
     """``ids`` written down, and marked for broadcast if counted to be few enough."""
     ids = stored(ids.distinct(), name)
