@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .quality import let
 from .store import components, stored
 
 #: Lines of fewer characters are never removed.
@@ -64,10 +65,53 @@ def _letter_counts(text: Column) -> Column:
     return F.struct(*[(F.length(text) - F.length(F.translate(text, c, ""))).cast("int").alias(f"l{k}") for k, c in enumerate(LETTERS)])
 
 
+def within_edits(a: Column, b: Column, edits: int) -> Column:
+    """Whether two texts of lengths within ``edits`` of each other are within ``edits`` edits, by a banded bit-parallel distance.
+
+    A column of the edit matrix is held as bits, for the ``2 * edits + 1`` rows about its diagonal: where a row is one
+    more than the row above (``up``) or one less (``down``). The band moves a row down with each character of ``b``, and
+    ``last`` is the distance at its lowest row; the differences below the last character of ``a`` are taken off in the
+    end. The characters of the band that equal ``b``'s are found in UTF-32, where a substring needs no walk.
+    """
+    band, whole = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
+    long, wide = F.encode(a, "UTF-32"), F.encode(b, "UTF-32")
+    padded = F.concat(F.lit(b"\xff" * 4 * edits), long)  # no character is all ones
+
+    def equal(j: Column, char: Column) -> Column:
+        same = [F.when(F.substr(padded, 4 * (j + i) - 3, F.lit(4)) == char, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(band)]
+        return sum(same[1:], same[0])
+
+    def step(s: Column, eq: Column) -> Column:
+        def moved(level: Column) -> Column:
+            more = s["down"].bitwiseOR(F.bitwise_not(level.bitwiseOR(s["up"])))
+            less, below = level.bitwiseAND(s["up"]), F.shiftright(level, 1)
+            up = less.bitwiseOR(F.bitwise_not(below.bitwiseOR(more))).bitwiseAND(F.lit(whole))
+            down = below.bitwiseAND(more).bitwiseAND(F.lit(whole))
+            return F.struct(up.alias("up"), down.alias("down"), (s["last"] + 1 - F.shiftright(level, band - 1)).alias("last"))
+
+        carried = (eq.bitwiseAND(s["up"]) + s["up"]).bitwiseXOR(s["up"])
+        return let(carried.bitwiseOR(eq).bitwiseOR(s["down"]).bitwiseAND(F.lit(whole)), moved)
+
+    columns = F.transform(F.sequence(F.lit(1), F.length(b)), lambda j: equal(j, F.substr(wide, 4 * j - 3, F.lit(4))))
+    start = F.struct(F.lit(whole >> edits << edits).alias("up"), F.lit(0).alias("down"), F.lit(edits).alias("last"))
+
+    def distance(s: Column) -> Column:
+        beyond = F.lit(whole >> 1) - (F.pow(F.lit(2.0), F.length(a) - F.length(b) + edits).cast("int") - 1)
+        return s["last"] - F.bit_count(s["up"].bitwiseAND(beyond)) + F.bit_count(s["down"].bitwiseAND(beyond))
+
+    return (F.abs(F.length(a) - F.length(b)) <= edits) & (F.aggregate(columns, start, step, distance) <= edits)
+
+
+def _letters_apart(a: str, b: str) -> Column:
+    """In how many counts of letters two lines differ: at most twice their edits."""
+    return sum((F.abs(F.col(f"{a}.l{k}") - F.col(f"{b}.l{k}")) for k in range(len(LETTERS))), F.lit(0))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts are within ``edits`` edits, by Spark's banded distance."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return both.where(F.levenshtein("ta", "tb", edits) >= 0).select("a", "b")
+    """Those of ``pairs(a, b)`` whose texts are within ``edits`` edits; pairs that the counts of letters rule out are not compared."""
+    one = lambda x: texts.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"), F.col("letters").alias(f"l{x}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").where(_letters_apart("la", "lb") <= 2 * edits)
+    return both.where(within_edits(F.col("ta"), F.col("tb"), edits)).select("a", "b")
 
 
 def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
@@ -102,8 +146,7 @@ def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     rest = rest.join(texts.select("id", "letters"), "id")
     index = rest.where("not probe").select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"), F.col("letters").alias("la"))
     probe = rest.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), F.col("letters").alias("lb"))
-    apart = sum((F.abs(F.col(f"la.l{k}") - F.col(f"lb.l{k}")) for k in range(len(LETTERS))), F.lit(0))
-    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & (F.abs(F.col("sa") - F.col("sb")) <= edits) & (apart <= 2 * edits))
+    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & (F.abs(F.col("sa") - F.col("sb")) <= edits) & (_letters_apart("la", "lb") <= 2 * edits))
     more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return links.unionByName(_verified(more, texts, edits))
 
