@@ -73,24 +73,6 @@ def test_many_alike_in_one_key(docs, text):
     assert got == brute(rows)
 
 
-def test_bit_parallel_distance(docs):
-    rng = random.Random(8)
-    pairs = []
-    for n in (9, 12, 40, 63, 64, 65, 130):
-        for changes in (0, 1, 2, 2, 2, 3, 3, 4, 6):
-            a = "".join(rng.choice("abé𝒳") for _ in range(n))
-            b = list(a)
-            for _ in range(changes):
-                k = rng.randrange(len(b))
-                rng.choice([lambda k=k, b=b: b.pop(k), lambda k=k, b=b: b.insert(k, rng.choice("ab\0")), lambda k=k, b=b: b.__setitem__(k, "z")])()
-            pairs.append((a, "".join(b)))
-        pairs += [(a, a[1:] + "a"), (a, a[2:] + "ab"), (a, "ab" + a), (a, a[:-2]), (a, "x" + a[:-1]), (a, "xy" + a[2:-1])]
-    rows = docs([(k, "\n".join(p)) for k, p in enumerate(pairs)]).select("doc_id", F.split("text", "\n").alias("p"))
-    for edits in (1, 2, 3):
-        got = {r["doc_id"]: r["near"] for r in rows.select("doc_id", linededup.within_edits(F.get("p", F.lit(0)), F.get("p", F.lit(1)), edits).alias("near")).collect()}
-        assert got == {k: distance(*p) <= edits for k, p in enumerate(pairs)}
-
-
 def test_empty(docs):
     assert linededup.dedup(docs([]).limit(0)).count() == 0
     assert linededup.dedup(docs([(1, None)])).first()["lines"]["n_removed"] == 0
