@@ -165,40 +165,105 @@ def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int =
     return [r["t"] for r in rows.orderBy("h", "t").limit(most).collect()]
 
 
+def _with_pairs(words: Column) -> Column:
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(words, pairs))
+
+
+def _computed(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with more columns, computed once a row: behind a generator, Spark cannot move them into functions that run for each element."""
+    return rows.select("*", F.explode(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))).alias("_c")).select(*rows.columns, "_c.*")
+
+
+def _wrapped(docs: DataFrame, model: LicenceModel, templates: dict[str, tuple[str, ...]], coverage: float) -> DataFrame:
+    """(``id``, ``line``, ``last``, ``grams``) of every run of two or more lines in a row that covers a template to ``coverage``: a notice that is broken into lines.
+
+    A template's words stand in the first and the last line too, so the lines between have two words fewer than
+    it at most, which bounds the runs without a limit of lines. A line without a word ends a run. Runs are made around
+    each line with a feature word, by the first such line in them; of their grams only those of templates stay.
+    """
+    every = sorted({g for ts in templates.values() for t in ts for g in sum(_grams(t), [])})
+    known = F.array(*[F.struct(F.lit(len(_grams(t)[0])).alias("n"), F.array(*[F.lit(g) for g in sorted(set(sum(_grams(t), [])))]).alias("grams")) for ts in templates.values() for t in ts])
+    longest = max(len(_grams(t)[0]) for ts in templates.values() for t in ts)
+    feature, vocabulary = F.array(*[F.lit(w) for w in model.words]), F.array(*[F.lit(g) for g in every])
+    rows = _computed(docs, w=F.transform(F.split("t", "\n"), _words)).select("id", "w").where(F.size("w") > 1)
+    near = F.transform("w", lambda w: F.arrays_overlap(w, feature))
+    sizes = F.transform("w", lambda w: F.when(F.get(w, F.lit(0)) == "", 0).otherwise(F.size(w)))
+    rows = _computed(rows, near=near, n=sizes).where(F.array_contains("near", True))
+    # Of each line with a feature word: itself and as many lines on both sides as a notice can have.
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda k: F.get("near", k))
+    begin = lambda k: F.greatest(F.lit(0), k - (longest - 1))
+    around = lambda name, k: F.slice(name, begin(k) + 1, k - begin(k) + longest)
+    spots = rows.select("id", F.explode(F.transform(at, lambda k: F.struct(begin(k).alias("begin"), (k - begin(k)).alias("own"), around("w", k).alias("w"), around("near", k).alias("near"), around("n", k).alias("n")))).alias("s")).select("id", "s.*")
+    # The first and last lines that a run can reach from the own line, without one that has no word, or an earlier one with a feature word.
+    indices = F.sequence(F.lit(0), F.size("w") - 1)
+    low = F.coalesce(F.array_max(F.filter(indices, lambda k: (k < F.col("own")) & ((F.get("n", k) == 0) | F.get("near", k)))), F.lit(-1)) + 1
+    high = F.coalesce(F.array_min(F.filter(indices, lambda k: (k > F.col("own")) & (F.get("n", k) == 0))), F.size("w")) - 1
+    spots = _computed(spots, low=low, high=high).where("low < high")
+    inner = lambda a, z: F.aggregate(F.slice("n", a + 2, z - a - 1), F.lit(0), lambda x, y: x + y)
+    ends = lambda a: F.filter(F.sequence(F.greatest(F.col("own"), a + 1), F.col("high")), lambda z: inner(a, z) <= longest - 2)
+    firsts = F.filter(F.sequence("low", "own"), lambda a: (a < F.col("high")) & ((a == F.col("own")) | (inner(a, F.col("own")) <= longest - 2)))
+    runs = F.flatten(F.transform(firsts, lambda a: F.transform(ends(a), lambda z: F.struct((F.col("begin") + a).alias("line"), (F.col("begin") + z).alias("last"), inner(a, z).alias("inner"), F.flatten(F.slice("w", a + 1, z - a + 1)).alias("w")))))
+    runs = spots.select("id", F.explode(runs).alias("r")).select("id", "r.*")
+    runs = _computed(runs, grams=F.array_intersect(_with_pairs(F.col("w")), vocabulary))
+    covers = F.exists(known, lambda t: (F.col("inner") <= t["n"] - 2) & (F.size("grams") >= F.lit(coverage) * F.size(t["grams"])) & (F.size(F.array_intersect(t["grams"], F.col("grams"))) >= F.lit(coverage) * F.size(t["grams"])))
+    return runs.where(covers).select("id", "line", "last", "grams")
+
+
 def scan(docs: DataFrame, model: LicenceModel, id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, coverage: float = 0.6) -> DataFrame:
-    """Paragraphs (lines) of ``docs`` that hold any feature word: ``id``, ``line``, ``family`` (or ``none``, or
-    ``unknown`` where the best family is below the calibrated probability or no template of it is covered),
-    ``probability``, ``covered`` (greatest share of the words and pairs of a template of the family) and ``best``.
+    """Lines of ``docs`` that hold any feature word, and runs of lines that cover a template: ``id``, ``line``, ``last``,
+    ``family`` (or ``none``, or ``unknown`` where the best family is below the calibrated probability or no template of
+    it is covered), ``probability``, ``covered`` (greatest share of the words and pairs of a template of the family) and ``best``.
 
-    A paragraph without a feature word has the bias only, hence class ``none``; it is left out. The weights are
+    A line without a feature word has the bias only, hence class ``none``; it is left out. The weights are
     as many as the templates have n-grams, so they are sent to all tasks. Null and empty texts have no row; rows
     that share an id are one document; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     names = model.families
-    lines = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).withColumn("w", _words(F.col("t")))
-    near = lines.where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in model.words]))).select("id", "line", "w")
-    near = near.withColumn("pairs", F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>")))
-    grams = stored(near.select("id", "line", F.explode(F.array_distinct(F.concat("w", "pairs"))).alias("gram")).distinct(), "licence-grams")
+    source = docs.select(F.col(id).alias("id"), F.col(text).alias("t"))
+    lines = source.select("id", F.posexplode(F.split("t", "\n")).alias("line", "t")).withColumn("w", _words(F.col("t")))
+    near = lines.where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in model.words]))).select("id", "line", F.col("line").alias("last"), _with_pairs(F.col("w")).alias("grams"))
+    unit = ["id", "line", "last"]
+    grams = stored(near.unionByName(_wrapped(source, model, templates, coverage)).select(*unit, F.explode("grams").alias("gram")).distinct(), "licence-grams")
     weights = spark.createDataFrame([(g, *w) for g, w in model.weights.items()], "gram string, " + ", ".join(f"w{k} double" for k in range(len(names))))
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("id", "line").agg(*[(F.sum(f"w{k}") + F.lit(b)).alias(f"s{k}") for k, b in enumerate(model.bias)])
+    sums = grams.join(F.broadcast(weights), "gram").groupBy(*unit).agg(*[(F.sum(f"w{k}") + F.lit(b)).alias(f"s{k}") for k, b in enumerate(model.bias)])
     total = sum((F.exp(F.least(F.col(f"s{k}"), F.lit(500.0))) for k in range(len(names))), F.lit(1.0))
     best = F.array_max(F.array(F.struct(F.lit(0.0).alias("s"), F.lit(NONE).alias("name")), *[F.struct(F.col(f"s{k}").alias("s"), F.lit(n).alias("name")) for k, n in enumerate(names)]))
-    sums = sums.withColumn("b", best).select("id", "line", F.col("b.name").alias("best"), (F.exp(F.least("b.s", F.lit(500.0))) / total).alias("probability"))
+    sums = sums.withColumn("b", best).select(*unit, F.col("b.name").alias("best"), (F.exp(F.least("b.s", F.lit(500.0))) / total).alias("probability"))
     own = [(f, k, g, 1.0 / len(set(sum(_grams(t), [])))) for f, ts in templates.items() for k, t in enumerate(ts) for g in set(sum(_grams(t), []))]
     parts = spark.createDataFrame(own, "family string, template int, gram string, part double")
-    shares = grams.join(F.broadcast(parts), "gram").groupBy("id", "line", "family", "template").agg(F.sum("part").alias("c")).groupBy("id", "line", F.col("family").alias("best")).agg(F.round(F.max("c"), 6).alias("covered"))
-    shares = shares.select(F.col("id").alias("_id"), F.col("line").alias("_line"), F.col("best").alias("_best"), "covered")
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line")) & (F.col("best") == F.col("_best"))
+    shares = grams.join(F.broadcast(parts), "gram").groupBy(*unit, "family", "template").agg(F.sum("part").alias("c")).groupBy(*unit, F.col("family").alias("best")).agg(F.round(F.max("c"), 6).alias("covered"))
+    shares = shares.select(F.col("id").alias("_id"), F.col("line").alias("_line"), F.col("last").alias("_last"), F.col("best").alias("_best"), "covered")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line")) & (F.col("last") == F.col("_last")) & (F.col("best") == F.col("_best"))
     found = sums.join(shares, same, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     family = F.when(F.col("best") == NONE, F.lit(NONE)).when((F.col("probability") < model.least) | (F.col("covered") < coverage), F.lit(UNKNOWN)).otherwise(F.col("best"))
-    return found.select("id", "line", family.alias("family"), "probability", "covered", "best")
+    return found.select(*unit, family.alias("family"), "probability", "covered", "best")
+
+
+def _notices(units: Column) -> Column:
+    """Of ``units(order, line, last, family)`` those that overlap none before them that stays."""
+    start = F.expr("cast(array() as array<struct<line:int,last:int,family:string>>)")
+
+    def add(kept: Column, x: Column) -> Column:
+        clash = F.exists(kept, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"]))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(F.struct(x["line"].alias("line"), x["last"].alias("last"), x["family"].alias("family")))))
+
+    return F.aggregate(F.array_sort(units), start, add)
 
 
 def licences(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> DataFrame:
-    """Per row of ``docs``: ``id``, ``families`` (confirmed ones, sorted) and ``n_notices`` (paragraphs with one), after a model fitted on at most ``most`` paragraphs and the templates."""
+    """Per row of ``docs``: ``id``, ``families`` (confirmed ones, sorted), ``n_notices`` (lines, or runs of lines, with one) and ``n_unknown`` (lines outside these that look like a licence's, but not like one that is known), after a model fitted on at most ``most`` paragraphs and the templates.
+
+    Of notices that share a line, that which covers its template most counts, then the shortest, then the first.
+    """
     model = fit(sample(docs, id, text, most))
-    found = scan(docs, model, id, text).where(~F.col("family").isin(NONE, UNKNOWN)).groupBy("id").agg(F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_notices"))
-    found = found.withColumnRenamed("id", "_found")
+    found = scan(docs, model, id, text).where(F.col("family") != NONE).where((F.col("family") != UNKNOWN) | (F.col("line") == F.col("last")))
+    order = F.struct((-F.col("covered")).alias("c"), (F.col("last") - F.col("line")).alias("n"), "line", "last", "family")
+    found = found.groupBy("id").agg(F.collect_list(F.when(F.col("family") != UNKNOWN, order)).alias("units"), F.collect_list(F.when(F.col("family") == UNKNOWN, F.col("line"))).alias("odd"))
+    found = found.withColumn("kept", _notices(F.col("units")))
+    odd = F.filter("odd", lambda k: ~F.exists("kept", lambda x: k.between(x["line"], x["last"])))
+    found = found.select(F.col("id").alias("_found"), F.array_sort(F.array_distinct(F.transform("kept", lambda x: x["family"]))).alias("families"), F.size("kept").cast("bigint").alias("n_notices"), F.size(odd).cast("bigint").alias("n_unknown"))
     rows = docs.select(F.col(id).alias("id")).join(found, F.col("id").eqNullSafe(F.col("_found")), "left")
-    return rows.select("id", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
+    zero = F.lit(0).cast("bigint")
+    return rows.select("id", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_notices", zero).alias("n_notices"), F.coalesce("n_unknown", zero).alias("n_unknown"))

@@ -62,7 +62,7 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.licences(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"), F.col("n_notices").cast("bigint").alias("n_notices"))
+    return found.select(F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"), F.col("n_notices").cast("bigint").alias("n_notices"), "n_unknown")
 
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:

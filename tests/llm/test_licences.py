@@ -34,3 +34,26 @@ def test_unknown(docs, text):
 
 def test_empty(docs):
     assert licences.licences(docs([]).limit(0)).count() == 0
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+}
+
+
+def test_notices_broken_into_lines(docs, text):
+    import textwrap
+
+    rows = [(k, text(k, 40) + "\n" + text(k + 500, 30)) for k in range(40)]
+    cases = {100 * (n + 1) + width: (family, "\n".join(mark + x for x in textwrap.wrap(notice, width))) for n, (family, notice) in enumerate(WRAPPED.items()) for width, mark in ((72, ""), (40, "# "), (25, " * "))}
+    rows += [(k, text(k, 12) + "\n" + t + "\n" + text(k + 1, 12)) for k, (_, t) in cases.items()]
+    rows += [(900, "\n\n".join(textwrap.wrap(WRAPPED["bsd"], 30))), (901, "Licensed under the Foo Bar License."), (902, "Released under the MIT License.\n" + text(3, 9))]
+    got = {r["id"]: r for r in licences.licences(docs(rows)).collect()}
+    for k, (family, _) in cases.items():
+        assert (list(got[k]["families"]), got[k]["n_notices"]) == ([family], 1), (k, got[k])
+    assert not got[900]["families"]
+    assert (got[901]["n_notices"], got[901]["n_unknown"]) == (0, 1) and (got[902]["n_notices"], got[902]["n_unknown"]) == (1, 0)
+    assert not any(r["families"] for k, r in got.items() if k < 100)
