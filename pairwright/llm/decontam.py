@@ -130,25 +130,65 @@ def _occurrences(place: np.ndarray, ends: np.ndarray, positions: np.ndarray, sta
     return whole[window[keep]], begin[keep]
 
 
-def _near(place: np.ndarray, ends: np.ndarray, positions: np.ndarray, starts: np.ndarray, windows: np.ndarray, lengths: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every (window, first, stop) where all distinct words of a window stand, in any order, within its length plus ``slop`` words around its rarest one."""
-    firsts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    out: list[tuple[int, int, int]] = []
-    for q in range(len(windows)):
-        at = place[np.unique(windows[q, : lengths[q]])]
-        if (at < 0).any():
+def _least_covers(at: np.ndarray, word: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last place of every run of ``at`` that holds each word as often as ``need`` says, and loses one of them if it is made shorter."""
+    have, missing, first, last = np.zeros(len(need), np.int64), len(need), 0, -1
+    for k, w in enumerate(word):
+        have[w] += 1
+        missing -= have[w] == need[w]
+        if missing:
             continue
-        lists = sorted((positions[firsts[t] : ends[t]].astype(np.int64) for t in at), key=len)
-        lo = hi = lists[0]
-        for p in lists[1:]:
-            k = np.searchsorted(p, lists[0])
-            left, right = p[np.maximum(k - 1, 0)], p[np.minimum(k, len(p) - 1)]
-            near = np.where(np.abs(left - lists[0]) <= np.abs(right - lists[0]), left, right)
-            lo, hi = np.minimum(lo, near), np.maximum(hi, near)
-        same = np.searchsorted(starts, lo, "right") == np.searchsorted(starts, hi, "right")
-        good = same & (hi - lo < lengths[q] + slop)
-        out += [(q, a, b + 1) for a, b in zip(lo[good], hi[good], strict=True)]
-    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        while have[word[first]] > need[word[first]]:
+            have[word[first]] -= 1
+            first += 1
+        if first > last:  # a run with the same beginning is longer than one that was given
+            yield at[first], at[k]
+            last = first
+
+
+def _near(place: np.ndarray, ends: np.ndarray, positions: np.ndarray, starts: np.ndarray, windows: np.ndarray, lengths: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every (window, first, stop) of a shortest run of words inside one document that holds all words of a window, each as often as it does, in any order, and is at most ``slop`` words longer.
+
+    Occurrences of a window's rarest word are candidates; one goes as soon as another word of the window, from the
+    next rarest on, has no posting near enough in the same document. Around those that are left the posting lists
+    are merged, and one pass over them gives the runs.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(ends) or not len(windows):
+        return none, none, none
+    width, total = windows.shape[1], int(starts[-1])
+    used = np.arange(width) < lengths[:, None]
+    at = place[windows]
+    whole = np.flatnonzero(((at >= 0) | ~used).all(axis=1))
+    if not len(whole):
+        return none, none, none
+    at, used, most = at[whole], used[whole], lengths[whole] + slop
+    firsts = np.concatenate([[0], ends[:-1]])
+    counts = np.where(used, (ends - firsts)[at], np.iinfo(np.int64).max)
+    order = np.argsort(counts, axis=1, kind="stable")
+    rows = np.arange(len(whole))
+    rare = at[rows, order[:, 0]]
+    n = counts[rows, order[:, 0]]
+    window = np.repeat(rows, n)
+    middle = positions[firsts[rare][window] + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
+    document = np.searchsorted(starts, middle, "right")
+    low = np.maximum(middle - most[window] + 1, starts[document - 1])
+    high = np.minimum(middle + most[window], starts[np.minimum(document, len(starts) - 1)])
+    listed = np.repeat(np.arange(len(ends)), ends - firsts) * (total + 1) + positions  # all lists, one after the other, in order
+    for k in range(1, width):
+        word = order[window, k]
+        begin = at[window, word] * (total + 1) + low
+        found = np.searchsorted(listed, begin)
+        keep = ~used[window, word] | (listed[np.minimum(found, len(listed) - 1)] < begin - low + high) & (found < len(listed))
+        window, low, high = window[keep], low[keep], high[keep]
+    out: set[tuple[int, int, int]] = set()
+    for w, a, z in zip(window.tolist(), low.tolist(), high.tolist(), strict=True):
+        terms, need = np.unique(at[w][used[w]], return_counts=True)
+        parts = [listed[slice(*np.searchsorted(listed, [t * (total + 1) + a, t * (total + 1) + z]))] - t * (total + 1) for t in terms.tolist()]
+        places, word = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        by_place = np.argsort(places, kind="stable")
+        out.update((int(whole[w]), int(x), int(y) + 1) for x, y in _least_covers(places[by_place], word[by_place], need) if y - x < most[w])
+    return tuple(np.array(x, np.int64) for x in zip(*sorted(out), strict=True)) if out else (none, none, none)
 
 
 def _merge(spans: Column) -> Column:
@@ -169,7 +209,8 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
 
     Each shard looks up a window's words, takes the shortest posting list, and intersects the others with it,
     moved by their offsets, from the rarest on. ``slop`` None: exact phrases; a number: proximity, all words of a
-    window in any order within its length plus ``slop``. The items are a query set: they go to the shards in
+    window, each as often as it has them, in any order within its length plus ``slop`` words of one document; of
+    runs that hold such a one only the shortest count. The items are a query set: they go to the shards in
     blocks of about ``query_words`` words, so no broadcast grows with the benchmark; blocks are merged by
     document. Null and wordless texts match nothing and have ``n_words`` 0; an item shorter than ``width`` is one
     window; repeated items count once by name, repeated documents each; an item with a null id is skipped.

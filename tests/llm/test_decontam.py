@@ -61,3 +61,30 @@ def test_proximity(spark, docs):
     rows = docs([(1, "gamma x alpha beta"), (2, "alpha beta q q q q q q gamma"), (3, "alpha gamma"), (4, "beta alpha gamma")])
     near = {r["doc_id"] for r in decontam.contamination(rows, bench, slop=2).where("n_hit > 0").collect()}
     assert near == {1, 4}
+
+
+def brute_near(text, items, width, slop):
+    w, hit, found = tokens(text), set(), set()
+    for name, t in items:
+        p = tokens(t)
+        k = min(width, len(p))
+        for window in {tuple(sorted(p[i : i + k])) for i in range(len(p) - k + 1 if p else 0)}:
+            holds = lambda a, z, window=window: all(w[a:z].count(x) >= window.count(x) for x in window)
+            for a in range(len(w)):
+                for z in range(a + k, min(a + k + slop, len(w)) + 1):
+                    if holds(a, z) and not holds(a + 1, z) and not holds(a, z - 1):
+                        hit |= set(range(a, z))
+                        found.add(str(name))
+    return len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("shard,width,slop", [(100_000, 3, 2), (12, 3, 0), (100_000, 4, 5), (25, 2, 3)])
+def test_proximity_against_brute_force(spark, docs, shard, width, slop):
+    rng = __import__("random").Random(shard + width)
+    line = lambda n, a: " ".join(rng.choice(a) for _ in range(n))
+    rows = [(k, line(rng.randint(0, 14), "abcdefrx")) for k in range(60)] + [(100, "x x a"), (101, "r x x x a")]
+    items = [(k, line(rng.randint(1, 5), "abcdefr")) for k in range(8)] + [(20, "r a"), (21, "a a b")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontam.search(decontam.build_index(docs(rows), shard_words=shard), bench, width=width, slop=slop)
+    got = {r["id"]: (sum(s["stop"] - s["start"] for s in r["spans"]), list(r["items"])) for r in found.collect()}
+    assert got == {d: brute_near(t, items, width, slop) for d, t in rows}
