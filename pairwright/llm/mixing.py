@@ -71,6 +71,26 @@ def exponent(sources: DataFrame, budget: float, entropy_share: float | None = 0.
     return found
 
 
+#: Blocks, on average, of which one task finds the order; their number times this many blocks can be a source.
+BUCKET_BLOCKS = 1_000
+
+
+def _ranked(blocks: DataFrame) -> DataFrame:
+    """``blocks(k, epoch, block, blocks, h, t)`` with ``rank``, the block's place among those of its source and pass by the hash ``h``, and ``upto``, the tokens up to it.
+
+    Blocks fall into buckets by hash. Each bucket's count and tokens give what stands before the next, and only
+    inside a bucket are blocks ordered, so no task orders a whole source.
+    """
+    rows = blocks.withColumn("bucket", F.floor(F.col("h") * F.ceil(F.col("blocks") / F.lit(BUCKET_BLOCKS))))
+    unit = ["k", "epoch"]
+    before = W.partitionBy(*unit).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    buckets = rows.groupBy(*unit, "bucket").agg(F.count("*").alias("n"), F.sum("t").alias("s"))
+    buckets = buckets.select(*unit, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
+    inside = W.partitionBy(*unit, "bucket").orderBy("h", "block")
+    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1).withColumn("upto", F.sum("t").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return ranked.join(buckets, [*unit, "bucket"]).withColumns({"rank": F.col("rank") + F.col("n"), "upto": F.col("upto") + F.col("s")}).drop("n", "s", "bucket", "h")
+
+
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", budget: float | None = None, entropy_share: float | None = 0.5, max_repeats: float | None = 4.0, seed: int = 7, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows of ``docs``, as often as the mix takes them, with a struct ``mix``: ``source_weight``, ``n_tokens``,
     ``epoch`` (0 is the first pass over the source), ``block`` and ``position`` in [0, 1), by which the whole
@@ -78,14 +98,17 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     A source's tokens (words) make its share; shares to the power of the exponent found by ``exponent``,
     normalised, are its weight, and weight times ``budget`` (all tokens, if not given) its token budget. Whole
-    passes take all its documents. The rest is met by one more pass over blocks in an order of their own for
-    this pass, up to the block in which the budget ends; there documents go in hash order while they fit, so a
-    budget is never exceeded, and is missed by less than one document and its ties.
-
-    Null sources are one source. Null and wordless texts hold no tokens; they go with their block. Repeated rows
-    and equal ids share a place and go together. A column of ``docs`` named ``mix`` is replaced; other names do
-    not clash. Only a block is ever ordered under one key; blocks are hashed, so a source with a third of all rows
-    has as many as its size asks for. An empty table gives an empty one.
+    passes take all its documents. The rest is met by one more pass, up to the block in which the budget ends;
+    there documents go in hash order while they fit, so a budget is never exceeded, and is missed by less than
+    one document and its ties. In each pass a source's blocks have an order of their own, a permutation: of B
+    blocks the one of rank r has the places from r / B to (r + 1) / B of the pass, and its documents stand there
+    in hash order.
+
+    Null sources are one source. Null and wordless texts hold no tokens; they go with their block, or, where a
+    whole source has no token and so no weight, go from the mix with it. Repeated rows and equal ids share a
+    place and go together. A column of ``docs`` named ``mix`` is replaced; other names do not clash. Blocks, and
+    buckets of blocks, are all that is ordered under one key; a source with a third of all rows has as many as
+    its size asks for. A text of any length counts whole. An empty table gives an empty one.
     """
     tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \x09-\x0D]+")), F.lit(0)).cast("bigint")
     place = _uniform(F.lit(seed), F.col(id))
@@ -104,19 +127,18 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     )
     plan = stored(plan, "mix-plan")
 
-    def place_of(epoch: Column, key: Column, block: Column) -> Column:
-        return _uniform(F.lit(seed), key, epoch, block)
-
     block = F.least(F.floor(F.col("u") * F.col("blocks")), F.col("blocks") - 1)
     sizes = narrow.join(plan.select("k", "blocks"), "k").groupBy("k", block.alias("block")).agg(F.sum("t").alias("t"))
-    order = W.partitionBy("k").orderBy("h", "block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = sizes.join(plan.select("k", "passes", "rest", "tokens", "target", "weight"), "k").withColumn("h", place_of(F.col("passes"), F.col("k"), F.col("block"))).withColumn("upto", F.sum("t").over(order))
+    each = sizes.join(plan.select("k", "passes", "blocks"), "k").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes"))))
+    ranked = stored(_ranked(each.withColumn("h", _uniform(F.lit(seed), F.col("k"), F.col("epoch"), F.col("block")))), "mix-ranks")
+    ranks = ranked.groupBy("k", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "rank"))), lambda x: x["rank"]).alias("ranks"), F.max_by("t", "epoch").alias("t"), F.max_by("upto", "epoch").alias("upto"))
+    run = ranks.join(plan.select("k", "passes", "rest", "tokens", "target", "weight"), "k")
     run = run.withColumn("left", F.col("rest") - (F.col("upto") - F.col("t"))).withColumn("more", F.when(F.col("left") >= F.col("t"), F.lit(2.0)).when(F.col("left") > 0, F.lit(None)).otherwise(F.lit(-1.0)))
-    run = stored(run.select("k", "block", "passes", "tokens", "target", "weight", "left", "more"), "mix-blocks")
+    run = stored(run.select("k", "block", "ranks", "passes", "tokens", "target", "weight", "left", "more"), "mix-blocks")
     # ``more``: up to which place the block's documents go into the last pass; null where the budget ends inside.
     edge = narrow.join(plan.select("k", "blocks"), "k").withColumn("block", block).join(run.where("more is null").select("k", "block", "left"), ["k", "block"])
     fits = edge.withColumn("upto", F.sum("t").over(W.partitionBy("k", "block").orderBy("u"))).where("upto <= left").groupBy("k", "block").agg(F.max("u").alias("fits"))
-    chosen = run.join(fits, ["k", "block"], "left").withColumn("more", F.coalesce("more", "fits", F.lit(-1.0))).join(plan.select("k", "blocks"), "k").select(*[F.col(c).alias(f"_mix_{c}") for c in ("k", "block", "blocks", "passes", "tokens", "target", "weight", "more")])
+    chosen = run.join(fits, ["k", "block"], "left").withColumn("more", F.coalesce("more", "fits", F.lit(-1.0))).join(plan.select("k", "blocks"), "k").select(*[F.col(c).alias(f"_mix_{c}") for c in ("k", "block", "blocks", "ranks", "passes", "tokens", "target", "weight", "more")])
     chosen = stored(chosen, "mix-chosen")
     counts = plan.select(F.col("k").alias("_mix_s"), F.col("blocks").alias("_mix_n"))
     rows = docs.drop("mix").withColumns({"_mix_key": _key(F.col(source)), "_mix_u": place, "_mix_t": tokens})
@@ -125,7 +147,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     copies = F.col("_mix_passes") + F.when(F.col("_mix_u") <= F.col("_mix_more"), F.lit(1)).otherwise(F.lit(0))
     rows = rows.withColumn("_mix_copies", copies).where("_mix_copies > 0").withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
     inside = F.col("_mix_u") * F.col("_mix_n") - F.col("_mix_block")
-    along = (place_of(F.col("_mix_epoch"), F.col("_mix_key"), F.col("_mix_block")) * (F.col("_mix_n") - 1) + inside) / F.col("_mix_n")
+    along = (F.get("_mix_ranks", F.col("_mix_epoch")) + inside) / F.col("_mix_n")
     step = (F.col("_mix_epoch") + along) * F.col("_mix_tokens") / F.greatest("_mix_target", F.lit(1))
     value = F.struct(F.col("_mix_weight").alias("source_weight"), F.col("_mix_t").alias("n_tokens"), F.col("_mix_epoch").alias("epoch"), F.col("_mix_block").alias("block"), F.least(step, F.lit(1 - 1e-12)).alias("position"))
     return rows.select(*[c for c in docs.columns if c != "mix"], value.alias("mix"))

@@ -66,3 +66,40 @@ def test_same_again_and_empty(docs, rows):
     assert a == b
     assert mixing.mix(docs([]).limit(0)).count() == 0
     assert mixing.mix(docs([(1, None), (2, "")])).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1_000, 3])
+def test_blocks_are_permuted(docs, rows, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET_BLOCKS", bucket)
+    out = mixing.mix(docs(rows), entropy_share=1.0, max_repeats=3.0, block_words=40)
+    spans, blocks, orders = {}, {}, {}
+    for r in out.collect():
+        m = r["mix"]
+        spans.setdefault((r["source"], m["epoch"]), {}).setdefault(m["block"], []).append(m["position"])
+        blocks.setdefault(r["source"], set()).add(m["block"])
+    for (source, epoch), found in spans.items():
+        ordered = sorted(found, key=lambda b: min(found[b]))
+        assert all(max(found[a]) < min(found[b]) for a, b in zip(ordered, ordered[1:]))  # no two blocks overlap
+        assert epoch == 0 or max(max(v) for v in spans[source, epoch - 1].values()) <= min(min(v) for v in found.values())
+        orders.setdefault(source, []).append(ordered)
+    assert all(set(o[0]) == blocks[s] for s, o in orders.items() if len(o) > 1)
+    assert orders["low"][0] != orders["low"][1] and orders["low"][0] != sorted(orders["low"][0])
+
+
+def test_ranks_and_sums_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_BLOCKS", 4)
+    rng = __import__("random").Random(2)
+    blocks = [(k, e, b, n, rng.choice([0.0, 0.25, rng.random()]), rng.randint(0, 9)) for k, n in (("x", 41), ("y", 1), ("z", 7)) for e in (0, 1) for b in range(n)]
+    out = mixing._ranked(spark.createDataFrame(blocks, "k string, epoch int, block bigint, blocks bigint, h double, t bigint"))
+    want = set()
+    for key in {b[:2] for b in blocks}:
+        total = 0
+        for rank, (k, e, b, n, _, t) in enumerate(sorted((b for b in blocks if b[:2] == key), key=lambda b: (b[4], b[2]))):
+            total += t
+            want.add((k, e, b, n, t, rank, total))
+    assert {tuple(r[c] for c in ("k", "epoch", "block", "blocks", "t", "rank", "upto")) for r in out.collect()} == want
+
+
+def test_a_source_without_tokens_goes(docs):
+    out = mixing.mix(docs([(1, "a b c", "en", "x"), (2, "", "en", "y"), (3, None, "en", "x"), (4, "w " * 300_000, "en", "x")]))
+    assert {r["doc_id"] for r in out.collect()} == {1, 3, 4}
