@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .store import stored
 
@@ -34,18 +33,16 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class TreeOptions:
-    """``depth``: segments below the host that are nodes of their own; what follows is one node.
+    """``depth``: segments below the host that are nodes of their own; where a path has more, the rest is one wildcard.
     ``max_children``: from more distinct children on, a node's rarer ones are variable.
     ``min_share``: a child with this share of its node's urls stays literal all the same.
     ``z``: siblings whose block rates differ by less than so many standard errors are merged.
-    ``min_labels``: labelled urls that a branch needs to be merged, and a template to be rejected.
-    ``prior``: labelled urls that a parent's purity counts for. ``purity``: from here on a template is rejected."""
+    ``prior``: labelled urls that the purity one level up counts for. ``purity``: from here on a template is rejected."""
 
-    depth: int = 4
+    depth: int = 16
     max_children: int = 8
     min_share: float = 0.1
     z: float = 1.64
-    min_labels: int = 5
     prior: float = 2.0
     purity: float = 0.7
 
@@ -81,29 +78,49 @@ def _segments(path: Column, depth: int) -> Column:
 def _generalised(leaves: DataFrame, o: TreeOptions) -> DataFrame:
     """``leaves(host, segs, n, blocked, labelled)`` with ``tree``: each segment literal or ``*``, level by level below the ones already settled."""
     now = leaves.withColumn("tree", F.array().cast("array<string>"))
-    for level in range(o.depth):
+    for level in range(leaves.agg(F.max(F.size("segs"))).first()[0] or 0):  # o.depth at most
         seg = F.get("segs", F.lit(level))
         child = now.where(F.size("segs") > level).groupBy("host", "tree", seg.alias("seg")).agg(F.sum("n").alias("n"))
         node = child.groupBy("host", "tree").agg(F.sum("n").alias("all"), F.count("*").alias("children"))
         fixed = child.join(node, ["host", "tree"]).where((F.col("children") <= o.max_children) | (F.col("n") >= o.min_share * F.col("all"))).select("host", "tree", "seg", F.lit(True).alias("literal"))
         now = now.withColumn("seg", seg).join(fixed, ["host", "tree", "seg"], "left")
         label = F.when(F.col("seg").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.coalesce("literal", F.lit(False)), F.col("seg")).otherwise(F.lit("*"))))
-        now = now.withColumn("tree", F.concat("tree", label)).drop("seg", "literal")
+        now = stored(now.withColumn("tree", F.concat("tree", label)).drop("seg", "literal"), "url-trees")
     return now
 
 
+def _runs(siblings: Column, o: TreeOptions) -> Column:
+    """Runs of labelled ``siblings(rate, head, blocked, labelled)``, in order of their block rates: each joins the
+    run before it unless the run's pooled rate is told apart from its own."""
+    rate = lambda x: (x["blocked"] + 1) / (x["labelled"] + 2)
+    var = lambda x: rate(x) * (1 - rate(x)) / (x["labelled"] + 2)
+    start = F.expr("cast(array() as array<struct<blocked:bigint,labelled:bigint,heads:array<string>>>)")
+
+    def add(runs: Column, x: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        same = F.coalesce(F.abs(rate(x) - rate(last)) <= o.z * F.sqrt(var(x) + var(last)), F.lit(False))
+        own = F.struct(x["blocked"].alias("blocked"), x["labelled"].alias("labelled"), F.array(x["head"]).alias("heads"))
+        grown = F.struct((last["blocked"] + x["blocked"]).alias("blocked"), (last["labelled"] + x["labelled"]).alias("labelled"), F.concat(last["heads"], F.array(x["head"])).alias("heads"))
+        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(F.concat(runs, F.array(own)))
+
+    return F.aggregate(F.array_sort(siblings), start, add)
+
+
 def _merged(templates: DataFrame, o: TreeOptions) -> DataFrame:
-    """``templates(host, tree, n, blocked, labelled)`` with ``template``: siblings that differ in their first
-    segment only and whose block rates are not told apart by the labels share one, named by all of them."""
-    rest = F.slice("tree", 2, o.depth)
-    rate = (F.col("blocked") + 1) / (F.col("labelled") + 2)
-    sure = templates.where(F.col("labelled") >= o.min_labels).withColumn("rest", rest).withColumn("rate", rate).withColumn("var", rate * (1 - rate) / (F.col("labelled") + 2))
-    order = W.partitionBy("host", "rest").orderBy("rate", "tree")
-    far = F.abs(F.col("rate") - F.lag("rate").over(order)) > o.z * F.sqrt(F.col("var") + F.lag("var").over(order))
-    runs = sure.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
-    name = F.concat_ws("|", F.array_sort(F.collect_set(F.get("tree", F.lit(0))).over(W.partitionBy("host", "rest", "run"))))
-    named = runs.select("host", "tree", F.concat(F.array(name), "rest").alias("template"))
-    return templates.join(named, ["host", "tree"], "left").withColumn("template", F.coalesce("template", "tree"))
+    """``templates(host, tree, n, blocked, labelled)`` with ``rest`` and ``template``: siblings that have the same
+    shape below their first segment and whose block rates are not told apart share one template, named by all of them.
+
+    A branch without a label has the shape only to be known by. It joins its labelled siblings if these are
+    alike; if they are told apart, or there are none, the branches without labels have one template of their own.
+    A node has few children after wildcards were made, so its siblings are a short array.
+    """
+    rows = templates.withColumn("rest", F.slice("tree", 2, o.depth)).withColumn("head", F.get("tree", F.lit(0)))
+    labelled = F.when(F.col("labelled") > 0, F.struct(((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("rate"), "head", "blocked", "labelled"))
+    nodes = rows.groupBy("host", "rest").agg(F.collect_list(labelled).alias("known"), F.collect_list(F.when(F.col("labelled") == 0, F.col("head"))).alias("open"))
+    groups = F.transform(_runs(F.col("known"), o), lambda x: x["heads"])
+    groups = F.when(F.size(groups) == 1, F.array(F.concat(F.get(groups, F.lit(0)), "open"))).when(F.size("open") > 0, F.concat(groups, F.array("open"))).otherwise(groups)
+    named = nodes.select("host", "rest", F.explode(groups).alias("heads")).select("host", "rest", F.concat(F.array(F.concat_ws("|", F.array_sort("heads"))), "rest").alias("template"), F.explode("heads").alias("head"))
+    return rows.join(named, ["host", "rest", "head"]).drop("head")
 
 
 def templates(urls: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
@@ -112,31 +129,33 @@ def templates(urls: DataFrame, options: TreeOptions = TreeOptions()) -> DataFram
     ``purity`` and ``rejected``.
 
     Urls are first summed up by host and shape, so all that follows works on as many rows as there are shapes,
-    and a host with a third of all urls has the few shapes that it has. A template's purity is smoothed by its
-    host's, and that by the whole table's.
+    and a host with a third of all urls has the few shapes that it has. A template's purity is smoothed by that
+    of its node (all siblings of its shape), the node's by its host's, and that by the whole table's; the purity
+    alone rejects, so labels reach urls that have none themselves. On a host without any label nothing is rejected.
     """
     o = options
     leaves = urls.groupBy("host", _segments(F.col("path"), o.depth).alias("segs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"), F.count("label").alias("labelled"))
-    leaves = stored(_generalised(stored(leaves, "url-shapes"), o), "url-trees")
+    leaves = _generalised(stored(leaves, "url-shapes"), o)
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
-    merged = _merged(leaves.groupBy("host", "tree").agg(*sums), o).select("host", "tree", "template")
-    judged = leaves.join(merged, ["host", "tree"]).groupBy("host", "template").agg(*sums)
+    merged = stored(_merged(leaves.groupBy("host", "tree").agg(*sums), o), "url-merged")
     whole = leaves.agg(F.sum("blocked"), F.sum("labelled")).first()
-    base = ((whole[0] or 0) + 1) / ((whole[1] or 0) + 2)
-    hosts = leaves.groupBy("host").agg(((F.sum("blocked") + o.prior * base) / (F.sum("labelled") + o.prior)).alias("host_purity"))
-    judged = judged.join(hosts, "host").withColumn("purity", (F.col("blocked") + o.prior * F.col("host_purity")) / (F.col("labelled") + o.prior))
-    judged = judged.withColumn("rejected", (F.col("labelled") >= o.min_labels) & (F.col("purity") >= o.purity))
-    return leaves.select("host", "segs", "tree").join(merged, ["host", "tree"]).join(judged, ["host", "template"]).select("host", "segs", "template", "n", "labelled", "blocked", "purity", "rejected")
+    above = F.lit(((whole[0] or 0) + 1) / ((whole[1] or 0) + 2))
+    smoothed = lambda above: (F.sum("blocked") + o.prior * above) / (F.sum("labelled") + o.prior)
+    hosts = merged.groupBy("host").agg(smoothed(above).alias("host_purity"), (F.sum("labelled") > 0).alias("judged"))
+    nodes = merged.join(hosts, "host").groupBy("host", "rest").agg(smoothed(F.first("host_purity")).alias("node_purity"), F.first("judged").alias("judged"))
+    judged = merged.join(nodes, ["host", "rest"]).groupBy("host", "template").agg(*sums, smoothed(F.first("node_purity")).alias("purity"), F.first("judged").alias("judged"))
+    judged = judged.withColumn("rejected", F.col("judged") & (F.col("purity") >= o.purity))
+    return leaves.select("host", "segs", "tree").join(merged.select("host", "tree", "template"), ["host", "tree"]).join(judged, ["host", "template"]).select("host", "segs", "template", "n", "labelled", "blocked", "purity", "rejected")
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...], url: str = "url", label: str | None = None, options: TreeOptions = TreeOptions()) -> DataFrame:
     """Every row of ``pages`` with a struct ``url_filter``: ``host``, ``path``, ``rule`` (the longest that fits,
     or null), ``template``, ``purity`` and ``verdict``: the rule's, else block for rejected templates, else allow.
 
-    Labels are those of the column ``label`` (1 block, 0 allow, null none) if given, else the rules' verdicts; a
-    template without enough labels is never rejected. Null urls and urls without ``://`` have empty host and path
+    Labels are those of the column ``label`` (1 block, 0 allow, null none) if given, else the rules' verdicts.
+    Null urls and urls without ``://`` have empty host and path
     and are judged like any other; repeated rows count each and are judged alike; a column named ``url_filter``
-    is replaced, and no other name clashes; an empty table gives an empty one.
+    is replaced, and no other name clashes; an empty table gives an empty one. A url of any length is judged whole.
     """
     rows = pages.drop("url_filter").withColumns({"_f_host": host_of(F.col(url)), "_f_path": path_of(F.col(url))})
     rows = rows.withColumn("_f_rule", _ruled(rules, F.col("_f_host"), F.col("_f_path")))

@@ -63,5 +63,85 @@ def test_like_branches_are_merged(spark):
     assert got[("a", "{n}")] == got[("b", "{n}")] == ("a|b", True) and got[("c", "{n}")] == ("c", False)
 
 
+def plain_tree(urls, o):
+    """The tree in dictionaries: ``urls`` of (host, path, label); gives template, purity and verdict by (host, segments)."""
+    leaves = {}
+    for host, path, label in urls:
+        p = re.sub(r"\d+", "{n}", re.sub(r"[0-9a-fA-F]{16,}", "{x}", path)).removeprefix("/").split("/")
+        segs = (*p[: o.depth - 1], "**") if len(p) > o.depth else tuple(p)
+        n, blocked, labelled = leaves.get((host, segs), (0, 0, 0))
+        leaves[host, segs] = (n + 1, blocked + (label or 0), labelled + (label is not None))
+    tree = {k: () for k in leaves}
+    for level in range(o.depth):
+        nodes = {}
+        for (host, segs), v in leaves.items():
+            if len(segs) > level:
+                child = nodes.setdefault((host, tree[host, segs]), {})
+                child[segs[level]] = child.get(segs[level], 0) + v[0]
+        for k in leaves:
+            if len(k[1]) > level:
+                child = nodes[k[0], tree[k]]
+                literal = len(child) <= o.max_children or child[k[1][level]] >= o.min_share * sum(child.values())
+                tree[k] = (*tree[k], k[1][level] if literal else "*")
+    sums = {}
+    for k, v in leaves.items():
+        have = sums.get((k[0], tree[k]), (0, 0))
+        sums[k[0], tree[k]] = (have[0] + v[1], have[1] + v[2])
+    rate = lambda b, n: (b + 1) / (n + 2)
+    var = lambda b, n: rate(b, n) * (1 - rate(b, n)) / (n + 2)
+    template = {}
+    for node in {(h, t[1:]) for h, t in sums}:
+        mine = [(h, t) for h, t in sums if (h, t[1:]) == node]
+        groups = []
+        for h, t in sorted((x for x in mine if sums[x][1]), key=lambda x: (rate(*sums[x]), x[1][0])):
+            b, n = sums[h, t]
+            if groups and abs(rate(b, n) - rate(*groups[-1][0])) <= o.z * (var(b, n) + var(*groups[-1][0])) ** 0.5:
+                groups[-1] = ((groups[-1][0][0] + b, groups[-1][0][1] + n), [*groups[-1][1], t])
+            else:
+                groups.append(((b, n), [t]))
+        free = [t for h, t in mine if not sums[h, t][1]]
+        if len(groups) == 1:
+            groups[0][1].extend(free)
+        elif free:
+            groups.append(((0, 0), free))
+        for _, ts in groups:
+            for t in ts:
+                template[node[0], t] = ("|".join(sorted(x[0] for x in ts)), *node[1])
+    total = lambda keys: (sum(sums[k][0] for k in keys), sum(sums[k][1] for k in keys))
+    smooth = lambda keys, above: (total(keys)[0] + o.prior * above) / (total(keys)[1] + o.prior)
+    out = {}
+    for k in leaves:
+        host, t = k[0], tree[k]
+        p = rate(*total(sums))
+        for keys in ([x for x in sums if x[0] == host], [x for x in sums if x[0] == host and x[1][1:] == t[1:]], [x for x in sums if x[0] == host and template[x] == template[host, t]]):
+            p = smooth(keys, p)
+        out[k] = (template[host, t], round(p, 9), p >= o.purity and total([x for x in sums if x[0] == host])[1] > 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_plain_tree(spark, seed):
+    rng = __import__("random").Random(seed)
+    o = urltree.TreeOptions(depth=3, max_children=3, min_share=0.15)
+    urls = []
+    for _ in range(700):
+        host, a = rng.choice(["a.net", "b.net", "c.com"]), rng.choice("pqrstuvw"[: rng.choice([2, 8])])
+        path = "/" + "/".join([a, *(rng.choice(["x", "y", str(rng.randint(1, 99)), "k" + rng.choice("abcdefgh")]) for _ in range(rng.randint(0, 4)))])
+        urls.append((host, path, rng.choice([None, None, int(a in "pq" or rng.random() < 0.1)]) if host != "c.com" else None))
+    out = urltree.templates(spark.createDataFrame(urls, "host string, path string, label int"), o)
+    got = {(r["host"], tuple(r["segs"])): (tuple(r["template"]), round(r["purity"], 9), r["rejected"]) for r in out.collect()}
+    want = plain_tree(urls, o)
+    assert got == want and {r for _, _, r in want.values()} == {True, False}
+
+
+def test_purity_reaches_branches_without_a_label(pages):
+    rows = [(k, f"http://x.com/de/{k}") for k in range(20)] + [(100 + k, f"http://x.com/en/{k}") for k in range(20)]
+    rows += [(200 + k, f"http://y.com/{w}/{k}") for k, w in enumerate(["de", "fr"] * 10)] + [(300, "http://y.com/en/1"), (400, "http://z.net/en/1"), (401, "http://z.net/" + "q" * 1_000_001)]
+    got = {r["page_id"]: r["url_filter"] for r in urltree.judge(pages(rows), URL_RULES).collect()}
+    assert {got[k]["rule"] for k in range(100, 120)} == {None} and {got[k]["verdict"] for k in range(100, 120)} == {"block"}
+    assert got[300]["verdict"] == got[400]["verdict"] == got[401]["verdict"] == "allow"
+    assert got[100]["template"] == "de|en/{n}" and got[300]["template"] == "en/{n}"
+
+
 def test_empty(pages):
     assert urltree.judge(pages([]), URL_RULES).count() == 0
