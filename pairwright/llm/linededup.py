@@ -8,12 +8,8 @@ from pyspark.sql.window import Window as W
 
 from .store import components, stored
 
-#: Lines of fewer characters are never removed.
-MIN_CHARS = 30
-#: Lines of fewer characters are duplicates only if equal; edits would be too large a part of them.
-MIN_EDIT_CHARS = 60
-#: Edits within which two lines are the same.
-EDITS = 2
+#: Edits within which two lines are the same, and the least number of characters for each of them.
+EDITS, CHARS_PER_EDIT = 2, 15
 #: Up to so many ids of lines to be compared are sent to all tasks (16 MB); beyond, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: Frequent letters, counted to tell lines apart before they are compared.
@@ -51,11 +47,11 @@ def _own(edits: int) -> set[int]:
     return {n for n, place in enumerate(places) if place == (0, 0)}
 
 
-def _lines(docs: DataFrame, id: str, text: str, min_chars: int) -> DataFrame:
-    """(``doc``, ``line``, ``t``, ``size``, ``id``, ``check``) of each line that may be removed, without the blanks around it."""
+def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(``doc``, ``line``, ``t``, ``size``, ``id``, ``check``) of each line that is not blank, without the blanks around it."""
     rows = docs.select(F.col(id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
     rows = rows.select("doc", "line", F.trim(F.col("t"), F.lit(" \t\r")).alias("t"))
-    rows = rows.withColumn("size", F.length("t")).where(F.col("size") >= min_chars)
+    rows = rows.withColumn("size", F.length("t")).where("size > 0")
     return rows.select("*", F.xxhash64("t").alias("id"), F.xxhash64(F.lit(1), "t").alias("check"))
 
 
@@ -108,17 +104,18 @@ def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     return links.unionByName(_verified(more, texts, edits))
 
 
-def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_edit_chars: int = MIN_EDIT_CHARS, edits: int = EDITS) -> DataFrame:
+def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(``doc``, ``removed``): of each document that loses lines, their numbers from 0.
 
-    Lines are compared without the blanks around them. Equal lines, and lines of at least ``min_edit_chars``
-    characters within ``edits`` edits, make classes (components of the links); the first occurrence by document
-    id and line number stays, every later one is removed. Lines under ``min_chars`` characters stay. Rows that
+    Lines are compared without the blanks around them. Equal lines, and lines within ``edits`` edits of each other
+    that have at least ``chars_per_edit`` characters for each edit, make classes (components of the links); the
+    first occurrence by document id and line number stays, every later one is removed. Blank lines stay. Rows that
     share an id are one document; a null id comes first. Null and empty texts lose nothing.
     """
+    min_edit_chars = edits * chars_per_edit
     if min_edit_chars < (edits + 1) ** 2:
         raise ValueError("lines must be longer than their segments can move")
-    lines = _lines(docs, id, text, min_chars)
+    lines = _lines(docs, id, text)
     wide = lines.withColumn("t", F.when(F.col("size") >= min_edit_chars, F.encode("t", "UTF-32")))
     keys = [F.when(F.col("size") >= min_edit_chars, k).alias(f"k{n}") for n, k in enumerate(_probes(edits))]
     keyed = wide.select("doc", "line", "id", "check", "size", *keys)

@@ -128,12 +128,12 @@ _OP7 = """
 WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
 c AS (SELECT doc_id, line, trim(t, ' ' || chr(9) || chr(13)) AS t FROM l),
 u AS (SELECT t, length(t) AS n FROM c WHERE length(t) >= 30 GROUP BY t),
-e AS (SELECT a.t AS x, b.t AS y FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.n >= 60 AND b.n >= 60 AND a.t <> b.t
+e AS (SELECT a.t AS x, b.t AS y FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.t <> b.t
       AND (left(a.t, a.n // 3 - 2) = left(b.t, a.n // 3 - 2) OR right(a.t, a.n // 3 - 2) = right(b.t, a.n // 3 - 2) OR contains(b.t, substr(a.t, a.n // 3 + 3, a.n // 3 - 4)))
       AND levenshtein(a.t, b.t) <= 2),
 reach AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
 class AS (SELECT x AS t, min(y) AS class FROM reach GROUP BY x),
-o AS (SELECT doc_id, line, coalesce(class, t) AS class FROM c LEFT JOIN class USING (t) WHERE length(t) >= 30),
+o AS (SELECT doc_id, line, coalesce(class, t) AS class FROM c LEFT JOIN class USING (t) WHERE t <> ''),
 k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY class ORDER BY doc_id, line) AS r FROM o),
 g AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM k WHERE r > 1 GROUP BY doc_id)
 SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 
 def distance(a, b):
+    same = len(__import__("os").path.commonprefix([a, b]))
+    a, b = a[same:], b[same:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -19,7 +21,7 @@ def brute(rows):
     for i, t in rows:
         docs.setdefault(i, t)
     lines = [((i is not None, i or 0), n, x.strip(" \t\r")) for i, t in docs.items() if t is not None for n, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= 30]
+    lines = [x for x in lines if x[2]]
     texts = sorted({x[2] for x in lines})
     root = {t: t for t in texts}
 
@@ -30,7 +32,7 @@ def brute(rows):
 
     for k, a in enumerate(texts):
         for b in texts[:k]:
-            if len(a) >= 60 and len(b) >= 60 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            if len(a) >= 30 and len(b) >= 30 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
                 root[find(a)] = find(b)
     first, gone = {}, {}
     for key, n, t in sorted(lines):
@@ -51,7 +53,7 @@ def rows(text):
     short = "a line of thirty-five characters xx"
     return [
         (1, base + "\nunique " + text(3, 12)), (2, "  " + base + "\t\nshort\nshort"), (3, near[0] + "\n" + near[1]), (4, "\n".join(near[2:])), (5, "\n".join(chain)), (6, wide), (7, wide.replace("漢", "X") + "\n" + wide[1:]),
-        (8, short + "\n" + short), (9, short[:-1] + "y"), (10, None), (11, ""), (12, text(5, 3000)), (13, text(5, 3000) + "!"), (None, text(6, 20)), (14, text(6, 20)), (15, text(7, 20)), (15, text(7, 20)),
+        (8, short + "\n" + short), (9, short[:-1] + "y"), (16, "All rights reserved.\n\n \n?"), (17, "All rights reserved\nAll rights reserved.\n?\n"), (18, "x" * 29 + "\n" + "x" * 28 + "y\n" + "x" * 30 + "\n" + "x" * 28 + "zz"), (10, None), (11, ""), (12, text(5, 3000)), (13, text(5, 3000) + "!"), (None, text(6, 20)), (14, text(6, 20)), (15, text(7, 20)), (15, text(7, 20)),
     ]
 
 
@@ -59,6 +61,7 @@ def test_against_brute_force(docs, rows):
     out = linededup.dedup(docs(rows).withColumns({"lines": F.lit("clash"), "id": F.lit(1)}))
     assert out.count() == len(rows)
     want = brute(rows)
+    assert want[9] == [0] and want[17] == [1, 2] and want[18] == [3]
     for r in out.collect():
         gone = want.get(r["doc_id"], [])
         assert list(r["lines"]["removed"]) == gone, r["doc_id"]
