@@ -81,10 +81,18 @@ def joined(omitted: Column) -> Column:
 
 # --- identifiers, entities, numbers ---
 
+#: What stands in every match of each of ID_PATTERNS, in upper case: texts without it need no search.
+_ID_SIGNS = ((("CVE-",), ("CWE-",), ("GHSA-",), ("ICSA-",), ("TOB-", "DYL-", "PBL-", "NCC-", "KL-", "OSTIF-")))
+
 
 def identifiers(text: Column) -> Column:
     """The sorted set of identifiers, in upper case."""
-    return sorted_set(F.transform(F.flatten(F.array(*[matches(text, p) for p in ID_PATTERNS])), F.upper))
+
+    def found(upper: Column) -> Column:
+        has = lambda signs: F.greatest(*[upper.contains(s) for s in signs], F.lit(False))
+        return F.concat(*[F.when(has(signs), matches(text, p)).otherwise(none_of()) for p, signs in zip(ID_PATTERNS, _ID_SIGNS, strict=True)])
+
+    return F.when(text.contains("-"), sorted_set(F.transform(let(F.upper(text), found), F.upper))).otherwise(F.when(text.isNotNull(), none_of()))
 
 
 def entities(text: Column) -> Column:
@@ -97,20 +105,30 @@ def entities(text: Column) -> Column:
 def numbers(text: Column, skip_identifiers: bool = True) -> Column:
     """The sorted set of numbers without ``,``, ``$`` and ``%``; bare years, 1 and 2 are none, nor is what stands inside an identifier, version or address."""
     rest = text
-    for p in (*ID_PATTERNS, VERSION_PATTERN, IP_PATTERN) if skip_identifiers else ():
-        rest = F.regexp_replace(rest, p, "X")
+    if skip_identifiers:
+        for p in ID_PATTERNS:
+            rest = F.regexp_replace(rest, p, "X")
+        rest = F.when(text.contains("-"), rest).otherwise(text)
+        dotted = rest
+        for p in (VERSION_PATTERN, IP_PATTERN):
+            dotted = F.regexp_replace(dotted, p, "X")
+        rest = F.when(text.contains("."), dotted).otherwise(rest)
     kept = F.filter(matches(rest, NUMBER_PATTERN), lambda t: ~t.rlike(YEAR_PATTERN))
     plain = F.transform(kept, lambda t: F.regexp_replace(F.regexp_replace(F.translate(t, ",  ", ""), r"^\$+", ""), r"%+$", ""))
-    return sorted_set(F.filter(plain, lambda n: ~n.isin("1", "2")))
+    return F.when(text.rlike(r"(?U)\d"), sorted_set(F.filter(plain, lambda n: ~n.isin("1", "2")))).otherwise(F.when(text.isNotNull(), none_of()))
 
 
 # --- severity and status ---
 
 
+def before_match(text: Column, pattern: str) -> Column:
+    """What stands before the first match; the text where there is none."""
+    return let(F.regexp_instr(text, F.lit(pattern)), lambda at: F.when(at > 0, F.left(text, at - 1)).otherwise(text))
+
+
 def negated_before(text: Column, pattern: str) -> Column:
     """Whether a negator stands between the last full stop or line break and the first match."""
-    before = F.get(F.split(text, pattern, 2), F.lit(0))
-    return F.element_at(F.split(before, r"[.\n]"), -1).rlike(NEGATOR_PATTERN)
+    return F.regexp_extract(before_match(text, pattern), r"[^.\n]*$", 0).rlike(NEGATOR_PATTERN)
 
 
 def severity(text: Column) -> Column:
@@ -118,8 +136,9 @@ def severity(text: Column) -> Column:
     kind = "array<struct<band:int,rank:int,match:string>>"
 
     def first_hit(pattern: str, band: int, rank: int) -> Column:
-        hits = F.filter(F.split(text, r"[.\n]"), lambda s: s.rlike(pattern) & ~F.get(F.split(s, pattern, 2), F.lit(0)).rlike(NEGATOR_PATTERN))
-        return F.transform(F.slice(hits, 1, 1), lambda s: F.struct(F.lit(band).alias("band"), F.lit(-rank).alias("rank"), F.regexp_extract(s, pattern, 0).alias("match"))).cast(kind)
+        hits = F.filter(F.split(text, r"[.\n]"), lambda s: s.rlike(pattern) & ~before_match(s, pattern).rlike(NEGATOR_PATTERN))
+        found = F.transform(F.slice(hits, 1, 1), lambda s: F.struct(F.lit(band).alias("band"), F.lit(-rank).alias("rank"), F.regexp_extract(s, pattern, 0).alias("match")))
+        return F.when(text.rlike(pattern), found.cast(kind)).otherwise(none_of(kind))
 
     found = [first_hit(pattern, band, rank) for rank, (pattern, band) in enumerate(SEVERITY_PATTERNS)]
     score = F.arrays_zip(matches(text, CVSS_PATTERN).alias("m"), matches(text, CVSS_PATTERN, 1).alias("s"))
@@ -130,14 +149,14 @@ def severity(text: Column) -> Column:
             band = F.when(value >= least, b).otherwise(band)
         return F.struct(band.alias("band"), (-i - len(SEVERITY_PATTERNS)).alias("rank"), x["m"].alias("match"))
 
-    found.append(F.transform(score, scored).cast(kind))
+    found.append(F.when(text.rlike("(?iU)CVSS"), F.transform(score, scored).cast(kind)).otherwise(none_of(kind)))
     best = F.array_max(F.concat(*found))
     return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["band"].alias("band"), b["match"].alias("match"))))
 
 
 def status(text: Column, pattern: str) -> Column:
     """The first match unless it is negated, else null."""
-    return F.when(text.rlike(pattern) & ~negated_before(text, pattern), F.regexp_extract(text, pattern, 0))
+    return F.when(text.rlike(pattern), F.when(~negated_before(text, pattern), F.regexp_extract(text, pattern, 0)))
 
 
 # --- sentences, words, overlap ---

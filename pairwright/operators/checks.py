@@ -6,7 +6,7 @@ non-detection, never a proof.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,24 +101,64 @@ def flag_if(condition: Column, check: str, level: str, message: str, evidence: C
     return F.when(condition, F.array(flag(check, level, message, evidence))).otherwise(none_of(FLAGS))
 
 
-def id_parity(source: Column, draft: Column, omitted: Column) -> Column:
+@dataclass(frozen=True)
+class Facts:
+    """What the checks look for in a text. ``of`` gives expressions; ``bound`` puts them into columns of their own, so that each is worked out once for all checks of a row."""
+
+    text: Column
+    identifiers: Column
+    numbers: Column
+    severity: Column
+    entities: Column
+    sentences: Column
+    clauses: Column
+    hedges: Column
+    acts: Column
+    exploited: Column
+    exploitable: Column
+    remediated: Column
+    vulnerable: Column
+
+    @classmethod
+    def of(cls, text: Column | Facts) -> Facts:
+        if isinstance(text, Facts):
+            return text
+        return cls(
+            text, identifiers(text), numbers(text), severity(text), entities(text), sentences(text), caveat_clauses(text), text.rlike(HEDGE), text.rlike(ACTION),
+            status(text, EXPLOITED), status(text, EXPLOITABLE), status(text, REMEDIATED), status(text, VULNERABLE),
+        )
+
+    @classmethod
+    def bound(cls, rows: DataFrame, text: Column, prefix: str) -> tuple[DataFrame, Facts]:
+        """``rows`` with a column for each fact, named by ``prefix``, and the facts as these columns."""
+        names = [f.name for f in fields(cls)]
+        out = rows.withColumn(f"{prefix}text", text)
+        found = cls.of(F.col(f"{prefix}text"))
+        out = out.withColumns({f"{prefix}{n}": getattr(found, n) for n in names if n != "text"})
+        return out, cls(*[F.col(f"{prefix}{n}") for n in names])
+
+
+Text = Column | Facts
+
+
+def id_parity(source: Text, draft: Text, omitted: Column) -> Column:
     """Identifiers of the source that are neither kept nor declared omitted."""
-    missing = F.array_except(identifiers(source), F.array_union(identifiers(draft), identifiers(joined(omitted))))
+    missing = F.array_except(Facts.of(source).identifiers, F.array_union(Facts.of(draft).identifiers, identifiers(joined(omitted))))
     return let(F.array_sort(missing), lambda m: flag_if(F.size(m) > 0, "id_parity", "fail", "identifiers of the source neither kept nor declared omitted", m))
 
 
-def numeric_parity(source: Column, draft: Column, omitted: Column) -> Column:
+def numeric_parity(source: Text, draft: Text, omitted: Column) -> Column:
     """Numbers of the source that are neither kept nor declared omitted, as tokens or as mere digits."""
-    said = joined(omitted)
+    source, draft, said = Facts.of(source), Facts.of(draft), joined(omitted)
 
     def missing(kept: Column) -> Column:
-        return F.filter(numbers(source), lambda n: ~F.array_contains(kept, n) & ~F.contains(draft, n) & ~F.contains(said, n))
+        return F.filter(source.numbers, lambda n: ~F.array_contains(kept, n) & ~F.contains(draft.text, n) & ~F.contains(said, n))
 
-    lost = let(F.array_union(numbers(draft), numbers(said, skip_identifiers=False)), missing)
+    lost = let(F.array_union(draft.numbers, numbers(said, skip_identifiers=False)), missing)
     return let(lost, lambda m: flag_if(F.size(m) > 0, "numeric_parity", "fail", "numbers of the source neither kept nor declared omitted", m))
 
 
-def severity_drift(source: Column, draft: Column, declared: Column, both_ways: bool = False) -> Column:
+def severity_drift(source: Text, draft: Text, declared: Column, both_ways: bool = False) -> Column:
     """Severity of the draft, or as declared, below the source's; not named at all (a warning); with ``both_ways`` also above."""
     claimed = F.coalesce(*[F.when(F.lower(declared) == n, F.lit(b)) for n, b in BANDS.items()])
     tag = lambda name, value: F.concat(F.lit(f"{name}: "), value)
@@ -138,10 +178,10 @@ def severity_drift(source: Column, draft: Column, declared: Column, both_ways: b
             ]
         return F.concat(*parts)
 
-    return let(severity(source), lambda s: let(severity(draft), lambda d: compare(s, d)))
+    return let(Facts.of(source).severity, lambda s: let(Facts.of(draft).severity, lambda d: compare(s, d)))
 
 
-def entity_check(source: Column, draft: Column, omitted: Column) -> Column:
+def entity_check(source: Text, draft: Text, omitted: Column) -> Column:
     """Entities in the draft only: invented (fail). In the source only and not declared: dropped (a warning)."""
 
     def compare(s: Column, d: Column) -> Column:
@@ -152,23 +192,23 @@ def entity_check(source: Column, draft: Column, omitted: Column) -> Column:
             flag_if(F.size(dropped) > 0, "entity_check", "warn", "technical entities dropped without declaration", dropped),
         )
 
-    return let(entities(source), lambda s: let(entities(draft), lambda d: compare(s, d)))
+    return let(Facts.of(source).entities, lambda s: let(Facts.of(draft).entities, lambda d: compare(s, d)))
 
 
 def caveat_clauses(source: Column) -> Column:
     """Of each source sentence with a caveat marker, the clause around the first marker in the list's order."""
-    marker = lambda s: F.get(F.filter(F.array(*[F.lit(m) for m in CAVEAT_MARKERS]), lambda m: F.contains(F.lower(s), m)), F.lit(0))
+    marker = lambda s: let(F.lower(s), lambda low: F.coalesce(*[F.when(low.contains(m), F.lit(m)) for m in CAVEAT_MARKERS]))
     return F.filter(F.transform(sentences(source), lambda s: let(marker(s), lambda m: F.when(m.isNotNull(), marker_clause(s, m)))), lambda c: c.isNotNull())
 
 
-def caveat_parity(source: Column, draft: Column, omitted: Column, threshold: float = CAVEAT_OVERLAP) -> Column:
+def caveat_parity(source: Text, draft: Text, omitted: Column, threshold: float = CAVEAT_OVERLAP) -> Column:
     """Caveat clauses of the source of whose words no sentence of the draft, and no omission, has a share of ``threshold``."""
 
     def lost(heard: Column) -> Column:
         best = lambda c: F.coalesce(F.array_max(F.transform(heard, lambda h: token_overlap(c, h))), F.lit(0.0))
-        return F.filter(caveat_clauses(source), lambda c: best(c) < threshold)
+        return F.filter(Facts.of(source).clauses, lambda c: best(c) < threshold)
 
-    heard = F.concat(sentences(draft), F.coalesce(omitted, none_of()))
+    heard = F.concat(Facts.of(draft).sentences, F.coalesce(omitted, none_of()))
     return F.transform(let(heard, lost), lambda c: flag("caveat_parity", "fail", "a condition of the source has no counterpart in the draft", F.array(c)))
 
 
@@ -179,13 +219,15 @@ def caveat_parity_vectors(clauses: Column, vectors: Column, heard: Column, thres
     return F.transform(lost, lambda x: flag("caveat_parity", "fail", "a condition of the source has no counterpart in the draft", F.array(x["c"])))
 
 
-def claim_inflation(source: Column, draft: Column) -> Column:
+def claim_inflation(source: Text, draft: Text) -> Column:
     """The source hedges an action; the draft states one with no hedge anywhere. Evidence: the hedge, and the action with its surroundings."""
+    source, said = Facts.of(source), Facts.of(draft)
+    draft = said.text
     at = F.regexp_instr(draft, F.lit(ACTION))
     begin = F.greatest(at - 24, F.lit(1))
     around = F.substr(draft, begin, at + F.length(F.regexp_extract(draft, ACTION, 0)) + 16 - begin)
-    fires = source.rlike(HEDGE) & source.rlike(ACTION) & ~draft.rlike(HEDGE) & draft.rlike(ACTION)
-    evidence = F.array(F.concat(F.lit("source hedge: "), F.regexp_extract(source, HEDGE, 0)), F.concat(F.lit("draft: …"), strip(around), F.lit("…")))
+    fires = source.hedges & source.acts & ~said.hedges & said.acts
+    evidence = F.array(F.concat(F.lit("source hedge: "), F.regexp_extract(source.text, HEDGE, 0)), F.concat(F.lit("draft: …"), strip(around), F.lit("…")))
     return flag_if(fires, "claim_inflation", "fail", "the source hedges the impact, the draft asserts it", evidence)
 
 
@@ -195,21 +237,21 @@ def claim_inflation_by_sentence(source: Column, draft: Column) -> Column:
     return F.when(source.rlike(HEDGE) & source.rlike(ACTION), F.transform(bare, lambda s: flag("claim_inflation", "fail", "the source hedges the impact, a sentence of the draft asserts it", F.array(s)))).otherwise(none_of(FLAGS))
 
 
-def status_drift(source: Column, draft: Column) -> Column:
+def status_drift(source: Text, draft: Text) -> Column:
     """From possible to actual exploitation (fail), from remediated to vulnerable (fail), from vulnerable to remediated (a warning)."""
+    source, draft = Facts.of(source), Facts.of(draft)
     tag = lambda name, value: F.concat(F.lit(f"{name}: "), value)
-    actual = status(draft, EXPLOITED)
-    only_possible = status(source, EXPLOITED).isNull() & (status(source, EXPLOITABLE).isNotNull() | source.rlike(ACTION))
+    only_possible = source.exploited.isNull() & (source.exploitable.isNotNull() | source.acts)
     return F.concat(
-        let(actual, lambda a: flag_if(a.isNotNull() & only_possible, "status_drift", "fail", "the draft implies exploitation, the source only its possibility", F.array(tag("draft", a)))),
-        let(status(source, REMEDIATED), lambda s: let(status(draft, VULNERABLE), lambda d: flag_if(s.isNotNull() & d.isNotNull(), "status_drift", "fail", "remediated in the source, still vulnerable in the draft", F.array(tag("source", s), tag("draft", d))))),
-        let(status(draft, REMEDIATED), lambda d: flag_if(status(source, VULNERABLE).isNotNull() & d.isNotNull(), "status_drift", "warn", "the draft implies remediation that the source does not state", F.array(tag("draft", d)))),
+        let(draft.exploited, lambda a: flag_if(a.isNotNull() & only_possible, "status_drift", "fail", "the draft implies exploitation, the source only its possibility", F.array(tag("draft", a)))),
+        let(source.remediated, lambda s: let(draft.vulnerable, lambda d: flag_if(s.isNotNull() & d.isNotNull(), "status_drift", "fail", "remediated in the source, still vulnerable in the draft", F.array(tag("source", s), tag("draft", d))))),
+        let(draft.remediated, lambda d: flag_if(source.vulnerable.isNotNull() & d.isNotNull(), "status_drift", "warn", "the draft implies remediation that the source does not state", F.array(tag("draft", d)))),
     )
 
 
-def negation_flip(source: Column, draft: Column) -> Column:
+def negation_flip(source: Text, draft: Text) -> Column:
     """The source reports no evidence of exploitation; the draft asserts it."""
-    return let(status(draft, EXPLOITED), lambda a: flag_if(source.rlike(NOT_EXPLOITED) & a.isNotNull(), "negation_flip", "fail", "the source reports no evidence of exploitation, the draft asserts it", F.array(F.concat(F.lit("draft: "), a))))
+    return let(Facts.of(draft).exploited, lambda a: flag_if(a.isNotNull() & Facts.of(source).text.rlike(NOT_EXPLOITED), "negation_flip", "fail", "the source reports no evidence of exploitation, the draft asserts it", F.array(F.concat(F.lit("draft: "), a))))
 
 
 def format_lint(draft: Column, contract: Column, audience: Column) -> Column:
@@ -255,7 +297,7 @@ def unknown_keys(contract: Column, audience: Column) -> Column:
 CHECKS = ("id_parity", "numeric_parity", "severity_drift", "entity_check", "caveat_parity", "claim_inflation", "status_drift", "negation_flip", "format_lint")
 
 
-def all_checks(source: Column, draft: Column, omitted: Column, declared: Column, contract: Column, audience: Column, both_ways: bool = False) -> dict[str, Column]:
+def all_checks(source: Text, draft: Text, omitted: Column, declared: Column, contract: Column, audience: Column, both_ways: bool = False) -> dict[str, Column]:
     """The flags of each check by its name."""
     return {
         "id_parity": id_parity(source, draft, omitted),
@@ -266,21 +308,22 @@ def all_checks(source: Column, draft: Column, omitted: Column, declared: Column,
         "claim_inflation": claim_inflation(source, draft),
         "status_drift": status_drift(source, draft),
         "negation_flip": negation_flip(source, draft),
-        "format_lint": format_lint(draft, contract, audience),
+        "format_lint": format_lint(Facts.of(draft).text, contract, audience),
     }
 
 
-def applicable(source: Column, draft: Column, contract: Column, audience: Column) -> Column:
+def applicable(source: Text, draft: Text, contract: Column, audience: Column) -> Column:
     """The checks that had anything to look at; a check not among them has passed for want of matter."""
+    s, d = Facts.of(source), Facts.of(draft)
     has = {
-        "id_parity": F.size(identifiers(source)) > 0,
-        "numeric_parity": F.size(numbers(source)) > 0,
-        "severity_drift": severity(source).isNotNull(),
-        "entity_check": (F.size(entities(source)) > 0) | (F.size(entities(draft)) > 0),
-        "caveat_parity": F.size(caveat_clauses(source)) > 0,
-        "claim_inflation": source.rlike(HEDGE) & source.rlike(ACTION),
-        "status_drift": status(draft, EXPLOITED).isNotNull() | status(draft, VULNERABLE).isNotNull() | status(draft, REMEDIATED).isNotNull(),
-        "negation_flip": source.rlike(NOT_EXPLOITED),
+        "id_parity": F.size(s.identifiers) > 0,
+        "numeric_parity": F.size(s.numbers) > 0,
+        "severity_drift": s.severity.isNotNull(),
+        "entity_check": (F.size(s.entities) > 0) | (F.size(d.entities) > 0),
+        "caveat_parity": F.size(s.clauses) > 0,
+        "claim_inflation": s.hedges & s.acts,
+        "status_drift": d.exploited.isNotNull() | d.vulnerable.isNotNull() | d.remediated.isNotNull(),
+        "negation_flip": s.text.rlike(NOT_EXPLOITED),
         "format_lint": contract.isNotNull() | audience.isNotNull(),
     }
     return F.filter(F.array(*[F.when(has[c], F.lit(c)) for c in CHECKS]), lambda x: x.isNotNull())
@@ -289,18 +332,30 @@ def applicable(source: Column, draft: Column, contract: Column, audience: Column
 def judge(pairs: DataFrame, source: str = "source_text", draft: str = "draft_text", omitted: str | None = None, declared: str | None = None, contract: str | None = None, audience: str | None = None, both_ways: bool = False) -> DataFrame:
     """``pairs`` with ``flags`` of all checks, ``passed`` (checks without a flag), ``applicable`` and ``ok`` (no flag fails).
 
-    One projection: no shuffle. Null texts count as empty.
+    Projections only, no shuffle: the facts of both texts, then what the checks make of them. Null texts count as empty.
     """
     col = lambda name, kind="string": F.col(name) if name else F.lit(None).cast(kind)
-    s, d = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(draft), F.lit(""))
+    rows, s = Facts.bound(pairs, F.coalesce(F.col(source), F.lit("")), "_source_")
+    rows, d = Facts.bound(rows, F.coalesce(F.col(draft), F.lit("")), "_draft_")
     o, c, a = col(omitted, "array<string>"), col(contract), col(audience)
     found = all_checks(s, d, o, col(declared), c, a, both_ways)
-    out = pairs.withColumn("flags", F.concat(*found.values())).withColumn("applicable", applicable(s, d, c, a))
+    out = rows.withColumns({"flags": F.concat(*found.values()), "applicable": applicable(s, d, c, a)}).select(*[x for x in pairs.columns if x not in ("flags", "applicable", "passed", "ok")], "flags", "applicable")
     out = out.withColumn("passed", F.array_except(F.array(*[F.lit(n) for n in CHECKS]), F.transform("flags", lambda f: f["check"])))
     return out.withColumn("ok", ~F.exists("flags", lambda f: f["level"] == "fail"))
 
 
-def sentence_levels(source: Column, draft: Column) -> Column:
+def judge_one(pairs: DataFrame, target: str, source: str = "source_text", draft: str = "draft_text", omitted: str | None = None, declared: str | None = None, contract: str | None = None, audience: str | None = None, both_ways: bool = False) -> DataFrame:
+    """``pairs`` with ``flags`` of that check only which the column ``target`` names; the others are not evaluated."""
+    col = lambda name, kind="string": F.col(name) if name else F.lit(None).cast(kind)
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    found = all_checks(text(source), text(draft), col(omitted, "array<string>"), col(declared), col(contract), col(audience), both_ways)
+    flags = none_of(FLAGS)
+    for name, value in found.items():
+        flags = F.when(F.col(target) == name, value).otherwise(flags)
+    return pairs.withColumn("flags", flags)
+
+
+def sentence_levels(source: Text, draft: Column) -> Column:
     """Each draft sentence as ``struct<sentence, level, checks>``: red where a claim, status or negation check fails for it alone, amber where one warns, else green."""
 
     def level(s: Column) -> Column:

@@ -38,8 +38,8 @@ def judge_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def judge_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Per check and level, how many pairs have such a flag."""
-    judged = checks.judge(finding_pairs(spark, folder)).select("pair_id", F.explode("flags").alias("f"))
-    return judged.select("pair_id", "f.check", "f.level").distinct().groupBy("check", "level").agg(F.count("*").alias("n_pairs"))
+    judged = checks.judge(finding_pairs(spark, folder)).select("pair_id", F.explode_outer("flags").alias("f"))  # outer: the flags' size would be a filter, and worked out again in it
+    return judged.where("f is not null").select("pair_id", "f.check", "f.level").distinct().groupBy("check", "level").agg(F.count("*").alias("n_pairs"))
 
 
 def axis_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,13 +51,14 @@ def axis_report(spark: SparkSession, folder: str) -> DataFrame:
 def mutation_recall(spark: SparkSession, folder: str) -> DataFrame:
     """How often each planted error is found by the check it is aimed at."""
     aimed = {1: "id_parity", 2: "numeric_parity", 3: "severity_drift", 7: "claim_inflation", 8: "status_drift", 9: "entity_check"}
-    judged = checks.judge(finding_pairs(spark, folder)).where(F.col("variant").isin(*aimed))
     target = F.element_at(F.create_map(*[F.lit(x) for k, v in aimed.items() for x in (k, v)]), F.col("variant"))
-    return analytics.mutation_recall(judged.withColumn("target", target), "variant", "target")
+    rows = finding_pairs(spark, folder).where(F.col("variant").isin(*aimed)).withColumn("target", target)
+    return analytics.mutation_recall(checks.judge_one(rows, "target"), "variant", "target")
 
 
 def sentence_review(spark: SparkSession, folder: str) -> DataFrame:
-    rows = finding_pairs(spark, folder).select("pair_id", F.posexplode(checks.sentence_levels(F.col(SRC), F.col(DRAFT))).alias("n", "s"))
+    rows, source = checks.Facts.bound(finding_pairs(spark, folder), F.col(SRC), "_source_")
+    rows = rows.select("pair_id", F.posexplode_outer(checks.sentence_levels(source, F.col(DRAFT))).alias("n", "s")).where("s is not null")
     return rows.select("pair_id", F.col("n").cast("bigint").alias("n"), "s.level", F.array_join("s.checks", ",").alias("checks"))
 
 

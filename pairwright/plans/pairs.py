@@ -38,6 +38,8 @@ def finding_pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.when(v == 6, F.lit("")).otherwise(only),
         F.when(v == 8, F.lit("Attackers accessed the records.")).otherwise(none),
     )
+    # The checks are heavy and the rows light: spread them over all cores, whatever their size in bytes.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.select("pair_id", "doc_id", "variant", "sev", source.alias("source_text"), draft.alias("draft_text"))
 
 
