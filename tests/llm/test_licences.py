@@ -21,9 +21,42 @@ def test_families(docs, rows):
     assert not any(v for k, v in got.items() if k is not None and (k < 100 or k in (105, 106, 107, 108, 109)))
 
 
-def test_held_out_variations():
-    model = licences.fit(["the cat sat on the mat and looked at the moon"] * 50)
+def test_calibration_on_held_out_examples(text):
+    model = licences.fit(["the cat sat on the mat and looked at the moon"] * 50 + [text(k, 30) for k in range(300)])
     assert 0.3 <= model.least <= 0.9 and set(model.families) == set(licences.TEMPLATES)
+    total = sum(n for _, _, n in model.held_out)
+    error = 0
+    for low in (0.0, 0.2, 0.4, 0.6, 0.8):
+        part = [(p, right, n) for p, right, n in model.held_out if low < p <= low + 0.2]
+        if part:
+            error += abs(sum(p * n for p, _, n in part) - sum(right * n for _, right, n in part)) / total
+    assert error < 0.1
+    assert sum(n for p, right, n in model.held_out if right) > 0.9 * total
+
+
+def test_scores_against_plain_regression(docs, text):
+    import math
+    import re
+
+    model = licences.fit([text(k, 30) for k in range(200)])
+    lines = ["Released under the MIT License.", "He read the license of the GNU library and the public domain.", "Licensed under CC BY-NC 4.0.", "no word of it xyzzy", "copyright holder"]
+    got = {r["id"]: r for r in licences.scan(docs(list(enumerate(lines))), model).collect()}
+    for k, line in enumerate(lines):
+        w = re.findall("[a-z0-9]+", line.lower())
+        if not set(w) & set(model.words):
+            assert k not in got
+            continue
+        found = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))} & set(model.weights)
+        s = {f: model.bias[n] + sum(model.weights[g][n] for g in found) for n, f in enumerate(model.families)} | {"none": 0.0}
+        best = max(s, key=s.get)
+        assert got[k]["best"] == best and abs(got[k]["probability"] - math.exp(s[best]) / sum(map(math.exp, s.values()))) < 1e-9, line
+
+
+def test_ties_and_long_texts(docs, text):
+    notice = "Released under the MIT License."
+    rows = [(1, "\n".join([notice] * 3)), (2, (text(5, 2000) + "\n") * 60 + notice), (2, "x"), (3, "word " * 300_000 + notice), *[(k, text(k, 20)) for k in range(10, 40)]]
+    got = {r["id"]: (list(r["families"]), r["n_notices"]) for r in licences.licences(docs(rows)).collect()}
+    assert got[1] == (["mit"], 3) and got[2] == (["mit"], 1) and got[3] == (["mit"], 1)
 
 
 def test_unknown(docs, text):
@@ -37,6 +70,7 @@ def test_empty(docs):
 
 
 WRAPPED = {
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
@@ -51,9 +85,11 @@ def test_notices_broken_into_lines(docs, text):
     cases = {100 * (n + 1) + width: (family, "\n".join(mark + x for x in textwrap.wrap(notice, width))) for n, (family, notice) in enumerate(WRAPPED.items()) for width, mark in ((72, ""), (40, "# "), (25, " * "))}
     rows += [(k, text(k, 12) + "\n" + t + "\n" + text(k + 1, 12)) for k, (_, t) in cases.items()]
     rows += [(900, "\n\n".join(textwrap.wrap(WRAPPED["bsd"], 30))), (901, "Licensed under the Foo Bar License."), (902, "Released under the MIT License.\n" + text(3, 9))]
+    rows += [(903, "\n".join(textwrap.wrap(WRAPPED["gpl"], 40) + textwrap.wrap(WRAPPED["bsd"], 40)))]
     got = {r["id"]: r for r in licences.licences(docs(rows)).collect()}
     for k, (family, _) in cases.items():
         assert (list(got[k]["families"]), got[k]["n_notices"]) == ([family], 1), (k, got[k])
     assert not got[900]["families"]
+    assert list(got[903]["families"]) == ["bsd", "gpl"] and got[903]["n_notices"] == 2
     assert (got[901]["n_notices"], got[901]["n_unknown"]) == (0, 1) and (got[902]["n_notices"], got[902]["n_unknown"]) == (1, 0)
     assert not any(r["families"] for k, r in got.items() if k < 100)
