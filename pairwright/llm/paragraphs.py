@@ -7,12 +7,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .bagminhash import _items
 from .decontam import _merge
-from .store import FINE, colliding_links, components, stored, wanted_ids, with_hot_keys
+from .store import BROADCAST_IDS, FINE, colliding_links, components, stored, wanted_ids, with_hot_keys
 from .text import WordHashes, columns, distinct_sizes, list_column, mixed, runs_of_shingles, shingles, sketch, words_of
 
 WIDTH, SIMILARITY, ROWS = 5, 0.8, 4
@@ -211,29 +212,89 @@ def _paragraphs(docs: DataFrame, marks: DataFrame, id: str, text: str, similarit
     return with_hot_keys(marks.select("doc", "line", "start", "stop", "one", "two"), ruled, ["one", "two"], "n").where(F.struct("doc", "line") != F.col("keep")).select("doc", "start", "stop", "class")
 
 
-def _passages(marks: DataFrame, gram: int) -> DataFrame:
+def _around(docs: DataFrame, spots: DataFrame, id: str, text: str, gram: int, reach: int) -> DataFrame:
+    """(``doc``, ``pos``, ``before``, ``after``): hashes of the ``reach`` - 1 words on each side of the windows at ``spots(doc, pos)``, nearest first."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = WordHashes(), reach - 1
+        kinds = {"doc": pa.int64(), "pos": pa.int32(), "before": pa.list_(pa.int64()), "after": pa.list_(pa.int64())}
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+        for keys, texts, lists in columns(batches, "doc", "text", "at", rows=64):
+            for key, value, at in zip(keys, texts, lists, strict=True):
+                h = known.of(words_of(value)).view(np.int64)
+                for k in at:
+                    if k + gram <= len(h):  # rows may share an id, and then only one has the window
+                        rows.append((key, k, h[max(0, k - n) : k][::-1], h[k + gram : k + gram + n]))
+                    if len(rows) >= 5_000:
+                        yield flush()
+                        rows = []
+        if rows:
+            yield flush()
+
+    places = stored(spots.groupBy("doc").agg(F.collect_set("pos").alias("at")), "edge-places")
+    if (places.agg(F.sum(F.size("at") + 4)).first()[0] or 0) <= BROADCAST_IDS:
+        places = F.broadcast(places)
+    source = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    found = source.join(places, "doc").mapInArrow(cut, "doc bigint, pos int, before array<bigint>, after array<bigint>")
+    return stored(found, "edge-words").dropDuplicates(["doc", "pos"])
+
+
+def _passages(docs: DataFrame, marks: DataFrame, id: str, text: str, gram: int, reach: int) -> DataFrame:
     """(``doc``, ``start``, ``stop``) of word spans that occur before, in a document of lesser id or earlier in the same.
 
     Anchors are chosen by content, so a passage has the same ones wherever it stands. Those that occur again are
     joined with their first occurrence only, so a passage in very many documents makes as many rows as it has
-    occurrences. A span reaches from one anchor to the next where the words between are the same as there.
+    occurrences. A span reaches from one anchor to the next where the words between are the same as there, or as
+    in another earlier place. Where they are not, the passage ends, or begins, within ``reach`` words: there the
+    words on both sides are compared one by one with those around the first occurrence.
     """
     anchors = marks.where("gram is not null").select(*[f.split(" ")[0] for f in _ANCHORS])
     firsts = anchors.groupBy("gram").agg(F.min(F.struct("doc", "pos", "step", "block")).alias("f"), F.count("*").alias("n")).where("n > 1")
     again = with_hot_keys(anchors, stored(firsts, "anchor-firsts"), ["gram"], "n").where((F.col("doc") != F.col("f.doc")) | (F.col("pos") != F.col("f.pos")))
-    same = (F.col("step") == F.col("f.step")) & (F.col("block") == F.col("f.block"))
-    return again.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.when(same, F.greatest(F.lit(gram), F.col("step"))).otherwise(F.lit(gram))).alias("stop"))
+    same = (F.col("step") > 0) & (F.col("step") == F.col("f.step")) & (F.col("block") == F.col("f.block"))
+    again = stored(again.select("doc", "pos", "gram", "step", "block", same.alias("same"), F.col("f.doc").alias("f_doc"), F.col("f.pos").alias("f_pos")), "anchor-again")
+    stretch = ["gram", "step", "block"]
+    other = again.where("not same and step > 0")
+    shared = stored(other.groupBy(*stretch).agg(F.min(F.struct("doc", "pos")).alias("g"), F.count("*").alias("n")).where("n > 1"), "anchor-stretches")
+    later = with_hot_keys(other, shared, stretch, "n").where(F.struct("doc", "pos") != F.col("g")).select("doc", "pos", F.lit(True).alias("later")).distinct()
+    rows = again.join(later, ["doc", "pos"], "left").withColumn("same", F.col("same") | F.coalesce("later", F.lit(False)))
+    rows = rows.withColumn("stop", F.col("pos") + F.when(F.col("same"), F.greatest(F.lit(gram), F.col("step"))).otherwise(F.lit(gram)))
+    order = W.partitionBy("doc").orderBy("pos")
+    reached = F.max(F.when(F.col("same"), F.col("pos") + F.col("step"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce(reached < F.col("pos"), F.lit(True))
+    goes_on = F.col("same") & F.coalesce(F.lead("pos").over(order) == F.col("pos") + F.col("step"), F.lit(False))  # the next anchor occurs again as well
+    rows = stored(rows.withColumns({"begins": begins, "goes_on": goes_on}).select("doc", "pos", "stop", "f_doc", "f_pos", "begins", "goes_on"), "anchor-spans")
+    edges = rows.where("begins or not goes_on")
+    spots = edges.select("doc", "pos").union(edges.select("f_doc", "f_pos")).distinct()
+    words = _around(docs, spots, id, text, gram, reach)
+    counts = edges.groupBy("f_doc", "f_pos").agg(F.count("*").alias("n"))
+    theirs = stored(words.select(F.col("doc").alias("f_doc"), F.col("pos").alias("f_pos"), F.col("before").alias("f_before"), F.col("after").alias("f_after")).join(counts, ["f_doc", "f_pos"]), "edge-firsts")
+    both = with_hot_keys(edges.join(words, ["doc", "pos"]), theirs, ["f_doc", "f_pos"], "n")
+
+    def alike(a: str, b: str) -> Column:
+        """How many words are the same from the window on."""
+        unlike = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+        return F.when(unlike > 0, unlike - 1).otherwise(F.size(a)).cast("int")
+
+    left, right = F.when(F.col("begins"), alike("before", "f_before")).otherwise(0), F.when(~F.col("goes_on"), alike("after", "f_after")).otherwise(0)
+    grown = both.select("doc", (F.col("pos") - left).alias("start"), (F.col("pos") + gram + right).alias("stop"))
+    return rows.select("doc", F.col("pos").alias("start"), "stop").unionByName(grown)
 
 
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """Per row of ``docs``: ``id`` and ``spans``, the merged word spans (words: lower-case runs of letters and
-    digits) that repeat what stands in an earlier place, as paragraphs or as passages inside them.
+    digits) that repeat what stands in an earlier place, as paragraphs or as passages inside them. Of equal
+    paragraphs, and of those that are alike, the first by document and line is none.
 
     Null, wordless and short texts have no span. Rows that share an id are one document, of which equal rows
     count once; rows with a null id have no span. An empty table gives an empty one.
     """
     marks = _marked(docs, id, text, min_words, tuned_bands(similarity), gram, reach)
-    spans = _paragraphs(docs, marks, id, text, similarity).select("doc", "start", "stop").unionByName(_passages(marks, gram))
+    spans = _paragraphs(docs, marks, id, text, similarity).select("doc", "start", "stop").unionByName(_passages(docs, marks, id, text, gram, reach))
     merged = spans.groupBy("doc").agg(_merge(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     rows = docs.select(F.col(id).alias("id")).join(merged, F.col("id").cast("bigint") == F.col("doc"), "left")
     return rows.select("id", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"))

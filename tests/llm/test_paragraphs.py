@@ -35,6 +35,67 @@ def test_repeats(docs, rows):
         seen |= mine
 
 
+def test_spans_against_brute_force(docs):
+    """Every 50 words in a row that stand in an earlier place are inside the spans; every word of a span stands in 20 that do."""
+    import random
+
+    rng = random.Random(6)
+    fresh = lambda n: ["w%d" % rng.randrange(10**9) for _ in range(n)]
+    shared = [fresh(n) for n in (50, 51, 64, 90, 130)]
+    rows = []
+    for k in range(40):
+        w = fresh(rng.randint(5, 60))
+        for _ in range(rng.randint(0, 2)):
+            w += rng.choice(shared) + fresh(rng.randint(1, 40))
+        rows.append((k, " ".join(w)))
+    rows += [(50, " ".join(shared[4][:75])), (51, " ".join(fresh(9) + shared[4][20:] + fresh(3))), (52, " ".join(fresh(9) + shared[4][20:] + fresh(3)))]
+    rows = [(k, t + "\n") for k, t in rows]
+    got = {r["id"]: r["spans"] for r in paragraphs.repeats(docs(rows), min_words=1000).collect()}
+    early, seen = set(), set()
+    for k, t in rows:
+        w, marked = t.split(), set()
+        for s in got[k]:
+            marked |= set(range(s["start"], s["stop"]))
+        inside = set()
+        for i in range(len(w)):
+            if tuple(w[i : i + 50]) in seen and len(w) >= i + 50:
+                assert set(range(i, i + 50)) <= marked, (k, i)
+            if tuple(w[i : i + 20]) in early:
+                inside |= set(range(i, i + 20))
+            seen.add(tuple(w[i : i + 50]))
+            early.add(tuple(w[i : i + 20]))
+        assert marked <= inside, k
+
+
+@pytest.mark.parametrize("similarity,recall", [(0.8, 0.97), (0.85, 0.99), (0.9, 0.99)])
+def test_recall_of_bands_and_sketches(similarity, recall):
+    """Of random pairs of that similarity: how many share a band and pass the limits of both sketches."""
+    from pairwright.llm.store import FINE, PLANES, most_different
+    from pairwright.llm.text import mixed, sketch
+
+    rng = np.random.default_rng(3)
+    bands, n, size = paragraphs.tuned_bands(), 1500, 90
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    common = int(round(size * 2 * similarity / (1 + similarity)))
+    sets = [rng.integers(0, 1 << 63, 2 * size - common).astype(np.uint64) for _ in range(n)]
+    sides = [np.concatenate([mixed(x) for s in sets for x in (s[:size] if side == 0 else s[size - common :],)]) for side in (0, 1)]
+    starts = np.arange(n) * size
+    found = np.ones(n, bool)
+    for registers in (bands * paragraphs.ROWS, FINE):
+        salts = mixed(np.arange(1, registers + 1, dtype=np.uint64) * odd)
+        a, b = (paragraphs.minhash(x, starts, salts) for x in sides)
+        agree = (a == b).mean(axis=1)
+        exact = common / (2 * size - common)
+        assert abs(agree.mean() - exact) < 4 * (exact * (1 - exact) / (n * registers)) ** 0.5 + 0.003  # the salts are unbiased
+        words = -(-registers // 64)
+        x, y = sketch(a).reshape(n, PLANES, words), sketch(b).reshape(n, PLANES, words)
+        differing = np.bitwise_count(np.bitwise_or.reduce(x ^ y, axis=1)).sum(axis=1)
+        found &= differing <= most_different(registers, 0.8)
+        if registers != FINE:
+            found &= (a == b).reshape(n, bands, paragraphs.ROWS).all(axis=2).any(axis=1)
+    assert found.mean() >= recall
+
+
 def test_anchors_do_not_depend_on_place():
     rng = np.random.default_rng(1)
     a, passage, b = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (333, 50, 270))
