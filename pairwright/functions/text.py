@@ -288,8 +288,9 @@ def is_quantified(text: Column) -> Column:
     return text.rlike(r"\d{2,}|\d.{0,30}(?:percent|%|million|billion|days|hours|systems|users|records)")
 
 
-def has_email(text: Column, limit: int = 8000) -> Column:
-    return F.left(text, F.lit(limit)).rlike(EMAIL_PATTERN)
+def has_email(text: Column, limit: int | None = None) -> Column:
+    """Whether an e-mail address stands in the text; with ``limit``, in that many of its first characters."""
+    return (F.left(text, F.lit(limit)) if limit else text).rlike(EMAIL_PATTERN)
 
 
 def first_json_object(text: Column) -> Column:

@@ -131,3 +131,8 @@ def within_budget(rows: DataFrame, order: list[Column], cost: str, cap: float, b
     """``rows`` with ``spent``, the running cost in order, and ``paid``: whether it is still within ``cap``."""
     window = W.partitionBy(*(by or [F.lit(1)])).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn("spent", F.sum(cost).over(window)).withColumn("paid", F.col("spent") <= cap)
+
+
+def hash_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows, first by a hash of seed and key: the same in every run, however the rows are partitioned."""
+    return rows.orderBy(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(most)

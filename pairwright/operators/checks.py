@@ -366,6 +366,41 @@ def sentence_levels(source: Text, draft: Column) -> Column:
     return F.transform(sentences(draft), level)
 
 
+def draft_review(findings: DataFrame, drafts: DataFrame, id: str = "report_id", ref: str = "ref", source: str = "source_text", draft: str = "draft_text") -> DataFrame:
+    """A row per draft of ``drafts(id, draft)``, reviewed against all its ``findings(id, ref, source)``.
+
+    Coverage, once for the whole draft: identifiers, numbers and conditions left out, and entities dropped, are
+    warnings, for leaving out can be meant; a severity that is lowered or an entity that is invented stays a fail.
+    Assertion, for each sentence against the finding whose words it has most of (the first on a tie): a lost hedge
+    is amber, what else the claim, status and negation checks find is red where it fails. ``coverage`` has the
+    flags, ``sentences`` a struct each (``sentence``, ``ref``, ``level``, ``checks``); then ``green``, ``amber``,
+    ``red`` and ``worst``. A draft without findings is none.
+    """
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    grouped = findings.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(F.col(ref).alias("ref"), text(source).alias("text")))).alias("_findings"))
+    rows, s = Facts.bound(grouped, F.array_join(F.transform("_findings", lambda x: x["text"]), "\n\n"), "_source_")
+    rows, d = Facts.bound(drafts.select(id, text(draft).alias("_draft")).join(rows, id), F.col("_draft"), "_draft_")
+    nothing = F.lit(None).cast("array<string>")
+    milder = lambda flags, all: F.transform(flags, lambda f: f.withField("level", F.when(all | (f["level"] == "warn"), "warn").otherwise(f["level"])))
+    coverage = F.concat(
+        milder(id_parity(s, d, nothing), F.lit(True)), milder(numeric_parity(s, d, nothing), F.lit(True)), severity_drift(s, d, F.lit(None).cast("string")), entity_check(s, d, nothing), milder(caveat_parity(s, d, nothing), F.lit(True)),
+    )
+    sentence = rows.select(id, F.posexplode(sentences(F.col("_draft"))).alias("_n", "_s"), F.col("_findings"))
+    scored = F.transform("_findings", lambda x, i: F.struct(token_overlap(F.col("_s"), x["text"]).alias("score"), (-i).alias("i"), x["ref"].alias("ref"), x["text"].alias("text")))
+    aligned = sentence.withColumn("_best", F.array_max(scored)).select(id, "_n", "_s", F.col("_best.ref").alias("_ref"), F.col("_best.text").alias("_text"))
+    aligned, own = Facts.bound(aligned, F.col("_text"), "_own_")
+    aligned = aligned.withColumn("_flags", F.concat(claim_inflation(own, F.col("_s")), status_drift(own, F.col("_s")), negation_flip(own, F.col("_s"))))
+    red = F.exists("_flags", lambda f: (f["level"] == "fail") & (f["check"] != "claim_inflation"))
+    level = F.when(red, "red").when(F.size("_flags") > 0, "amber").otherwise("green")
+    said = F.struct("_n", F.col("_s").alias("sentence"), F.col("_ref").alias("ref"), level.alias("level"), sorted_set(F.transform("_flags", lambda f: f["check"])).alias("checks"))
+    by_draft = aligned.select(id, said.alias("_x")).groupBy(id).agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x.dropFields("_n")).alias("sentences"))
+    out = rows.select(id, coverage.alias("coverage")).join(by_draft, id, "left")
+    count = lambda level: F.size(F.filter(F.coalesce("sentences", F.array()), lambda x: x["level"] == level)).alias(level)
+    covered = F.when(F.exists("coverage", lambda f: f["level"] == "fail"), "red").when(F.size("coverage") > 0, "amber").otherwise("green")
+    worst = worst_level(F.concat(F.array(covered), F.coalesce(F.transform("sentences", lambda x: x["level"]), none_of())))
+    return out.select(id, "coverage", "sentences", count("green"), count("amber"), count("red"), worst.alias("worst"))
+
+
 def tinted(draft: Column, flags: Column) -> Column:
     """Each draft sentence as ``struct<sentence, level>``: red or amber where the evidence of a failing or warning flag stands in it."""
     bare = lambda e: F.regexp_replace(e, "^(?:draft|source|declared|source hedge): |…", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, squeezed, word_shingles
+from ..sources.checkpoints import stored
 from .assemble import first_by
 from .graph import components
 
@@ -14,9 +15,14 @@ def by_id(rows: DataFrame, id: str, order: list[Column]) -> DataFrame:
     return first_by(rows, [id], order)
 
 
-def content_id(*texts: Column, chars: int = 120, digits: int = 10) -> Column:
-    """A short hash of the beginnings of the texts."""
-    return F.substr(F.md5(F.concat(*[F.left(t, F.lit(chars)) for t in texts])), F.lit(1), F.lit(digits))
+def content_id(*texts: Column, chars: int | None = None, digits: int = 10) -> Column:
+    """A short hash of the texts; with ``chars``, of that many characters of each only."""
+    return F.substr(F.md5(F.concat(*[F.left(t, F.lit(chars)) if chars else t for t in texts])), F.lit(1), F.lit(digits))
+
+
+def within(rows: DataFrame, chosen: DataFrame, id: str) -> DataFrame:
+    """The rows whose id is among the chosen."""
+    return rows.join(chosen.select(id).distinct(), id, "left_semi")
 
 
 def new_texts(rows: DataFrame, known: DataFrame, text: str, id: str) -> DataFrame:
@@ -26,37 +32,36 @@ def new_texts(rows: DataFrame, known: DataFrame, text: str, id: str) -> DataFram
     return first_by(fresh, ["_n"], [F.col(id)]).drop("_n")
 
 
-def _least(shingles: Column, k: int) -> Column:
-    """The least hash of the shingles under the permutation with seed ``k``."""
-    return F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(k), s)))
+def _shingled(rows: DataFrame, id: str, text: Column, words: int, pattern: str) -> DataFrame:
+    """(``id``, ``s``, ``h``): the distinct word shingles as 64-bit hashes, and a hash of their set; written down, for every step reads them."""
+    return stored(rows.where(text.isNotNull()).select(F.col(id).alias("id"), F.array_sort(F.transform(word_shingles(text, words, pattern), lambda x: F.xxhash64(x))).alias("s")).withColumn("h", F.xxhash64("s")), "shingles")
 
 
-def near_pairs(rows: DataFrame, id: str, text: Column, similarity: float = 0.85, bands: int = 12, width: int = 4, words: int = 3) -> DataFrame:
-    """(``a``, ``b``, ``similarity``) of ids whose word shingles have a Jaccard similarity of at least ``similarity``.
-
-    MinHash bands find candidates, the exact similarity decides. Equal texts have equal bands, so they are
-    reduced to one before banding and their pairs made of the groups; the shingle sets travel with the
-    candidates only.
-    """
-    base = rows.select(F.col(id).alias("id"), word_shingles(text, words).alias("s"))
-    base = base.withColumn("h", F.xxhash64(F.array_join(F.array_sort("s"), "\n")))
+def _near_pairs(base: DataFrame, similarity: float, bands: int, width: int) -> DataFrame:
+    """Equal sets have equal bands, so they are reduced to one before banding; the sets travel with the candidates only."""
     groups = base.groupBy("h").agg(F.min("id").alias("rep"))
-    reps = base.join(groups, (base["h"] == groups["h"]) & (F.col("id") == F.col("rep"))).select("id", "s")
-    signed = reps.withColumn("m", F.array(*[_least(F.col("s"), k) for k in range(bands * width)]))
-    keys = signed.select("id", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("m", b * width + 1, width)).alias("key")) for b in range(bands)])).alias("k")).select("id", "k.*")
+    reps = base.join(groups, "h").where("id = rep").select("id", "s")
+    least = lambda k: F.array_min(F.transform("s", lambda x: F.xxhash64(F.lit(k), x)))
+    band = lambda b: F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * width + k) for k in range(width)]).alias("key"))
+    keys = stored(reps.select("id", F.explode(F.array(*[band(b) for b in range(bands)])).alias("k")).select("id", "k.*"), "bands")
     pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     with_sets = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return with_sets.withColumn("similarity", F.round(jaccard(F.col("sa"), F.col("sb")), 6)).where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 
-def exact_groups(rows: DataFrame, id: str, text: Column, words: int = 3) -> DataFrame:
-    """(``id``, ``rep``): the least id with the same shingles."""
-    base = rows.select(F.col(id).alias("id"), F.xxhash64(F.array_join(F.array_sort(word_shingles(text, words)), "\n")).alias("h"))
-    return base.join(base.groupBy("h").agg(F.min("id").alias("rep")), "h").select("id", "rep")
+def near_pairs(rows: DataFrame, id: str, text: Column, similarity: float = 0.85, bands: int = 12, width: int = 4, words: int = 3, pattern: str = r"(?U)\w+") -> DataFrame:
+    """(``a``, ``b``, ``similarity``) of ids whose word shingles have a Jaccard similarity of at least ``similarity``.
+
+    MinHash bands find candidates, the exact similarity of the shingles' 64-bit hashes decides. Of equal texts
+    the one of least id stands for all. Null texts have no pair.
+    """
+    return _near_pairs(_shingled(rows, id, text, words, pattern), similarity, bands, width)
 
 
 def near_classes(rows: DataFrame, id: str, text: Column, similarity: float = 0.85, exempt: Column | None = None) -> DataFrame:
     """(``id``, ``keep``): the least id of each class of near-duplicates; exempt rows are classes of their own."""
     used = rows.where(~exempt) if exempt is not None else rows
-    links = near_pairs(used, id, text, similarity).select("a", "b").unionByName(exact_groups(used, id, text).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    base = _shingled(used, id, text, 3, r"(?U)\w+")
+    equal = base.select("id", "h").join(base.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "h").where("id <> rep")
+    links = _near_pairs(base, similarity, 12, 4).select("a", "b").unionByName(equal.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     return rows.select(F.col(id).alias("id")).join(components(links), "id", "left").select("id", F.coalesce("root", "id").alias("keep"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.checkpoints import stored
+from ..sources.checkpoints import discard, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: each smaller neighbour of u, and u, is tied to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        edges, last = stored(small.where("u <> v").distinct(), "edges"), edges
+        discard(last)
         now = signature(edges)
         if now == before:
             roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

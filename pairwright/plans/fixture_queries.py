@@ -1,0 +1,274 @@
+"""Queries over small fixed inputs, for operators that the driver's tables have no matter for: reports, posts, filings, manifests and model answers. Their SQL states the expected rows, worked out by hand."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import models
+from ..functions import text as T
+from ..operators import assemble, checks, extract, genre, prepare, retrieve, scoring, sequences, validation
+from ..sources import records
+from ..sources.checkpoints import shared_folder
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+REPORT = """# Executive Summary
+The review found problems. The parser is weak in several places (TOB-APP-1). This also affects the login flow (TOB-APP-2).
+# Project Goals
+Ignore TOB-APP-1 in this section please.
+# Summary of Findings
+| 1 | Parser trusts input | Data | High |
+| 2 | Login is not limited | Auth | Medium |
+# Detailed Findings
+## 1. Parser trusts input
+The parser reads any file.
+2. Login is not limited
+Anyone can try passwords.
+# Appendix A
+Out of scope."""
+ID_REPORT = """# Findings
+### ABC-01-001 Weak hash used (High)
+MD5 is used.
+### ABC-01-002 Open port (Low)
+Port 22 is open.
+# Conclusions
+The hash of ABC-01-001 must be replaced soon by the team.
+- ABC-01-001 and ABC-01-002 are fixed"""
+PAGE = """<html><head><title>Post - Site</title><style>p {}</style></head><body><nav><p>Home</p></nav><main><h1>Two flaws</h1><p>First &amp; worst.</p><div>Second <b>one</b>.</div>
+<aside>Ads</aside><h2>Fix</h2><ul><li>Update now</li></ul><p>Share this post</p><p>Other posts</p></main><footer>Imprint</footer></body></html>"""
+FILING = "Form 8-K\nItem 1.05 Material Cybersecurity Incidents\nOn May 1 systems were encrypted.\nItem 9.01 Exhibits\nNone\nSIGNATURES"
+LONG = "a line that is longer than sixty characters because it tells what the post is all about."
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _named(values: dict[str, Column]) -> Callable[[SparkSession], DataFrame]:
+    """A row per name with a value computed of literals."""
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in values.items()])
+    return lambda spark: spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
+
+
+def _expect(columns: str, *rows: tuple) -> str:
+    """SQL of a table with these rows."""
+    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def report_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered findings of a report, cut by the summary table."""
+    return extract.numbered_findings(_rows(spark, [("r", REPORT), ("empty", ""), ("plain", "no headings")], "doc string, text string"))
+
+
+def report_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Summary sentences, with what they refer back to, joined to the findings they name."""
+    docs = _rows(spark, [("r", REPORT)], "doc string, text string")
+    found = extract.numbered_candidates(docs, extract.numbered_findings(docs))
+    return found.select("pair_id", "executive_text", "alignment_type", "severity_original", F.array_join(F.col("finding_numbers").cast("array<string>"), ",").alias("numbers"))
+
+
+def report_table(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _rows(spark, [(REPORT,)], "text string").select(F.explode(sequences.numbered_table(F.col("text"))).alias("t"))
+    return rows.select("t.number", "t.title", "t.severity")
+
+
+def report_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a section between two headings, and a document's sections as a pair."""
+    docs = _rows(spark, [("r", REPORT)], "doc string, text string")
+    lines = extract.between(extract.doc_lines(docs), r"^Project Goals$", r"^Summary").select(F.lit("between").alias("kind"), F.col("t").alias("text"))
+    pair = extract.section_pairs(docs, r"^Project Goals$", r"^Appendix A$", least=5)
+    return lines.unionByName(pair.select(F.lit("executive").alias("kind"), F.col("executive_text").alias("text"))).unionByName(pair.select(F.lit("technical").alias("kind"), F.col("technical_text").alias("text")))
+
+
+def id_report_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.id_findings(_rows(spark, [("b", ID_REPORT)], "doc string, text string"))
+
+
+def id_report_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _rows(spark, [("b", ID_REPORT)], "doc string, text string")
+    found = extract.id_candidates(docs, extract.id_findings(docs))
+    return found.select("technical_context", "executive_text", "alignment_type", "exec_span_kind", F.array_join("cited_ids", ",").alias("cited"))
+
+
+def antecedents(spark: SparkSession, folder: str) -> DataFrame:
+    said = ["The parser is weak.", "It reads all", "This is bad.", "Nothing else."]
+    return extract.with_antecedents(_rows(spark, [("d", 0, k, s) for k, s in enumerate(said)], "doc string, para int, s int, sentence string")).select("s", "span")
+
+
+PARAGRAPHS = [("d", 1, "A", "The tool failed."), ("d", 2, "A", "The log was lost."), ("d", 3, "A", "As paragraphs 1 to 2 say, the duty was breached."), ("d", 4, "B", "Unrelated."), ("d", 5, "A", "The duty, paragraph 2, stands.")]
+
+
+def legal_citations(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs that cite others by range, with the cited texts."""
+    found = extract.cited_paragraphs(_rows(spark, PARAGRAPHS, "doc string, num int, section string, text string"))
+    return found.select("citing", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.array_join(T.run_lengths(F.col("cited")), ",").alias("runs"), "technical_text")
+
+
+def legal_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Legal paragraphs with the technical ones of their section that they do not cite."""
+    rows = _rows(spark, PARAGRAPHS, "doc string, num int, section string, text string")
+    return extract.same_section(rows, F.col("text").contains("duty"), extract.cited_paragraphs(rows)).select("legal_num", "num")
+
+
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    page = F.lit(PAGE)
+    return _named({"article": prepare.article_markdown(page), "post": prepare.post_paragraphs(page), "sections": F.array_join(F.transform(sequences.html_sections(page), lambda s: F.concat(s["heading"], F.lit("="), s["body"])), "|"), "no html": prepare.article_markdown(F.lit("plain words"))})(spark)
+
+
+def heads_and_items(spark: SparkSession, folder: str) -> DataFrame:
+    return _named({
+        "head": prepare.clean_head(F.lit(f"Menu\nHome / Blog\n{LONG}\nlast")), "no head": prepare.clean_head(F.lit(" short \nlines ")), "stripped": prepare.stripped(F.lit("# Title\nbody <!-- x\ny --> and\n## Sub\n more")),
+        "item": prepare.item_passage(F.lit(FILING)), "no item": F.coalesce(prepare.item_passage(F.lit("Item 9.01")), F.lit("none")), "short": prepare.length_reason(F.lit("abc"), 5, 9), "long": prepare.length_reason(F.lit("abcdefghij"), 5, 9), "fits": F.coalesce(prepare.length_reason(F.lit("abcdefg"), 5, 9), F.lit("fits")),
+        "contracted": prepare.cover_licence(F.lit("Audit by KPMG\nExecutive Summary\nfine"), "^Executive Summary"), "own": prepare.cover_licence(F.lit("Audit\nExecutive Summary\nby KPMG"), "^Executive Summary"), "banner": extract.banner(F.lit("Management  Advisory only"), ("management advisory",)),
+    })(spark)
+
+
+def article_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [("Heartbleed", "Heartbleed is a security bug in a widely used library for encrypted traffic. More.\n\nSecond.", ["History", "Behavior"]), ("2014 Acme data breach", "It was in the news for many weeks of that year and cost much. More.", ["History"])]
+    return _rows(spark, rows, "title string, lead string, headings array<string>").select("title", prepare.scope_reasons(F.col("title"), F.col("lead"), F.col("headings")).alias("reasons"))
+
+
+def post_reports(spark: SparkSession, folder: str) -> DataFrame:
+    mapping = _rows(spark, [("one", ["r1", "r2", "gone"]), ("short", ["r1"])], "slug string, reports array<string>")
+    posts = _rows(spark, [("one", f"Menu\n{LONG} {LONG}"), ("short", "too short")], "slug string, text string")
+    reports = _rows(spark, [("r1", "t1"), ("r2", "t2")], "report string, text string")
+    return prepare.posts_with_reports(mapping, posts, reports, least=100).select("slug", "report", "technical_text")
+
+
+def text_forms(spark: SparkSession, folder: str) -> DataFrame:
+    clip = T.clip_at_word(F.lit("alpha beta gamma"), 12)
+    return _named({
+        "prose": F.array_join(T.prose_sentences(F.lit("Dr. Smith found the first flaw there. Then e.g. Two more were found. (All fixed now.)")), "|"), "canonical": T.canonical(F.lit("“It’s” —  a test")), "padded": T.padded(F.lit("SQL-Injection!")), "slug": T.slug(F.lit("Cure53: Audit #2")),
+        "clip": clip["text"], "cut": clip["cut"], "display": assemble.display_clip(F.lit("short"), 9), "head and tail": T.head_and_tail(F.lit("abcdefghij"), 4, "~"), "quantified": T.is_quantified(F.lit("5 of the systems")), "not quantified": T.is_quantified(F.lit("one of 5")),
+        "json": T.first_json_object(F.lit('```json\n{"a": 1}\n```')), "no json": F.coalesce(T.first_json_object(F.lit("none")), F.lit("null")), "year": F.coalesce(assemble.clean_year(F.lit("2024")).cast("string"), F.lit("null")), "bad year": F.coalesce(assemble.clean_year(F.lit("1066")).cast("string"), F.lit("null")),
+        "severity": assemble.clean_severity(F.lit(" Info ")), "title": extract.title_like(F.lit("Parser trusts input"), F.lit("Parser trusts inputs from users")), "other title": extract.title_like(F.lit("Parser trusts input"), F.lit("Login limits")), "ranges": F.to_json(sequences.paragraph_ranges(F.lit("paragraphs 13 to 29, 31"))),
+        "headings": F.array_join(F.transform(sequences.markdown_headings(F.lit("# A\nx\n## B  c")), lambda h: F.concat_ws(":", h["line"], h["level"], h["title"])), ","), "concept": prepare.concept_label(F.lit("Buffer overflow (heap) explained")), "terms": F.array_join(prepare.match_terms(F.lit("Cross-site scripting attack"), {"cross.site": ("xss",)}, ("attack",)), ","),
+        "limit": F.to_json(scoring.parsed_limit(F.lit("120 to 180 words"))), "no limit": F.coalesce(F.to_json(scoring.parsed_limit(F.lit("brief"))), F.lit("null")), "softmax": F.array_join(F.transform(T.softmax(F.array(F.lit(0.0), F.log(F.lit(3.0)))), lambda x: F.round(x, 4).cast("string")), ","), "json in script": records.script_safe_json(F.struct(F.lit("<b>&").alias("x"))),
+    })(spark)
+
+
+def quotes(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.lit("The  quick\nbrown fox jumps over the lazy dog")
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in ((23, 28), (5, 10), (11, 16))])
+    return _named({
+        "slice": T.verbatim_slice(text, F.lit("quick brown fox")), "no slice": F.coalesce(T.verbatim_slice(text, F.lit("quick red fox")), F.lit("null")), "holds": T.holds_verbatim(text, F.lit("brown  fox jumps")), "ordered": T.quote_match(text, F.lit("The quick ... lazy dog")),
+        "unordered": T.quote_match(text, F.lit("lazy dog ... quick")), "none": T.quote_match(text, F.lit("no such ... dog")), "verbatim": T.quote_match(text, F.lit("Brown fox")), "merged": prepare.merged_spans(F.lit("The  quick brown fox  jumps over"), spans), "canonical": validation.canonical_halves(F.lit("It's “so”"), F.lit("now  It’s \"so\" - yes")),
+    })(spark)
+
+
+def anchored_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """A model's quotes, looked up in the draft."""
+    answers = _rows(spark, [(1, "q1", "Quick  BROWN"), (1, "q2", "red fox"), (1, "q3", "th")], "id int, question string, quote string")
+    return genre.anchored(answers, _rows(spark, [(1, "The quick brown fox")], "id int, text string"), "id").select("question", "is_anchored")
+
+
+def manifest_urls(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _rows(spark, [("org__longname__x.pdf", ""), ("kept", "http://own"), ("none", "")], "doc string, url string")
+    manifest = _rows(spark, [("longname", "http://late", 2), ("longname", "http://early", 1), ("kept", "http://other", 1), ("org", "http://short", 1)], "key string, url string, manifest_order int")
+    return assemble.url_by_alias(docs, manifest).select("doc", "url")
+
+
+def weak_names(spark: SparkSession, folder: str) -> DataFrame:
+    names = _rows(spark, [("Acme Security Review 2024",), ("short",)], "name string")
+    return scoring.weak_name_matches(names, _rows(spark, [("security-review-2024",), ("acme_security_review_2024_final",), ("unrelated document",), ("short",)], "key string"))
+
+
+def written_files(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines with a form feed and a malformed line, manifests of both shapes, and documents whose names tell their source."""
+    place = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+    def put(name: str, text: str) -> str:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n\n\n\n").text(f"{place}/{name}")  # a tiny file
+        return f"{place}/{name}"
+
+    good, bad = records.read_json_lines(spark, put("lines", '{"pair_id": "1", "technical_text": "form\\ffeed"}\n\n{broken\n{"pair_id": "2", "other": 1}'), records.CANDIDATE)
+    listed, named = records.read_manifest(spark, put("list", '[{"id": "x", "url": "u1"}]')), records.read_manifest(spark, put("object", '{"k": {"id": "y", "url": "u2"}}'))
+    docs = records.read_documents(spark, put("docs", "line one\nline two"), "*.txt")
+    return (
+        good.select(F.lit("good").alias("what"), F.coalesce(F.replace("technical_text", F.lit("\f"), F.lit("^L")), F.lit("null")).alias("value")).unionByName(bad.select(F.lit("bad").alias("what"), "value"))
+        .unionByName(listed.select(F.lit("list").alias("what"), F.concat_ws("=", "id", "url").alias("value"))).unionByName(named.select(F.lit("object").alias("what"), F.concat_ws("=", "id", "url").alias("value"))).unionByName(docs.select(F.lit("doc").alias("what"), F.regexp_replace(F.trim("text"), r"\n+$", "").alias("value")))
+    )
+
+
+def model_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags and levels from given scores of contradiction, neutral and entailment; and conditions by given vectors."""
+    rows = _rows(spark, [("It allows reading all data", [3.0, 0.0, 0.0]), ("It allows reading some data", [0.0, 0.0, 3.0]), ("It allows reading no data", [0.0, 3.0, 0.0]), ("Fine weather today again", [3.0, 0.0, 0.0])], "s string, l array<double>")
+    vectors = checks.caveat_parity_vectors(F.array(F.lit("only if a"), F.lit("only if b")), F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))), F.array(F.array(F.lit(0.9), F.lit(0.1))))
+    lost = spark.range(1).select(F.lit("vectors").alias("s"), F.array_join(F.flatten(F.transform(vectors, lambda f: f["evidence"])), "|").alias("flags"), F.lit("").alias("level"))
+    return rows.select("s", F.array_join(F.transform(models.entailment_flags(F.col("s"), F.col("l")), lambda f: f["check"]), ",").alias("flags"), models.reviewed_level(F.lit("green"), F.col("s"), F.col("l")).alias("level")).unionByName(lost)
+
+
+def concept_analogies(spark: SparkSession, folder: str) -> DataFrame:
+    queries = _rows(spark, [(1, "a buffer overflow in the heap"), (2, "nothing")], "id int, t string")
+    library = _rows(spark, [("mailbox", "buffer overflow", 0.5), ("mailbox", "heap", 0.5), ("key", "heap", 0.9)], "concept string, term string, confidence double")
+    return retrieve.analogies(queries, library, "id", "t")
+
+
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """A model that likes the second hit better, then the prompt with the most similar last."""
+    hits = _rows(spark, [(1, 10, 1), (1, 11, 2)], "query int, match int, rank int")
+    texts = _rows(spark, [(10, "s1", "d1"), (11, "s2", "d2")], "match int, source_text string, draft_text string")
+    ranked = models.reranked(hits, lambda h: h.withColumn("relevance", F.col("match").cast("double")))
+    return retrieve.prompt(ranked, texts, "Head").select("query", "prompt")
+
+
+def concept_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Concepts as vectors: of each the nearest other."""
+    rows = _rows(spark, [(1, "heap :: the parser leaks memory"), (2, "leak :: memory leaks in the parser heap"), (3, "bill :: billing page")], "id int, t string")
+    return retrieve.top_k(*(models.embedded(rows, "t"),) * 2, "id", "vector", 1, least=0.3).select("query", "match")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    report_findings, report_candidates, report_table, report_sections, id_report_findings, id_report_candidates, antecedents, legal_citations, legal_neighbours, page_texts, heads_and_items, article_scopes,
+    post_reports, text_forms, quotes, anchored_answers, manifest_urls, weak_names, written_files, model_checks, concept_analogies, prompts, concept_vectors,
+)}
+
+ORACLE: dict[str, str] = {
+    "report_findings": _expect("doc, number, title, severity, text", ("r", 1, "Parser trusts input", "High", "The parser reads any file."), ("r", 2, "Login is not limited", "Medium", "Anyone can try passwords.")),
+    "report_candidates": _expect(
+        "pair_id, executive_text, alignment_type, severity_original, numbers", ("r#s0.1-f1", "The parser is weak in several places (TOB-APP-1)", "1:1", "High", "1"),
+        ("r#s0.2-f2", "The parser is weak in several places (TOB-APP-1). This also affects the login flow (TOB-APP-2).", "1:1", "Medium", "2"),
+    ),
+    "report_table": _expect("number, title, severity", (1, "Parser trusts input", "High"), (2, "Login is not limited", "Medium")),
+    "report_sections": _expect("kind, text", ("between", "Ignore TOB-APP-1 in this section please."), ("executive", "Ignore TOB-APP-1 in this section please."), ("technical", "Out of scope.")),
+    "id_report_findings": _expect("doc, fid, title, severity, text", ("b", "ABC-01-001", "Weak hash used", "High", "MD5 is used."), ("b", "ABC-01-002", "Open port", "Low", "Port 22 is open.")),
+    "id_report_candidates": _expect(
+        "technical_context, executive_text, alignment_type, exec_span_kind, cited", ("ABC-01-001 Weak hash used", "The hash of ABC-01-001 must be replaced soon by the team.", "1:1", "prose", "ABC-01-001"),
+        ("ABC-01-001 Weak hash used", "- ABC-01-001 and ABC-01-002 are fixed", "1:N", "bullet_list", "ABC-01-001,ABC-01-002"), ("ABC-01-002 Open port", "- ABC-01-001 and ABC-01-002 are fixed", "1:N", "bullet_list", "ABC-01-001,ABC-01-002"),
+    ),
+    "antecedents": _expect("s, span", (0, "The parser is weak."), (1, "The parser is weak. It reads all"), (2, "The parser is weak. It reads all. This is bad."), (3, "Nothing else.")),
+    "legal_citations": _expect("citing, cited, runs, technical_text", (3, "1,2", "P1-P2", "The tool failed.\n\nThe log was lost."), (5, "2", "P2", "The log was lost.")),
+    "legal_neighbours": _expect("legal_num, num", (5, 1)),
+    "page_texts": _expect(
+        "name, value", ("article", "# Two flaws\nFirst & worst.\nSecond one .\n## Fix\nUpdate now"), ("post", "First & worst.\nFix\nUpdate now"), ("sections", "Fix=Update now Share this post Other posts"), ("no html", "plain words"),
+    ),
+    "heads_and_items": _expect(
+        "name, value", ("head", f"{LONG}\nlast"), ("no head", "short \nlines"), ("stripped", "body and more"), ("item", "Item 1.05 Material Cybersecurity Incidents\nOn May 1 systems were encrypted."), ("no item", "none"), ("short", "too short"), ("long", "too long"), ("fits", "fits"),
+        ("contracted", "us-gov-contracted-verify"), ("own", "public-domain-us-gov"), ("banner", "true"),
+    ),
+    "article_scopes": _expect("title, reasons", ("Heartbleed", ""), ("2014 Acme data breach", "title out of scope; no technical heading; lead of one paragraph; first sentence names no topic")),
+    "post_reports": _expect("slug, report, technical_text", ("one", "r1", "t1"), ("one", "r2", "t2")),
+    "text_forms": _expect(
+        "name, value", ("prose", "Dr. Smith found the first flaw there|Then e.g. Two more were found"), ("canonical", "\"It's\" - a test"), ("padded", " sql injection "), ("slug", "cure53-audit-2"), ("clip", "alpha beta"), ("cut", "true"), ("display", "short"),
+        ("head and tail", "ab~ij"), ("quantified", "true"), ("not quantified", "false"), ("json", '{"a": 1}'), ("no json", "null"), ("year", "2024"), ("bad year", "null"), ("severity", "informational"), ("title", "true"), ("other title", "false"), ("ranges", '[{"a":13,"b":29},{"a":31,"b":31}]'),
+        ("headings", "0:1:A,2:2:B c"), ("concept", "Buffer overflow"), ("terms", "xss,cross,site,scripting"), ("limit", '{"unit":"words","most":180.0,"measurable":true}'), ("no limit", "null"), ("softmax", "0.25,0.75"), ("json in script", '{"x":"\\u003cb\\u003e\\u0026"}'),
+    ),
+    "quotes": _expect(
+        "name, value", ("slice", "quick\nbrown fox"), ("no slice", "null"), ("holds", "true"), ("ordered", "ordered"), ("unordered", "unordered"), ("none", "none"), ("verbatim", "verbatim"), ("merged", "quick brown umps "), ("canonical", "true"),
+    ),
+    "anchored_answers": _expect("question, is_anchored", ("q1", True), ("q2", False), ("q3", False)),
+    "manifest_urls": _expect("doc, url", ("org__longname__x.pdf", "http://early"), ("kept", "http://own"), ("none", "")),
+    "weak_names": _expect("name, key", ("Acme Security Review 2024", "security-review-2024"), ("Acme Security Review 2024", "acme_security_review_2024_final")),
+    "written_files": _expect("what, value", ("good", "form^Lfeed"), ("good", "null"), ("bad", "{broken"), ("list", "x=u1"), ("object", "y=u2"), ("doc", "line one\nline two")),
+    "model_checks": _expect(
+        "s, flags, level", ("It allows reading all data", "nli_contradiction", "red"), ("It allows reading some data", "", "green"), ("It allows reading no data", "nli_unsupported", "amber"), ("Fine weather today again", "", "red"), ("vectors", "only if b", ""),
+    ),
+    "concept_analogies": _expect("query, concept, points", (1, "mailbox", 6)),
+    "prompts": _expect("query, prompt", (1, "Head\n\nSource: s1\nDraft: d1\n\nSource: s2\nDraft: d2")),
+    "concept_vectors": _expect("query, match", (1, 2), (2, 1)),
+}

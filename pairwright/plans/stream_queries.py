@@ -16,11 +16,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def incremental_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in three overlapping files, streamed one by one into a table with one row per event."""
+    """Events in three overlapping sets of files, streamed one by one into a table with one row per event."""
     place = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     events = table(spark, folder, "events").select("event_id", "event_type", "value")
     for part in range(3):
-        events.where((F.col("event_id") % 3 == part) | (F.col("event_id") % 10 == 0)).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        events.where((F.col("event_id") % 3 == part) | (F.col("event_id") % 10 == 0)).write.mode("append").parquet(f"{place}/in")
     query = run_incrementally(stream_files(spark, f"{place}/in", events.schema), lambda rows: rows.where("value >= 0"), f"{place}/out", f"{place}/state", "event_id")
     query.awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{place}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))

@@ -36,9 +36,9 @@ def content_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contamination_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold the beginning (8 words) of a benchmark item, but for white space: by the phrase's first word pairs."""
+    """Documents that hold any eight words in a row of a benchmark item, but for white space."""
     docs = table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(_grams(F.col("text")))).alias("g"))
-    items = table(spark, folder, "benchmark").select("item_id", F.get(_grams(F.col("text")), F.lit(0)).alias("g")).where("g is not null")
+    items = table(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(_grams(F.col("text")))).alias("g"))
     return docs.join(items, "g").select("doc_id", "item_id").distinct()
 
 
@@ -120,7 +120,7 @@ def drop_accounting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def group_synthesis(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").where("l_orderkey % 10 = 0")
+    lines = table(spark, folder, "lineitem")
     sev = F.element_at(F.array(*map(F.lit, ("Low", "Info", "High", "Critical", "Medium"))), (F.col("l_partkey") % 5 + 1).cast("int"))
     rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("string").alias("pair_id"), F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("technical_context"), sev.alias("severity_original"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("technical_text"), F.array(F.col("l_partkey").cast("string")).alias("numeric_facts"))
     out = assemble.group_pairs(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
@@ -275,8 +275,8 @@ ORACLE: dict[str, str] = {
     "near_dup_pairs": f"WITH {_SHINGLE_SQL}, h AS (SELECT doc_id, md5(array_to_string(list_sort(g), chr(10))) AS h FROM g), r AS (SELECT min(doc_id) AS doc_id FROM h GROUP BY h) SELECT a, b, similarity FROM j WHERE a IN (SELECT doc_id FROM r) AND b IN (SELECT doc_id FROM r)",
     "near_dup_keep": f"WITH RECURSIVE {_SHINGLE_SQL}, l AS (SELECT a AS x, b AS y FROM j UNION ALL SELECT b, a FROM j), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y) SELECT x AS doc_id, min(y) AS keep FROM reach GROUP BY x",
     "exact_dup_groups": "SELECT sha256(text) AS sha, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS members FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "content_hash_dedup": "SELECT substr(md5(left(text, 120) || left(lang, 120)), 1, 10) AS cid, min(doc_id) AS doc_id FROM documents GROUP BY 1",
-    "contamination_hits": rf"WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), d AS (SELECT DISTINCT doc_id, unnest({_TEXT8}) AS g FROM w WHERE len(w) >= 8), b AS (SELECT item_id, array_to_string(w[1:8], ' ') AS g FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark) WHERE len(w) >= 8) SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (g)",
+    "content_hash_dedup": "SELECT substr(md5(text || lang), 1, 10) AS cid, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "contamination_hits": rf"WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), d AS (SELECT DISTINCT doc_id, unnest({_TEXT8}) AS g FROM w WHERE len(w) >= 8), b AS (SELECT item_id, unnest({_TEXT8}) AS g FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark) WHERE len(w) >= 8) SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (g)",
     "hash_split": f"SELECT doc_id, round({_SHARE.format('doc_id')}, 9) AS share, {_SPLIT.format('doc_id')} AS split FROM documents",
     "split_counts": f"SELECT {_SPLIT.format('doc_id')} AS split, count(*) AS n FROM documents GROUP BY 1",
     "ood_split": f"SELECT CASE WHEN o_orderstatus = 'P' THEN 'test_ood_style' WHEN year(o_orderdate) >= 2026 THEN 'test_ood_temporal' ELSE {_SPLIT.format('o_orderkey')} END AS split, count(*) AS n FROM orders GROUP BY 1",
@@ -289,9 +289,9 @@ ORACLE: dict[str, str] = {
     "verdict_merge": "SELECT doc_id AS pair_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN toxic = 1 THEN 'unaligned' ELSE 'partial' END WHEN quality = 1 THEN 'aligned' ELSE 'unaligned' END AS alignment_label FROM labels",
     "two_model_vote": "WITH a AS (SELECT doc_id, quality = 1 AS p FROM labels WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, toxic = 0 AS p FROM labels WHERE doc_id % 7 <> 0) SELECT doc_id, CASE WHEN a.p AND b.p THEN 'aligned' WHEN a.p <> b.p THEN 'partial' WHEN NOT a.p AND NOT b.p THEN 'unaligned' END AS label, a.p <> b.p AS disagree FROM a FULL JOIN b USING (doc_id)",
     "majority_vote": "WITH c AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL), m AS (SELECT conv_id, arg_min(role, (-n, role)) AS label, count(*) = 1 AS agree FROM c GROUP BY 1) SELECT conv_id, label, round(avg(length(text) % 7 / 7.0), 3) AS confidence, count(*) AS passes, any_value(agree) AS agree FROM conversations JOIN m USING (conv_id) GROUP BY conv_id, label",
-    "publication_gate": "SELECT doc_id, CASE WHEN l IS NULL THEN 'licence_unknown' WHEN l <> 'apache-2.0' THEN 'licence_closed' WHEN mail THEN 'pii' ELSE 'kept' END AS reason FROM (SELECT doc_id, CASE WHEN contains(text, 'Apache License') THEN 'apache-2.0' WHEN contains(text, 'CC BY-NC') THEN 'cc-by-nc-4.0' END AS l, regexp_matches(left(text, 8000), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS mail FROM documents)",
+    "publication_gate": "SELECT doc_id, CASE WHEN l IS NULL THEN 'licence_unknown' WHEN l <> 'apache-2.0' THEN 'licence_closed' WHEN mail THEN 'pii' ELSE 'kept' END AS reason FROM (SELECT doc_id, CASE WHEN contains(text, 'Apache License') THEN 'apache-2.0' WHEN contains(text, 'CC BY-NC') THEN 'cc-by-nc-4.0' END AS l, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS mail FROM documents)",
     "drop_accounting": f"WITH {_GATED} SELECT tag, CASE WHEN doc_id % 11 = 0 THEN 'near_duplicate' WHEN NOT doclevel AND needs AND label IS NULL THEN 'unverified_pending' WHEN NOT doclevel AND label = 'unaligned' THEN 'verifier_unaligned' ELSE 'kept' END AS reason, count(*) AS n FROM d LEFT JOIN v USING (doc_id) GROUP BY ALL",
-    "group_synthesis": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber AS VARCHAR) AS pair_id, CAST(l_partkey AS VARCHAR) AS p, ['Low','Info','High','Critical','Medium'][l_partkey % 5 + 1] AS sev, [4,2,6,7,5][l_partkey % 5 + 1] AS rank FROM lineitem WHERE l_orderkey % 10 = 0)
+    "group_synthesis": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber AS VARCHAR) AS pair_id, CAST(l_partkey AS VARCHAR) AS p, ['Low','Info','High','Critical','Medium'][l_partkey % 5 + 1] AS sev, [4,2,6,7,5][l_partkey % 5 + 1] AS rank FROM lineitem)
         SELECT l_orderkey, count(*) AS n_members, arg_min(pair_id, l_linenumber) AS first_id, arg_max(sev, rank) AS severity_original, array_to_string(list_sort(list_distinct(list(p)))[1:40], ',') AS facts,
                md5(left(string_agg('[item ' || p || '] (severity: ' || sev || ')' || chr(10) || 'part ' || p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey), 14000)) AS text_md5 FROM x GROUP BY l_orderkey HAVING count(*) > 1""",
     "nearest_lower_host": "WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events), w AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER o AS h, last_value(CASE WHEN event_type = 'purchase' THEN at_s END IGNORE NULLS) OVER o AS ha FROM e WINDOW o AS (PARTITION BY user_id ORDER BY at_s, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, CASE WHEN at_s - ha <= 86400 THEN h END AS host, CASE WHEN at_s - ha <= 86400 THEN at_s - ha END AS gap FROM w WHERE event_type <> 'purchase'",

@@ -6,10 +6,9 @@ from pathlib import Path
 import __spark_entry__
 import duckdb
 import pytest
-from pairwright.plans import check_queries, genre_queries, stream_queries, table_queries
+from pairwright.plans import PLANS
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-PLANS = (check_queries, table_queries, stream_queries, genre_queries)
 NAMES = [n for p in PLANS for n in p.QUERIES]
 SQL = {n: s for p in PLANS for n, s in p.ORACLE.items()}
 
@@ -18,7 +17,7 @@ SQL = {n: s for p in PLANS for n, s in p.ORACLE.items()}
 def duck():
     con = duckdb.connect()
     for path in Path(FOLDER).glob("*.parquet"):
-        con.sql(f"CREATE TABLE {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
