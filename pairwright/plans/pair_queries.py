@@ -368,7 +368,7 @@ ORACLE: dict[str, str] = {
         i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
         SELECT a, b, round(k / (na.n + nb.n - k), 6) AS similarity FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE round(k / (na.n + nb.n - k), 6) >= 0.82""",
     "ocr_needed": "SELECT source, avg(CAST(length(text) < 600 AS INTEGER)) > 0.3 AS ocr FROM documents GROUP BY 1",
-    "parser_choice": r"""WITH t AS (SELECT doc_id, left(lower(left(text, CAST(floor(length(text) / 2) AS INTEGER))), 3000) AS h, left(lower(text), 3000) AS w FROM documents), k AS (SELECT doc_id, len(regexp_extract_all(h, '\S+')) >= 20 AND len(regexp_extract_all(h, '\b(?:the|of|and|to|in|a|is|that|for|with)\b')) >= 3 AS h, len(regexp_extract_all(w, '\S+')) >= 20 AND len(regexp_extract_all(w, '\b(?:the|of|and|to|in|a|is|that|for|with)\b')) >= 3 AS w FROM t)
+    "parser_choice": r"""WITH t AS (SELECT doc_id, left(lower(left(text, CAST(floor(length(text) / 2) AS INTEGER))), 3000) AS h, left(lower(text), 3000) AS w FROM documents), k AS (SELECT doc_id, len(regexp_extract_all(h, '\S+')) >= 20 AND len(list_filter(regexp_extract_all(h, '[\p{L}\p{N}_]+'), lambda x: list_contains(['the','of','and','to','in','a','is','that','for','with'], x))) >= 3 AS h, len(regexp_extract_all(w, '\S+')) >= 20 AND len(list_filter(regexp_extract_all(w, '[\p{L}\p{N}_]+'), lambda x: list_contains(['the','of','and','to','in','a','is','that','for','with'], x))) >= 3 AS w FROM t)
         SELECT doc_id, CASE WHEN h THEN 'half' WHEN w THEN 'whole' ELSE 'none' END AS via FROM k""",
     "round_trips": "SELECT 'json' AS what, count(*) AS n FROM labels UNION ALL SELECT 'csv', count(*) FROM nation UNION ALL SELECT 'kept', count(*) FROM labels WHERE quality IS DISTINCT FROM 0 UNION ALL SELECT 'dead', count(*) FROM labels WHERE quality = 0 UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) FROM benchmark) UNION ALL SELECT 'vectors', count(*) FROM embeddings",
     "short_keys": """SELECT '{"n":"' || n_name || '","r":"' || n_regionkey || '"}' AS value FROM nation""",
