@@ -162,7 +162,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     """(``id``, ``class_id``) for each row of ``docs``: the least id of the component of texts whose bags of word
     shingles overlap by at least ``similarity`` (weighted Jaccard), directly or over others.
 
-    Texts with equal bags are copies: they are collapsed by hash before anything is paired. The rest are banded;
+    Ids are whole numbers. Texts with equal bags are copies: they are collapsed by hash before anything is paired. The rest are banded;
     colliding ids are verified on their whole texts. Words are lower-case runs of letters and digits; a text of
     fewer than ``width`` words is one shingle; null and wordless texts are in classes of their own. Rows that
     share an id are one document, with the texts of all; a null id has a null class. An empty table gives an empty one.

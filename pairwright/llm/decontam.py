@@ -205,7 +205,7 @@ def _merge(spans: Column) -> Column:
 
 
 def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = 10, slop: int | None = None, query_words: int = QUERY_WORDS) -> DataFrame:
-    """Per indexed document: ``id``, ``n_words``, ``spans`` (word positions inside any match, merged) and ``items`` (names of matching items, sorted as strings).
+    """Per indexed document: ``id`` (a whole number or null), ``n_words``, ``spans`` (word positions inside any match, merged) and ``items`` (names of matching items, sorted as strings).
 
     Each shard looks up a window's words, takes the shortest posting list, and intersects the others with it,
     moved by their offsets, from the rarest on. ``slop`` None: exact phrases; a number: proximity, all words of a

@@ -290,7 +290,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
     digits) that repeat what stands in an earlier place, as paragraphs or as passages inside them. Of equal
     paragraphs, and of those that are alike, the first by document and line is none.
 
-    Null, wordless and short texts have no span. Rows that share an id are one document, of which equal rows
+    Ids are whole numbers. Null, wordless and short texts have no span. Rows that share an id are one document, of which equal rows
     count once; rows with a null id have no span. An empty table gives an empty one.
     """
     marks = _marked(docs, id, text, min_words, tuned_bands(similarity), gram, reach)

@@ -69,3 +69,26 @@ def test_signatures_are_unbiased(text):
     b = bag(words_of(edited(text(1, 300), [5, 90, 170, 250], "z") + " " + " ".join(["same five words in turn"] * 50)), known)
     s = signatures([a, b], 2048)
     assert abs((s[0] == s[1]).mean() - overlap(a, b)) < 0.05
+
+
+@pytest.mark.parametrize("similarity,recall", [(0.8, 0.99), (0.85, 0.999)])
+def test_recall_of_bands_and_sketches(similarity, recall):
+    """Of random bags of that weighted similarity: how many share a band and pass the limits of both sketches."""
+    import numpy as np
+    from pairwright.llm.store import FINE, PLANES, most_different
+    from pairwright.llm.text import mixed, sketch
+
+    rng, n, size = np.random.default_rng(5), 600, 60
+    common = int(np.ceil(size * 2 * similarity / (1 + similarity)))
+    pools = [mixed(rng.integers(0, 1 << 63, 2 * size - common).astype(np.uint64)) for _ in range(n)]
+    weights = [rng.integers(1, 4, len(p)) for p in pools]
+    sides = [[(p[a:b], w[a:b]) for p, w in zip(pools, weights)] for a, b in ((0, size), (size - common, 2 * size - common))]
+    exact = np.array([overlap(tuple(map(np.array, zip(*sorted(zip(*x))))), tuple(map(np.array, zip(*sorted(zip(*y)))))) for x, y in zip(*sides)])
+    chosen, found = exact >= similarity, np.ones(n, bool)
+    for registers in (bagminhash.BANDS * bagminhash.ROWS, FINE):
+        a, b = (signatures(side, registers).view(np.uint64) for side in sides)
+        x, y = (sketch(r).reshape(n, PLANES, -1) for r in (a, b))
+        found &= np.bitwise_count(np.bitwise_or.reduce(x ^ y, axis=1)).sum(axis=1) <= most_different(registers, 0.8)
+        if registers != FINE:
+            found &= (a == b).reshape(n, bagminhash.BANDS, bagminhash.ROWS).all(axis=2).any(axis=1)
+    assert chosen.sum() > 100 and found[chosen].mean() >= recall

@@ -29,3 +29,16 @@ def test_stages(spark, tmp_path, text):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in whole.collect()) == sorted(r["doc_id"] for r in docs.collect())
     assert "pipeline" in QUERIES
+
+
+def test_stages_of_empty_tables_and_clashing_names(spark, tmp_path, text):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, lines string, quality string, id string"
+    for rows in ([], [(None, None, None, None, None, "l", "q", "i"), (1, "the and of " + text(1, 60), "en", None, 0, "l", "q", "i"), (1, "the and of " + text(1, 60), "en", None, 0, "l", "q", "i"), (2, "the and of " + text(2, 30_000), "en", "s", 0, "l", "q", "i")]):
+        docs = spark.createDataFrame(rows, names)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            docs = out
+        assert {r["doc_id"] for r in docs.collect()} <= {1, 2} and (docs.count() > 0) == bool(rows)
