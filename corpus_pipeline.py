@@ -1,4 +1,10 @@
-"""From raw documents to a training mix, in five stages; each one's result is written as Parquet and read again by the next."""
+"""From raw documents to a training mix, in five stages; each one's result is written as Parquet and read again by the next.
+
+Each stage keeps the columns of its documents, whatever their names, and gives an empty table for an empty one. Null
+and empty texts fail the base rule and go in the first stage; where a later stage meets one it leaves it alone, and the
+mix takes it with its block. Texts of any length are used whole. Rows that share an id are one document to line dedup and
+near-dedup, which keeps one of them; of equal ones elsewhere all stay or all go. Null ids are kept.
+"""
 
 from __future__ import annotations
 
