@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as T
-from ..operators import assemble, checks, extract, genre, prepare, retrieve, scoring, sequences, validation
+from ..operators import assemble, checks, composite, extract, genre, prepare, retrieve, scoring, sequences, validation
 from ..sources import records
 from ..sources.checkpoints import shared_folder
 
@@ -56,7 +56,7 @@ def _named(values: dict[str, Column]) -> Callable[[SparkSession], DataFrame]:
 
 def _expect(columns: str, *rows: tuple) -> str:
     """SQL of a table with these rows."""
-    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
 
 
@@ -223,9 +223,63 @@ def concept_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return retrieve.top_k(*(models.embedded(rows, "t"),) * 2, "id", "vector", 1, least=0.3).select("query", "match")
 
 
+SUMMARY = "We found that 12 of 40 servers lacked patches for critical software flaws. Access reviews were late in 3 of the 5 regional offices that we visited. " * 2
+AUDIT = f"""# Contents
+# Executive Summary
+# Findings
+# Audit
+# Executive Summary
+{SUMMARY}
+# Findings
+## Servers lacked patches
+{"Servers ran software with flaws that patches would close, and critical ones stayed open. " * 5}
+## Access reviews were late
+{"Regional offices did their access reviews months after they were due. " * 5}
+# Appendix A
+Nothing."""
+LOOSE = f"# Executive Summary\n{SUMMARY}\n# Background\nThe office runs many systems.\n# The Office Did Not Patch\n{'Systems were left without patches for a year. ' * 40}\n# Appendix\nx"
+
+
+def audits(spark: SparkSession, folder: str) -> DataFrame:
+    """An audit with a table of contents, one without a heading for its findings, and ones that give no pair."""
+    docs = _rows(spark, [("named", AUDIT), ("loose", LOOSE), ("short", "# Executive Summary\nfew words"), ("none", "text")], "doc string, text string")
+    return composite.audit_pairs(docs).select("doc", F.left("executive_text", F.lit(20)).alias("executive"), F.left("technical_text", F.lit(20)).alias("technical"), "needs_llm_verify", "reason")
+
+
+def audit_claims(spark: SparkSession, folder: str) -> DataFrame:
+    found = composite.audit_claims(_rows(spark, [("named", AUDIT)], "doc string, text string"))
+    return found.select(F.left("claim", F.lit(24)).alias("claim"), "finding", "score")
+
+
+def plausible_sections(spark: SparkSession, folder: str) -> DataFrame:
+    lines = extract.doc_lines(_rows(spark, [("named", AUDIT)], "doc string, text string"))
+    return composite.first_plausible(lines, "^Executive Summary", "^Findings|^Appendix")
+
+
+def firm_sections(spark: SparkSession, folder: str) -> DataFrame:
+    text = f"# Key Points\n{'The product is sound overall. ' * 4}\n# Scope\nweb\n# Issues\n{'An issue. ' * 9}"
+    profiles = _rows(spark, [("acme", "(?i)^# Key Points", "(?i)^# Issues"), ("other", "^# Zzz", "^# Zzz")], "firm string, exec_rx string, findings_rx string")
+    docs = _rows(spark, [("a", "acme", text), ("b", "other", text), ("c", "new", text), ("d", "other", f"# Summary\n{'All is well in here. ' * 5}\n# Results\n{'A result. ' * 9}")], "doc string, firm string, text string")
+    out = composite.profiled_sections(docs, profiles, summary_least=60, findings_least=60)
+    return out.select("doc", F.left("executive_text", F.lit(34)).alias("executive"), F.right("executive_text", F.lit(4)).alias("ends"), F.left("technical_text", F.lit(14)).alias("technical"))
+
+
+def advisories(spark: SparkSession, folder: str) -> DataFrame:
+    page = f"<h2>Summary</h2><p>{'Short. ' * 30}</p><h2>Risk Evaluation</h2><p>High risk.</p><h3>Technical Details</h3><p>{'Detail. ' * 60}</p><h2>Summary</h2><p>again</p>"
+    rows = _rows(spark, [(1, page, True), (2, page, False), (3, "<h2>Summary</h2>thin", True)], "id int, html string, ics boolean")
+    return composite.advisory_pairs(rows, "id", "html", F.col("ics")).select("id", F.right("executive_text", F.lit(18)).alias("ends"), F.length("technical_text").cast("bigint").alias("n"))
+
+
+def shortlists(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences with their nearest findings of the same document, other sections only."""
+    said = _rows(spark, [("d", "s1", [1.0, 0.0], 1), ("d", "s1", [1.0, 0.0], 1), ("d", "s2", [0.0, 1.0], 2), ("e", "s3", [1.0, 0.0], 1)], "doc string, sentence string, v array<double>, section int")
+    found = _rows(spark, [("d", "f1", [1.0, 0.0], 1), ("d", "f2", [0.8, 0.6], 2), ("d", "f3", [0.6, 0.8], 3), ("e", "f4", [0.0, 1.0], 2)], "doc string, target string, v array<double>, section int")
+    return composite.nearest_within(said, found, k=1, least=0.25, apart="section")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     report_findings, report_candidates, report_table, report_sections, id_report_findings, id_report_candidates, antecedents, legal_citations, legal_neighbours, page_texts, heads_and_items, article_scopes,
-    post_reports, text_forms, quotes, anchored_answers, manifest_urls, weak_names, written_files, model_checks, concept_analogies, prompts, concept_vectors,
+    audits, audit_claims, plausible_sections, firm_sections, advisories, shortlists, post_reports, text_forms, quotes, anchored_answers, manifest_urls, weak_names, written_files, model_checks, concept_analogies, prompts, concept_vectors,
 )}
 
 ORACLE: dict[str, str] = {
@@ -268,6 +322,14 @@ ORACLE: dict[str, str] = {
     "model_checks": _expect(
         "s, flags, level", ("It allows reading all data", "nli_contradiction", "red"), ("It allows reading some data", "", "green"), ("It allows reading no data", "nli_unsupported", "amber"), ("Fine weather today again", "", "red"), ("vectors", "only if b", ""),
     ),
+    "audits": _expect(
+        "doc, executive, technical, needs_llm_verify, reason", ("named", "We found that 12 of ", "Servers ran software", False, None), ("loose", "We found that 12 of ", "Systems were left wi", True, None), ("short", "few words", None, False, "summary too short"), ("none", None, None, False, "no summary section"),
+    ),
+    "audit_claims": _expect("claim, finding, score", ("We found that 12 of 40 s", "Servers lacked patches", 6)),
+    "plausible_sections": _expect("doc, start, stop", ("named", 1, 6)),
+    "firm_sections": _expect("doc, executive, ends, technical", ("a", "Key Points\nThe product is sound ov", "\nweb", "# Issues\nAn is"), ("d", "Summary\nAll is well in here. All i", "ere.", "# Results\nA re")),
+    "advisories": _expect("id, ends, n", (1, "Short.\n\nHigh risk.", 479), (2, "ort. Short. Short.", 479)),
+    "shortlists": _expect("doc, sentence, target, cosine, rank", ("d", "s1", "f2", 0.8, 1), ("d", "s2", "f3", 0.8, 1)),
     "concept_analogies": _expect("query, concept, points", (1, "mailbox", 6)),
     "prompts": _expect("query, prompt", (1, "Head\n\nSource: s1\nDraft: d1\n\nSource: s2\nDraft: d2")),
     "concept_vectors": _expect("query, match", (1, 2), (2, 1)),
