@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import dot, identifiers, index_terms, let, none_of, padded, severity
+from ..sources.checkpoints import stored
 
 # Weights and floors of the score.
 MAX_TERMS, MAX_PHRASES = 40, 40
@@ -92,8 +93,10 @@ def search(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str,
     shared = ids(queries, query_id, query_text).withColumnRenamed("_k", "query").join(ids(docs, doc_id, doc_text).withColumnRenamed("_k", "doc"), "ident").groupBy("query", "doc").agg(F.array_sort(F.collect_set("ident")).alias("idents"))
     both = scores.join(shared, ["query", "doc"], "full").fillna({"lexical": 0.0, "hits": 0, "n_terms": 0}).withColumn("idents", F.coalesce("idents", none_of()))
     both = both.withColumns({"n_cve": F.size(_kind("CVE-")), "n_cwe": F.size(_kind("CWE-"))}).where(qualifies((F.col("n_cve") + F.col("n_cwe")) > 0))
-    facts = lambda rows, key, text, name: rows.select(F.col(key).alias(name), F.col(text).alias(f"_{name}_text"), severity(F.coalesce(F.col(text), F.lit("")))["band"].alias(f"_{name}_band"), topics_in(F.coalesce(F.col(text), F.lit(""))).alias(f"_{name}_topics"))
-    both = both.join(facts(queries, query_id, query_text, "query"), "query").join(facts(docs, doc_id, doc_text, "doc"), "doc")
+    both = stored(both, "qualified")
+    facts = lambda rows, key, text, name: rows.select(F.col(key).alias(name), severity(F.coalesce(F.col(text), F.lit("")))["band"].alias(f"_{name}_band"), topics_in(F.coalesce(F.col(text), F.lit(""))).alias(f"_{name}_topics"))
+    wanted = both.select(F.col("doc").alias(doc_id)).distinct()  # only these documents' facts are asked for, and texts only of the shortlist
+    both = both.join(facts(queries, query_id, query_text, "query"), "query").join(facts(docs.join(wanted, doc_id, "left_semi"), doc_id, doc_text, "doc"), "doc")
     same_band = F.coalesce(F.col("_query_band") == F.col("_doc_band"), F.lit(False))
     topics = F.array_intersect("_query_topics", "_doc_topics")
     base = F.col("lexical") + W_CVE * F.col("n_cve") + W_CWE * F.col("n_cwe") + F.when(same_band, W_SEVERITY).otherwise(0.0) + F.when(F.size(topics) > 0, W_TOPIC).otherwise(0.0)
@@ -101,6 +104,9 @@ def search(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str,
     first = W.partitionBy("query").orderBy(F.desc("exact"), F.desc("base"), "doc")
     short = both.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(limit * 5, 50))
     kept = terms.groupBy("query").agg(F.collect_set("term").alias("kept"))
+    texts = lambda rows, key, text, name: rows.select(F.col(key).alias(name), F.col(text).alias(f"_{name}_text"))
+    short = stored(short, "shortlist")
+    short = short.join(texts(queries, query_id, query_text, "query"), "query").join(texts(docs, doc_id, doc_text, "doc"), "doc")
     short = short.join(kept, "query", "left").withColumn("found", F.filter(phrases(F.col("_query_text"), F.coalesce("kept", none_of()), stopwords), lambda p: F.contains(padded(F.col("_doc_text")), F.concat(F.lit(" "), p, F.lit(" ")))))
     short = short.withColumn("total", F.col("base") + F.least(F.size("found") * F.lit(W_PHRASE), F.lit(MAX_PHRASE_BONUS)))
     signal = lambda items, kind: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))

@@ -271,6 +271,16 @@ _GATED = """d AS (SELECT doc_id, source AS tag, doc_id % 4 = 0 AS doclevel, doc_
   v AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'aligned' ELSE 'unaligned' END AS label FROM labels)"""
 _TEXT8 = "list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i : i + 7], ' '))"
 
+#: Shares of each query's idf that the documents have; the tables hold no identifiers, so wording alone qualifies.
+_LEXICAL = """WITH p AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM documents), l AS (SELECT doc, count(*) AS len FROM p GROUP BY 1), a AS (SELECT avg(len) AS avg FROM l),
+        df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id AS query, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT query, term, ln(1 + (SELECT count(*) FROM documents) / df) AS idf, tf FROM q JOIN df USING (term)), k AS (SELECT query, term, idf FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY idf DESC, tf DESC, term) AS r FROM s) WHERE r <= 40),
+        m AS (SELECT query, sum(idf) AS mass, count(*) AS nt FROM k GROUP BY 1), h AS (SELECT query, doc, sum(idf) AS got, count(*) AS hits FROM p JOIN k USING (term) GROUP BY ALL),
+        o AS (SELECT query, doc, got / mass / (0.7 + 0.3 * len / avg) AS x, hits, nt FROM h JOIN m USING (query) JOIN l USING (doc), a)"""
+_BAND = r"CASE WHEN regexp_matches(text, '(?i)\bcritical\b|\bactively exploited\b|exploitation observed') THEN 4 WHEN regexp_matches(text, '(?i)\bhigh\b') THEN 3 WHEN regexp_matches(text, '(?i)\bmedium\b|\bmoderate\b') THEN 2 WHEN regexp_matches(text, '(?i)\blow\b') THEN 1 WHEN regexp_matches(text, '(?i)\binformational\b|\binfo\b') THEN 0 END"
+_TOPIC_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in retrieve.TOPIC_WORDS) + "], lambda x: x IS NOT NULL)"
+_FACTS = ", ".join(f"{name} AS (SELECT {id} AS id, {_BAND} AS band, {_TOPIC_LIST} AS topics FROM {source})" for name, id, source in (("qfacts", "item_id", "benchmark"), ("dfacts", "doc_id", "documents")))
+
 ORACLE: dict[str, str] = {
     "near_dup_pairs": f"WITH {_SHINGLE_SQL}, h AS (SELECT doc_id, md5(array_to_string(list_sort(g), chr(10))) AS h FROM g), r AS (SELECT min(doc_id) AS doc_id FROM h GROUP BY h) SELECT a, b, similarity FROM j WHERE a IN (SELECT doc_id FROM r) AND b IN (SELECT doc_id FROM r)",
     "near_dup_keep": f"WITH RECURSIVE {_SHINGLE_SQL}, l AS (SELECT a AS x, b AS y FROM j UNION ALL SELECT b, a FROM j), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y) SELECT x AS doc_id, min(y) AS keep FROM reach GROUP BY x",
@@ -303,12 +313,15 @@ ORACLE: dict[str, str] = {
         SELECT l_orderkey, arg_max(accepted, i) AS accepted FROM s GROUP BY 1""",
     "postings": "SELECT term, count(*) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM documents) GROUP BY 1",
     "posting_deltas": "WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM benchmark) SELECT term, string_agg(CAST(step AS VARCHAR), ',' ORDER BY item_id) AS steps, true AS round_trip FROM (SELECT term, item_id, item_id - coalesce(lag(item_id) OVER (PARTITION BY term ORDER BY item_id), 0) AS step FROM t) GROUP BY 1",
-    "lexical_search": """WITH p AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM documents), l AS (SELECT doc, count(*) AS len FROM p GROUP BY 1), a AS (SELECT avg(len) AS avg FROM l),
-        df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id AS query, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM benchmark) GROUP BY ALL),
-        s AS (SELECT query, term, ln(1 + (SELECT count(*) FROM documents) / df) AS idf, tf FROM q JOIN df USING (term)), k AS (SELECT query, term, idf FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY idf DESC, tf DESC, term) AS r FROM s) WHERE r <= 40),
-        m AS (SELECT query, sum(idf) AS mass, count(*) AS nt FROM k GROUP BY 1), h AS (SELECT query, doc, sum(idf) AS got, count(*) AS hits FROM p JOIN k USING (term) GROUP BY ALL),
-        o AS (SELECT query, doc, got / mass / (0.7 + 0.3 * len / avg) AS x, hits, nt FROM h JOIN m USING (query) JOIN l USING (doc), a), z AS (SELECT query, doc, round(x, 5) AS score FROM o WHERE x >= 0.1 AND hits >= CASE WHEN nt < 3 THEN 1 ELSE 2 END)
+    "lexical_search": f"""{_LEXICAL}, z AS (SELECT query, doc, round(x, 5) AS score FROM o WHERE x >= 0.1 AND hits >= CASE WHEN nt < 3 THEN 1 ELSE 2 END)
         SELECT query, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM z) WHERE rank <= 5""",
+    "finding_search": f"""{_LEXICAL}, {_FACTS}, z AS (SELECT o.query, o.doc, x + CASE WHEN qf.band = df.band THEN 0.05 ELSE 0 END + CASE WHEN list_has_any(qf.topics, df.topics) THEN 0.1 ELSE 0 END AS base, CAST(coalesce(qf.band = df.band, false) AS INTEGER) + len(list_intersect(qf.topics, df.topics)) AS signs
+          FROM o JOIN qfacts qf ON qf.id = o.query JOIN dfacts df ON df.id = o.doc WHERE x >= 0.1 AND hits >= CASE WHEN nt < 3 THEN 1 ELSE 2 END),
+        short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY base DESC, doc) AS r FROM z) WHERE r <= 50), kept AS (SELECT query, list(term) AS kept FROM k GROUP BY 1),
+        seq AS (SELECT item_id AS query, regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}') AS s FROM benchmark),
+        ph AS (SELECT query, list_distinct(list_transform(list_filter(range(1, len(s)), lambda i: list_contains(kept, s[i]) AND list_contains(kept, s[i + 1])), lambda i: s[i] || ' ' || s[i + 1])) AS p FROM seq JOIN kept USING (query)),
+        f AS (SELECT short.*, len(list_filter(p, lambda x: contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || x || ' '))) AS found FROM short JOIN ph USING (query) JOIN documents ON doc_id = doc)
+        SELECT query, doc, round(total, 3) AS score, false AS exact, signs + found AS n_signals, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY total DESC, doc) AS INTEGER) AS rank FROM (SELECT *, base + least(found * 0.12, 0.5) AS total FROM f)) WHERE rank <= 3""",
     "cosine_topk": f"WITH {_COS} SELECT query, match, round(cosine, 4) AS cosine, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, match) AS INTEGER) AS rank FROM c) WHERE rank <= 5",
     "cosine_argmax_excl_group": f"WITH {_COS} SELECT query, match, round(cosine, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, match) AS r FROM c WHERE ql <> bl) WHERE r = 1",
     "rank_fusion": f"WITH {_COS}, a AS (SELECT query, match, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, match) AS rank FROM c) WHERE rank <= 10), b AS (SELECT query, match, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, match) AS rank FROM c WHERE ql <> bl) WHERE rank <= 10), f AS (SELECT query, match, round(sum(1 / (60.0 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query, match, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, match) AS INTEGER) AS rank FROM f) WHERE rank <= 10",
