@@ -187,7 +187,7 @@ def _paragraphs(docs: DataFrame, marks: DataFrame, id: str, text: str, similarit
     firsts = marks.groupBy("one", "two").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     firsts = stored(firsts.select("one", "two", "n", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), F.col("one").alias("unit")), "paragraph-firsts")
     alone = marks.join(firsts.select("one", "two", "doc", "line"), ["one", "two", "doc", "line"], "left_semi")
-    entries = alone.select(F.col("one").alias("id"), "size", F.explode("bands").alias("key")).distinct()
+    entries = alone.select(F.col("one").alias("id"), "size", F.explode("bands").alias("key"))  # repeated rows do no harm
     texts: list[DataFrame] = []
 
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
