@@ -170,7 +170,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     marks = stored(signed(docs, id, text, width), "signatures")
     firsts = stored(marks.groupBy("one", "two", "size").agg(F.min("id").alias("first")), "copies")
     copies = marks.select("id", "one", "two", "size").join(firsts, ["one", "two", "size"]).select("id", "first")
-    entries = marks.join(firsts.select(F.col("first").alias("id"), "one", "two", "size"), ["id", "one", "two", "size"], "left_semi").select("id", "size", F.explode("bands").alias("key")).distinct()
+    entries = marks.join(firsts.select(F.col("first").alias("id"), "one", "two", "size"), ["id", "one", "two", "size"], "left_semi").select("id", "size", F.explode("bands").alias("key"))  # repeated rows do no harm
     source = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
 
     texts: list[DataFrame] = []
