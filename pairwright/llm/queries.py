@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bagminhash, decontam, langid, licences, linededup, mixing, paragraphs, quality, urltree, warc
+from . import bagminhash, decontam, fourier, infill, langid, licences, linededup, mixing, paragraphs, quality, urltree, warc, yinyang
+from .store import stored
 
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,6 +72,27 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    found = yinyang.clusters(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    stats = stored(fourier.statistics(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")), "statistics")
+    part = F.crc32(F.col("id").cast("string")) % 5
+    learn = fourier.labelled(stats.where(part != 0), spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "quality")
+    model = fourier.fit(learn.where(part != 4), learn.where(part == 4))
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
+    return fourier.scored(stats, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = infill.infill(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    output = F.col("fim.output")
+    return done.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2(output, 256).alias("output_sha256"), F.sha2(infill.restored(output, F.col("fim.form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
@@ -82,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_licence_scan": op9_licence_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -156,7 +181,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    """Plain rounds of assignment and means; centroids of round 0 are the vectors with the least hashes."""
+    near = lambda c: f"""SELECT vec_id, x, arg_min(cluster, struct_pack(d := d, n := cluster)) AS cluster, min(d) AS distance
+        FROM (SELECT v.vec_id, v.x, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS d FROM v, {c} c) GROUP BY ALL"""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near(f'c{r}')})")
+        steps.append(f"""s{r} AS (SELECT cluster, i, CAST(sum(e) AS BIGINT) AS total, count(*) AS n FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL)""")
+        steps.append(f"""m{r} AS (SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY cluster)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (cluster))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS cluster, x FROM (SELECT * FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)),
+{", ".join(steps)},
+f AS MATERIALIZED ({near(f"c{rounds}")})
+SELECT vec_id, f.cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.cluster = f.cluster
+"""
+
+
+_OP13 = r"""
+WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo + 1:hi], '') AS b, array_to_string(u[hi + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_centroid_clustering": _op11_sql(),
+    "op13_fill_in_middle": _OP13,
     "op2_warc": _OP2,
     "op7_line_dedup": _OP7,
     "op10_decontamination": _OP10,
