@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 UNIT = r"[A-Za-z]+|[^A-Za-z]"
 #: Units in a block. Blocks are summed first, and only the blocks in which a cut falls are taken apart.
-BLOCK = 16
+BLOCK = 64
 _BLOCKS = rf"(?:[A-Za-z]++|[^A-Za-z]){{1,{BLOCK}}}+"
 
 
@@ -50,18 +50,19 @@ def offsets(docs: DataFrame) -> DataFrame:
     held = lambda cut: F.floor((F.col(cut) - 1) / BLOCK).cast("int")  # noqa: E731  -1 where the cut is at the start
     blocks = docs.select("k1", "k2", "n", "first", "second", F.posexplode(F.regexp_extract_all("text", F.lit(_BLOCKS), F.lit(0))).alias("block", "match"))
     lengths = F.when(F.col("block").isin(held("first"), held("second")), F.transform(F.regexp_extract_all("match", F.lit(UNIT), F.lit(0)), F.length))
-    blocks = blocks.groupBy("k1", "k2", "n", "first", "second", "block").agg(F.first(F.length("match")).alias("chars"), F.first(lengths).alias("units"))
+    ask = F.when(F.col("block") == 0, F.struct("n", "first", "second"))  # once for each document
+    blocks = blocks.groupBy("k1", "k2", "block").agg(F.first(F.length("match")).alias("chars"), F.first(lengths).alias("units"), F.first(ask).alias("ask"))
     before = W.partitionBy("k1", "k2").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    placed = blocks.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+    placed = blocks.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0))).where("units is not null").select("k1", "k2", "block", "start", "units")
+    asked = blocks.where("block = 0").select("k1", "k2", "ask.*")
     cuts = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), held(c).alias("block"), ((F.col(c) - 1) % BLOCK).cast("int").alias("ordinal")) for c in ("first", "second")]))
-    requests = blocks.where("block = 0").select("k1", "k2", cuts.alias("r")).select("k1", "k2", "r.*")
-    asked = requests.join(placed.where("units is not null").select("k1", "k2", "block", "start", "units"), ["k1", "k2", "block"])
-    units = asked.select("k1", "k2", "cut", "start", "ordinal", F.posexplode("units").alias("unit", "chars"))
-    until = W.partitionBy("k1", "k2", "cut").orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hits = units.withColumn("at", F.col("start") + F.sum("chars").over(until)).where("unit = ordinal").select("k1", "k2", "cut", "at")
-    sizes = blocks.where("block = 0").select("k1", "k2", "n", F.lit(None).cast("string").alias("cut"), F.lit(None).cast("bigint").alias("at"))
+    requests = asked.select("k1", "k2", cuts.alias("r")).select("k1", "k2", "r.*").where("block >= 0")
+    units = requests.join(placed, ["k1", "k2", "block"]).select("k1", "k2", "block", "cut", "start", "ordinal", F.posexplode(F.slice("units", F.lit(1), F.col("ordinal") + 1)).alias("unit", "chars"))
+    until = W.partitionBy("k1", "k2", "block", "cut").orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = units.withColumn("at", F.col("start") + F.sum("chars").over(until)).where("unit = ordinal").select("k1", "k2", F.lit(None).cast("bigint").alias("n"), "cut", "at")
+    sizes = asked.select("k1", "k2", "n", F.lit(None).cast("string").alias("cut"), F.lit(None).cast("bigint").alias("at"))
     place = lambda cut: F.coalesce(F.max(F.when(F.col("cut") == cut, F.col("at"))), F.lit(0)).alias(f"{cut}_at")
-    return sizes.unionByName(hits.withColumn("n", F.lit(None).cast("bigint"))).groupBy("k1", "k2").agg(F.max("n").alias("n"), place("first"), place("second"))
+    return sizes.unionByName(hits).groupBy("k1", "k2").agg(F.max("n").alias("n"), place("first"), place("second"))
 
 
 def infill(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 1, plain_percent: int = 10, spm_percent: int = 20) -> DataFrame:
@@ -78,9 +79,9 @@ def infill(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int =
     ask = _requests(whole, F.col(id), seed, plain_percent, spm_percent)
     key = [F.xxhash64(id).alias("k1"), F.xxhash64(whole, F.lit(0)).alias("k2")]
     wanted = docs.select(*key, whole.alias("text"), *[v.alias(k) for k, v in ask.items()]).where("form <> 'plain'").drop("form")
-    rows = docs.select(F.struct("*").alias("row"), *key, whole.alias("whole"), ask["form"].alias("form"))
-    joined = rows.join(offsets(wanted).select(F.struct("k1", "k2").alias("key"), "n", "first_at", "second_at"), F.struct("k1", "k2") == F.col("key"), "left")
-    x, a, b = F.col("whole"), F.col("first_at").cast("int"), F.col("second_at").cast("int")
+    rows = docs.select(F.struct("*").alias("row"), *key)  # the text once
+    joined = rows.join(offsets(wanted), ["k1", "k2"], "left").withColumn("form", _requests(F.coalesce(F.col("row").getField(text), F.lit("")), F.col("row").getField(id), seed, plain_percent, spm_percent)["form"])
+    x, a, b = F.coalesce(F.col("row").getField(text), F.lit("")), F.col("first_at").cast("int"), F.col("second_at").cast("int")
     prefix, middle, suffix = F.substring(x, F.lit(1), a), F.substring(x, a + 1, b - a), F.substring(x, b + 1, F.length(x))
     plain = F.col("form") == "plain"
     output = (
