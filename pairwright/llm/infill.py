@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import let
+from .store import stored
+
 #: The sentinels before the three parts, and what a unit of a text is.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 UNIT = r"[A-Za-z]+|[^A-Za-z]"
@@ -41,28 +44,30 @@ def _requests(text: Column, id: Column, seed: int, plain_percent: int, spm_perce
 def offsets(docs: DataFrame) -> DataFrame:
     """(``k1``, ``k2``, ``n``, ``first_at``, ``second_at``): at which code points the cuts of ``docs(k1, k2, text, n, first, second)`` fall.
 
-    Units are rows: blocks of ``BLOCK`` units come out of the texts by ``posexplode``, and a window sums their
-    lengths, so each block knows where it starts. Cut requests are joined with the block that holds the unit before
-    the cut; the units of such blocks are rows again, a window sums their lengths, the row with the asked ordinal has
-    the place, and one aggregation gives each document its two. Rows carry lengths and no text. Equal documents are
-    brought together before anything is shuffled by their key.
+    A text's units are matched in blocks of ``BLOCK``. What leaves the text is the length of each block and, for each of its
+    two cut requests, the lengths of the units up to the cut in the block that holds it; equal documents become one there.
+    From then on units are rows: blocks come out by ``posexplode`` and a window sums their lengths, so each knows where it
+    starts; requests are joined with their block; their units come out by ``posexplode`` and a window sums them too; the row
+    with the asked ordinal has the place, and one aggregation gives each document its two. All of it is partitioned by document.
     """
     held = lambda cut: F.floor((F.col(cut) - 1) / BLOCK).cast("int")  # noqa: E731  -1 where the cut is at the start
-    blocks = docs.select("k1", "k2", "n", "first", "second", F.posexplode(F.regexp_extract_all("text", F.lit(_BLOCKS), F.lit(0))).alias("block", "match"))
-    lengths = F.when(F.col("block").isin(held("first"), held("second")), F.transform(F.regexp_extract_all("match", F.lit(UNIT), F.lit(0)), F.length))
-    ask = F.when(F.col("block") == 0, F.struct("n", "first", "second"))  # once for each document
-    blocks = blocks.groupBy("k1", "k2", "block").agg(F.first(F.length("match")).alias("chars"), F.first(lengths).alias("units"), F.first(ask).alias("ask"))
+    ordinal = lambda cut: ((F.col(cut) - 1) % BLOCK).cast("int")
+
+    def request(cut: str, matches: Column) -> Column:
+        units = F.regexp_extract_all(F.get(matches, held(cut)), F.lit(UNIT), F.lit(0))
+        return F.struct(F.lit(cut).alias("cut"), held(cut).alias("held"), ordinal(cut).alias("ordinal"), F.transform(F.slice(units, F.lit(1), ordinal(cut) + 1), F.length).alias("units"))
+
+    found = let(F.regexp_extract_all("text", F.lit(_BLOCKS), F.lit(0)), lambda m: F.struct(F.transform(m, F.length).alias("blocks"), F.array(request("first", m), request("second", m)).alias("requests")))
+    asked = stored(docs.select("k1", "k2", F.struct("n", found.alias("found")).alias("x")).groupBy("k1", "k2").agg(F.first("x").alias("x")), "cuts").repartition("k1", "k2")
     before = W.partitionBy("k1", "k2").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    placed = blocks.withColumn("start", F.coalesce(F.sum("chars").over(before), F.lit(0))).where("units is not null").select("k1", "k2", "block", "start", "units")
-    asked = blocks.where("block = 0").select("k1", "k2", "ask.*")
-    cuts = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), held(c).alias("block"), ((F.col(c) - 1) % BLOCK).cast("int").alias("ordinal")) for c in ("first", "second")]))
-    requests = asked.select("k1", "k2", cuts.alias("r")).select("k1", "k2", "r.*").where("block >= 0")
-    units = requests.join(placed, ["k1", "k2", "block"]).select("k1", "k2", "block", "cut", "start", "ordinal", F.posexplode(F.slice("units", F.lit(1), F.col("ordinal") + 1)).alias("unit", "chars"))
-    until = W.partitionBy("k1", "k2", "block", "cut").orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hits = units.withColumn("at", F.col("start") + F.sum("chars").over(until)).where("unit = ordinal").select("k1", "k2", F.lit(None).cast("bigint").alias("n"), "cut", "at")
-    sizes = asked.select("k1", "k2", "n", F.lit(None).cast("string").alias("cut"), F.lit(None).cast("bigint").alias("at"))
-    place = lambda cut: F.coalesce(F.max(F.when(F.col("cut") == cut, F.col("at"))), F.lit(0)).alias(f"{cut}_at")
-    return sizes.unionByName(hits).groupBy("k1", "k2").agg(F.max("n").alias("n"), place("first"), place("second"))
+    blocks = asked.select("k1", "k2", F.posexplode("x.found.blocks").alias("block", "chars")).select("k1", "k2", "block", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start"))
+    requests = asked.select("k1", "k2", F.explode("x.found.requests").alias("r")).select("k1", "k2", "r.*")
+    its_block = (F.col("held") >= F.col("block")) & (F.col("held") <= F.col("block"))  # not a key of the join, which is by document
+    units = requests.join(blocks, ["k1", "k2"]).where(its_block).select("k1", "k2", "cut", "start", "ordinal", F.posexplode("units").alias("unit", "chars"))
+    until = W.partitionBy("k1", "k2", "cut").orderBy("unit").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = units.withColumn("at", F.col("start") + F.sum("chars").over(until)).where("unit = ordinal")
+    places = hits.groupBy("k1", "k2").agg(*[F.max(F.when(F.col("cut") == c, F.col("at"))).alias(f"{c}_at") for c in ("first", "second")])
+    return asked.select("k1", "k2", "x.n").join(places, ["k1", "k2"], "left").fillna(0, ["first_at", "second_at"])
 
 
 def infill(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 1, plain_percent: int = 10, spm_percent: int = 20) -> DataFrame:
