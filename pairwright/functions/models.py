@@ -33,6 +33,12 @@ def hash_embedding(text: Column, size: int = 64) -> Column:
     return let(counts, unit)
 
 
+def letter_profile(text: Column) -> Column:
+    """How often a text has each letter from a to z, whatever its case: 26 counts as a vector. Null and letterless texts give zeros."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return let(low, lambda t: F.transform(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz")), lambda c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double")))
+
+
 def embedded(rows: DataFrame, text: str, vector: str = "vector", model: Model | None = None) -> DataFrame:
     """``rows`` with a vector each, by the model or by hashing."""
     return model(rows) if model else rows.withColumn(vector, hash_embedding(F.col(text)))

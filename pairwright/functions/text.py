@@ -307,11 +307,20 @@ def holds_verbatim(text: Column, quote: Column, least: int = 8) -> Column:
 
 
 def verbatim_slice(text: Column, quote: Column, least: int = 8) -> Column:
-    """The literal slice of ``text`` that equals ``quote`` but for white space, or null: found by the quote's words, quoted, with any space between."""
-    rx = F.concat(F.lit("(?U)\\Q"), F.array_join(F.split(F.replace(squeezed(quote), F.lit("\\E"), F.lit("")), " "), "\\E\\s+\\Q"), F.lit("\\E"))
+    """The literal slice of ``text`` that equals ``quote`` but for white space, or null: found by the quote's words, taken literally, with any space between."""
+    words = F.regexp_replace(squeezed(quote), r"([^\p{L}\p{N}\s])", r"\\$1")
+    rx = F.concat(F.lit("(?U)"), F.replace(words, F.lit(" "), F.lit("\\s+")))
     return F.when((F.length(squeezed(quote)) >= least) & F.regexp_like(text, rx), F.regexp_substr(text, rx))
 
 
+def verified_span(text: Column, quote: Column, least: int = 8) -> Column:
+    """``struct<start, stop>`` (from 0, in characters of ``text`` as it is) of the first place that equals ``quote`` but for white space; null where there is none.
+
+    The slice found is literal, and its first place is that of the match: any earlier one would have matched as well.
+    """
+    return let(verbatim_slice(text, quote, least), lambda s: F.when(s.isNotNull(), let(F.call_function("locate", s, text), lambda at: F.struct((at - 1).alias("start"), (at - 1 + F.length(s)).alias("stop")))))
+
+
 def quote_match(text: Column, quote: Column) -> Column:
     """How an elided quote (parts between ``...`` or ``…``) stands in the text: verbatim, ordered, unordered or none."""
     whole = squeezed(F.lower(text))

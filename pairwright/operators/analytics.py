@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.checkpoints import stored
+
 
 def distribution(rows: DataFrame, column: str, blank: str = "(none)") -> DataFrame:
     """(``value``, ``n``), most frequent first and then by name; null and blank values are the named bucket, so the counts add up to the rows."""
@@ -127,12 +129,62 @@ def mix_weights(rows: DataFrame, tier: str, organisation: str, tokens: str, shar
     return rows.join(weights, (F.col(tier) == F.col("_tier")) & F.col(organisation).eqNullSafe(F.col("_org"))).drop("_tier", "_org")
 
 
-def within_budget(rows: DataFrame, order: list[Column], cost: str, cap: float, by: list[str] | None = None) -> DataFrame:
-    """``rows`` with ``spent``, the running cost in order, and ``paid``: whether it is still within ``cap``."""
-    window = W.partitionBy(*(by or [F.lit(1)])).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("spent", F.sum(cost).over(window)).withColumn("paid", F.col("spent") <= cap)
+def running_total(rows: DataFrame, order: list[str], cost: str, name: str = "spent", ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``cost`` over all rows up to and with this one in ``order``; null costs count as 0.
+
+    A prefix sum in three steps, none of which sees all rows: rows are dealt out by ranges of ``order`` and written; each range
+    is summed; each gets the sum of those before it as an offset, and a window runs within the range only. Ranges are cut
+    by the whole order, so let it end with a key: a value that a third of all rows share is then cut too. Equal rows of
+    the order are summed one after the other, which first is not said.
+    """
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.coalesce(F.col(cost), F.lit(0))
+    dealt = stored(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))  # a row for each range
+    offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return dealt.withColumn(name, within).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def within_budget(rows: DataFrame, order: list[str], cost: str, cap: float, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``spent``, the running cost in order, and ``paid``: whether it is still within ``cap``; over all rows, or for each ``by``."""
+    if by is None:
+        out = running_total(rows, order, cost)
+    else:
+        out = rows.withColumn("spent", F.sum(cost).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return out.withColumn("paid", F.col("spent") <= cap)
+
+
+def seeded(key: str, seed: int) -> Column:
+    """A number for order, of seed and key only."""
+    return F.sha1(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+
+def sample_by_class(rows: DataFrame, kind: str, key: str, each: int, seed: int) -> DataFrame:
+    """At most ``each`` rows of each class, first by a hash of seed and key: the same in every run, however the rows are partitioned.
+
+    Each task keeps its own best ``each`` of a class before anything is shuffled (up to 1000 of them, see
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a class that most rows have is no hot group. Null is a class.
+    """
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(kind).orderBy(seeded(key, seed), key))).where(F.col("_r") <= each).drop("_r")
+
+
+def made_negatives(positives: DataFrame, pool: DataFrame, group: str, key: str, source: str, draft: str, seed: int) -> DataFrame:
+    """``positives`` with the source of another pair of their group in place of their own: pairs that are known to be wrong.
+
+    The other is the first of the group by a hash of seed and key whose source differs; of each group two candidates are kept by
+    aggregation, so groups are never gathered. A pair whose group has no other source gives none. ``key`` ends with ``-NEG``.
+    """
+    order = F.struct(seeded(key, seed).alias("h"), F.col(key).alias("k"), F.col(source).alias("s"))
+    own = pool.where(F.col(source).isNotNull())
+    first = own.groupBy(F.col(group).alias("_g")).agg(F.min(order).alias("_a"))
+    second = own.join(first, F.col(group).eqNullSafe(F.col("_g"))).where(F.col(source) != F.col("_a.s")).groupBy("_g").agg(F.min(order).alias("_b"))
+    both = first.join(second.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).drop("_h")
+    out = positives.join(both, F.col(group).eqNullSafe(F.col("_g")))
+    wrong = F.when(F.col("_a.s").eqNullSafe(F.col(source)), F.col("_b.s")).otherwise(F.col("_a.s"))
+    return out.withColumns({source: wrong, key: F.concat(F.col(key).cast("string"), F.lit("-NEG"))}).select(*positives.columns)
 
 
 def hash_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """At most ``most`` rows, first by a hash of seed and key: the same in every run, however the rows are partitioned."""
-    return rows.orderBy(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(most)
+    return rows.orderBy(seeded(key, seed), key).limit(most)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import dot, identifiers, index_terms, let, none_of, padded, severity
 from ..sources.checkpoints import stored
+from .lexicon import Lexicon
 
 # Weights and floors of the score.
 MAX_TERMS, MAX_PHRASES = 40, 40
@@ -38,26 +39,35 @@ def doc_lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("doc").agg(F.count("*").alias("length"))
 
 
-def query_terms(queries: DataFrame, id: str, text: Column, index: DataFrame, n_docs: int, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """(``query``, ``term``, ``idf``): of each query the 40 terms that tell most, by idf, frequency in the query, and name. Terms that no document has are none."""
+def query_terms(queries: DataFrame, id: str, text: Column, index: DataFrame | Lexicon, n_docs: int, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(``query``, ``term``, ``idf``): of each query the 40 terms that tell most, by idf, frequency in the query, and name. Terms that no document has are none. ``index`` has postings as rows, or is one that was written."""
     counts = queries.select(F.col(id).alias("query"), F.explode(index_terms(text, stopwords)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("tf"))
-    df = index.join(counts.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    if isinstance(index, Lexicon):
+        df = index.terms(counts).select("term", "df")
+    else:
+        df = index.join(counts.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     scored = counts.join(df, "term").withColumn("idf", F.log(1 + F.lit(float(n_docs)) / F.col("df")))
     order = W.partitionBy("query").orderBy(F.desc("idf"), F.desc("tf"), "term")
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_TERMS).select("query", "term", "idf")
 
 
-def lexical_scores(terms: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(``query``, ``doc``, ``lexical``, ``hits``, ``n_terms``): the share of the query's idf that the document has, eased by its length.
+def lexical_scores(terms: DataFrame, index: DataFrame | Lexicon, lengths: DataFrame | None = None) -> DataFrame:
+    """(``query``, ``doc``, ``lexical``, ``hits``, ``n_terms``): the share of the query's idf that the document has, eased by its length, to 9 places, so that sums in another order tie alike.
 
     Postings are joined by term, so the work is that of the lists asked for; common terms are split by Spark's
-    skew handling, and sums are made before rows move on to their documents.
+    skew handling, and sums are made before rows move on to their documents. A written index has the lengths in its
+    postings; without one ``lengths`` has them.
     """
-    average = lengths.agg(F.avg("length")).first()[0] or 1.0
     mass = terms.groupBy("query").agg(F.sum("idf").alias("mass"), F.count("*").alias("n_terms"))
-    sums = index.join(terms, "term").groupBy("query", "doc").agg(F.sum("idf").alias("got"), F.count("*").alias("hits"))
-    out = sums.join(mass, "query").join(lengths, "doc")
-    return out.select("query", "doc", (F.col("got") / F.col("mass") / (0.7 + 0.3 * F.col("length") / F.lit(average))).alias("lexical"), "hits", "n_terms")
+    if isinstance(index, Lexicon):
+        average = index.n_distinct / max(index.n_filled, 1) or 1.0
+        sums = index.postings(terms).join(terms, "term").groupBy("query", "doc").agg(F.sum("idf").alias("got"), F.count("*").alias("hits"), F.max("distinct").alias("length"))
+        out = sums.join(mass, "query")
+    else:
+        average = lengths.agg(F.avg("length")).first()[0] or 1.0
+        sums = index.join(terms, "term").groupBy("query", "doc").agg(F.sum("idf").alias("got"), F.count("*").alias("hits"))
+        out = sums.join(mass, "query").join(lengths, "doc")
+    return out.select("query", "doc", F.round(F.col("got") / F.col("mass") / (0.7 + 0.3 * F.col("length") / F.lit(average)), 9).alias("lexical"), "hits", "n_terms")
 
 
 def qualifies(exact: Column | None = None) -> Column:
@@ -77,18 +87,18 @@ def phrases(text: Column, kept: Column, stopwords: tuple[str, ...] = ()) -> Colu
     return let(seq, pairs)
 
 
-def search(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, limit: int = 20, stopwords: tuple[str, ...] = ()) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, limit: int = 20, stopwords: tuple[str, ...] = (), index: Lexicon | None = None) -> DataFrame:
     """(``query``, ``doc``, ``score``, ``exact``, ``signals``, ``rank``): the best documents of each query, all queries at once.
 
     Score: the lexical share; 4 per CVE and .8 per CWE in common; .05 for equal severity, .1 for an equal topic;
     and, on a shortlist of max(5 limit, 50), .12 per neighbouring pair of words in common, up to .5. Exact hits
     come first, then the score, then the id. A query of which nothing qualifies has no row. ``signals`` names
-    every reason. Null texts match nothing.
+    every reason. Null texts match nothing. With an ``index`` of the same documents its folders for the asked terms are read;
+    without one postings of all documents are made for this call.
     """
-    index = postings(docs, doc_id, F.col(doc_text), stopwords)
-    n_docs = docs.count()
-    terms = query_terms(queries, query_id, F.col(query_text), index, n_docs, stopwords)
-    scores = lexical_scores(terms, index, doc_lengths(index))
+    found = index or postings(docs, doc_id, F.col(doc_text), stopwords)
+    terms = stored(query_terms(queries, query_id, F.col(query_text), found, index.n_docs if index else docs.count(), stopwords), "terms")
+    scores = lexical_scores(terms, found, None if index else doc_lengths(found))
     ids = lambda rows, key, text: rows.select(F.col(key).alias("_k"), F.explode(identifiers(F.coalesce(F.col(text), F.lit("")))).alias("ident"))
     shared = ids(queries, query_id, query_text).withColumnRenamed("_k", "query").join(ids(docs, doc_id, doc_text).withColumnRenamed("_k", "doc"), "ident").groupBy("query", "doc").agg(F.array_sort(F.collect_set("ident")).alias("idents"))
     both = scores.join(shared, ["query", "doc"], "full").fillna({"lexical": 0.0, "hits": 0, "n_terms": 0}).withColumn("idents", F.coalesce("idents", none_of()))
@@ -171,6 +181,18 @@ def one_per_source(hits: DataFrame, source: str, k_final: int = 4) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("rank"))).where(F.col("rank") <= k_final)
 
 
+def hybrid(text_hits: DataFrame, dense_hits: DataFrame, sources: DataFrame, source: str, pool: int = 50, k_final: int = 4) -> DataFrame:
+    """(``query``, ``match``, ``score``, ``via``, ``rank``): a text leg and a vector leg fused by rank, the best ``pool`` of them, one of each source, ``k_final`` in all.
+
+    A query with no hit in the text leg has its vector leg alone, and ``via`` says so. ``sources`` has ``match`` and the
+    source, null being one; for a reranking model the pool is ``fused``.
+    """
+    named = text_hits.select("query").distinct().withColumn("via", F.lit("hybrid"))
+    hits = fused([text_hits, dense_hits], pool=pool).join(sources, "match")
+    best = one_per_source(hits, source, k_final).join(named, "query", "left")
+    return best.select("query", "match", "score", F.coalesce("via", F.lit("dense")).alias("via"), "rank")
+
+
 def ladder(rungs: list[DataFrame]) -> DataFrame:
     """Hits of stricter and looser filters: each (query, match) once, from its strictest rung, with ``rung``."""
     union = None

@@ -205,13 +205,6 @@ def markdown_report(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select(prepare.markdown_rows(counts, ["lang", "n", "sources"]).alias("line"))
 
 
-def filled_blanks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose language is blanked for every third one, filled again for every sixth."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang")
-    blanked = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang")))
-    return prepare.with_filled_blanks(blanked, docs.where("doc_id % 6 = 0"), "doc_id", ["lang"])
-
-
 def near_dup_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicates by 64 hashes of 5-word runs, verified exactly at .82; no cap on buckets."""
     return dedup.near_pairs(table(spark, folder, "documents"), "doc_id", F.col("text"), 0.82, bands=16, width=4, words=5, pattern="[a-z0-9]+")
@@ -266,15 +259,6 @@ def one_per_source(spark: SparkSession, folder: str) -> DataFrame:
     return retrieve.one_per_source(near.join(vectors.select(F.col("vec_id").alias("match"), "label"), "match"), "label").select("query", "match", "rank")
 
 
-def filter_ladder(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbours of the same label first, then any; each once, from its strictest rung."""
-    vectors = table(spark, folder, "embeddings")
-    some = vectors.where("vec_id % 100 = 0")
-    loose = retrieve.top_k(some, vectors, "vec_id", "embedding", 6).join(vectors.select(F.col("vec_id").alias("match"), F.col("label").alias("b")), "match").join(vectors.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query")
-    strict = loose.where("a = b").select("query", "match", "cosine", "rank")
-    return retrieve.ladder([strict, loose.select("query", "match", "cosine", "rank")]).select("query", "match", "rung")
-
-
 def section_stats(spark: SparkSession, folder: str) -> DataFrame:
     out = table(spark, folder, "documents").select("doc_id", scoring.section_stats(F.col("text"), r"[0-9]{3,}").alias("s")).select("doc_id", "s.*")
     return out.select("doc_id", F.col("n_headings").cast("bigint").alias("n_headings"), F.col("n_words").cast("bigint").alias("n_words"), F.col("n_ids").cast("bigint").alias("n_ids"), "ids_per_1000_words")
@@ -299,8 +283,8 @@ def rivals_in_talk(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     enriched, tiers, united_sources, covered_by_group, new_texts, unfinished, order_segments, rising_lines, section_lines, section_ends, talk_best_match, absorbed_events, cut_checks, event_pairs, negatives, mutants,
-    draft_reviews, tinted_sentences, label_accuracy, faceted, lost_ids, by_position, anonymous_items, arm_counts, citing_sentences, evidence_metrics, markdown_report, filled_blanks, near_dup_wide, ocr_needed,
-    parser_choice, round_trips, short_keys, hash_sample, one_per_source, filter_ladder, section_stats, keyword_buckets, marker_dominance, rivals_in_talk,
+    draft_reviews, tinted_sentences, label_accuracy, faceted, lost_ids, by_position, anonymous_items, arm_counts, citing_sentences, evidence_metrics, markdown_report, near_dup_wide, ocr_needed,
+    parser_choice, round_trips, short_keys, hash_sample, one_per_source, section_stats, keyword_buckets, marker_dominance, rivals_in_talk,
 )}
 
 _FP = f"WITH {FINDING_PAIRS_SQL}"
@@ -361,7 +345,6 @@ ORACLE: dict[str, str] = {
         SELECT variant AS band, count(*) AS n, round(avg(CAST(contains(d, 'CVE-') AS INTEGER)), 6) AS keeps_id, round(avg(CASE WHEN hosts NOT IN ('1', '2') THEN CAST(hosts = kept AS INTEGER) END), 6) AS keeps_number, round(avg(CAST(regexp_matches(d, '^Severity') AS INTEGER)), 6) AS keeps_severity,
         round(avg(CAST(contains(d, 'could') AS INTEGER)), 6) AS hedged, 0.0 AS one_sentence, round(quantile_cont(len(regexp_extract_all(d, '\S+')), 0.5), 6) AS median_draft_words, round(quantile_cont(len(regexp_extract_all(s, '\S+')), 0.5), 6) AS median_source_words FROM p GROUP BY 1""",
     "markdown_report": "SELECT '| ' || coalesce(lang, '') || ' | ' || count(*) || ' | ' || count(DISTINCT source) || ' |' AS line FROM documents GROUP BY lang",
-    "filled_blanks": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 6 <> 0 THEN '' ELSE lang END AS lang FROM documents",
     "near_dup_wide": """WITH s AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
         g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS g FROM s),
         r AS (SELECT min(doc_id) AS doc_id FROM g GROUP BY list_sort(g)), e AS (SELECT doc_id, unnest(g) AS x FROM g JOIN r USING (doc_id)), n AS (SELECT doc_id, len(g) AS n FROM g),
@@ -374,7 +357,6 @@ ORACLE: dict[str, str] = {
     "short_keys": """SELECT '{"n":"' || n_name || '","r":"' || n_regionkey || '"}' AS value FROM nation""",
     "hash_sample": "SELECT doc_id FROM documents ORDER BY sha1('42:' || doc_id), doc_id LIMIT 50",
     "one_per_source": f"{_NEAR}, o AS (SELECT query, match, rank, row_number() OVER (PARTITION BY query, b ORDER BY rank) AS k FROM r WHERE rank <= 10) SELECT query, match, CAST(rank AS INTEGER) AS rank FROM (SELECT query, match, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM o WHERE k = 1) WHERE rank <= 4",
-    "filter_ladder": f"{_NEAR} SELECT query, match, CASE WHEN a = b THEN 0 ELSE 1 END AS rung FROM r WHERE rank <= 6",
     "section_stats": r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '(?m)^#{1,6}\s+\S')) AS n_headings, len(regexp_extract_all(text, '\S+')) AS n_words, len(list_distinct(regexp_extract_all(text, '[0-9]{3,}'))) AS n_ids FROM documents) SELECT doc_id, n_headings, n_words, n_ids, round(n_ids * 1000 / greatest(n_words, 1), 3) AS ids_per_1000_words FROM t",
     "keyword_buckets": r"""WITH s AS (SELECT source, doc_id, len(regexp_extract_all(text, '\bthe\b')) / greatest(length(text) / 500, 1) AS t, len(regexp_extract_all(text, '\bdie\b')) / greatest(length(text) / 500, 1) AS e FROM documents WHERE text IS NOT NULL),
         b AS (SELECT *, CASE WHEN t >= 2 AND t >= e THEN 'technical' WHEN e >= 2 THEN 'executive' END AS bucket FROM s),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import shared_folder
+from ..sources.registry import Registry
 from ..streaming.incremental import run_incrementally, stream_files
 from .pairs import table
 
@@ -23,7 +24,7 @@ def incremental_append(spark: SparkSession, folder: str) -> DataFrame:
         events.where((F.col("event_id") % 3 == part) | (F.col("event_id") % 10 == 0)).write.mode("append").parquet(f"{place}/in")
     query = run_incrementally(stream_files(spark, f"{place}/in", events.schema), lambda rows: rows.where("value >= 0"), f"{place}/out", f"{place}/state", "event_id")
     query.awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{place}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))
+    return Registry(spark, f"{place}/out", "event_id").rows().groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))
 
 
 QUERIES: dict[str, Query] = {"incremental_append": incremental_append}

@@ -10,7 +10,9 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import analytics, assemble, dedup, retrieve, sequences
+from ..sources.checkpoints import stored
 from .pairs import TALK_PAIRS_SQL, table, talk_pairs
+from .search_queries import document_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,17 +165,16 @@ def posting_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
-    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
-    index = retrieve.postings(docs, "doc_id", F.col("text"))
-    terms = retrieve.query_terms(items, "item_id", F.col("text"), index, docs.count())
-    hits = retrieve.lexical_scores(terms, index, retrieve.doc_lengths(index)).where(retrieve.qualifies())
+    items, index = table(spark, folder, "benchmark"), document_index(spark, folder)
+    terms = stored(retrieve.query_terms(items, "item_id", F.col("text"), index, index.n_docs), "terms")
+    hits = retrieve.lexical_scores(terms, index).where(retrieve.qualifies())
     order = W.partitionBy("query").orderBy(F.desc("score"), "doc")
     return hits.withColumn("score", F.round("lexical", 5)).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query", "doc", "score", "rank")
 
 
 def finding_search(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark")
-    found = retrieve.search(items, table(spark, folder, "documents"), "item_id", "text", "doc_id", "text", limit=3)
+    found = retrieve.search(items, table(spark, folder, "documents"), "item_id", "text", "doc_id", "text", limit=3, index=document_index(spark, folder))
     return found.select("query", "doc", "score", "exact", F.size("signals").cast("bigint").alias("n_signals"), "rank")
 
 
@@ -276,7 +277,7 @@ _LEXICAL = """WITH p AS (SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_al
         df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id AS query, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM benchmark) GROUP BY ALL),
         s AS (SELECT query, term, ln(1 + (SELECT count(*) FROM documents) / df) AS idf, tf FROM q JOIN df USING (term)), k AS (SELECT query, term, idf FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY idf DESC, tf DESC, term) AS r FROM s) WHERE r <= 40),
         m AS (SELECT query, sum(idf) AS mass, count(*) AS nt FROM k GROUP BY 1), h AS (SELECT query, doc, sum(idf) AS got, count(*) AS hits FROM p JOIN k USING (term) GROUP BY ALL),
-        o AS (SELECT query, doc, got / mass / (0.7 + 0.3 * len / avg) AS x, hits, nt FROM h JOIN m USING (query) JOIN l USING (doc), a)"""
+        o AS (SELECT query, doc, round(got / mass / (0.7 + 0.3 * len / avg), 9) AS x, hits, nt FROM h JOIN m USING (query) JOIN l USING (doc), a)"""
 _BAND = r"CASE WHEN regexp_matches(text, '(?i)\bcritical\b|\bactively exploited\b|exploitation observed') THEN 4 WHEN regexp_matches(text, '(?i)\bhigh\b') THEN 3 WHEN regexp_matches(text, '(?i)\bmedium\b|\bmoderate\b') THEN 2 WHEN regexp_matches(text, '(?i)\blow\b') THEN 1 WHEN regexp_matches(text, '(?i)\binformational\b|\binfo\b') THEN 0 END"
 _TOPIC_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in retrieve.TOPIC_WORDS) + "], lambda x: x IS NOT NULL)"
 _FACTS = ", ".join(f"{name} AS (SELECT {id} AS id, {_BAND} AS band, {_TOPIC_LIST} AS topics FROM {source})" for name, id, source in (("qfacts", "item_id", "benchmark"), ("dfacts", "doc_id", "documents")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..sources.records import append_once
+from ..sources.registry import Registry
+from ..sources.rewrite import Files
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -17,8 +19,20 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, kind: str =
 
 
 def run_incrementally(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Apply ``step`` to each batch and add the rows whose key is not in ``out`` yet. What is repeated, within a batch, across batches or after a restart, is added once; the final table is that of one batch over all."""
-    return stream.writeStream.foreachBatch(lambda rows, _: append_once(step(rows), out, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Apply ``step`` to each batch and add the rows whose key is not in the ``Registry`` at ``out`` yet.
+
+    What is repeated, within a batch, across batches or after a restart, is added once; the final table, ``Registry.rows``, is that
+    of one batch over all. A batch is named after the stream's own id, which its checkpoint keeps, and its number: the
+    same batch after a restart replaces what its first attempt left, and a stream with a new checkpoint has names of its own.
+    """
+    spark = stream.sparkSession
+    Registry(spark, out, key)
+
+    def add(rows: DataFrame, number: int) -> None:
+        name = json.loads(Files(rows.sparkSession, checkpoint).text(f"{checkpoint}/metadata"))["id"]
+        Registry(rows.sparkSession, out, key).add(step(rows), f"{name}-{number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def judged_stream(pairs: DataFrame, judge: Callable[[DataFrame], DataFrame], id: str = "pair_id") -> DataFrame:
