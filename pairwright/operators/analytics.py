@@ -77,11 +77,15 @@ def rule_adherence(rows: DataFrame, rules: dict[str, tuple[Column, Column]], exa
     return out.withColumn("rate", rate).withColumn("verdict", F.when(rate >= 0.7, "strong").when(rate >= 0.5, "mixed").otherwise("weak"))
 
 
-def mutation_recall(judged: DataFrame, group: str, target: str, base_ok: str | None = None) -> DataFrame:
-    """Per group: rows, those in which the target check fails, and the share. Rows whose base already failed are not testable."""
-    rows = judged.where(base_ok) if base_ok else judged
-    hit = F.exists("flags", lambda f: (f["level"] == "fail") & (f["check"] == F.col(target)))
-    return rows.groupBy(group, target).agg(F.count("*").alias("n"), F.count_if(hit).alias("n_found")).withColumn("recall", F.round(F.col("n_found") / F.col("n"), 6))
+def planted_recall(drafts: DataFrame, id: str, by: list[str]) -> DataFrame:
+    """Per class of planted errors: pairs that can be tested, those in which the aimed check ``failed``, and the share.
+
+    ``drafts`` has a faithful draft (``base``) and a spoilt one of each pair. A pair whose base already fails proves nothing and
+    is left out; a class that is never found is in the result with 0.
+    """
+    pairs = drafts.groupBy(id, *by).agg(F.max(F.when(F.col("base"), F.col("failed"))).alias("base_failed"), F.max(F.when(~F.col("base"), F.col("failed"))).alias("found"))
+    rows = pairs.where("not base_failed and found is not null")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("found").alias("n_found")).withColumn("recall", F.round(F.col("n_found") / F.col("n"), 6))
 
 
 def threshold_sweep(scored: DataFrame, score: str, truth: str, thresholds: list[float], most_false: float = 0.1) -> DataFrame:

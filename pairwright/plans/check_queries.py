@@ -48,12 +48,23 @@ def axis_report(spark: SparkSession, folder: str) -> DataFrame:
     return report.axes(judged, "pair_id").groupBy("axis").agg(F.sum("fails").alias("fails"), F.sum("warns").alias("warns"), F.countDistinct("pair_id").alias("n_pairs"))
 
 
+#: The planted error of each variant, and the check that it is aimed at.
+AIMED = {1: "id_parity", 2: "numeric_parity", 3: "severity_drift", 4: "severity_drift", 5: "severity_drift", 6: "caveat_parity", 7: "claim_inflation", 8: "status_drift", 9: "entity_check"}
+
+
 def mutation_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each planted error is found by the check it is aimed at."""
-    aimed = {1: "id_parity", 2: "numeric_parity", 3: "severity_drift", 7: "claim_inflation", 8: "status_drift", 9: "entity_check"}
-    target = F.element_at(F.create_map(*[F.lit(x) for k, v in aimed.items() for x in (k, v)]), F.col("variant"))
-    rows = finding_pairs(spark, folder).where(F.col("variant").isin(*aimed)).withColumn("target", target)
-    return analytics.mutation_recall(checks.judge_one(rows, "target"), "variant", "target")
+    """How often each of the nine planted errors is found by the check that it is aimed at, also those that never are; an inflated severity also by the check of both directions.
+
+    A pair counts only if its faithful draft passes that check.
+    """
+    target = F.element_at(F.create_map(*[F.lit(x) for k, v in AIMED.items() for x in (k, v)]), F.col("variant"))
+    both = F.explode(F.array(F.struct(F.lit(True).alias("base"), F.col(SRC).alias("text")), F.struct(F.lit(False).alias("base"), F.col(DRAFT).alias("text")))).alias("d")
+    drafts = finding_pairs(spark, folder).where(F.col("variant").isin(*AIMED)).select("pair_id", "variant", target.alias("target"), SRC, both).select("*", "d.base", F.col("d.text").alias(DRAFT)).drop("d")
+    judged = checks.judge_one(drafts, "target")
+    inflated = drafts.where("variant = 4").withColumns({"flags": checks.severity_drift(F.col(SRC), F.col(DRAFT), F.lit(None).cast("string"), both_ways=True), "target": F.lit("severity_inflation")})
+    failed = F.exists("flags", lambda f: f["level"] == "fail").alias("failed")
+    rows = judged.select("pair_id", "variant", "target", "base", failed).unionByName(inflated.select("pair_id", "variant", "target", "base", failed))
+    return analytics.planted_recall(rows, "pair_id", ["variant", "target"])
 
 
 def sentence_review(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,6 +168,20 @@ _FLAG_SQL = {
 _SEV_SQL = "sev AS (SELECT pair_id, regexp_extract(source_text, '^Severity ([a-z]+)', 1) AS s, regexp_extract(draft_text, '^Severity ([a-z]+)', 1) AS d FROM finding_pairs)"
 _ALL_FLAGS = f"{_FP}, {_SEV_SQL}, flags AS (" + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", * FROM ({sql})" for name, sql in _FLAG_SQL.items() if name != "severity_inflation") + ")"
 
+
+
+def _recall_sql() -> str:
+    """The flags of the drafts, and those of the sources as drafts of themselves, for the rule that the base must pass."""
+    aimed = ", ".join(f"({v}, '{c}', '{c}')" for v, c in AIMED.items()) + ", (4, 'severity_inflation', 'severity_inflation')"
+    flags = " UNION ALL ".join(f"SELECT '{name}' AS \"check\", * FROM ({sql})" for name, sql in _FLAG_SQL.items())
+    base = flags.replace("finding_pairs", "base_pairs").replace("FROM sev", "FROM base_sev")
+    return f"""{_FP}, {_SEV_SQL}, base_pairs AS (SELECT * REPLACE (source_text AS draft_text) FROM finding_pairs), base_{_SEV_SQL.replace("finding_pairs", "base_pairs")},
+        flags AS ({flags}), base_flags AS ({base}), aimed AS (SELECT * FROM (VALUES {aimed}) AS x(variant, target, "check"))
+        SELECT variant, target, count(*) AS n, count(*) FILTER (hit) AS n_found, round(count(*) FILTER (hit) / count(*), 6) AS recall
+        FROM (SELECT variant, target, EXISTS (SELECT 1 FROM flags f WHERE f.pair_id = p.pair_id AND f."check" = a."check" AND level = 'fail') AS hit FROM finding_pairs p JOIN aimed a USING (variant)
+              WHERE NOT EXISTS (SELECT 1 FROM base_flags f WHERE f.pair_id = p.pair_id AND f."check" = a."check" AND level = 'fail')) GROUP BY ALL"""
+
+
 _SENT = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
 _STOPS = "['the','a','an','of','to','and','in','is','that','this','for','on','be','by','it','as','with']"
 
@@ -168,9 +193,7 @@ ORACLE: dict[str, str] = {name: f"{_FP}, {_SEV_SQL} {sql}" for name, sql in _FLA
     "axis_report": f"""{_ALL_FLAGS}, axes AS (SELECT * FROM (VALUES ('id_parity','F'),('numeric_parity','F'),('entity_check','F'),('severity_drift','F'),('claim_inflation','F'),('caveat_parity','F'),('status_drift','F'),('negation_flip','F'),('format_lint','U')) AS x("check", axis))
         SELECT a.axis, count(*) FILTER (level = 'fail') AS fails, count(*) FILTER (level = 'warn') AS warns, (SELECT count(*) FROM finding_pairs) AS n_pairs
         FROM (SELECT unnest(['F', 'U']) AS axis) a LEFT JOIN axes USING (axis) LEFT JOIN flags USING ("check") GROUP BY a.axis""",
-    "mutation_recall": f"""{_ALL_FLAGS}, aimed AS (SELECT * FROM (VALUES (1,'id_parity'),(2,'numeric_parity'),(3,'severity_drift'),(7,'claim_inflation'),(8,'status_drift'),(9,'entity_check')) AS x(variant, target))
-        SELECT variant, target, count(*) AS n, count(*) FILTER (hit) AS n_found, round(count(*) FILTER (hit) / count(*), 6) AS recall
-        FROM (SELECT variant, target, EXISTS (SELECT 1 FROM flags f WHERE f.pair_id = p.pair_id AND f."check" = target AND level = 'fail') AS hit FROM finding_pairs p JOIN aimed USING (variant)) GROUP BY ALL""",
+    "mutation_recall": _recall_sql(),
     "sentence_review": rf"""{_FP}, s AS (SELECT pair_id, source_text, {_SENT.replace('text,', 'draft_text,', 1)} AS s FROM finding_pairs), x AS (SELECT pair_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS n FROM s)
         SELECT pair_id, n, CASE WHEN t LIKE '%allows reading%' OR t LIKE 'Attackers accessed%' THEN 'red' ELSE 'green' END AS level,
         CASE WHEN t LIKE '%allows reading%' THEN 'claim_inflation' WHEN t LIKE 'Attackers accessed%' THEN 'claim_inflation,negation_flip,status_drift' ELSE '' END AS checks FROM x""",

@@ -144,7 +144,7 @@ def citation_range_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_length(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").where("(l_partkey + l_linenumber) % 3 <> 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_linenumber") + F.col("l_partkey") % 3)).alias("n"))
     return lines.select("l_orderkey", F.array_join(T.run_lengths(F.col("n")), ",").alias("runs"))
 
 
@@ -307,7 +307,7 @@ ORACLE: dict[str, str] = {
                md5(left(string_agg('[item ' || p || '] (severity: ' || sev || ')' || chr(10) || 'part ' || p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey), 14000)) AS text_md5 FROM x GROUP BY l_orderkey HAVING count(*) > 1""",
     "nearest_lower_host": "WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events), w AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER o AS h, last_value(CASE WHEN event_type = 'purchase' THEN at_s END IGNORE NULLS) OVER o AS ha FROM e WINDOW o AS (PARTITION BY user_id ORDER BY at_s, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, CASE WHEN at_s - ha <= 86400 THEN h END AS host, CASE WHEN at_s - ha <= 86400 THEN at_s - ha END AS gap FROM w WHERE event_type <> 'purchase'",
     "citation_range_join": "SELECT c.l_orderkey AS doc, c.l_linenumber AS citing, string_agg(CAST(t.l_linenumber AS VARCHAR), ',' ORDER BY t.l_linenumber) AS cited FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) c JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) t ON t.l_orderkey = c.l_orderkey AND t.l_linenumber BETWEEN 1 AND c.l_linenumber - 1 WHERE c.l_linenumber >= 3 GROUP BY ALL",
-    "run_length": "WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem WHERE (l_partkey + l_linenumber) % 3 <> 0), g AS (SELECT l_orderkey, n, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS g FROM x), r AS (SELECT l_orderkey, min(n) AS a, max(n) AS b FROM g GROUP BY l_orderkey, g) SELECT l_orderkey, string_agg(CASE WHEN a = b THEN 'P' || a ELSE 'P' || a || '-P' || b END, ',' ORDER BY a) AS runs FROM r GROUP BY 1",
+    "run_length": "WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber + l_partkey % 3 AS n FROM lineitem), g AS (SELECT l_orderkey, n, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS g FROM x), r AS (SELECT l_orderkey, min(n) AS a, max(n) AS b FROM g GROUP BY l_orderkey, g) SELECT l_orderkey, string_agg(CASE WHEN a = b THEN 'P' || a ELSE 'P' || a || '-P' || b END, ',' ORDER BY a) AS runs FROM r GROUP BY 1",
     "gap_sequence": """WITH RECURSIVE x AS (SELECT l_orderkey, l_partkey % 9 AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 9) AS i FROM lineitem),
         s AS (SELECT l_orderkey, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS last, '' AS accepted FROM (SELECT DISTINCT l_orderkey FROM x) UNION ALL
         SELECT s.l_orderkey, x.i, CASE WHEN x.v > last AND x.v <= last + 3 THEN x.v ELSE last END, CASE WHEN x.v > last AND x.v <= last + 3 THEN accepted || CASE WHEN accepted = '' THEN '' ELSE ',' END || x.v ELSE accepted END FROM s JOIN x ON x.l_orderkey = s.l_orderkey AND x.i = s.i + 1)
