@@ -41,7 +41,7 @@ RULES = (
     Rule("symbols_per_word", "symbols_per_word", most=0.1),
     Rule("shouting", "shouts_per_word", most=0.3),
     Rule("upper_case", "upper_share", most=0.5),
-    Rule("stop_words", "n_stop_words", least=2),
+    Rule("stop_words", "stop_word_share", least=0.05),
     Rule("repeated_lines", "dup_line_share", most=0.5),
     Rule("wordy_words", "letter_word_share", least=0.6),
     Rule("bullets", "bullet_line_share", most=0.9),
@@ -115,7 +115,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
             "symbols_per_word": per("n_symbols", "n_words"),
             "shouts_per_word": per("n_shouts", "n_words"),
             "upper_share": per("n_upper", "word_chars"),
-            "n_stop_words": count("n_stop_words"),
+            "stop_word_share": per("n_stop_words", "n_words"),
             "dup_line_share": per("n_dup_lines", "n_lines"),
             "letter_word_share": per("n_letter_words", "n_words"),
             "bullet_line_share": per("n_bullet_lines", "n_lines"),

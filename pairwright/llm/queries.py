@@ -133,7 +133,7 @@ m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars BETWEEN 2.0 * n_words AND 20.0 * n_words AND n_symbols / n_words <= 0.1 AND n_shouts / n_words <= 0.3
-       AND n_upper / word_chars <= 0.5 AND n_stop_words >= 2 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5
+       AND n_upper / word_chars <= 0.5 AND n_stop_words / n_words >= 0.05 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5
        AND n_letter_words / n_words >= 0.6 AND coalesce(n_bullet_lines / nullif(n_lines, 0), 0) <= 0.9
        AND coalesce(n_ellipsis_lines / nullif(n_lines, 0), 0) <= 0.3 AS kept
 FROM b

@@ -33,13 +33,11 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class TreeOptions:
-    """``depth``: segments below the host that are nodes of their own; where a path has more, the rest is one wildcard.
-    ``max_children``: from more distinct children on, a node's rarer ones are variable.
+    """``max_children``: from more distinct children on, a node's rarer ones are variable.
     ``min_share``: a child with this share of its node's urls stays literal all the same.
     ``z``: siblings whose block rates differ by less than so many standard errors are merged.
     ``prior``: labelled urls that the purity one level up counts for. ``purity``: from here on a template is rejected."""
 
-    depth: int = 16
     max_children: int = 8
     min_share: float = 0.1
     z: float = 1.64
@@ -68,25 +66,35 @@ def _ruled(rules: tuple[UrlRule, ...], host: Column, path: Column) -> Column:
     return out
 
 
-def _segments(path: Column, depth: int) -> Column:
-    """The path's segments, runs of digits as ``{n}`` and long hex as ``{x}``; from ``depth`` on, one for the rest."""
+def _segments(path: Column) -> Column:
+    """The path's segments, runs of digits as ``{n}`` and long hex as ``{x}``."""
     shaped = F.regexp_replace(F.regexp_replace(path, r"[0-9a-fA-F]{16,}", "{x}"), r"\p{Nd}+", "{n}")
-    parts = F.split(F.regexp_replace(shaped, "^/", ""), "/")
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("**")))).otherwise(parts)
+    return F.split(F.regexp_replace(shaped, "^/", ""), "/")
 
 
 def _generalised(leaves: DataFrame, o: TreeOptions) -> DataFrame:
-    """``leaves(host, segs, n, blocked, labelled)`` with ``tree``: each segment literal or ``*``, level by level below the ones already settled."""
-    now = leaves.withColumn("tree", F.array().cast("array<string>"))
-    for level in range(leaves.agg(F.max(F.size("segs"))).first()[0] or 0):  # o.depth at most
+    """``leaves(host, segs, n, blocked, labelled)`` with ``tree``: each segment literal or ``*``, level by level below the ones already settled.
+
+    Below a node with no more than ``max_children`` shapes nothing can become variable, so such shapes are done at once, however
+    deep; there are as many rounds as levels at which more shapes than that share a node.
+    """
+    now, done, level = leaves.withColumn("tree", F.array().cast("array<string>")), None, 0
+    while True:
+        crowded = now.groupBy("host", "tree").agg(F.count("*").alias("shapes")).where(F.col("shapes") > o.max_children).select("host", "tree", F.lit(True).alias("crowded"))
+        now = stored(now.join(crowded, ["host", "tree"], "left"), "url-trees")
+        ended = F.col("crowded").isNull() | (F.size("segs") <= level)
+        settled = now.where(ended).withColumn("tree", F.concat("tree", F.slice("segs", F.lit(level + 1), F.size("segs")))).drop("crowded")
+        done = settled if done is None else done.unionByName(settled)
+        live = now.where(~ended).drop("crowded")
+        if live.isEmpty():
+            return done
         seg = F.get("segs", F.lit(level))
-        child = now.where(F.size("segs") > level).groupBy("host", "tree", seg.alias("seg")).agg(F.sum("n").alias("n"))
+        child = live.groupBy("host", "tree", seg.alias("seg")).agg(F.sum("n").alias("n"))
         node = child.groupBy("host", "tree").agg(F.sum("n").alias("all"), F.count("*").alias("children"))
         fixed = child.join(node, ["host", "tree"]).where((F.col("children") <= o.max_children) | (F.col("n") >= o.min_share * F.col("all"))).select("host", "tree", "seg", F.lit(True).alias("literal"))
-        now = now.withColumn("seg", seg).join(fixed, ["host", "tree", "seg"], "left")
-        label = F.when(F.col("seg").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.when(F.coalesce("literal", F.lit(False)), F.col("seg")).otherwise(F.lit("*"))))
-        now = stored(now.withColumn("tree", F.concat("tree", label)).drop("seg", "literal"), "url-trees")
-    return now
+        now = live.withColumn("seg", seg).join(fixed, ["host", "tree", "seg"], "left")
+        now = stored(now.withColumn("tree", F.concat("tree", F.array(F.when(F.coalesce("literal", F.lit(False)), F.col("seg")).otherwise(F.lit("*"))))).drop("seg", "literal"), "url-trees")
+        level += 1
 
 
 def _runs(siblings: Column, o: TreeOptions) -> Column:
@@ -106,21 +114,37 @@ def _runs(siblings: Column, o: TreeOptions) -> Column:
     return F.aggregate(F.array_sort(siblings), start, add)
 
 
+def _deepest_choice(rows: DataFrame, below: int | None) -> int | None:
+    """The deepest level, above ``below``, at which templates that are the same before and after it differ; None if there is none."""
+    spots = rows.select("host", "template").distinct().select("host", "template", F.posexplode("template").alias("level", "head"))
+    if below is not None:
+        spots = spots.where(F.col("level") < below)
+    around = [F.xxhash64(F.slice("template", F.lit(1), F.col("level"))).alias("p"), F.xxhash64(F.slice("template", F.col("level") + 2, F.size("template"))).alias("q")]
+    return spots.groupBy("host", "level", *around).agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").agg(F.max("level")).first()[0]
+
+
 def _merged(templates: DataFrame, o: TreeOptions) -> DataFrame:
-    """``templates(host, tree, n, blocked, labelled)`` with ``rest`` and ``template``: siblings that have the same
-    shape below their first segment and whose block rates are not told apart share one template, named by all of them.
+    """``templates(host, tree, n, blocked, labelled)`` with ``template`` and ``rest``, what follows its first segment: siblings that have the same
+    shape before and below their segment, and whose block rates are not told apart, share one template, named by all of them.
 
-    A branch without a label has the shape only to be known by. It joins its labelled siblings if these are
-    alike; if they are told apart, or there are none, the branches without labels have one template of their own.
-    A node has few children after wildcards were made, so its siblings are a short array.
+    Levels are merged from the deepest up, so branches whose insides have become alike can be merged in their turn. A branch without
+    a label has the shape only to be known by. It joins its labelled siblings if these are alike; if they are told apart, or there are
+    none, the branches without labels have one template of their own. A node has few children after wildcards were made, so its
+    siblings are a short array.
     """
-    rows = templates.withColumn("rest", F.slice("tree", 2, o.depth)).withColumn("head", F.get("tree", F.lit(0)))
-    labelled = F.when(F.col("labelled") > 0, F.struct(((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("rate"), "head", "blocked", "labelled"))
-    nodes = rows.groupBy("host", "rest").agg(F.collect_list(labelled).alias("known"), F.collect_list(F.when(F.col("labelled") == 0, F.col("head"))).alias("open"))
-    groups = F.transform(_runs(F.col("known"), o), lambda x: x["heads"])
-    groups = F.when(F.size(groups) == 1, F.array(F.concat(F.get(groups, F.lit(0)), "open"))).when(F.size("open") > 0, F.concat(groups, F.array("open"))).otherwise(groups)
-    named = nodes.select("host", "rest", F.explode(groups).alias("heads")).select("host", "rest", F.concat(F.array(F.concat_ws("|", F.array_sort("heads"))), "rest").alias("template"), F.explode("heads").alias("head"))
-    return rows.join(named, ["host", "rest", "head"]).drop("head")
+    rows, level = templates.withColumn("template", F.col("tree")), None
+    while (level := _deepest_choice(rows, level)) is not None:
+        key = {"prefix": F.slice("template", F.lit(1), F.lit(level)), "head": F.get("template", F.lit(level)), "suffix": F.slice("template", F.lit(level + 2), F.size("template"))}
+        deep = rows.where(F.size("template") > level).withColumns(key)
+        heads = deep.groupBy("host", "prefix", "suffix", "head").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+        labelled = F.when(F.col("labelled") > 0, F.struct(((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("rate"), "head", "blocked", "labelled"))
+        nodes = heads.groupBy("host", "prefix", "suffix").agg(F.collect_list(labelled).alias("known"), F.collect_list(F.when(F.col("labelled") == 0, F.col("head"))).alias("open"))
+        groups = F.transform(_runs(F.col("known"), o), lambda x: x["heads"])
+        groups = F.when(F.size(groups) == 1, F.array(F.concat(F.get(groups, F.lit(0)), "open"))).when(F.size("open") > 0, F.concat(groups, F.array("open"))).otherwise(groups)
+        named = nodes.select("host", "prefix", "suffix", F.explode(groups).alias("heads")).select("host", "prefix", "suffix", F.concat_ws("|", F.array_sort("heads")).alias("name"), F.explode("heads").alias("head"))
+        changed = deep.join(named, ["host", "prefix", "suffix", "head"]).withColumn("template", F.concat("prefix", F.array("name"), "suffix")).select(rows.columns)
+        rows = stored(changed.unionByName(rows.where(F.size("template") <= level)), "url-merging")
+    return rows.withColumn("rest", F.slice("template", F.lit(2), F.size("template")))
 
 
 def templates(urls: DataFrame, options: TreeOptions = TreeOptions()) -> DataFrame:
@@ -134,7 +158,7 @@ def templates(urls: DataFrame, options: TreeOptions = TreeOptions()) -> DataFram
     alone rejects, so labels reach urls that have none themselves. On a host without any label nothing is rejected.
     """
     o = options
-    leaves = urls.groupBy("host", _segments(F.col("path"), o.depth).alias("segs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"), F.count("label").alias("labelled"))
+    leaves = urls.groupBy("host", _segments(F.col("path")).alias("segs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"), F.count("label").alias("labelled"))
     leaves = _generalised(stored(leaves, "url-shapes"), o)
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
     merged = stored(_merged(leaves.groupBy("host", "tree").agg(*sums), o), "url-merged")
@@ -162,7 +186,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...], url: str = "url", label:
     own = F.col(label).cast("int") if label else F.when(F.col("_f_rule.verdict") == "block", 1).when(F.col("_f_rule.verdict") == "allow", 0)
     known = templates(rows.select(F.col("_f_host").alias("host"), F.col("_f_path").alias("path"), own.alias("label")), options)
     known = known.select(F.col("host").alias("_t_host"), F.col("segs").alias("_t_segs"), F.struct("template", "purity", "rejected").alias("_t"))
-    rows = rows.withColumn("_f_segs", _segments(F.col("_f_path"), options.depth)).join(known, (F.col("_f_host") == F.col("_t_host")) & (F.col("_f_segs") == F.col("_t_segs")), "left")
+    rows = rows.withColumn("_f_segs", _segments(F.col("_f_path"))).join(known, (F.col("_f_host") == F.col("_t_host")) & (F.col("_f_segs") == F.col("_t_segs")), "left")
     verdict = F.coalesce("_f_rule.verdict", F.when(F.col("_t.rejected"), F.lit("block")), F.lit("allow"))
     value = F.struct(F.col("_f_host").alias("host"), F.col("_f_path").alias("path"), F.col("_f_rule.rule").alias("rule"), F.concat_ws("/", "_t.template").alias("template"), F.col("_t.purity").alias("purity"), verdict.alias("verdict"))
     return rows.select(*[c for c in pages.columns if c != "url_filter"], value.alias("url_filter"))

@@ -68,11 +68,12 @@ def plain_tree(urls, o):
     leaves = {}
     for host, path, label in urls:
         p = re.sub(r"\d+", "{n}", re.sub(r"[0-9a-fA-F]{16,}", "{x}", path)).removeprefix("/").split("/")
-        segs = (*p[: o.depth - 1], "**") if len(p) > o.depth else tuple(p)
+        segs = tuple(p)
         n, blocked, labelled = leaves.get((host, segs), (0, 0, 0))
         leaves[host, segs] = (n + 1, blocked + (label or 0), labelled + (label is not None))
     tree = {k: () for k in leaves}
-    for level in range(o.depth):
+    deepest = max(len(k[1]) for k in leaves)
+    for level in range(deepest):
         nodes = {}
         for (host, segs), v in leaves.items():
             if len(segs) > level:
@@ -89,31 +90,36 @@ def plain_tree(urls, o):
         sums[k[0], tree[k]] = (have[0] + v[1], have[1] + v[2])
     rate = lambda b, n: (b + 1) / (n + 2)
     var = lambda b, n: rate(b, n) * (1 - rate(b, n)) / (n + 2)
-    template = {}
-    for node in {(h, t[1:]) for h, t in sums}:
-        mine = [(h, t) for h, t in sums if (h, t[1:]) == node]
-        groups = []
-        for h, t in sorted((x for x in mine if sums[x][1]), key=lambda x: (rate(*sums[x]), x[1][0])):
-            b, n = sums[h, t]
-            if groups and abs(rate(b, n) - rate(*groups[-1][0])) <= o.z * (var(b, n) + var(*groups[-1][0])) ** 0.5:
-                groups[-1] = ((groups[-1][0][0] + b, groups[-1][0][1] + n), [*groups[-1][1], t])
-            else:
-                groups.append(((b, n), [t]))
-        free = [t for h, t in mine if not sums[h, t][1]]
-        if len(groups) == 1:
-            groups[0][1].extend(free)
-        elif free:
-            groups.append(((0, 0), free))
-        for _, ts in groups:
-            for t in ts:
-                template[node[0], t] = ("|".join(sorted(x[0] for x in ts)), *node[1])
+    template = {k: k[1] for k in sums}
+    for level in reversed(range(deepest)):
+        cut = lambda k: (k[0], template[k][:level], template[k][level + 1 :])  # noqa: B023, E731
+        for node in {cut(k) for k in sums if len(template[k]) > level}:
+            mine = {}
+            for k in sums:
+                if len(template[k]) > level and cut(k) == node:
+                    mine.setdefault(template[k][level], []).append(k)
+            have = {head: (sum(sums[k][0] for k in ks), sum(sums[k][1] for k in ks)) for head, ks in mine.items()}
+            groups = []
+            for head in sorted((h for h in mine if have[h][1]), key=lambda h: (rate(*have[h]), h)):
+                b, n = have[head]
+                if groups and abs(rate(b, n) - rate(*groups[-1][0])) <= o.z * (var(b, n) + var(*groups[-1][0])) ** 0.5:
+                    groups[-1] = ((groups[-1][0][0] + b, groups[-1][0][1] + n), [*groups[-1][1], head])
+                else:
+                    groups.append(((b, n), [head]))
+            free = [h for h in mine if not have[h][1]]
+            if len(groups) == 1:
+                groups[0][1].extend(free)
+            elif free:
+                groups.append(((0, 0), free))
+            renamed = {k: (*node[1], "|".join(sorted(heads)), *node[2]) for _, heads in groups for h in heads for k in mine[h]}
+            template |= renamed
     total = lambda keys: (sum(sums[k][0] for k in keys), sum(sums[k][1] for k in keys))
     smooth = lambda keys, above: (total(keys)[0] + o.prior * above) / (total(keys)[1] + o.prior)
     out = {}
     for k in leaves:
         host, t = k[0], tree[k]
         p = rate(*total(sums))
-        for keys in ([x for x in sums if x[0] == host], [x for x in sums if x[0] == host and x[1][1:] == t[1:]], [x for x in sums if x[0] == host and template[x] == template[host, t]]):
+        for keys in ([x for x in sums if x[0] == host], [x for x in sums if x[0] == host and template[x][1:] == template[host, t][1:]], [x for x in sums if x[0] == host and template[x] == template[host, t]]):
             p = smooth(keys, p)
         out[k] = (template[host, t], round(p, 9), p >= o.purity and total([x for x in sums if x[0] == host])[1] > 0)
     return out
@@ -122,7 +128,7 @@ def plain_tree(urls, o):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_plain_tree(spark, seed):
     rng = __import__("random").Random(seed)
-    o = urltree.TreeOptions(depth=3, max_children=3, min_share=0.15)
+    o = urltree.TreeOptions(max_children=3, min_share=0.15)
     urls = []
     for _ in range(700):
         host, a = rng.choice(["a.net", "b.net", "c.com"]), rng.choice("pqrstuvw"[: rng.choice([2, 8])])
@@ -143,5 +149,21 @@ def test_purity_reaches_branches_without_a_label(pages):
     assert got[100]["template"] == "de|en/{n}" and got[300]["template"] == "en/{n}"
 
 
+def test_branches_merge_on_every_level(spark):
+    rows = [("h", f"/s/{a}/{b}/{k}", label) for a, b, label in (("p", "u", 1), ("p", "v", 1), ("q", "u", 1), ("q", "v", 1), ("r", "u", 0)) for k in range(30)]
+    rows += [("g", "/deep" * 40 + f"/{w}/{k}", int(w == "x")) for w in "xyz" for k in range(20)]
+    out = urltree.templates(spark.createDataFrame(rows, "host string, path string, label int"))
+    got = {(r["host"], tuple(r["segs"])): ("/".join(r["template"]), r["rejected"]) for r in out.collect()}
+    assert got[("h", ("s", "p", "u", "{n}"))] == got[("h", ("s", "q", "v", "{n}"))] == ("s/p|q/u|v/{n}", True)
+    assert got[("h", ("s", "r", "u", "{n}"))] == ("s/r/u/{n}", False)
+    assert got[("g", (*["deep"] * 40, "y", "{n}"))] == ("deep/" * 40 + "y|z/{n}", False) and got[("g", (*["deep"] * 40, "x", "{n}"))][1]
+
+
+def test_equal_rates_and_repeated_urls(pages):
+    rows = [(k, f"http://t.com/{w}/{k}") for w in "ab" for k in range(10)] * 2
+    out = urltree.judge(pages(rows).withColumn("bad", F.col("page_id").cast("int") % 2), (), label="bad")
+    assert {r["url_filter"]["template"] for r in out.collect()} == {"a|b/{n}"} and out.count() == len(rows)
+
+
 def test_empty(pages):
     assert urltree.judge(pages([]), URL_RULES).count() == 0
