@@ -37,7 +37,7 @@ CVSS_BANDS = ((9.0, 4), (7.0, 3), (4.0, 2))
 BANDS = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 NEGATOR_PATTERN = r"(?iU)\b(?:no evidence|no indication|no sign|not been|have not|has not|was not|were not|without any|not observed|not aware|not exploit)\b"
 OVERLAP_STOPWORDS = ("the", "a", "an", "of", "to", "and", "in", "is", "that", "this", "for", "on", "be", "by", "it", "as", "with")
-EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL_PATTERN = r"(?U)[\w.+-]+@[\w-]+\.[\w.]+"
 
 STRINGS = "array<string>"
 

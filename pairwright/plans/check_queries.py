@@ -208,7 +208,7 @@ ORACLE: dict[str, str] = {name: f"{_FP}, {_SEV_SQL} {sql}" for name, sql in _FLA
     "shingles": """WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations)
         SELECT conv_id, turn, CASE WHEN len(w) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS n_shingles FROM w""",
     "extract_entities": r"SELECT doc_id, array_to_string(list_sort(list_distinct(e)), ',') AS addresses FROM (SELECT doc_id, regexp_extract_all(text, '\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\b') AS e FROM documents) WHERE len(e) > 0",
-    "pii_flag": "SELECT doc_id, NOT regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS pii_scrubbed FROM documents",
+    "pii_flag": "SELECT doc_id, NOT regexp_matches(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+[.][\\p{L}\\p{N}_.]+') AS pii_scrubbed FROM documents",
     "mojibake_stats": "SELECT lang, count(*) AS n, CAST(sum(len(regexp_extract_all(text, chr(65533) || '|Ã.|â€'))) AS BIGINT) AS n_broken, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY lang",
     "caveat_markers": f"{_FP} SELECT pair_id, 'An attacker could read records only if the debug interface is enabled.|There is no evidence of exploitation.' AS clauses FROM finding_pairs",
 }

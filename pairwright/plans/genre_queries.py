@@ -13,29 +13,37 @@ from .pairs import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _drafts(spark: SparkSession, folder: str) -> DataFrame:
+def drafts(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").where("role = 'assistant'")
     return turns.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("conv_id") % 2 == 0, "S01").otherwise("S02").alias("situation"), F.lit(None).cast("string").alias("jurisdiction"), F.col("text").alias("draft"))
 
 
-def _genres(spark: SparkSession) -> DataFrame:
+def genres(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("S01", True), ("S02", False)], "situation string, published boolean")
 
 
-def reader_questions(spark: SparkSession, folder: str) -> DataFrame:
+def lists(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, jargon and constants of two situations."""
     questions = spark.createDataFrame([("S01", "When was it fixed?", True), ("S01", "How many hosts are affected?", True), ("S02", "Which CVE is it?", True), ("S02", "Why does it matter?", True), ("S02", "When is it due?", False)], "situation string, question string, mandatory boolean")
-    return genre.reader_questions(_drafts(spark, folder), _genres(spark), questions)
+    jargon = spark.createDataFrame([("S01", "of the", "literal", ["of the"], "plain", None), ("S01", "ion words", "conditional", [r"tion\."], "regex", "if unexplained"), ("S02", "tone", "conceptual", [], "plain", "needs a reader"), ("S02", "and", "literal", ["and."], "plain", None)], "situation string, term string, kind string, patterns array<string>, pattern_kind string, condition string")
+    constants = spark.createDataFrame([("S01", "short", "length", "50 words", "words", 50.0, True, None), ("S01", "clock", "clock", "72 hours", None, None, None, None), ("S02", "parts", "fields", "", None, None, None, ["What the", "Erer and thent"]), ("S02", "pages", "length", "2 pages", "pages", 2.0, True, None)], "situation string, rule string, kind string, value string, unit string, most double, measurable boolean, fields array<string>")
+    return questions, jargon, constants
+
+
+def reader_questions(spark: SparkSession, folder: str) -> DataFrame:
+    questions, _, _ = lists(spark)
+    return genre.reader_questions(drafts(spark, folder), genres(spark), questions)
 
 
 def prohibited_jargon(spark: SparkSession, folder: str) -> DataFrame:
-    jargon = spark.createDataFrame([("S01", "of the", "literal", ["of the"], "plain", None), ("S01", "ion words", "conditional", [r"tion\."], "regex", "if unexplained"), ("S02", "tone", "conceptual", [], "plain", "needs a reader"), ("S02", "and", "literal", ["and."], "plain", None)], "situation string, term string, kind string, patterns array<string>, pattern_kind string, condition string")
-    out = genre.prohibited_jargon(_drafts(spark, folder), _genres(spark), jargon)
+    _, jargon, _ = lists(spark)
+    out = genre.prohibited_jargon(drafts(spark, folder), genres(spark), jargon)
     return out.select("id", "check", "outcome", "item", F.length("evidence").cast("bigint").alias("n_chars"))
 
 
 def format_constants(spark: SparkSession, folder: str) -> DataFrame:
-    constants = spark.createDataFrame([("S01", "short", "length", "50 words", "words", 50.0, True, None), ("S01", "clock", "clock", "72 hours", None, None, None, None), ("S02", "parts", "fields", "", None, None, None, ["What the", "Erer and thent"]), ("S02", "pages", "length", "2 pages", "pages", 2.0, True, None)], "situation string, rule string, kind string, value string, unit string, most double, measurable boolean, fields array<string>")
-    return genre.format_constants(_drafts(spark, folder), _genres(spark), constants)
+    _, _, constants = lists(spark)
+    return genre.format_constants(drafts(spark, folder), genres(spark), constants)
 
 
 def doc_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -290,7 +290,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 _FP = f"WITH {FINDING_PAIRS_SQL}"
 _TP = f"WITH {TALK_PAIRS_SQL}"
 _STOPS = "['the','a','an','of','to','and','in','is','that','this','for','on','be','by','it','as','with']"
-_MAIL = "regexp_matches({0}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}')"
+_MAIL = "regexp_matches({0}, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_-]+[.][\\p{{L}}\\p{{N}}_.]+')"
 _TOPICS = " ".join(f"WHEN regexp_matches(left(text, 3000), '(?i){p}') THEN '{n}'" for n, p in assemble.TOPICS)
 _LINES = "SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL"
 _NEAR = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings),

@@ -300,7 +300,7 @@ ORACLE: dict[str, str] = {
     "verdict_merge": "SELECT doc_id AS pair_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN toxic = 1 THEN 'unaligned' ELSE 'partial' END WHEN quality = 1 THEN 'aligned' ELSE 'unaligned' END AS alignment_label FROM labels",
     "two_model_vote": "WITH a AS (SELECT doc_id, quality = 1 AS p FROM labels WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, toxic = 0 AS p FROM labels WHERE doc_id % 7 <> 0) SELECT doc_id, CASE WHEN a.p AND b.p THEN 'aligned' WHEN a.p <> b.p THEN 'partial' WHEN NOT a.p AND NOT b.p THEN 'unaligned' END AS label, a.p <> b.p AS disagree FROM a FULL JOIN b USING (doc_id)",
     "majority_vote": "WITH c AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL), m AS (SELECT conv_id, arg_min(role, (-n, role)) AS label, count(*) = 1 AS agree FROM c GROUP BY 1) SELECT conv_id, label, round(avg(length(text) % 7 / 7.0), 3) AS confidence, count(*) AS passes, any_value(agree) AS agree FROM conversations JOIN m USING (conv_id) GROUP BY conv_id, label",
-    "publication_gate": "SELECT doc_id, CASE WHEN l IS NULL THEN 'licence_unknown' WHEN l <> 'apache-2.0' THEN 'licence_closed' WHEN mail THEN 'pii' ELSE 'kept' END AS reason FROM (SELECT doc_id, CASE WHEN contains(text, 'Apache License') THEN 'apache-2.0' WHEN contains(text, 'CC BY-NC') THEN 'cc-by-nc-4.0' END AS l, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS mail FROM documents)",
+    "publication_gate": "SELECT doc_id, CASE WHEN l IS NULL THEN 'licence_unknown' WHEN l <> 'apache-2.0' THEN 'licence_closed' WHEN mail THEN 'pii' ELSE 'kept' END AS reason FROM (SELECT doc_id, CASE WHEN contains(text, 'Apache License') THEN 'apache-2.0' WHEN contains(text, 'CC BY-NC') THEN 'cc-by-nc-4.0' END AS l, regexp_matches(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+[.][\\p{L}\\p{N}_.]+') AS mail FROM documents)",
     "drop_accounting": f"WITH {_GATED} SELECT tag, CASE WHEN doc_id % 11 = 0 THEN 'near_duplicate' WHEN NOT doclevel AND needs AND label IS NULL THEN 'unverified_pending' WHEN NOT doclevel AND label = 'unaligned' THEN 'verifier_unaligned' ELSE 'kept' END AS reason, count(*) AS n FROM d LEFT JOIN v USING (doc_id) GROUP BY ALL",
     "group_synthesis": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber AS VARCHAR) AS pair_id, CAST(l_partkey AS VARCHAR) AS p, ['Low','Info','High','Critical','Medium'][l_partkey % 5 + 1] AS sev, [4,2,6,7,5][l_partkey % 5 + 1] AS rank FROM lineitem)
         SELECT l_orderkey, count(*) AS n_members, arg_min(pair_id, l_linenumber) AS first_id, arg_max(sev, rank) AS severity_original, array_to_string(list_sort(list_distinct(list(p)))[1:40], ',') AS facts,
