@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import dot, is_quantified, prose_sentences, strip
+from ..functions.text import dot, is_quantified, matches, prose_sentences, strip
 from .extract import HEADING, best_match, doc_lines
 from .prepare import stripped
 from .sequences import html_sections, segments
@@ -125,3 +125,27 @@ def nearest_within(sentences: DataFrame, targets: DataFrame, k: int = 5, least:
     order = W.partitionBy("doc", "sentence").orderBy(F.desc("cosine"), "target")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc", "sentence", "target", "cosine", "rank")
 
+
+def recovered_units(regions: DataFrame, cuts: DataFrame, span: int = 6, least: int = 200) -> DataFrame:
+    """Findings that another one's text has swallowed, cut out where a model says they begin, if four tests hold.
+
+    ``regions(doc, host, text)``; ``cuts(doc, host, number, first_line)``. First: the line stands in the region, white space around it aside (its first
+    place counts), and the number is at most ``span`` above the host's. Second: the cuts of a region come in the order of their numbers, or
+    none of them counts. Third: a cut is not after the finding's own first figure (``Figure 3.1``), nor within the host's. Fourth: what is cut out, up
+    to the next cut or the end, and what is left of the host, are of ``least`` characters or more. (``doc``, ``host``, ``number``, ``text``).
+    """
+    lines = regions.select("doc", "host", F.posexplode(F.split("text", "\n")).alias("n", "t"))
+    asked = cuts.where((F.col("number") > F.col("host")) & (F.col("number") - F.col("host") <= span) & (F.trim("first_line") != "")).select("doc", "host", "number", strip(F.col("first_line")).alias("line"))
+    found = lines.withColumn("line", strip(F.col("t"))).join(asked, ["doc", "host", "line"]).groupBy("doc", "host", "number").agg(F.min("n").alias("n"))
+    by = W.partitionBy("doc", "host")
+    backward = F.coalesce(F.col("n") < F.lag("n").over(by.orderBy("number")), F.lit(False)).cast("int")
+    ordered = found.withColumn("back", backward).withColumn("back", F.max("back").over(by)).where("back = 0").drop("back")
+    figures = lines.select("doc", "host", "n", F.explode(matches(F.col("t"), r"Figure (\d+)\.\d", 1)).alias("figure")).select("doc", "host", "n", F.col("figure").cast("int").alias("number"))
+    own = figures.groupBy("doc", "host", "number").agg(F.min("n").alias("own"))
+    hosts = figures.where(F.col("number") == F.col("host")).groupBy("doc", "host").agg(F.max("n").alias("last"))
+    sound = ordered.join(own, ["doc", "host", "number"], "left").join(hosts, ["doc", "host"], "left").where((F.col("own").isNull() | (F.col("n") <= F.col("own"))) & (F.col("last").isNull() | (F.col("n") > F.col("last"))))
+    bounds = sound.select("doc", "host", "number", "n", F.lead("n").over(by.orderBy("n", "number")).alias("stop"), F.min("n").over(by).alias("first"))
+    cut = bounds.join(regions, ["doc", "host"]).withColumn("l", F.split("text", "\n"))
+    part = lambda a, b: strip(F.array_join(F.slice("l", a + 1, b - a), "\n"))
+    out = cut.select("doc", "host", "number", part(F.col("n"), F.coalesce("stop", F.size("l"))).alias("text"), part(F.lit(0), F.col("first")).alias("left"))
+    return out.where((F.length("text") >= least) & (F.length("left") >= least)).select("doc", "host", "number", "text")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..operators import checks, composite, evidence, genre, harvest, retrieve
+from ..sources.checkpoints import stored
 from . import check_queries, genre_queries
 from .pairs import FINDING_PAIRS_SQL, finding_pairs, table
 
@@ -64,7 +65,7 @@ def document_tests(spark: SparkSession, folder: str) -> DataFrame:
 def nearest_in_document(spark: SparkSession, folder: str) -> DataFrame:
     """For every other line of a document its five nearest among the rest, by letters: joined within the document, not with the whole table."""
     lines = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "t")).select("doc", "n", models.letter_profile(F.col("t")).alias("v"))
-    lines = retrieve.normalised(lines, "v").where("v is not null")
+    lines = stored(retrieve.normalised(stored(lines.repartition("doc"), "profiles"), "v").where("v is not null"), "lines")
     near = composite.nearest_within(lines.where("n % 2 = 0").withColumnRenamed("n", "sentence"), lines.where("n % 2 = 1").withColumnRenamed("n", "target"), k=5)
     return near.select("doc", "sentence", "target", "cosine", "rank")
 

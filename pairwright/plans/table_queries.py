@@ -38,10 +38,12 @@ def content_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contamination_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold any eight words in a row of a benchmark item, but for white space."""
-    docs = table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(_grams(F.col("text")))).alias("g"))
-    items = table(spark, folder, "benchmark").select("item_id", F.explode(F.array_distinct(_grams(F.col("text")))).alias("g"))
-    return docs.join(items, "g").select("doc_id", "item_id").distinct()
+    """Documents that hold any eight words in a row of a benchmark item, but for white space: met by 64-bit hashes, and compared as texts where they meet."""
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text")
+    hashed = lambda rows, id: rows.select(id, F.explode(F.array_distinct(F.transform(_grams(F.col("text")), lambda g: F.xxhash64(g)))).alias("g"))
+    met = stored(hashed(docs, "doc_id").join(hashed(items, "item_id"), "g").select("doc_id", "item_id").distinct(), "met")
+    both = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    return both.where(F.arrays_overlap(_grams(F.col("text")), _grams(F.col("item")))).select("doc_id", "item_id").distinct()
 
 
 def _grams(text, width: int = 8):

@@ -336,6 +336,23 @@ def advisories(spark: SparkSession, folder: str) -> DataFrame:
     return composite.advisory_pairs(rows, "id", "html", F.col("ics")).select("id", F.coalesce(F.nullif(F.regexp_extract("executive_text", r"High \w+ risk\.$", 0), F.lit("")), F.right("executive_text", F.lit(18))).alias("ends"), F.length("technical_text").cast("bigint").alias("n"))
 
 
+_INTRO, _BODY = "The host of {w} is told at length. " * 8, "What was found in {w} is told here. " * 8
+
+
+def recovered_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings cut out of the one that swallowed them; of five kinds of answers one is sound, and the others fail one test each."""
+    long = f"{_INTRO}\nFigure 1.1: host\n  Unit two of {{w}}  \n{_BODY}\nFigure 2.1: own\nUnit three of {{w}}\n{_BODY}\nend {{k}}"
+    short = f"{_INTRO}\nFigure 1.1: host\nUnit two of {{w}}\n{_BODY}\nFigure 2.1: own\nUnit three of {{w}}\nend {{k}}"
+    docs = seeds(spark, folder).select("k", "w", F.when(F.col("k") % 5 == 2, L(short)).otherwise(L(long)).alias("text"))
+    regions = docs.select(F.col("k").alias("doc"), F.lit(1).alias("host"), "text")
+    case = F.col("k") % 5
+    two = F.when(case.isin(0, 4), "Unit three of {w}").when(case == 1, "Figure 1.1: host").when(case == 3, "Unit 2").otherwise("Unit two of {w}")
+    three = F.when(case == 0, "Unit two of {w}").otherwise("Unit three of {w} ")
+    said = F.explode(F.array(F.struct(F.lit(2).alias("number"), two.alias("first_line")), F.struct(F.lit(3).alias("number"), three.alias("first_line")), F.struct(F.lit(9).alias("number"), L("end {k}").alias("first_line"))))
+    cuts = docs.select(F.col("k").alias("doc"), F.lit(1).alias("host"), "w", said.alias("c")).select("doc", "host", "c.number", F.replace("c.first_line", F.lit("{w}"), F.col("w")).alias("first_line"))
+    return composite.recovered_units(regions, cuts).select("doc", "number", F.left("text", F.lit(24)).alias("begins"), F.right("text", F.lit(16)).alias("ends"))
+
+
 def shortlists(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences with their nearest findings of the same document, other sections only."""
     said = _rows(spark, folder, [("d{k}", "s1", [1.0, 0.0], 1), ("d{k}", "s1", [1.0, 0.0], 1), ("d{k}", "s2", [0.0, 1.0], 2), ("e{k}", "s3", [1.0, 0.0], 1)], "doc string, sentence string, v array<double>, section int")
@@ -345,7 +362,7 @@ def shortlists(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     report_findings, report_candidates, report_table, report_sections, id_report_findings, id_report_candidates, antecedents, legal_citations, legal_neighbours, page_texts, heads_and_items, article_scopes,
-    audits, audit_claims, plausible_sections, firm_sections, advisories, shortlists, post_reports, text_forms, quotes, anchored_answers, manifest_urls, weak_names, written_files, model_checks, concept_analogies, prompts, concept_vectors,
+    audits, audit_claims, plausible_sections, firm_sections, advisories, shortlists, recovered_units, post_reports, text_forms, quotes, anchored_answers, manifest_urls, weak_names, written_files, model_checks, concept_analogies, prompts, concept_vectors,
 )}
 
 ORACLE: dict[str, str] = {
@@ -396,6 +413,8 @@ ORACLE: dict[str, str] = {
     "plausible_sections": _expect("doc, start, stop", ("named{k}", 1, 6)),
     "firm_sections": _expect("doc, executive, ends, technical", ("a{k}", "Key Points\nThe {w}", "\nweb", "# Issues\nAn is"), ("d{k}", "Summary\nAll is well in {w}", "end.", "# Results\nA re")),
     "advisories": _expect("id, ends, n", (Id(1), "High {w} risk.", 479), (Id(2), "ort. Short. Short.", 479)),
+    "recovered_units": f"""WITH {SEEDS_SQL}, b AS (SELECT k, 'Unit two of ' || w || chr(10) || replace('{_BODY}', '{{w}}', w) || chr(10) || 'Figure 2.1: own' AS two, 'Unit three of ' || w || chr(10) || replace('{_BODY}', '{{w}}', w) || chr(10) || 'end ' || k AS three FROM seeds)
+        SELECT k AS doc, 2 AS number, left(two, 24) AS begins, right(two, 16) AS ends FROM b WHERE k % 5 = 2 UNION ALL SELECT k, 3, left(three, 24), right(three, 16) FROM b WHERE k % 5 IN (1, 3, 4)""",
     "shortlists": _expect("doc, sentence, target, cosine, rank", ("d{k}", "s1", "f2 {w}", 0.8, 1), ("d{k}", "s2", "f3", 0.8, 1)),
     "concept_analogies": _expect("query, concept, points", (Id(1), "mailbox", 6)),
     "prompts": _expect("query, prompt", (Id(1), "Head\n\nSource: {s}\nDraft: d1 {w}\n\nSource: s2\nDraft: d2 {k}")),
