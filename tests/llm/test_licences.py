@@ -65,6 +65,21 @@ def test_unknown(docs, text):
     assert {r["family"] for r in found.collect()} <= {"unknown", "none"}
 
 
+UNKNOWN = (
+    "Licensed under the Foo Bar License.", "Distributed under the terms of the Quux Public Licence, version 2.", "This file is released under the Blorp Source License.", "Use of this software is subject to the Example Corp License Agreement.",
+    "Permission to use this software is granted under the Zed License, see LICENSE.txt.", "This library is free software under the Wibble License version 7.", "Redistribution is permitted under the Gnarl License provided that its notice is kept.",
+)
+
+
+def test_licences_that_no_template_has_are_counted(docs, text):
+    rows = [(k, text(k, 40) + "\n" + text(k + 500, 30)) for k in range(40)] + [(1000 + k, text(700 + k, 12) + "\n" + t + "\n" + text(800 + k, 12)) for k, t in enumerate(UNKNOWN)]
+    rows += [(2000, "\n".join(text(900 + k, 3000) + "\n" + t for k, t in enumerate(UNKNOWN[:5])))]
+    got = {r["id"]: r for r in licences.licences(docs(rows)).collect()}
+    assert all((got[1000 + k]["n_unknown"], got[1000 + k]["n_notices"], list(got[1000 + k]["families"])) == (1, 0, []) for k in range(len(UNKNOWN)))
+    assert got[2000]["n_unknown"] == 5 and not got[2000]["families"]
+    assert not any(got[k]["n_unknown"] or got[k]["families"] for k in range(40))
+
+
 def test_empty(docs):
     assert licences.licences(docs([]).limit(0)).count() == 0
 
