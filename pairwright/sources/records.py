@@ -35,11 +35,23 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tup
 
 
 def read_json_lines_strictly(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Records; a malformed line fails the job, and no record at all is an error."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("lineSep", "\n").json(path)
-    if rows.isEmpty():
+    """Records; no record at all is an error, and so is a malformed line: it names the file and the line's beginning, the first of them in order of both."""
+    wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.length(F.trim("value")) > 0).select(F.col("_metadata.file_name").alias("file"), "value")
+    bad = lines.where(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})[_BAD].isNotNull())
+    n, first = lines.select(F.lit(1)).limit(1).count(), bad.agg(F.min(F.struct("file", F.left("value", F.lit(80)).alias("value")))).first()[0]
+    if first is not None:
+        raise ValueError(f"malformed line in {first['file']}: {first['value']}")
+    if not n:
         raise ValueError(f"no records in {path}")
-    return rows
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("lineSep", "\n").json(path)
+
+
+def search_hits(pages: DataFrame, id: str, items: str, wanted: str) -> DataFrame:
+    """Hits of a paged search, ``pages(page, hits)`` with an array of structs each: every id once, as the first page that has it gives it, if its ``items`` hold the one wanted."""
+    hits = pages.select("page", F.posexplode("hits").alias("place", "h"))
+    first = hits.groupBy(F.col(f"h.{id}").alias("_id")).agg(F.min_by("h", F.struct("page", "place")).alias("h"))
+    return first.select("h.*").where(F.array_contains(items, wanted))
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
