@@ -3,7 +3,7 @@ from pairwright.llm.queries import QUERIES
 
 
 def test_stages(spark, tmp_path, text):
-    body = lambda k: "the and of " + text(k, 70)
+    body = lambda k: "the and of to in " + text(k, 70)
     leak = text(999, 15)
     rows = [
         (1, body(1), "en", "a", 0), (2, body(1), "en", "a", 0), (3, body(3) + "\nthe " + text(4, 20), "en", "b", 0), (4, body(5).replace(" ", "\n", 3) + "\nthe " + text(4, 20), "en", "b", 0), (5, "too short", "en", "b", 0), (6, None, "en", None, 0),
@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path, text):
 def test_stages_of_empty_tables_and_clashing_names(spark, tmp_path, text):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     names = "doc_id bigint, text string, lang string, source string, n_chars bigint, lines string, quality string, id string"
-    for rows in ([], [(None, None, None, None, None, "l", "q", "i"), (1, "the and of " + text(1, 60), "en", None, 0, "l", "q", "i"), (1, "the and of " + text(1, 60), "en", None, 0, "l", "q", "i"), (2, "the and of " + text(2, 30_000), "en", "s", 0, "l", "q", "i")]):
+    for rows in ([], [(None, None, None, None, None, "l", "q", "i"), (1, "the and of to in " + text(1, 60), "en", None, 0, "l", "q", "i"), (1, "the and of to in " + text(1, 60), "en", None, 0, "l", "q", "i"), (2, "the and of to in ".join(text(k, 50) + " " for k in range(600)), "en", "s", 0, "l", "q", "i")]):
         docs = spark.createDataFrame(rows, names)
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, str(tmp_path))
