@@ -77,8 +77,9 @@ def build(docs: DataFrame, id: str, text: str, path: str, stopwords: tuple[str,
     shard), and a folder is written by as many tasks as the number of shards asks for. Rows that share an id are scored as one document; null texts have no terms.
     """
     spark = docs.sparkSession
+    counts = docs.select(F.size(index_terms(F.col(text), stopwords)).alias("length"))
+    n_docs, n_filled, n_tokens = counts.agg(F.count("*"), F.count_if(F.col("length") > 0), F.sum(F.greatest("length", F.lit(0)))).first()
     rows = docs.select(F.col(id).alias("doc"), index_terms(F.col(text), stopwords).alias("t")).select("doc", "t", F.size("t").alias("length"), F.size(F.array_distinct("t")).alias("distinct"))
-    n_docs, n_filled, n_tokens, n_distinct = rows.agg(F.count("*"), F.count_if(F.col("length") > 0), F.sum(F.greatest("length", F.lit(0))), F.sum(F.greatest("distinct", F.lit(0)))).first()
     average = (n_tokens or 0) / max(n_docs, 1) or 1.0
     shards = -(-n_docs // shard_docs) or 1
     buckets = buckets or min(1024, max(8, shards))
@@ -91,6 +92,7 @@ def build(docs: DataFrame, id: str, text: str, path: str, stopwords: tuple[str,
     blocks.repartition(F.col("bucket"), F.col("shard") % F.lit(-(-shards // 64))).sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{at}/postings")
     kind = rows.schema["doc"].dataType.simpleString()
     written = spark.read.schema(_schema(kind)["postings"]).parquet(f"{at}/postings")
+    n_distinct = written.agg(F.sum(F.size("postings"))).first()[0]
     terms = written.groupBy("bucket", "term").agg(F.sum(F.size("postings")).alias("df"), F.max("bound").alias("bound"))
     terms.repartition(F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
     files = Files(spark, path)

@@ -116,8 +116,9 @@ def search(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str,
     kept = terms.groupBy("query").agg(F.collect_set("term").alias("kept"))
     texts = lambda rows, key, text, name: rows.select(F.col(key).alias(name), F.col(text).alias(f"_{name}_text"))
     short = stored(short, "shortlist")
-    short = short.join(texts(queries, query_id, query_text, "query"), "query").join(texts(docs, doc_id, doc_text, "doc"), "doc")
-    short = short.join(kept, "query", "left").withColumn("found", F.filter(phrases(F.col("_query_text"), F.coalesce("kept", none_of()), stopwords), lambda p: F.contains(padded(F.col("_doc_text")), F.concat(F.lit(" "), p, F.lit(" ")))))
+    asked = texts(queries, query_id, query_text, "query").join(kept, "query", "left").select("query", phrases(F.col("_query_text"), F.coalesce("kept", none_of()), stopwords).alias("_phrases"))
+    short = short.join(stored(asked, "phrases"), "query").join(texts(docs, doc_id, doc_text, "doc"), "doc")
+    short = short.withColumn("found", let(padded(F.col("_doc_text")), lambda t: F.filter("_phrases", lambda p: F.contains(t, F.concat(F.lit(" "), p, F.lit(" "))))))
     short = short.withColumn("total", F.col("base") + F.least(F.size("found") * F.lit(W_PHRASE), F.lit(MAX_PHRASE_BONUS)))
     signal = lambda items, kind: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
     signals = F.concat(signal(F.col("idents"), "identifier"), signal(F.col("found"), "phrase"), F.when(F.col("same_band"), signal(F.array(F.col("_query_band").cast("string")), "severity")).otherwise(F.array().cast("array<struct<kind:string,value:string>>")), signal(F.col("topics"), "topic"))

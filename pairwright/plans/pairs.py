@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Tables of texts: little in bytes for the work that they make.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the driver's. One of texts in fewer splits than there are cores is dealt out to all of them; a large one is read as it lies."""
+    rows, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def finding_pairs(spark: SparkSession, folder: str) -> DataFrame:
