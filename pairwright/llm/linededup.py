@@ -8,16 +8,16 @@ from pyspark.sql.window import Window as W
 
 from .store import components, stored
 
-#: Edits within which two lines are the same, and the least number of characters for each of them.
-EDITS, CHARS_PER_EDIT = 2, 15
+#: Classes of lines by length: from so many characters on, lines within so many edits are the same; the shorter of two lines decides.
+CLASSES = ((9, 1), (30, 2), (1_000, 4))
 #: Up to so many ids of lines to be compared are sent to all tasks (16 MB); beyond, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: Frequent letters, counted to tell lines apart before they are compared.
 LETTERS = ("aA", "eE", "iI", "oO", "uU", "nN", "tT", "sS", "rR", "hH", "dD", "lL", "cC", " ")
 
 
-def _probes(edits: int) -> list[Column]:
-    """The keys of a line ``t`` of ``size`` characters: hashes of (length, segment number, substring) for every
+def _probes(edits: int) -> list[tuple[int, Column]]:
+    """How much shorter the indexed line is, and the key, for each key of a line ``t`` of ``size`` characters: hashes of (length, segment number, substring) for every
     indexed length from its own down to ``edits`` less, at the starts that can still leave room for the other
     segments' edits.
 
@@ -31,7 +31,7 @@ def _probes(edits: int) -> list[Column]:
         for i in range(1, parts + 1):
             width = whole if i < parts else f"({length} - {parts - 1} * {whole})"
             for move in _moves(i, less, edits):
-                out.append(F.expr(f"xxhash64({i}, {length}, substring(t, 4 * ({i - 1} * {whole} + {move}) + 1, 4 * {width}))"))
+                out.append((less, F.expr(f"xxhash64({i}, {length}, substring(t, 4 * ({i - 1} * {whole} + {move}) + 1, 4 * {width}))")))
     return out
 
 
@@ -60,35 +60,63 @@ def _letter_counts(text: Column) -> Column:
     return F.struct(*[(F.length(text) - F.length(F.translate(text, c, ""))).cast("int").alias(f"l{k}") for k, c in enumerate(LETTERS)])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts are within ``edits`` edits, by Spark's banded distance."""
+def _allowed(size: Column, classes: tuple[tuple[int, int], ...]) -> Column:
+    """Within how many edits a line of ``size`` characters is the same as one that is no shorter."""
+    out = F.lit(0)
+    for least, edits in classes:
+        out = F.when(size >= least, F.lit(edits)).otherwise(out)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts are within the edits of the shorter one's class, by Spark's banded distance."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return both.where(F.levenshtein("ta", "tb", edits) >= 0).select("a", "b")
+    size, near = F.least(F.length("ta"), F.length("tb")), F.lit(False)
+    for least, edits in classes:
+        near = F.when(size >= least, F.levenshtein("ta", "tb", edits) >= 0).otherwise(near)
+    return both.where(near).select("a", "b")
 
 
-def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
-    """Links ``(a, b)`` that connect all distinct lines within ``edits`` edits of each other.
+def _entries(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(``key``, ``probe``, ``id``, ``size``) of the distinct lines, class by class.
 
-    ``distinct`` has ``id``, ``size`` and the keys ``k0``, ``k1``, ...; ``lines`` has ``id`` and ``t``. In each key
-    all lines are first compared with the one of least id that has the key in its index, so a key shared by very
-    many lines costs as many comparisons as it has lines. Keys whose lines are not in one component after that
-    are compared in full across components, so no link between different texts is lost.
+    The class of the shorter line says how it is cut, so a line just above a class's lengths also probes that class.
+    """
+    out = None
+    for n, (least, edits) in enumerate(classes):
+        end = classes[n + 1][0] if n + 1 < len(classes) else None
+        own, keys = _own(edits), []
+        for k, (less, key) in enumerate(_probes(edits)):
+            size = F.col("size") - less
+            keys.append(F.when((size >= least) & (F.lit(True) if end is None else size < end), key).alias(f"k{k}"))
+        some = lines.where((F.col("size") >= least) & (F.lit(True) if end is None else F.col("size") < end + edits))
+        some = some.withColumn("t", F.encode("t", "UTF-32")).select("id", "size", *keys)
+        some = some.groupBy("id").agg(F.max("size").alias("size"), *[F.max(f"k{k}").alias(f"k{k}") for k in range(len(keys))])
+        each = F.explode(F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(k not in own).alias("probe")) for k in range(len(keys))])).alias("e")
+        some = some.select("id", "size", each).select("e.key", "e.probe", "id", "size").where("key is not null")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def edit_links(lines: DataFrame, classes: tuple[tuple[int, int], ...] = CLASSES) -> DataFrame:
+    """Links ``(a, b)`` that connect all distinct ``lines(id, t, size)`` within their class's edits of each other.
+
+    In each key all lines are first compared with the one of least id that has the key in its index, so a key
+    shared by very many lines costs as many comparisons as it has lines. Keys whose lines are not in one component
+    after that are compared in full across components, so no link between different texts is lost.
     """
-    names = [c for c in distinct.columns if c[0] == "k"]
-    own = _own(edits)
-    entries = distinct.select("id", "size", F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(int(c[1:]) not in own).alias("probe")) for c in names])).alias("e")).select("e.key", "e.probe", "id", "size").where("key is not null")
     order = W.partitionBy("key").orderBy("probe", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
     first = F.first(F.struct("probe", "id", "size")).over(order)
-    starred = entries.withColumn("first", first).where("id <> first.id and not first.probe").select("key", "probe", "id", "size", F.col("first.id").alias("head"), F.col("first.size").alias("head_size"))
+    starred = _entries(lines, classes).withColumn("first", first).where("id <> first.id and not first.probe").select("key", "probe", "id", "size", F.col("first.id").alias("head"), F.col("first.size").alias("head_size"))
     starred = stored(starred, "line-keys")
-    near = F.abs(F.col("size") - F.col("head_size")) <= edits
-    pairs = stored(starred.where(near).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), "line-pairs")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= _allowed(F.least(a, b), classes)
+    pairs = stored(starred.where(near("size", "head_size")).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), "line-pairs")
     wanted = stored(starred.select("id").union(starred.select("head")).distinct(), "line-wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = lines.select("id", "t").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
     texts = stored(texts.select("id", "t", _letter_counts(F.col("t")).alias("letters")), "line-texts")
-    links = stored(_verified(pairs, texts, edits), "line-links")
+    links = stored(_verified(pairs, texts, classes), "line-links")
     roots = components(links)
     # What is left: keys that still hold more than one component; in them all that has the key in its index meets all that probes it.
     members = starred.select("key", "probe", "id", "size").union(starred.select("key", F.lit(False), "head", "head_size")).distinct()
@@ -99,46 +127,41 @@ def edit_links(lines: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     index = rest.where("not probe").select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"), F.col("letters").alias("la"))
     probe = rest.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), F.col("letters").alias("lb"))
     apart = sum((F.abs(F.col(f"la.l{k}") - F.col(f"lb.l{k}")) for k in range(len(LETTERS))), F.lit(0))
-    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & (F.abs(F.col("sa") - F.col("sb")) <= edits) & (apart <= 2 * edits))
+    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & near("sa", "sb") & (apart <= 2 * _allowed(F.least("sa", "sb"), classes)))
     more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(more, texts, edits))
+    return links.unionByName(_verified(more, texts, classes))
 
 
-def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", classes: tuple[tuple[int, int], ...] = CLASSES) -> DataFrame:
     """(``doc``, ``removed``): of each document that loses lines, their numbers from 0.
 
-    Lines are compared without the blanks around them. Equal lines, and lines within ``edits`` edits of each other
-    that have at least ``chars_per_edit`` characters for each edit, make classes (components of the links); the
-    first occurrence by document id and line number stays, every later one is removed. Blank lines stay. Rows that
-    share an id are one document; a null id comes first. Null and empty texts lose nothing.
+    Lines are compared without the blanks around them. Equal lines of any length, and lines within as many edits of
+    each other as ``classes`` (least characters, edits) allow for the shorter one, make classes (components of the
+    links); the first occurrence by document id and line number stays, every later one is removed. Blank lines stay.
+    Rows that share an id are one document; a null id comes first. Null and empty texts lose nothing.
     """
-    min_edit_chars = edits * chars_per_edit
-    if min_edit_chars < (edits + 1) ** 2:
+    classes = tuple(sorted(classes))
+    if any(least < (edits + 1) ** 2 for least, edits in classes):
         raise ValueError("lines must be longer than their segments can move")
     lines = _lines(docs, id, text)
-    wide = lines.withColumn("t", F.when(F.col("size") >= min_edit_chars, F.encode("t", "UTF-32")))
-    keys = [F.when(F.col("size") >= min_edit_chars, k).alias(f"k{n}") for n, k in enumerate(_probes(edits))]
-    keyed = wide.select("doc", "line", "id", "check", "size", *keys)
-    names = [f"k{n}" for n in range(len(keys))]
-    distinct = keyed.groupBy("id", "check").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.max("size").alias("size"), *[F.max(k).alias(k) for k in names])
+    distinct = lines.groupBy("id", "check").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     distinct = stored(distinct, "lines")
-    links = edit_links(lines, distinct.where("k0 is not null").select("id", "size", *names), edits)
-    roots = components(links)
+    roots = components(edit_links(lines, classes))
     # Of every class: the first occurrence. Only lines that occur again, or are linked, can lose anything.
-    classes = distinct.select("id", "check", "first", "n").join(roots, "id", "left").where("n > 1 or root is not null").withColumn("linked", F.col("root").isNotNull())
-    classes = classes.withColumn("class", F.when(F.col("linked"), F.struct("root", F.lit(0).cast("bigint").alias("c"))).otherwise(F.struct(F.col("id").alias("root"), F.col("check").alias("c"))))
-    firsts = classes.groupBy("class", "linked").agg(F.min("first").alias("keep"))
-    ruled = stored(classes.join(firsts, ["class", "linked"]).select("id", "check", "keep"), "line-rules")
+    classed = distinct.join(roots, "id", "left").where("n > 1 or root is not null").withColumn("linked", F.col("root").isNotNull())
+    classed = classed.withColumn("class", F.when(F.col("linked"), F.struct("root", F.lit(0).cast("bigint").alias("c"))).otherwise(F.struct(F.col("id").alias("root"), F.col("check").alias("c"))))
+    firsts = classed.groupBy("class", "linked").agg(F.min("first").alias("keep"))
+    ruled = stored(classed.join(firsts, ["class", "linked"]).select("id", "check", "keep"), "line-rules")
     gone = lines.select("doc", "line", "id", "check").join(ruled, ["id", "check"]).where(~F.struct("doc", "line").eqNullSafe(F.col("keep")))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", classes: tuple[tuple[int, int], ...] = CLASSES) -> DataFrame:
     """Every row of ``docs`` with its text less the lines that ``duplicates`` removes, and a struct ``lines``: ``n_lines``, ``n_removed``, ``removed``.
 
     Other columns stay, whatever their names, but for one named ``lines``, which is replaced. An empty table gives an empty one.
     """
-    gone = duplicates(docs, id, text, **limits).select(F.col("doc").alias("_line_doc"), F.col("removed").alias("_line_gone"))
+    gone = duplicates(docs, id, text, classes).select(F.col("doc").alias("_line_doc"), F.col("removed").alias("_line_gone"))
     rows = docs.drop("lines").join(gone, F.col(id).eqNullSafe(F.col("_line_doc")), "left")
     removed = F.coalesce("_line_gone", F.array().cast("array<int>"))
     parts = F.split(F.col(text), "\n")

@@ -152,10 +152,12 @@ FROM m
 _OP7 = """
 WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
 c AS (SELECT doc_id, line, trim(t, ' ' || chr(9) || chr(13)) AS t FROM l),
-u AS (SELECT t, length(t) AS n FROM c WHERE length(t) >= 30 GROUP BY t),
-e AS (SELECT a.t AS x, b.t AS y FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 WHERE a.t <> b.t
-      AND (left(a.t, a.n // 3 - 2) = left(b.t, a.n // 3 - 2) OR right(a.t, a.n // 3 - 2) = right(b.t, a.n // 3 - 2) OR contains(b.t, substr(a.t, a.n // 3 + 3, a.n // 3 - 4)))
-      AND levenshtein(a.t, b.t) <= 2),
+u AS (SELECT t, length(t) AS n, CASE WHEN length(t) >= 1000 THEN 4 WHEN length(t) >= 30 THEN 2 ELSE 1 END AS k FROM c WHERE length(t) >= 9 GROUP BY t),
+p AS (SELECT a.t AS x, b.t AS y FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + a.k WHERE a.t <> b.t
+      AND CASE a.k WHEN 1 THEN left(a.t, a.n // 2) = left(b.t, a.n // 2) OR right(a.t, a.n - a.n // 2) = right(b.t, a.n - a.n // 2)
+          WHEN 2 THEN left(a.t, a.n // 3 - 2) = left(b.t, a.n // 3 - 2) OR right(a.t, a.n // 3 - 2) = right(b.t, a.n // 3 - 2) OR contains(b.t, substr(a.t, a.n // 3 + 3, a.n // 3 - 4))
+          ELSE true END AND levenshtein(a.t, b.t) <= a.k),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
 reach AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
 class AS (SELECT x AS t, min(y) AS class FROM reach GROUP BY x),
 o AS (SELECT doc_id, line, coalesce(class, t) AS class FROM c LEFT JOIN class USING (t) WHERE t <> ''),

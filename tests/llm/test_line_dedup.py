@@ -5,15 +5,19 @@ from pairwright.llm import linededup
 from pyspark.sql import functions as F
 
 
-def distance(a, b):
-    same = len(__import__("os").path.commonprefix([a, b]))
-    a, b = a[same:], b[same:]
-    row = list(range(len(b) + 1))
+def distance(a, b, most=5):
+    """Edits between two texts; cells further than ``most`` from the diagonal cannot matter below that."""
+    row = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            ways = [row[j] + 1] if j in row else []
+            if j:
+                ways += [new[j - 1] + 1] if j - 1 in new else []
+                ways += [row[j - 1] + (x != b[j - 1])] if j - 1 in row else []
+            new[j] = min(ways)
+        row = new
+    return row.get(len(b), most + 1)
 
 
 def brute(rows):
@@ -32,7 +36,9 @@ def brute(rows):
 
     for k, a in enumerate(texts):
         for b in texts[:k]:
-            if len(a) >= 30 and len(b) >= 30 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+            size = min(len(a), len(b))
+            edits = 4 if size >= 1000 else 2 if size >= 30 else 1 if size >= 9 else 0
+            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
                 root[find(a)] = find(b)
     first, gone = {}, {}
     for key, n, t in sorted(lines):
@@ -61,7 +67,7 @@ def test_against_brute_force(docs, rows):
     out = linededup.dedup(docs(rows).withColumns({"lines": F.lit("clash"), "id": F.lit(1)}))
     assert out.count() == len(rows)
     want = brute(rows)
-    assert want[9] == [0] and want[17] == [1, 2] and want[18] == [3]
+    assert want[9] == [0] and want[17] == [0, 1, 2] and want[18] == [1, 2, 3]
     for r in out.collect():
         gone = want.get(r["doc_id"], [])
         assert list(r["lines"]["removed"]) == gone, r["doc_id"]
@@ -76,6 +82,25 @@ def test_many_alike_in_one_key(docs, text):
     assert got == brute(rows)
 
 
+def test_edits_by_length(docs, text):
+    """Lengths on both sides of each class, edits of every kind, long lines, and a line whose shorter partner is in the class below."""
+    rng = random.Random(11)
+    rows, more = [], "Click here to read more"
+    for k, size in enumerate([7, 8, 9, 10, 15, 28, 29, 30, 31, 32, 90, 998, 999, 1000, 1001, 1003, 1520]):
+        base = (text(100 + k, 300) + " ")[:size].strip().ljust(size, "e")
+        rows.append((10 * k, base))
+        for n in range(1, 6):
+            t = base
+            for _ in range(n):
+                at = rng.randrange(len(t))
+                t = rng.choice([t[:at] + "Q" + t[at:], t[:at] + t[at + 1 :], t[:at] + "Z" + t[at + 1 :]])
+            rows.append((10 * k + n, t))
+    rows += [(900, more), (901, more + "!"), (902, more + "!?.")]
+    got = {r["doc"]: list(r["removed"]) for r in linededup.duplicates(docs(rows)).collect()}
+    assert got == brute(rows)
+    assert got[901] == [0] and 164 in got and 7 not in got
+
+
 def test_empty(docs):
     assert linededup.dedup(docs([]).limit(0)).count() == 0
     assert linededup.dedup(docs([(1, None)])).first()["lines"]["n_removed"] == 0
