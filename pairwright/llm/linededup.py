@@ -85,15 +85,15 @@ def _entries(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFram
     out = None
     for n, (least, edits) in enumerate(classes):
         end = classes[n + 1][0] if n + 1 < len(classes) else None
-        own, keys = _own(edits), []
-        for k, (less, key) in enumerate(_probes(edits)):
+        keys = []
+        for less, key in _probes(edits):
             size = F.col("size") - less
-            keys.append(F.when((size >= least) & (F.lit(True) if end is None else size < end), key).alias(f"k{k}"))
+            keys.append(F.when((size >= least) & (F.lit(True) if end is None else size < end), key))
         some = lines.where((F.col("size") >= least) & (F.lit(True) if end is None else F.col("size") < end + edits))
-        some = some.withColumn("t", F.encode("t", "UTF-32")).select("id", "size", *keys)
-        some = some.groupBy("id").agg(F.max("size").alias("size"), *[F.max(f"k{k}").alias(f"k{k}") for k in range(len(keys))])
-        each = F.explode(F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(k not in own).alias("probe")) for k in range(len(keys))])).alias("e")
-        some = some.select("id", "size", each).select("e.key", "e.probe", "id", "size").where("key is not null")
+        some = some.withColumn("t", F.encode("t", "UTF-32")).select("id", "size", F.array(*keys).alias("keys"))
+        some = some.groupBy("id").agg(F.max("size").alias("size"), F.first("keys").alias("keys"))  # equal lines have equal keys
+        some = some.select("id", "size", F.posexplode("keys").alias("n", "key")).where("key is not null")
+        some = some.select("key", (~F.col("n").isin(*_own(edits))).alias("probe"), "id", "size")
         out = some if out is None else out.unionByName(some)
     return out
 
