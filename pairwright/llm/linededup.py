@@ -162,9 +162,10 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", classes: tupl
     Other columns stay, whatever their names, but for one named ``lines``, which is replaced. An empty table gives an empty one.
     """
     gone = duplicates(docs, id, text, classes).select(F.col("doc").alias("_line_doc"), F.col("removed").alias("_line_gone"))
-    rows = docs.drop("lines").join(gone, F.col(id).eqNullSafe(F.col("_line_doc")), "left")
+    counted = docs.drop("lines").withColumn("_line_n", F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)))  # before the join, so that who wants no text shuffles none
+    rows = counted.join(gone, F.col(id).eqNullSafe(F.col("_line_doc")), "left")
     removed = F.coalesce("_line_gone", F.array().cast("array<int>"))
     parts = F.split(F.col(text), "\n")
     kept = F.when(F.size(removed) == 0, F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(removed, i)), "\n"))
-    value = F.struct(F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
+    value = F.struct(F.col("_line_n").alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
     return rows.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns if c != "lines"], value.alias("lines"))
