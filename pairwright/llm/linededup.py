@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,6 +15,8 @@ from .store import components, stored
 CLASSES = ((9, 1), (30, 2), (1_000, 4))
 #: Up to so many ids of lines to be compared are sent to all tasks (16 MB); beyond, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: What is not counted at a line's ends.
+BLANKS = " \t\r"
 #: Frequent letters, counted to tell lines apart before they are compared.
 LETTERS = ("aA", "eE", "iI", "oO", "uU", "nN", "tT", "sS", "rR", "hH", "dD", "lL", "cC", " ")
 
@@ -50,7 +55,8 @@ def _own(edits: int) -> set[int]:
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(``doc``, ``line``, ``t``, ``size``, ``id``, ``check``) of each line that is not blank, without the blanks around it."""
     rows = docs.select(F.col(id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
-    rows = rows.select("doc", "line", F.trim(F.col("t"), F.lit(" \t\r")).alias("t"))
+    padded = reduce(or_, [f(b) for b in BLANKS for f in (F.col("t").startswith, F.col("t").endswith)])  # to trim given characters walks through the whole line
+    rows = rows.select("doc", "line", F.when(padded, F.trim(F.col("t"), F.lit(BLANKS))).otherwise(F.col("t")).alias("t"))
     rows = rows.withColumn("size", F.length("t")).where("size > 0")
     return rows.select("*", F.xxhash64("t").alias("id"), F.xxhash64(F.lit(1), "t").alias("check"))
 
@@ -78,22 +84,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: tuple[tuple[int, int]
 
 
 def _entries(lines: DataFrame, classes: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(``key``, ``probe``, ``id``, ``size``) of the distinct lines, class by class.
+    """(``key``, ``probe``, ``id``) of the distinct lines, class by class.
 
     The class of the shorter line says how it is cut, so a line just above a class's lengths also probes that class.
+    A key holds the length of the lines in its index, which probes exceed by no more than the edits: lines that meet
+    one of an index are near in length. Each key is a column until equal lines are one, for arrays would be sorted there.
     """
     out = None
     for n, (least, edits) in enumerate(classes):
         end = classes[n + 1][0] if n + 1 < len(classes) else None
-        keys = []
-        for less, key in _probes(edits):
-            size = F.col("size") - less
-            keys.append(F.when((size >= least) & (F.lit(True) if end is None else size < end), key))
-        some = lines.where((F.col("size") >= least) & (F.lit(True) if end is None else F.col("size") < end + edits))
-        some = some.withColumn("t", F.encode("t", "UTF-32")).select("id", "size", F.array(*keys).alias("keys"))
-        some = some.groupBy("id").agg(F.max("size").alias("size"), F.first("keys").alias("keys"))  # equal lines have equal keys
-        some = some.select("id", "size", F.posexplode("keys").alias("n", "key")).where("key is not null")
-        some = some.select("key", (~F.col("n").isin(*_own(edits))).alias("probe"), "id", "size")
+        below = lambda size: F.lit(True) if end is None else size < end  # noqa: B023, E731
+        probes, own = _probes(edits), _own(edits)
+        keys = [key for _, key in sorted((k not in own, k) for k in range(len(probes)))]  # those of the index first
+        names = [f"k{k}" for k in keys]
+        some = lines.where((F.col("size") >= least) & below(F.col("size") - edits)).withColumn("t", F.encode("t", "UTF-32"))
+        some = some.select("id", *[F.when((F.col("size") - probes[k][0] >= least) & below(F.col("size") - probes[k][0]), probes[k][1]).alias(f"k{k}") for k in keys])
+        some = some.groupBy("id").agg(*[F.max(name).alias(name) for name in names])  # equal lines have equal keys
+        some = some.select("id", F.posexplode(F.array(*names)).alias("n", "key")).where("key is not null")
+        some = some.select("key", (F.col("n") > edits).alias("probe"), "id")
         out = some if out is None else out.unionByName(some)
     return out
 
@@ -106,28 +114,27 @@ def edit_links(lines: DataFrame, classes: tuple[tuple[int, int], ...] = CLASSES)
     after that are compared in full across components, so no link between different texts is lost.
     """
     order = W.partitionBy("key").orderBy("probe", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = F.first(F.struct("probe", "id", "size")).over(order)
-    starred = _entries(lines, classes).withColumn("first", first).where("id <> first.id and not first.probe").select("key", "probe", "id", "size", F.col("first.id").alias("head"), F.col("first.size").alias("head_size"))
+    first = F.first(F.struct("probe", "id")).over(order)
+    starred = _entries(lines, classes).withColumn("first", first).where("id <> first.id and not first.probe").select("key", "probe", "id", F.col("first.id").alias("head"))
     starred = stored(starred, "line-keys")
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= _allowed(F.least(a, b), classes)
-    pairs = stored(starred.where(near("size", "head_size")).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), "line-pairs")
+    pairs = stored(starred.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), "line-pairs")
     wanted = stored(starred.select("id").union(starred.select("head")).distinct(), "line-wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = lines.select("id", "t").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-    texts = stored(texts.select("id", "t", _letter_counts(F.col("t")).alias("letters")), "line-texts")
+    texts = stored(texts.select("id", F.length("t").alias("size"), "t", _letter_counts(F.col("t")).alias("letters")), "line-texts")
     links = stored(_verified(pairs, texts, classes), "line-links")
     roots = components(links)
     # What is left: keys that still hold more than one component; in them all that has the key in its index meets all that probes it.
-    members = starred.select("key", "probe", "id", "size").union(starred.select("key", F.lit(False), "head", "head_size")).distinct()
+    members = starred.select("key", "probe", "id").union(starred.select("key", F.lit(False), "head")).distinct()
     members = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
     rest = stored(members.join(mixed, "key", "left_semi"), "line-rest")
-    rest = rest.join(texts.select("id", "letters"), "id")
+    rest = rest.join(texts.select("id", "size", "letters"), "id")
     index = rest.where("not probe").select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"), F.col("letters").alias("la"))
     probe = rest.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), F.col("letters").alias("lb"))
     apart = sum((F.abs(F.col(f"la.l{k}") - F.col(f"lb.l{k}")) for k in range(len(LETTERS))), F.lit(0))
-    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & near("sa", "sb") & (apart <= 2 * _allowed(F.least("sa", "sb"), classes)))
+    across = index.join(probe, "key").where((F.col("ra") != F.col("rb")) & (apart <= 2 * _allowed(F.least("sa", "sb"), classes)))
     more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return links.unionByName(_verified(more, texts, classes))
 
