@@ -27,9 +27,9 @@ def bucketed(sections: DataFrame, doc: str, technical: Column, executive: Column
 
 
 def dominance(text: Column, technical: str, legal: str, ratio: float = 2.0) -> Column:
-    """``technical``, ``legal`` or ``mixed``: which markers are at least ``ratio`` times the others; null without any."""
+    """``technical``, ``legal`` or ``mixed``: which markers are at least ``ratio`` times the others; null without any, and for a null text."""
     t, g = F.regexp_count(text, F.lit(technical)), F.regexp_count(text, F.lit(legal))
-    return F.when(t + g == 0, F.lit(None)).when(t >= g * ratio, "technical").when(g >= t * ratio, "legal").otherwise("mixed")
+    return F.when(F.coalesce(t + g, F.lit(0)) == 0, F.lit(None)).when(t >= g * ratio, "technical").when(g >= t * ratio, "legal").otherwise("mixed")
 
 
 def parsed_limit(text: Column) -> Column:
