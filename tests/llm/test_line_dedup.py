@@ -104,3 +104,36 @@ def test_edits_by_length(docs, text):
 def test_empty(docs):
     assert linededup.dedup(docs([]).limit(0)).count() == 0
     assert linededup.dedup(docs([(1, None)])).first()["lines"]["n_removed"] == 0
+
+
+def _parity(docs, texts):
+    lines = docs([(k, t) for k, t in enumerate(texts)]).select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.length("text").alias("size"))
+    return {r["id"]: r["parity"] for r in linededup._parities(lines).collect()}
+
+
+def _turned(a, b):
+    bits = [(x ^ y) & (2**64 - 1) for x, y in zip(a, b, strict=True)]
+    return bits[-1].bit_count(), sum(x.bit_count() for x in bits[:-1])
+
+
+def test_an_edit_turns_few_bits(docs, text):
+    rng = random.Random(11)
+    base = text(12, 12) + "é漢𝒳"
+    one = [base[:k] + new + base[k + gone :] for k in range(len(base) + 1) for new, gone in ((rng.choice("xyzé𝒳 "), 0), (rng.choice("xyz漢"), 1), ("", 1))]
+    found = _parity(docs, [base, *one, base[:20] + base[40:]])
+    assert all(a <= 2 and b <= 4 for a, b in (_turned(found[0], found[k]) for k in range(1, len(one) + 1)))
+    assert found[0] != found[len(one) + 1]
+
+
+def test_copies_beyond_the_edits_make_few_pairs(docs, text, monkeypatch):
+    """Copies of one line with four letters put in, of which no two are linked: what is verified in the end must not be all their pairs."""
+    rng = random.Random(13)
+    base = text(14, 30)
+    copies = [base[:k] + "".join(rng.choice("bcdfghjklmpqrsvwxz") for _ in range(4)) + base[k:] for k in rng.sample(range(len(base)), 80)]
+    twins = [copies[3][:-9] + "Q" + copies[3][-8:], copies[70][:9] + "Q" + copies[70][10:]]
+    seen, verified = [], linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda pairs, *rest: seen.append(pairs) or verified(pairs, *rest))
+    rows = list(enumerate([*copies, *twins]))
+    gone = {r["doc"]: list(r["removed"]) for r in linededup.duplicates(docs(rows)).collect()}
+    assert gone == brute(rows) and {80, 81} <= set(gone)
+    assert len(seen) == 2 and seen[1].count() <= 80 * 79 / 2 / 10
