@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pytest
 from pairwright.operators import cells, lexicon, retrieve
+from pyspark.sql import functions as F
 
 
 def words(rng, n, hot=()):
@@ -176,3 +177,12 @@ def test_ladder(spark, vectors, table):
     assert set(loose) == {i for i in ids if len(strict[i]) < k} and set(loose) < set(ids)
     for i, w in near(vectors, list(loose), k, False).items():
         assert loose[i] == [j for j in w if j not in strict[i]]
+
+
+def test_sums_stay_with_their_shard(spark, queries, index):
+    """Blocks are dealt out by shard before they meet the queries; no posting, and no sum, moves once for each query and document."""
+    asked = spark.createDataFrame(queries, "id bigint, t string")
+    terms = retrieve.query_terms(asked, "id", F.col("t"), index, index.n_docs).localCheckpoint()
+    for sums in (retrieve.lexical_scores(terms, index), lexicon._added(index, terms)):
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(shard#", plan) and not re.search(r"hashpartitioning\(query#\w+, doc#", plan)
