@@ -11,6 +11,10 @@ from .assemble import first_by
 from .graph import components
 
 
+#: Up to so many ids are sent to all tasks to fetch what belongs to them (16 MB); beyond, they are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
 def by_id(rows: DataFrame, id: str, order: list[Column]) -> DataFrame:
     return first_by(rows, [id], order)
 
@@ -37,18 +41,30 @@ def _shingled(rows: DataFrame, id: str, text: Column, words: int, pattern: str)
     return stored(rows.where(text.isNotNull()).select(F.col(id).alias("id"), F.array_sort(F.transform(word_shingles(text, words, pattern), lambda x: F.xxhash64(x))).alias("s")).withColumn("h", F.xxhash64("s")), "shingles")
 
 
+def _signatures(sets: DataFrame, hashes: int) -> DataFrame:
+    """``sets(id, s)`` as (``id``, ``m0``, ``m1``, ...): the least of each of ``hashes`` hashes over the set, with its items as rows: an expression for each item of an array would not be compiled."""
+    return sets.select("id", F.explode("s").alias("x")).groupBy("id").agg(*[F.min(F.xxhash64(F.lit(k), "x")).alias(f"m{k}") for k in range(hashes)])
+
+
 def _near_pairs(base: DataFrame, similarity: float, bands: int, width: int) -> DataFrame:
     """Equal sets have equal bands, so they are reduced to one before banding; the sets travel with the candidates only."""
-    groups = base.groupBy("h").agg(F.min("id").alias("rep"))
-    reps = base.join(groups, "h").where("id = rep").select("id", "s")
-    least = lambda k: F.array_min(F.transform("s", lambda x: F.xxhash64(F.lit(k), x)))
-    band = lambda b: F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * width + k) for k in range(width)]).alias("key"))
-    keys = stored(reps.select("id", F.explode(F.array(*[band(b) for b in range(bands)])).alias("k")).select("id", "k.*"), "bands")
+    first = _marked(base.groupBy("h").agg(F.min("id").alias("id")).select("id"), "firsts")
+    reps = base.join(first, "id", "left_semi").select("id", "s")
+    band = lambda b: F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"m{b * width + k}") for k in range(width)]).alias("key"))
+    keys = stored(_signatures(reps, bands * width).select("id", F.explode(F.array(*[band(b) for b in range(bands)])).alias("k")).select("id", "k.*"), "bands")
     pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    with_sets = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = stored(pairs, "candidates")
+    sets = base.join(_marked(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids"), "id", "left_semi")
+    with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return with_sets.withColumn("similarity", F.round(jaccard(F.col("sa"), F.col("sb")), 6)).where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 
+def _marked(ids: DataFrame, name: str) -> DataFrame:
+    """``ids`` written down, and sent to all tasks if counted to be few enough, so that no set is shuffled to be left out."""
+    ids = stored(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_pairs(rows: DataFrame, id: str, text: Column, similarity: float = 0.85, bands: int = 12, width: int = 4, words: int = 3, pattern: str = r"(?U)\w+") -> DataFrame:
     """(``a``, ``b``, ``similarity``) of ids whose word shingles have a Jaccard similarity of at least ``similarity``.
 
