@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (
     BANDS,
+    OVERLAP_STOPWORDS,
     cosine,
     entities,
+    holds,
     identifiers,
     joined,
     let,
@@ -123,22 +125,27 @@ class Facts:
     vulnerable: Column
 
     @classmethod
-    def of(cls, text: Column | Facts) -> Facts:
+    def of(cls, text: Column | Facts, low: Column | None = None) -> Facts:
+        """``low``: the text in lower case, if it is known."""
         if isinstance(text, Facts):
             return text
+        low = F.lower(text) if low is None else low
         return cls(
-            text, identifiers(text), numbers(text), severity(text), entities(text), sentences(text), caveat_clauses(text), text.rlike(HEDGE), text.rlike(ACTION),
-            status(text, EXPLOITED, *EXPLOITED_SIGNS), status(text, EXPLOITABLE, "exploit", "attacker"), status(text, REMEDIATED, *REMEDIATED_SIGNS), status(text, VULNERABLE, "vulnerable", "unpatched", "unremediat", "not"),
+            text, identifiers(text, low), numbers(text, low=low), severity(text, low), entities(text, low), sentences(text), caveat_clauses(text), holds(text, HEDGE, low), holds(text, ACTION, low),
+            status(text, EXPLOITED, *EXPLOITED_SIGNS, low=low), status(text, EXPLOITABLE, "exploit", "attacker", low=low), status(text, REMEDIATED, *REMEDIATED_SIGNS, low=low),
+            status(text, VULNERABLE, "vulnerable", "unpatched", "unremediat", "not", low=low),
         )
 
     @classmethod
-    def bound(cls, rows: DataFrame, text: Column, prefix: str) -> tuple[DataFrame, Facts]:
-        """``rows`` with a column for each fact, named by ``prefix``, and the facts as these columns."""
+    def bound(cls, rows: DataFrame, text: Column, prefix: str, wanted: dict[str, Column] | None = None) -> tuple[DataFrame, Facts]:
+        """``rows`` with a column for each fact, named by ``prefix``, and the facts as these columns. With ``wanted``, a fact is looked for only in the rows where its condition there holds, and null in others."""
         names = [f.name for f in fields(cls)]
-        out = rows.withColumn(f"{prefix}text", text)
-        found = cls.of(F.col(f"{prefix}text"))
-        out = out.withColumns({f"{prefix}{n}": getattr(found, n) for n in names if n != "text"})
-        return out, cls(*[F.col(f"{prefix}{n}") for n in names])
+        some = lambda n, x: x if wanted is None else F.when(wanted.get(n, F.lit(False)), x)
+        out = rows.withColumn(f"{prefix}text", text).withColumn(f"{prefix}low", F.lower(f"{prefix}text"))
+        found = cls.of(F.col(f"{prefix}text"), F.col(f"{prefix}low"))
+        out = out.withColumns({f"{prefix}{n}": some(n, getattr(found, n)) for n in names if n not in ("text", "clauses")})
+        clauses = caveat_clauses(F.col(f"{prefix}text"), F.col(f"{prefix}sentences") if wanted is None else found.sentences)
+        return out.withColumn(f"{prefix}clauses", some("clauses", clauses)), cls(*[F.col(f"{prefix}{n}") for n in names])
 
 
 Text = Column | Facts
@@ -198,18 +205,28 @@ def entity_check(source: Text, draft: Text, omitted: Column) -> Column:
     return let(Facts.of(source).entities, lambda s: let(Facts.of(draft).entities, lambda d: compare(s, d)))
 
 
-def caveat_clauses(source: Column) -> Column:
-    """Of each source sentence with a caveat marker, the clause around the first marker in the list's order."""
-    marker = lambda s: let(F.lower(s), lambda low: F.coalesce(*[F.when(low.contains(m), F.lit(m)) for m in CAVEAT_MARKERS]))
-    return F.filter(F.transform(sentences(source), lambda s: let(marker(s), lambda m: F.when(m.isNotNull(), marker_clause(s, m)))), lambda c: c.isNotNull())
+#: Any marker; a look at two letters passes over most places.
+_MARKED = f"(?=[{''.join(sorted({m[0] for m in CAVEAT_MARKERS}))}][{''.join(sorted({m[1] for m in CAVEAT_MARKERS}))}])(?:{'|'.join(CAVEAT_MARKERS)})"
+
+
+def caveat_clauses(source: Column, said: Column | None = None) -> Column:
+    """Of each source sentence with a caveat marker, the clause around the first marker in the list's order; ``said`` are its sentences, if they are known."""
+    said = sentences(source) if said is None else said
+    clause = lambda s, m: F.when(s.rlike("[,;]| and "), marker_clause(s, m)).otherwise(s)
+    marker = lambda s: let(F.lower(s), lambda low: F.when(low.rlike(_MARKED), F.coalesce(*[F.when(low.contains(m), F.lit(m)) for m in CAVEAT_MARKERS])))
+    return F.filter(F.transform(said, lambda s: let(marker(s), lambda m: F.when(m.isNotNull(), clause(s, m)))), lambda c: c.isNotNull())
+
+
+#: A word that is no stopword, in lower case.
+_COUNTED = rf"(?<![a-z0-9'])(?!(?:{'|'.join(OVERLAP_STOPWORDS)})(?![a-z0-9']))[a-z0-9']"
 
 
 def caveat_parity(source: Text, draft: Text, omitted: Column, threshold: float = CAVEAT_OVERLAP) -> Column:
     """Caveat clauses of the source of whose words no sentence of the draft, and no omission, has a share of ``threshold``."""
 
     def lost(heard: Column) -> Column:
-        # A clause that is heard as it stands has all its words there, if it has any that counts.
-        as_it_stands = lambda c: F.array_contains(heard, c) & (token_overlap(c, c) >= threshold)
+        # A clause that is heard as it stands has all its words there (a share of 1), if it has any that counts.
+        as_it_stands = lambda c: F.array_contains(heard, c) & (F.when(F.lower(c).rlike(_COUNTED), 1.0).otherwise(0.0) >= threshold)
         best = lambda c: F.coalesce(F.array_max(F.transform(heard, lambda h: token_overlap(c, h))), F.lit(0.0))
         return F.filter(Facts.of(source).clauses, lambda c: F.when(as_it_stands(c), F.lit(False)).otherwise(best(c) < threshold))
 
@@ -350,15 +367,34 @@ def judge(pairs: DataFrame, source: str = "source_text", draft: str = "draft_tex
     return out.withColumn("ok", ~F.exists("flags", lambda f: f["level"] == "fail"))
 
 
-def judge_one(pairs: DataFrame, target: str, source: str = "source_text", draft: str = "draft_text", omitted: str | None = None, declared: str | None = None, contract: str | None = None, audience: str | None = None, both_ways: bool = False) -> DataFrame:
-    """``pairs`` with ``flags`` of that check only which the column ``target`` names; the others are not evaluated."""
+#: The facts of source and draft that each check looks at.
+_LOOKS_AT = {
+    "id_parity": (("identifiers",), ("identifiers",)), "numeric_parity": (("numbers",), ("numbers",)), "severity_drift": (("severity",), ("severity",)), "entity_check": (("entities",), ("entities",)), "caveat_parity": (("clauses",), ("sentences",)),
+    "claim_inflation": (("hedges", "acts"), ("hedges", "acts")), "status_drift": (("exploited", "exploitable", "acts", "remediated", "vulnerable"), ("exploited", "remediated", "vulnerable")), "negation_flip": ((), ("exploited",)), "format_lint": ((), ()),
+}
+
+
+def judge_one(pairs: DataFrame, target: str, source: str = "source_text", draft: str = "draft_text", omitted: str | None = None, declared: str | None = None, contract: str | None = None, audience: str | None = None, both_ways: bool = False, base: str | None = None) -> DataFrame:
+    """``pairs`` with ``flags`` of that check only which the column ``target`` names; the others are not evaluated, nor the facts that only they look at.
+
+    With ``base``, a column of that name has the flags of the source as a draft of itself, by the same facts.
+    """
     col = lambda name, kind="string": F.col(name) if name else F.lit(None).cast(kind)
-    text = lambda name: F.coalesce(F.col(name), F.lit(""))
-    found = all_checks(text(source), text(draft), col(omitted, "array<string>"), col(declared), col(contract), col(audience), both_ways)
-    flags = none_of(FLAGS)
-    for name, value in found.items():
-        flags = F.when(F.col(target) == name, value).otherwise(flags)
-    return pairs.withColumn("flags", flags)
+
+    def wanted(side: int) -> dict[str, Column]:
+        of = lambda name: [c for c, facts in _LOOKS_AT.items() if name in facts[side] or (base and not side and name in facts[1])]
+        return {f.name: F.col(target).isin(*of(f.name)) for f in fields(Facts) if of(f.name)}
+
+    rows, s = Facts.bound(pairs, F.coalesce(F.col(source), F.lit("")), "_source_", wanted(0))
+    rows, d = Facts.bound(rows, F.coalesce(F.col(draft), F.lit("")), "_draft_", wanted(1))
+
+    def flags(said: Facts) -> Column:
+        found, out = all_checks(s, said, col(omitted, "array<string>"), col(declared), col(contract), col(audience), both_ways), none_of(FLAGS)
+        for name, value in found.items():
+            out = F.when(F.col(target) == name, value).otherwise(out)
+        return out
+
+    return rows.withColumns({"flags": flags(d)} | ({base: flags(s)} if base else {})).select(*[c for c in pairs.columns if c not in ("flags", base)], "flags", *([base] if base else []))
 
 
 def sentence_levels(source: Text, draft: Column) -> Column:
@@ -372,6 +408,18 @@ def sentence_levels(source: Text, draft: Column) -> Column:
     return F.transform(sentences(draft), level)
 
 
+def sentence_rows(pairs: DataFrame, id: str, source: str = "source_text", draft: str = "draft_text") -> DataFrame:
+    """(id, ``n``, ``sentence``, ``level``, ``checks``): ``sentence_levels`` with a row for each draft sentence, numbered from 0. The facts of a source are found once, those of a sentence in columns of its row."""
+    told = ("hedges", "acts", "exploited", "exploitable", "remediated", "vulnerable")
+    rows, s = Facts.bound(pairs, F.coalesce(F.col(source), F.lit("")), "_source_")
+    rows = rows.withColumn("_said", sentences(F.coalesce(F.col(draft), F.lit(""))))
+    rows = rows.select(id, "_source_text", *[f"_source_{n}" for n in told], F.posexplode_outer("_said").alias("n", "sentence")).where("sentence is not null")
+    rows, d = Facts.bound(rows, F.col("sentence"), "_draft_")
+    rows = rows.withColumn("_found", F.concat(claim_inflation(s, d), status_drift(s, d), negation_flip(s, d)))
+    level = F.when(F.size("_found") == 0, "green").when(F.exists("_found", lambda x: x["level"] == "fail"), "red").otherwise("amber")
+    return rows.select(id, F.col("n").cast("bigint").alias("n"), "sentence", level.alias("level"), F.when(F.size("_found") == 0, none_of()).otherwise(sorted_set(F.transform("_found", lambda x: x["check"]))).alias("checks"))
+
+
 def _best_finding(findings: Column, sentence: Column) -> Column:
     """Of a draft's findings the one that has most of the sentence's words, the first on a tie."""
     scored = F.transform(findings, lambda x, i: F.struct(token_overlap(sentence, x["text"]).alias("score"), (-i).alias("i")))

@@ -58,19 +58,18 @@ def mutation_recall(spark: SparkSession, folder: str) -> DataFrame:
     A pair counts only if its faithful draft passes that check.
     """
     target = F.element_at(F.create_map(*[F.lit(x) for k, v in AIMED.items() for x in (k, v)]), F.col("variant"))
-    both = F.explode(F.array(F.struct(F.lit(True).alias("base"), F.col(SRC).alias("text")), F.struct(F.lit(False).alias("base"), F.col(DRAFT).alias("text")))).alias("d")
-    drafts = finding_pairs(spark, folder).where(F.col("variant").isin(*AIMED)).select("pair_id", "variant", target.alias("target"), SRC, both).select("*", "d.base", F.col("d.text").alias(DRAFT)).drop("d")
-    judged = checks.judge_one(drafts, "target")
-    inflated = drafts.where("variant = 4").withColumns({"flags": checks.severity_drift(F.col(SRC), F.col(DRAFT), F.lit(None).cast("string"), both_ways=True), "target": F.lit("severity_inflation")})
-    failed = F.exists("flags", lambda f: f["level"] == "fail").alias("failed")
-    rows = judged.select("pair_id", "variant", "target", "base", failed).unionByName(inflated.select("pair_id", "variant", "target", "base", failed))
+    drafts = finding_pairs(spark, folder).where(F.col("variant").isin(*AIMED)).select("pair_id", "variant", target.alias("target"), SRC, DRAFT)
+    inflated = drafts.where("variant = 4").withColumn("target", F.lit("severity_drift"))
+    failed = lambda name: F.exists(name, lambda f: f["level"] == "fail")
+    both = F.explode(F.array(F.struct(F.lit(True).alias("base"), failed("base_flags").alias("failed")), F.struct(F.lit(False).alias("base"), failed("flags").alias("failed")))).alias("d")
+    tested = lambda rows, target, **how: checks.judge_one(rows, "target", base="base_flags", **how).select("pair_id", "variant", target.alias("target"), both).select("pair_id", "variant", "target", "d.*")
+    rows = tested(drafts, F.col("target")).unionByName(tested(inflated, F.lit("severity_inflation"), both_ways=True))
     return analytics.planted_recall(rows, "pair_id", ["variant", "target"])
 
 
 def sentence_review(spark: SparkSession, folder: str) -> DataFrame:
-    rows, source = checks.Facts.bound(finding_pairs(spark, folder), F.col(SRC), "_source_")
-    rows = rows.select("pair_id", F.posexplode_outer(checks.sentence_levels(source, F.col(DRAFT))).alias("n", "s")).where("s is not null")
-    return rows.select("pair_id", F.col("n").cast("bigint").alias("n"), "s.level", F.array_join("s.checks", ",").alias("checks"))
+    rows = checks.sentence_rows(finding_pairs(spark, folder), "pair_id")
+    return rows.select("pair_id", "n", "level", F.array_join("checks", ",").alias("checks"))
 
 
 def format_lint(spark: SparkSession, folder: str) -> DataFrame:
