@@ -352,17 +352,27 @@ def applicable(source: Text, draft: Text, contract: Column, audience: Column) ->
     return F.filter(F.array(*[F.when(has[c], F.lit(c)) for c in CHECKS]), lambda x: x.isNotNull())
 
 
-def judge(pairs: DataFrame, source: str = "source_text", draft: str = "draft_text", omitted: str | None = None, declared: str | None = None, contract: str | None = None, audience: str | None = None, both_ways: bool = False) -> DataFrame:
+def _of_target(found: dict[str, Column], target: str) -> Column:
+    """The flags of the check that the column ``target`` names."""
+    out = none_of(FLAGS)
+    for name, value in found.items():
+        out = F.when(F.col(target) == name, value).otherwise(out)
+    return out
+
+
+def judge(pairs: DataFrame, source: str = "source_text", draft: str = "draft_text", omitted: str | None = None, declared: str | None = None, contract: str | None = None, audience: str | None = None, both_ways: bool = False, target: str | None = None, base: str | None = None) -> DataFrame:
     """``pairs`` with ``flags`` of all checks, ``passed`` (checks without a flag), ``applicable`` and ``ok`` (no flag fails).
 
     Projections only, no shuffle: the facts of both texts, then what the checks make of them. Null texts count as empty.
+    With ``base``, a column of that name has the flags of the check that the column ``target`` names, of the source as a draft of itself.
     """
     col = lambda name, kind="string": F.col(name) if name else F.lit(None).cast(kind)
     rows, s = Facts.bound(pairs, F.coalesce(F.col(source), F.lit("")), "_source_")
     rows, d = Facts.bound(rows, F.coalesce(F.col(draft), F.lit("")), "_draft_")
     o, c, a = col(omitted, "array<string>"), col(contract), col(audience)
     found = all_checks(s, d, o, col(declared), c, a, both_ways)
-    out = rows.withColumns({"flags": F.concat(*found.values()), "applicable": applicable(s, d, c, a)}).select(*[x for x in pairs.columns if x not in ("flags", "applicable", "passed", "ok")], "flags", "applicable")
+    more = {base: _of_target(all_checks(s, s, o, col(declared), c, a, both_ways), target)} if base else {}
+    out = rows.withColumns({"flags": F.concat(*found.values()), "applicable": applicable(s, d, c, a)} | more).select(*[x for x in pairs.columns if x not in ("flags", "applicable", "passed", "ok", base)], *more, "flags", "applicable")
     out = out.withColumn("passed", F.array_except(F.array(*[F.lit(n) for n in CHECKS]), F.transform("flags", lambda f: f["check"])))
     return out.withColumn("ok", ~F.exists("flags", lambda f: f["level"] == "fail"))
 
@@ -388,12 +398,7 @@ def judge_one(pairs: DataFrame, target: str, source: str = "source_text", draft:
     rows, s = Facts.bound(pairs, F.coalesce(F.col(source), F.lit("")), "_source_", wanted(0))
     rows, d = Facts.bound(rows, F.coalesce(F.col(draft), F.lit("")), "_draft_", wanted(1))
 
-    def flags(said: Facts) -> Column:
-        found, out = all_checks(s, said, col(omitted, "array<string>"), col(declared), col(contract), col(audience), both_ways), none_of(FLAGS)
-        for name, value in found.items():
-            out = F.when(F.col(target) == name, value).otherwise(out)
-        return out
-
+    flags = lambda said: _of_target(all_checks(s, said, col(omitted, "array<string>"), col(declared), col(contract), col(audience), both_ways), target)
     return rows.withColumns({"flags": flags(d)} | ({base: flags(s)} if base else {})).select(*[c for c in pairs.columns if c not in ("flags", base)], "flags", *([base] if base else []))
 
 

@@ -52,13 +52,17 @@ def axis_report(spark: SparkSession, folder: str) -> DataFrame:
 AIMED = {1: "id_parity", 2: "numeric_parity", 3: "severity_drift", 4: "severity_drift", 5: "severity_drift", 6: "caveat_parity", 7: "claim_inflation", 8: "status_drift", 9: "entity_check"}
 
 
+def aimed_check(variant: Column) -> Column:
+    """The check that a variant's planted error is aimed at; null for one without an error."""
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in AIMED.items() for x in (k, v)]), variant)
+
+
 def mutation_recall(spark: SparkSession, folder: str) -> DataFrame:
     """How often each of the nine planted errors is found by the check that it is aimed at, also those that never are; an inflated severity also by the check of both directions.
 
     A pair counts only if its faithful draft passes that check.
     """
-    target = F.element_at(F.create_map(*[F.lit(x) for k, v in AIMED.items() for x in (k, v)]), F.col("variant"))
-    drafts = finding_pairs(spark, folder).where(F.col("variant").isin(*AIMED)).select("pair_id", "variant", target.alias("target"), SRC, DRAFT)
+    drafts = finding_pairs(spark, folder).where(F.col("variant").isin(*AIMED)).select("pair_id", "variant", aimed_check(F.col("variant")).alias("target"), SRC, DRAFT)
     inflated = drafts.where("variant = 4").withColumn("target", F.lit("severity_drift"))
     failed = lambda name: F.exists(name, lambda f: f["level"] == "fail")
     both = F.explode(F.array(F.struct(F.lit(True).alias("base"), failed("base_flags").alias("failed")), F.struct(F.lit(False).alias("base"), failed("flags").alias("failed")))).alias("d")

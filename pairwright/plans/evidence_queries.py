@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import checks, composite, evidence, genre, harvest, retrieve
+from ..operators import analytics, checks, composite, evidence, genre, harvest, retrieve
 from ..sources.checkpoints import stored
 from . import check_queries, genre_queries
 from .pairs import FINDING_PAIRS_SQL, finding_pairs, table
@@ -37,10 +37,14 @@ def corpus_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 def loss_and_recall(spark: SparkSession, folder: str) -> DataFrame:
     """How often the drafts of three models fail each check, beside the check's recall of planted errors."""
-    judged = checks.judge(finding_pairs(spark, folder)).select(F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), "flags")
-    failed = F.array_distinct(F.transform(F.filter("flags", lambda f: f["level"] == "fail"), lambda f: f["check"]))
-    items = judged.select("model", failed.alias("failed")).select("model", F.explode(F.array(*[F.struct(F.lit(c).alias("error"), F.array_contains("failed", c).alias("lost")) for c in checks.CHECKS])).alias("x")).select("model", "x.*")
-    planted = check_queries.mutation_recall(spark, folder).where("target <> 'severity_inflation'")
+    pairs = finding_pairs(spark, folder).withColumn("target", check_queries.aimed_check(F.col("variant")))
+    fails = lambda flags: F.filter(flags, lambda f: f["level"] == "fail")
+    judged = checks.judge(pairs, target="target", base="base_flags").select("pair_id", "variant", "target", F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), "flags", "base_flags")
+    # Judged once, for the losses of the drafts and for what is planted in them; the texts stay behind.
+    judged = stored(judged.select("pair_id", "variant", "target", "model", F.array_distinct(F.transform(fails(F.col("flags")), lambda f: f["check"])).alias("failed"), (F.size(fails(F.col("base_flags"))) > 0).alias("base_failed")), "judged")
+    items = judged.select("model", F.explode(F.array(*[F.struct(F.lit(c).alias("error"), F.array_contains("failed", c).alias("lost")) for c in checks.CHECKS])).alias("x")).select("model", "x.*")
+    drafts = F.array(F.struct(F.lit(True).alias("base"), F.col("base_failed").alias("failed")), F.struct(F.lit(False).alias("base"), F.expr("array_contains(failed, target)").alias("failed")))
+    planted = analytics.planted_recall(judged.where("target is not null").select("pair_id", "variant", "target", F.explode(drafts).alias("d")).select("pair_id", "variant", "target", "d.*"), "pair_id", ["variant", "target"])
     recall = planted.groupBy(F.col("target").alias("error")).agg(F.round(F.sum("n_found") / F.sum("n"), 6).alias("recall"))
     return evidence.loss_and_recall(items, recall)
 
