@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import dot, is_quantified, let, matches, prose_sentences, strip
+from ..functions.text import is_quantified, let, matches, prose_sentences, strip
 from .extract import HEADING, best_match
 from .prepare import stripped
 from .sequences import html_sections
@@ -141,17 +145,111 @@ def advisory_pairs(pages: DataFrame, id: str, html: str, with_risk: Column, summ
     return rows.select(id, summary.alias("executive_text"), body(ADVISORY_DETAILS).alias("technical_text")).where((F.length("executive_text") >= summary_least) & (F.length("technical_text") >= details_least))
 
 
+#: Pairs that a task scores at a time, which bounds its memory at some 20 MB beside the document's own vectors.
+_PAIRS = 1 << 18
+#: Cosines are ranked when rounded to six places; what is below the k-th by more than this cannot be among the best.
+_ROUNDING = 1.1e-6
+
+
 def nearest_within(sentences: DataFrame, targets: DataFrame, k: int = 5, least: float | None = None, apart: str | None = None) -> DataFrame:
-    """(``doc``, ``sentence``, ``target``, ``cosine``, ``rank``): for ``sentences(doc, sentence, v)`` the ``k`` nearest ``targets(doc, target, v)`` of the same document, by vectors of length 1, ties by target; not those of the same ``apart``, and none below ``least``."""
-    other = targets.select("doc", "target", F.col("v").alias("_v"), *([F.col(apart).alias("_apart")] if apart else []))
-    rows = sentences.dropDuplicates(["doc", "sentence"]).join(other, "doc")
-    if apart:
-        rows = rows.where(F.col(apart) != F.col("_apart"))
-    rows = rows.withColumn("cosine", F.round(dot(F.col("v"), F.col("_v")), 6))
+    """(``doc``, ``sentence``, ``target``, ``cosine``, ``rank``): for ``sentences(doc, sentence, v)`` the ``k`` nearest ``targets(doc, target, v)`` of the same document, by vectors of length 1, ties by target; not those of the same ``apart``, and none below ``least``.
+
+    Both are shuffled by document once, in order. A task scores the pairs of a document in arrays and keeps what can be among the best of
+    a sentence, so no row is made for a pair: a few for each sentence, or ``k`` for each distinct cosine within rounding of the k-th.
+    """
+    own, other = dict(sentences.dtypes)["sentence"], dict(targets.dtypes)["target"]
+    kind = (F.col(apart).cast("string") if apart else F.lit(None).cast("string")).alias("kind")
+    v = F.col("v").cast("array<double>").alias("v")
+    rows = sentences.select("doc", F.lit(False).alias("found"), "sentence", F.lit(None).cast(other).alias("target"), v, kind).unionByName(targets.select("doc", F.lit(True).alias("found"), F.lit(None).cast(own).alias("sentence"), "target", v, kind))
+    ordered = rows.where("doc is not null").repartition("doc").sortWithinPartitions("doc", "found", "sentence", "target")
+    near = ordered.mapInArrow(_nearest_of_doc(k, bool(apart)), f"doc {dict(rows.dtypes)['doc']}, sentence {own}, target {other}, dot double")
+    scored = near.select("doc", "sentence", "target", F.round("dot", 6).alias("cosine"))
     if least is not None:
-        rows = rows.where(F.col("cosine") >= least)
+        scored = scored.where(F.col("cosine") >= least)
     order = W.partitionBy("doc", "sentence").orderBy(F.desc("cosine"), "target")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc", "sentence", "target", "cosine", "rank")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc", "sentence", "target", "cosine", "rank")
+
+
+def _nearest_of_doc(k: int, apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows in the order of their documents, sentences before targets, the pairs that can be among a sentence's ``k`` nearest; equal sentences of a document count once."""
+
+    def codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        """Equal numbers for equal values, -1 for null."""
+        return pa.array(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors side by side, a row for each component, and their lengths, -1 where a vector or one of its components is null."""
+        sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        values, first = vectors.flatten(), np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        out = np.zeros((int(sizes.max(initial=0)), len(sizes)))
+        out[np.arange(len(row)) - first[row], row] = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+        widths = np.where(vectors.is_null().to_numpy(zero_copy_only=False), -1, sizes)
+        widths[row[values.is_null().to_numpy(zero_copy_only=False)]] = -1
+        return out, widths
+
+    def best(query: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Places, of each query's pairs, of those within rounding of the k-th; of equal ones the first ``k``. Queries are in order."""
+        order = np.lexsort((-value, query))
+        value, at = value[order], np.arange(len(order))
+        first = np.searchsorted(query, query)
+        last = np.searchsorted(query, query, side="right") - 1
+        kth = np.where(last - first + 1 >= k, value[np.minimum(first + k - 1, last)], -np.inf)
+        same = at - np.maximum.accumulate(np.where((at == first) | np.r_[True, value[1:] != value[:-1]], at, 0))
+        return order[(value >= kth - _ROUNDING) & (same < k)]
+
+    def pairs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        column = lambda name: rows.column(name).combine_chunks()
+        doc, said, found = codes(column("doc")), codes(column("sentence")), column("found").to_numpy(zero_copy_only=False)
+        again = np.r_[False, (doc[1:] == doc[:-1]) & (said[1:] == said[:-1]) & ~found[1:]]
+        s, t = np.flatnonzero(~found & ~again), np.flatnonzero(found)
+        v, widths = matrix(column("v"))
+        a, b, kinds = v[:, s], v[:, t], codes(column("kind"))
+        first = np.searchsorted(doc[t], doc[s])
+        count = np.searchsorted(doc[t], doc[s], side="right") - first
+        upto = np.cumsum(count)
+        start = 0
+        while start < len(s):
+            done = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + _PAIRS, side="right")))
+            n = count[start:stop]
+            i = np.repeat(np.arange(start, stop), n)
+            j = np.arange(len(i)) - np.repeat(upto[start:stop] - n - done, n) + np.repeat(first[start:stop], n)
+            start = stop
+            if apart:
+                other = (kinds[s[i]] != kinds[t[j]]) & (kinds[s[i]] >= 0) & (kinds[t[j]] >= 0)
+                i, j = i[other], j[other]
+            if not len(i):
+                continue
+            dot = np.zeros(len(i))
+            with np.errstate(all="ignore"):
+                for x, y in zip(a, b, strict=True):  # in the order of the components, like ``dot``
+                    dot += x[i] * y[j]
+            unknown = (widths[s[i]] != widths[t[j]]) | (widths[s[i]] < 0)
+            kept = best(i, np.where(unknown, -np.inf, np.where(np.isnan(dot), np.inf, dot)))
+            i, j = i[kept], j[kept]
+            yield pa.RecordBatch.from_arrays([column("doc").take(pa.array(s[i])), column("sentence").take(pa.array(s[i])), column("target").take(pa.array(t[j])), pa.array(dot[kept], mask=unknown[kept])], ["doc", "sentence", "target", "dot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # the last document, of which more may come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column("doc")
+            if waiting and waiting[0].column("doc")[0] == doc[-1]:
+                waiting.append(batch)
+                continue
+            code = codes(doc)
+            start = int(np.argmax(code == code[-1]))
+            whole = [*waiting, batch.slice(0, start)] if start else waiting
+            if whole:
+                yield from pairs(whole)
+            waiting = [batch.slice(start)]
+        if waiting:
+            yield from pairs(waiting)
+
+    return run
 
 
 def recovered_units(regions: DataFrame, cuts: DataFrame, span: int = 6, least: int = 200) -> DataFrame:

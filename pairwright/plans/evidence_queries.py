@@ -66,10 +66,14 @@ def document_tests(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", *[v.alias(n) for n, v in tests.items()])
 
 
+#: A letter of a profile, or one of the two beyond ASCII that have such a letter in lower case.
+_HAS_LETTER = "[A-Za-z\u0130\u212a]"
+
+
 def nearest_in_document(spark: SparkSession, folder: str) -> DataFrame:
     """For every other line of a document its five nearest among the rest, by letters: joined within the document, not with the whole table."""
-    lines = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "t")).select("doc", "n", models.letter_profile(F.col("t")).alias("v"))
-    lines = stored(retrieve.normalised(stored(lines.repartition("doc"), "profiles"), "v").where("v is not null"), "lines")
+    lines = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "t")).where(F.col("t").rlike(_HAS_LETTER))
+    lines = retrieve.normalised(lines.select("doc", "n", models.letter_profile(F.col("t")).alias("v")), "v")
     near = composite.nearest_within(lines.where("n % 2 = 0").withColumnRenamed("n", "sentence"), lines.where("n % 2 = 1").withColumnRenamed("n", "target"), k=5)
     return near.select("doc", "sentence", "target", "cosine", "rank")
 
